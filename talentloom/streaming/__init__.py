@@ -1,0 +1 @@
+"""Structured Streaming forms of intake and progress."""
