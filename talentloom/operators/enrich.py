@@ -231,7 +231,7 @@ def common_role_skills(resume_skills: DataFrame, roles: DataFrame, min_share: fl
         resume_skills.select("resume_id", "skill").distinct().join(roles.distinct(), "resume_id", "inner")
         .groupBy("title", "skill").agg(F.count("*").alias("n"))
     )
-    common = counts.join(holders, "title", "inner").filter(F.col("n") >= F.col("holders") * min_share)
+    common = counts.join(holders, "title", "inner").filter(F.col("n") / F.col("holders") >= min_share)
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "skill")))
     return common.groupBy("title").agg(F.transform(ranked, lambda r: r["skill"]).alias("ranked"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from talentloom import schemas
@@ -42,8 +44,7 @@ def stream_intake(spark: SparkSession, path: str, out: str, checkpoint: str | No
     files = dedup_stream(read_uploads(spark, path, files_per_trigger), ["path", "file_size"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        as_of = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
-        stamp = batch.sparkSession.range(1).select(as_of).first()[0]
+        stamp = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         intake_plan(batch, stamp).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
