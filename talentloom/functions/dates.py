@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, functions as F
 
 from talentloom import rules
+from talentloom.functions.values import let
 
 
 def parse_ts(text: Column, as_of: str) -> Column:
@@ -15,26 +16,25 @@ def parse_ts(text: Column, as_of: str) -> Column:
 
 
 def parse_loose_date(text: Column, as_of: str) -> Column:
-    """``2021-03-01``, ``March 2021``, ``Mar 2021``, ``03/2021``, ``2021``, ``Present`` → date; else null."""
-    t = F.trim(text)
-    present = F.lower(t).isin("present", "current", "now")
-
-    def parsed(shape: str, fmt: str) -> Column:
-        return F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)).cast("date"))
-
-    return (
-        F.when(present, F.lit(as_of).cast("date"))
-        .otherwise(
-            F.coalesce(
-                parsed(r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-                parsed(r"^\d{4}-\d{2}$", "yyyy-MM"),
-                parsed(r"^[A-Za-z]{3} \d{4}$", "MMM yyyy"),
-                parsed(r"^[A-Za-z]{4,} \d{4}$", "MMMM yyyy"),
-                parsed(r"^\d{2}/\d{4}$", "MM/yyyy"),
-                parsed(r"^\d{4}$", "yyyy"),
-            )
+    """``2021-03-01``, ``March 2021``, ``Mar 2021``, ``03/2021``, ``2021``, ``Present`` → date; else null.
+
+    The shape of the text picks the one format to try.
+    """
+    def read(t: Column) -> Column:
+        def as_date(fmt: str) -> Column:
+            return F.try_to_timestamp(t, F.lit(fmt)).cast("date")
+
+        return (
+            F.when(t.rlike(r"^\d{4}$"), as_date("yyyy"))
+            .when(F.lower(t).isin("present", "current", "now"), F.lit(as_of).cast("date"))
+            .when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), as_date("yyyy-MM-dd"))
+            .when(t.rlike(r"^\d{4}-\d{2}$"), as_date("yyyy-MM"))
+            .when(t.rlike(r"^[A-Za-z]{3} \d{4}$"), as_date("MMM yyyy"))
+            .when(t.rlike(r"^[A-Za-z]{4,} \d{4}$"), as_date("MMMM yyyy"))
+            .when(t.rlike(r"^\d{2}/\d{4}$"), as_date("MM/yyyy"))
         )
-    )
+
+    return let(F.trim(text), read)
 
 
 def whole_months(start: Column, end: Column) -> Column:
@@ -44,14 +44,15 @@ def whole_months(start: Column, end: Column) -> Column:
 
 def duration_text(start: Column, end: Column) -> Column:
     """``4 years 6 months``; null when a bound is missing or the order is wrong."""
-    months = whole_months(start, end)
-    years, rest = F.floor(months / 12).cast("int"), (months % 12).cast("int")
-
     def unit(n: Column, name: str) -> Column:
         return F.when(n > 0, F.concat_ws(" ", n.cast("string"), F.when(n == 1, F.lit(name)).otherwise(F.lit(name + "s"))))
 
-    text = F.concat_ws(" ", unit(years, "year"), unit(rest, "month"))
-    return F.when(months == 0, F.lit("0 months")).when(months > 0, text)
+    def words(months: Column) -> Column:
+        years, rest = F.floor(months / 12).cast("int"), (months % 12).cast("int")
+        text = F.concat_ws(" ", unit(years, "year"), unit(rest, "month"))
+        return F.when(months == 0, F.lit("0 months")).when(months > 0, text)
+
+    return let(let(F.struct(start.alias("s"), end.alias("e")), lambda v: whole_months(v["s"], v["e"])), words)
 
 
 def timeframe_bounds(timeframe: str, as_of: str) -> tuple[str | None, str | None, str]:

@@ -38,17 +38,17 @@ def recommendation(score: Column) -> Column:
 
 def career_level(title: Column, years: Column) -> Column:
     """c-level, executive, senior, junior, entry or mid-level from a title and years at work."""
-    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^a-z]+", " "), F.lit(" "))
-    years = F.coalesce(years, F.lit(0.0))
-    return (
-        F.when(t.rlike(" (chief|cto|ceo|cfo|coo) "), "c-level")
-        .when(t.rlike(" (director|vp|head) "), "executive")
-        .when(t.rlike(" (senior|lead|principal) ") | (years >= 8), "senior")
-        .when(t.rlike(" junior "), "junior")
-        .when(years < 1, "entry")
-        .when(years < 3, "junior")
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^a-z]+", " "), F.lit(" "))
+    given = F.struct(words.alias("t"), F.coalesce(years, F.lit(0.0)).alias("y"))
+    return let(given, lambda g: (
+        F.when(g["t"].rlike(" (chief|cto|ceo|cfo|coo) "), "c-level")
+        .when(g["t"].rlike(" (director|vp|head) "), "executive")
+        .when(g["t"].rlike(" (senior|lead|principal) ") | (g["y"] >= 8), "senior")
+        .when(g["t"].rlike(" junior "), "junior")
+        .when(g["y"] < 1, "entry")
+        .when(g["y"] < 3, "junior")
         .otherwise("mid-level")
-    )
+    ))
 
 
 def degree_rank(text: Column) -> Column:
@@ -66,3 +66,12 @@ def currency_of(country: Column) -> Column:
 def money_range(low: Column, high: Column) -> Column:
     """``$140,000 - $180,000``."""
     return F.concat(F.lit("$"), F.format_number(low, 0), F.lit(" - $"), F.format_number(high, 0))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    Inside lambdas Spark shares no common subexpressions; a column used in many
+    places would be computed in every one of them.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from talentloom import rules, schemas
 from talentloom.functions.dates import duration_text, parse_loose_date, whole_months
 from talentloom.functions.text import extract_first, first_line, strip_ws, word_frame
-from talentloom.functions.values import career_level
+from talentloom.functions.values import career_level, let
 from talentloom.operators.text_analysis import best_industry, industry_fit_of
 
 _RULE = r"(?m)^---[ \t]*$"
@@ -22,14 +22,16 @@ _HEADER = "header"
 
 def _sections(text: Column) -> Column:
     """Array of (section, body); the part above the first rule is the header."""
-    parts = F.split(text, _RULE, -1)
-    last = F.size(parts) - 2  # a body needs a heading before it
-    at = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    named = F.transform(at, lambda i: F.struct(
-        F.lower(strip_ws(F.get(parts, i))).alias("section"), strip_ws(F.get(parts, i + 1)).alias("body")
-    ))
-    header = F.struct(F.lit(_HEADER).alias("section"), strip_ws(F.get(parts, F.lit(0))).alias("body"))
-    return F.concat(F.array(header), named)
+    def read(parts: Column) -> Column:
+        last = F.size(parts) - 2  # a body needs a heading before it
+        at = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        named = F.transform(at, lambda i: F.struct(
+            F.lower(strip_ws(F.get(parts, i))).alias("section"), strip_ws(F.get(parts, i + 1)).alias("body")
+        ))
+        header = F.struct(F.lit(_HEADER).alias("section"), strip_ws(F.get(parts, F.lit(0))).alias("body"))
+        return F.concat(F.array(header), named)
+
+    return let(F.split(text, _RULE, -1), read)
 
 
 def split_sections(df: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -70,60 +72,80 @@ def _or_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def _place(lines: Column) -> tuple[Column, Column]:
+def _place(line: Column) -> tuple[Column, Column]:
     """("company", "city, ST") of a line ``company, city, ST``."""
-    line = _line(lines, 1)
     return (
         _or_null(strip_ws(F.regexp_extract(line, r"^([^,]*)", 1))),
         _or_null(strip_ws(F.regexp_extract(line, r"^[^,]*,(.*)$", 1))),
     )
 
 
-def _span(lines: Column) -> tuple[Column, Column]:
-    """(start, end) texts of the first line which is a span of dates in parentheses."""
-    line = F.get(F.filter(lines, lambda x: x.rlike(r"^\(.*\)$")), F.lit(0))
+def _is_span(line: Column) -> Column:
+    return line.rlike(r"^\(.*\)$")
+
+
+def _span_line(lines: Column) -> Column:
+    """The first line which is a span of dates in parentheses."""
+    return F.get(F.filter(lines, _is_span), F.lit(0))
+
+
+def _span(line: Column) -> tuple[Column, Column]:
+    """(start, end) texts of a span; a single date is the end."""
     start = _or_null(F.regexp_extract(line, _DATE_SPAN, 1))
-    single = _or_null(F.regexp_extract(line, r"^\(\s*([^()]+?)\s*\)$", 1))
     end = _or_null(F.regexp_extract(line, _DATE_SPAN, 2))
-    return start, F.coalesce(end, single)
+    return start, F.coalesce(end, _or_null(F.regexp_extract(line, r"^\(\s*([^()]+?)\s*\)$", 1)))
+
+
+def _parts(lines: Column) -> Column:
+    """What every entry is read from, computed once per entry."""
+    return F.struct(
+        lines.alias("lines"), _line(lines, 0).alias("head"), _line(lines, 1).alias("place"),
+        _span_line(lines).alias("span"), _bullets(lines).alias("bullets"),
+    )
+
+
+def _address(place: Column) -> Column:
+    """``street, city[, state zip], country`` or ``city, country``."""
+    def read(parts: Column) -> Column:
+        n = F.size(parts)
+        region = F.when(n >= 4, F.get(parts, F.lit(2)))
+        return F.struct(
+            F.when(n >= 3, F.get(parts, F.lit(0))).alias("street"),
+            F.when(n >= 3, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))).alias("city"),
+            _or_null(F.trim(F.regexp_replace(region, r"[0-9-]+", ""))).alias("state"),
+            _or_null(F.regexp_extract(region, r"([0-9][0-9-]+)", 1)).alias("zipCode"),
+            F.element_at(parts, -1).alias("country"),
+        )
+
+    return F.when(place.isNotNull(), let(F.transform(F.split(place, ","), strip_ws), read))
 
 
-def _clean_contact(header: Column, text: Column) -> Column:
-    email = extract_first(text, rules.EMAIL_PATTERN)
-    phone = F.trim(extract_first(text, rules.PHONE_PATTERN))
-    linkedin = extract_first(text, rules.LINKEDIN_PATTERN)
-    website = extract_first(F.regexp_replace(text, rules.LINKEDIN_PATTERN, ""), rules.WEBSITE_PATTERN)
+def _contact(header: Column, text: Column) -> Column:
     pieces = F.transform(F.split(header, r"[|\n]"), strip_ws)
     place = F.get(F.filter(pieces, lambda p: p.contains(",") & ~p.contains("@")), F.lit(0))
-    parts = F.transform(F.split(place, ","), strip_ws)
-    n = F.size(parts)
-    region = F.when(n >= 4, F.get(parts, F.lit(2)))
-    address = F.struct(
-        F.when(n >= 3, F.get(parts, F.lit(0))).alias("street"),
-        F.when(n >= 3, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))).alias("city"),
-        _or_null(F.trim(F.regexp_replace(region, r"[0-9-]+", ""))).alias("state"),
-        _or_null(F.regexp_extract(region, r"([0-9][0-9-]+)", 1)).alias("zipCode"),
-        F.element_at(parts, -1).alias("country"),
-    )
     return F.struct(
-        email.alias("email"), phone.alias("phone"), F.when(place.isNotNull(), address).alias("address"),
-        linkedin.alias("linkedin"), website.alias("website"),
+        extract_first(text, rules.EMAIL_PATTERN).alias("email"),
+        F.trim(extract_first(text, rules.PHONE_PATTERN)).alias("phone"),
+        let(place, _address).alias("address"),
+        extract_first(text, rules.LINKEDIN_PATTERN).alias("linkedin"),
+        extract_first(F.regexp_replace(text, rules.LINKEDIN_PATTERN, ""), rules.WEBSITE_PATTERN).alias("website"),
     )
 
 
 def extract_contact(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """Add ``personalInfo`` from the header (name, address) and the whole text (e-mail, phone, links)."""
     header = df.withColumn("_header", F.get(F.split(F.coalesce(F.col(text), F.lit("")), _RULE, 2), F.lit(0)))
-    full = first_line(F.col("_header"))
-    words = F.split(full, r"\s+")
-    name = F.struct(
-        F.get(words, F.lit(0)).alias("first"), F.when(F.size(words) > 1, F.element_at(words, -1)).alias("last"),
-        full.alias("full"),
-    )
-    contact = _clean_contact(F.col("_header"), F.col(text))
-    return header.withColumn(
-        "personalInfo", F.struct(F.when(full.isNotNull(), name).alias("name"), contact.alias("contact"))
-    ).drop("_header")
+    def named(full: Column) -> Column:
+        words = F.split(full, r"\s+")
+        name = F.struct(
+            F.get(words, F.lit(0)).alias("first"), F.when(F.size(words) > 1, F.element_at(words, -1)).alias("last"),
+            full.alias("full"),
+        )
+        return F.when(full.isNotNull(), name)
+
+    name = let(first_line(F.col("_header")), named)
+    contact = _contact(F.col("_header"), F.col(text))
+    return header.withColumn("personalInfo", F.struct(name.alias("name"), contact.alias("contact"))).drop("_header")
 
 
 def extract_experience(df: DataFrame, as_of: str, body: Column, skills: Column | None = None) -> DataFrame:
@@ -133,43 +155,49 @@ def extract_experience(df: DataFrame, as_of: str, body: Column, skills: Column |
     items of the record; those named in an entry become its technologies.
     """
     known = skills if skills is not None else F.array().cast("array<string>")
+    framed = F.transform(known, lambda k: F.struct(k.alias("skill"), word_frame(k).alias("frame")))
+    listed = df.withColumn("_known", framed)
+
+    def read(p: Column) -> Column:
+        company, location = _place(p["place"])
+        start, end = _span(p["span"])
+        return F.struct(
+            p["head"].alias("title"), company.alias("company"), location.alias("location"), start.alias("start"), end.alias("end"),
+            F.filter(F.slice(p["lines"], 3, F.greatest(F.size(p["lines"]), F.lit(1))), lambda x: ~_is_bullet(x) & ~_is_span(x)).alias("plain"),
+            p["bullets"].alias("bullets"), word_frame(F.array_join(p["lines"], " ")).alias("words"),
+        )
 
-    def role(lines: Column) -> Column:
-        company, location = _place(lines)
-        start, end = _span(lines)
-        plain = F.filter(F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1))),
-                         lambda x: ~_is_bullet(x) & ~x.rlike(r"^\(.*\)$"))
-        words = word_frame(F.array_join(lines, " "))
+    def role(r: Column) -> Column:
         return F.struct(
-            _line(lines, 0).alias("title"), company.alias("company"), location.alias("location"),
-            start.alias("start_date"), end.alias("end_date"),
-            F.coalesce(F.lower(end) == "present", F.lit(False)).alias("current"),
-            duration_text(parse_loose_date(start, as_of), parse_loose_date(end, as_of)).alias("duration"),
-            _or_null(F.array_join(plain, " ")).alias("description"),
-            _bullets(lines).alias("achievements"),
-            F.filter(known, lambda s: words.contains(word_frame(s))).alias("technologies"),
+            r["title"].alias("title"), r["company"].alias("company"), r["location"].alias("location"),
+            r["start"].alias("start_date"), r["end"].alias("end_date"),
+            F.coalesce(F.lower(r["end"]) == "present", F.lit(False)).alias("current"),
+            duration_text(parse_loose_date(r["start"], as_of), parse_loose_date(r["end"], as_of)).alias("duration"),
+            _or_null(F.array_join(r["plain"], " ")).alias("description"),
+            r["bullets"].alias("achievements"),
+            F.transform(F.filter("_known", lambda k: r["words"].contains(k["frame"])), lambda k: k["skill"]).alias("technologies"),
         )
 
-    complete = F.filter(F.transform(_entries(body), role), lambda r: r.title.isNotNull() & r.company.isNotNull())
-    return df.withColumn("experience", complete)
+    found = F.transform(F.transform(_entries(body), _parts), read)
+    complete = F.filter(found, lambda r: r["title"].isNotNull() & r["company"].isNotNull())
+    return listed.withColumn("experience", F.transform(complete, role)).drop("_known")
 
 
 def extract_education(df: DataFrame, body: Column) -> DataFrame:
     """Add ``education``: "degree in field" / "institution, location" / "(start – end)" / bullets as honors."""
-    def degree(lines: Column) -> Column:
-        head = _line(lines, 0)
-        institution, location = _place(lines)
-        _, end = _span(lines)
-        gpa = F.regexp_extract(F.array_join(lines, "\n"), r"GPA:?\s*([0-9]\.[0-9]+)", 1)
+    def degree(p: Column) -> Column:
+        institution, location = _place(p["place"])
+        _, end = _span(p["span"])
+        gpa = F.regexp_extract(F.array_join(p["lines"], "\n"), r"GPA:?\s*([0-9]\.[0-9]+)", 1)
         return F.struct(
-            F.coalesce(_or_null(F.regexp_extract(head, r"^(.*?)\s+in\s+", 1)), head).alias("degree"),
-            _or_null(F.regexp_extract(head, r"^.*?\s+in\s+(.*)$", 1)).alias("field"),
+            F.coalesce(_or_null(F.regexp_extract(p["head"], r"^(.*?)\s+in\s+", 1)), p["head"]).alias("degree"),
+            _or_null(F.regexp_extract(p["head"], r"^.*?\s+in\s+(.*)$", 1)).alias("field"),
             institution.alias("institution"), location.alias("location"), end.alias("graduation_date"),
-            gpa.try_cast("double").alias("gpa"), _bullets(lines).alias("honors"),
+            gpa.try_cast("double").alias("gpa"), p["bullets"].alias("honors"),
         )
 
-    complete = F.filter(F.transform(_entries(body), degree), lambda d: d.degree.isNotNull() & d.institution.isNotNull())
-    return df.withColumn("education", complete)
+    found = F.transform(F.transform(_entries(body), _parts), degree)
+    return df.withColumn("education", F.filter(found, lambda d: d["degree"].isNotNull() & d["institution"].isNotNull()))
 
 
 def _skill_items(listed: Column) -> Column:
@@ -184,43 +212,49 @@ def _skill_items(listed: Column) -> Column:
 def extract_skills(df: DataFrame, body: Column) -> DataFrame:
     """Add ``skills`` from lines ``- Category: a, b (c, d)``; soft skills and spoken languages by their category."""
     lines = F.filter(F.transform(F.split(body, "\n"), strip_ws), lambda x: x.rlike(r"^[-•*]\s+[^:]+:"))
-    groups = F.transform(lines, lambda x: F.struct(
+    named = F.transform(lines, lambda x: F.struct(
         strip_ws(F.regexp_extract(x, r"^[-•*]\s+([^:]+):", 1)).alias("category"),
         F.regexp_extract(x, r"^[^:]+:(.*)$", 1).alias("listed"),
     ))
 
     def kind(g: Column) -> Column:
-        low = F.lower(g.category)
+        low = F.lower(g["category"])
         return F.when(low.isin("soft skills", "soft"), "soft").when(low.isin("languages", "spoken languages"), "spoken").otherwise("technical")
 
+    groups = F.transform(named, lambda g: F.struct(g["category"].alias("category"), g["listed"].alias("listed"), kind(g).alias("kind")))
+    listed = df.withColumn("_groups", groups)
+
     def of(name: str) -> Column:
-        return F.filter(groups, lambda g: kind(g) == name)
+        return F.filter("_groups", lambda g: g["kind"] == name)
 
-    spoken = F.flatten(F.transform(of("spoken"), lambda g: F.split(g.listed, ",")))
+    spoken = F.flatten(F.transform(of("spoken"), lambda g: F.split(g["listed"], ",")))
     languages = F.transform(F.filter(spoken, lambda s: strip_ws(s) != ""), lambda s: F.struct(
         strip_ws(F.regexp_replace(s, r"\(.*\)", "")).alias("language"),
         _or_null(strip_ws(F.regexp_extract(s, r"\((.*)\)", 1))).alias("proficiency"),
     ))
     technical = F.transform(of("technical"), lambda g: F.struct(
-        g.category.alias("category"), _skill_items(g.listed).alias("items")
+        g["category"].alias("category"), _skill_items(g["listed"]).alias("items")
     ))
-    soft = F.array_distinct(F.flatten(F.transform(of("soft"), lambda g: _skill_items(g.listed))))
-    return df.withColumn("skills", F.struct(technical.alias("technical"), soft.alias("soft"), languages.alias("languages")))
+    soft = F.array_distinct(F.flatten(F.transform(of("soft"), lambda g: _skill_items(g["listed"]))))
+    skills = F.struct(technical.alias("technical"), soft.alias("soft"), languages.alias("languages"))
+    return listed.withColumn("skills", skills).drop("_groups")
 
 
 def extract_certs(df: DataFrame, body: Column) -> DataFrame:
     """Add ``certifications``: name / issuer / "(Issued: …)"."""
-    def cert(lines: Column) -> Column:
-        text = F.array_join(lines, "\n")
-        issuer = _line(lines, 1)
+    def cert(p: Column) -> Column:
         return F.struct(
-            _line(lines, 0).alias("name"), F.when(~issuer.startswith("("), issuer).alias("issuer"),
-            _or_null(F.regexp_extract(text, r"\(Issued:\s*([^(),]+?)\s*[,)]", 1)).alias("issueDate"),
-            _or_null(F.regexp_extract(text, r"Expires:\s*([^(),]+?)\s*[,)]", 1)).alias("expiryDate"),
-            _or_null(F.regexp_extract(text, r"(?:Credential )?ID:\s*([^(),\s]+)", 1)).alias("credentialId"),
+            p["name"].alias("name"), F.when(~p["issuer"].startswith("("), p["issuer"]).alias("issuer"),
+            _or_null(F.regexp_extract(p["text"], r"\(Issued:\s*([^(),]+?)\s*[,)]", 1)).alias("issueDate"),
+            _or_null(F.regexp_extract(p["text"], r"Expires:\s*([^(),]+?)\s*[,)]", 1)).alias("expiryDate"),
+            _or_null(F.regexp_extract(p["text"], r"(?:Credential )?ID:\s*([^(),\s]+)", 1)).alias("credentialId"),
         )
 
-    return df.withColumn("certifications", F.filter(F.transform(_entries(body), cert), lambda c: c["name"].isNotNull()))
+    entries = F.transform(_entries(body), lambda lines: F.struct(
+        _line(lines, 0).alias("name"), _line(lines, 1).alias("issuer"), F.array_join(lines, "\n").alias("text")
+    ))
+    found = F.filter(entries, lambda p: p["name"].isNotNull())
+    return df.withColumn("certifications", F.transform(found, cert))
 
 
 def years_at_work(experience: Column, as_of: str) -> Column:
@@ -234,10 +268,9 @@ def years_at_work(experience: Column, as_of: str) -> Column:
     start = F.struct(F.lit(0).cast("bigint").alias("months"), F.lit(None).cast("date").alias("until"))
 
     def add(acc: Column, span: Column) -> Column:
-        begin = F.greatest(span.s, acc.until)
         return F.struct(
-            (acc.months + F.greatest(whole_months(begin, span.e), F.lit(0))).cast("bigint").alias("months"),
-            F.greatest(acc.until, span.e).alias("until"),
+            (acc["months"] + F.greatest(whole_months(F.greatest(span["s"], acc["until"]), span["e"]), F.lit(0))).cast("bigint").alias("months"),
+            F.greatest(acc["until"], span["e"]).alias("until"),
         )
 
     return F.round(F.aggregate(F.array_sort(spans), start, add)["months"] / 12, 2)

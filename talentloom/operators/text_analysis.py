@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from talentloom import rules, schemas
 from talentloom.functions.text import extract_first, first_line, redact_text, tokens
+from talentloom.functions.values import let
 
 
 def tag_terms(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,12 +36,20 @@ def industry_fit(tagged: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def industry_fit_of(text: Column) -> Column:
     """The same map with the built-in industry terms, inside the row."""
-    words = F.array_distinct(tokens(text))
     names = sorted(rules.INDUSTRY_TERMS)
-    hits = [F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in rules.INDUSTRY_TERMS[n]]))) for n in names]
-    top = F.greatest(*hits)
-    fit = F.create_map(*[x for n, h in zip(names, hits) for x in (F.lit(n), F.round(h / F.greatest(top, F.lit(1)), 2))])
-    return F.map_filter(fit, lambda _, v: v > 0)
+
+    def count(words: Column) -> Column:
+        return F.array(*[
+            F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in rules.INDUSTRY_TERMS[n]]))) for n in names
+        ])
+
+    def scale(hits: Column) -> Column:
+        top = F.array_max(hits)
+        shares = F.transform(hits, lambda h: F.round(h / top, 2))
+        found = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), shares), lambda _, v: v > 0)
+        return F.when(top > 0, found).otherwise(F.create_map().cast("map<string,double>"))
+
+    return let(let(F.array_distinct(tokens(text)), count), scale)
 
 
 def best_industry(fit: Column) -> Column:

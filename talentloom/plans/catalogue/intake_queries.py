@@ -94,7 +94,7 @@ def _write_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 @query("io06_extract_docx", rf"""
     select doc_id, md5(regexp_replace(text, '{_CONTROL}', '', 'g')) as digest from documents""")
 def _(t):
-    plain = t.documents.select("doc_id", F.regexp_replace("text", _CONTROL, "").alias("text"))
+    plain = t.texts().select("doc_id", F.regexp_replace("text", _CONTROL, "").alias("text"))
     files = plain.mapInPandas(_write_docx, "doc_id bigint, content binary")
     return uploads.extract_docx(files).select("doc_id", F.md5("raw_text").alias("digest"))
 

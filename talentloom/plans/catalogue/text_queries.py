@@ -33,7 +33,7 @@ _TAGGED = f"""select doc_id, category, count(*) as n_terms from (
 
 @query("j08_tag_terms", _TAGGED)
 def _(t):
-    return text_analysis.tag_terms(t.documents, _lexicon(t))
+    return text_analysis.tag_terms(t.texts(), _lexicon(t))
 
 
 @query("s20_industry_fit", f"""
@@ -41,7 +41,7 @@ def _(t):
     select g.doc_id, string_agg(category || '=' || printf('%.2f', round(n_terms / best, 2)), ' ' order by category) as fit
     from tagged g join top on top.doc_id = g.doc_id group by 1""")
 def _(t):
-    fit = text_analysis.industry_fit(text_analysis.tag_terms(t.documents, _lexicon(t)))
+    fit = text_analysis.industry_fit(text_analysis.tag_terms(t.texts(), _lexicon(t)))
     shown = F.transform(F.map_entries("industry_fit"), lambda e: F.format_string("%s=%.2f", e["key"], e["value"]))
     return fit.select("doc_id", F.array_join(F.array_sort(shown), " ").alias("fit"))
 
@@ -57,7 +57,7 @@ def _stop_sql(lang):
     from (select doc_id, {', '.join(f'{_stop_sql(x)} as {x}' for x in ('de', 'en', 'es', 'fr'))}
           from (select doc_id, {_WORDS} as words from documents))""")
 def _(t):
-    return text_analysis.detect_language(t.documents).select("doc_id", "language", "stop_words")
+    return text_analysis.detect_language(t.texts()).select("doc_id", "language", "stop_words")
 
 
 def _hits_sql(category):
@@ -75,7 +75,7 @@ _BIAS = " union all ".join(
     from documents d left join (select doc_id, count(*) as n, string_agg(category || ':' || finding, ' ' order by category || ':' || finding) as shown
     from ({_BIAS}) group by 1) f on f.doc_id = d.doc_id""")
 def _(t):
-    out = text_analysis.bias_report(t.documents, AS_OF, text="text")
+    out = text_analysis.bias_report(t.texts(), AS_OF, text="text")
     shown = F.transform("biasReport.findings", lambda f: F.concat(f["category"], F.lit(":"), f["finding"]))
     return out.select(
         "doc_id", F.col("biasReport.biasDetected").alias("bias_detected"), F.size("biasReport.findings").alias("n_findings"),
@@ -86,14 +86,14 @@ def _(t):
 @query("a13_bias_summary", f"""
     select category, count(distinct doc_id) as records, count(*) as findings, count(distinct finding) as wordings from ({_BIAS}) group by 1""")
 def _(t):
-    return text_analysis.bias_summary(text_analysis.bias_report(t.documents, AS_OF, text="text"), "doc_id")
+    return text_analysis.bias_summary(text_analysis.bias_report(t.texts(), AS_OF, text="text"), "doc_id")
 
 
 @query("s09_redact_text", f"""
     select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{rules.EMAIL_PATTERN}', '[REDACTED]', 'g'),
         '{rules.PROFILE_PATTERN}', '[REDACTED]', 'g'), '{rules.PHONE_PATTERN}', '[REDACTED]', 'g')) as digest from documents""")
 def _(t):
-    return text_analysis.redact(t.documents, "text").select("doc_id", F.md5("redacted").alias("digest"))
+    return text_analysis.redact(t.texts(), "text").select("doc_id", F.md5("redacted").alias("digest"))
 
 
 @query("s13_contact_fields", f"""
@@ -102,7 +102,7 @@ def _(t):
            md5(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x, {_WS}) <> '')[1], {_WS})) as first_line
     from documents""")
 def _(t):
-    out = text_analysis.contact_fields(t.documents, "text")
+    out = text_analysis.contact_fields(t.texts(), "text")
     return out.select("doc_id", "email", "phone", F.md5("full_name").alias("first_line"))
 
 

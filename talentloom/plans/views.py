@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talentloom import rules, schemas
+from talentloom.sources.tables import spread_small_scan
 
 _TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
            "benchmark labels conversations").split()
@@ -21,6 +22,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """Documents, spread over all cores: the text operators are heavy per row."""
+        return spread_small_scan(self.documents)
+
     # ---- people ----------------------------------------------------------
     def resumes_v(self) -> DataFrame:
         places = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -177,7 +182,7 @@ class Tables:
     def resume_texts_v(self) -> DataFrame:
         """One résumé text per order, in the usual form, from the order and its customer."""
         person = self.resumes_v()
-        role = self.orders.select(
+        role = spread_small_scan(self.orders).select(
             F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("resume_id"), F.col("o_orderpriority").alias("title"),
             F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("mark"),
             F.floor("o_totalprice").cast("bigint").alias("amount"),

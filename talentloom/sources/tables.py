@@ -1,0 +1,15 @@
+"""Reading tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores, for work that is heavy per row.
+
+    Small inputs often sit in one file and would keep one core busy. A large
+    scan has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
