@@ -17,6 +17,7 @@ from talentloom.operators.text_analysis import best_industry, industry_fit_of
 _RULE = r"(?m)^---[ \t]*$"
 _BLANK_LINE = r"\n[ \t]*\n\s*"
 _DATE_SPAN = r"\(\s*([^()–-]+?)\s*[–-]\s*([^()]+?)\s*\)"
+_ZIP = r"(?:^|\s)([A-Z0-9-]*[0-9][A-Z0-9 -]*)$"
 _HEADER = "header"
 
 
@@ -112,8 +113,8 @@ def _address(place: Column) -> Column:
         return F.struct(
             F.when(n >= 3, F.get(parts, F.lit(0))).alias("street"),
             F.when(n >= 3, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))).alias("city"),
-            _or_null(F.trim(F.regexp_replace(region, r"[0-9-]+", ""))).alias("state"),
-            _or_null(F.regexp_extract(region, r"([0-9][0-9-]+)", 1)).alias("zipCode"),
+            _or_null(F.trim(F.regexp_replace(region, _ZIP, ""))).alias("state"),
+            _or_null(F.regexp_extract(region, _ZIP, 1)).alias("zipCode"),
             F.element_at(parts, -1).alias("country"),
         )
 

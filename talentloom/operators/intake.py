@@ -20,12 +20,17 @@ def stored_name(id_: Column, name: Column) -> Column:
     return F.concat(id_, file_suffix(name))
 
 
-def create_records(files: DataFrame, as_of: str) -> DataFrame:
+def moment(as_of: str | None) -> Column:
+    """A fixed point in time, or the time of the micro-batch when none is given."""
+    return F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+
+
+def create_records(files: DataFrame, as_of: str | None) -> DataFrame:
     """New rows with status ``processing``; needs path, file_name, file_size, file_type."""
     return (
         files.withColumn("id", record_id(F.col("path"), F.col("file_size")))
         .withColumn("processing_status", F.lit(rules.PROCESSING))
-        .withColumn("uploaded_at", F.lit(as_of).cast("timestamp"))
+        .withColumn("uploaded_at", moment(as_of))
         .withColumn("stored_name", stored_name(F.col("id"), F.col("file_name")))
     )
 
@@ -44,24 +49,20 @@ def text_gate(df: DataFrame, text: str = "raw_text") -> DataFrame:
 def bulk_accept(df: DataFrame, batch: str, file: str, max_files: int = rules.BULK_LIMIT) -> DataFrame:
     """Add ``accepted`` and ``reason``: per batch the first ``max_files`` files by ``file`` are taken.
 
-    The last accepted file of each batch is found by a ranked limit, which Spark
-    applies before the shuffle; every row is then compared with it. No batch is
-    ever sorted as a whole, so a huge batch costs no more than a small one.
+    The accepted files are found by a ranked limit, which Spark applies in every
+    task before the shuffle, and marked by a join on batch and file. A huge batch
+    is spread by its files and never sorted as a whole.
     """
     rank = F.row_number().over(Window.partitionBy(batch).orderBy(file))
-    cut = (
-        df.select(batch, file)
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= max_files)
-        .groupBy(F.col(batch).alias("_batch"))
-        .agg(F.max(file).alias("_last"))
+    first = (
+        df.select(batch, file).withColumn("_rank", rank).filter(F.col("_rank") <= max_files)
+        .select(batch, file, F.lit(True).alias("accepted"))
     )
-    accepted = F.col(file) <= F.col("_last")
+    accepted = F.coalesce("accepted", F.lit(False))
     return (
-        df.join(cut, F.col(batch).eqNullSafe(F.col("_batch")), "left")
+        df.join(first, [batch, file], "left")
         .withColumn("accepted", accepted)
-        .withColumn("reason", F.when(~accepted, F.lit(f"Batch exceeds the limit of {max_files} files")))
-        .drop("_batch", "_last")
+        .withColumn("reason", F.when(~F.col("accepted"), F.lit(f"Batch exceeds the limit of {max_files} files")))
     )
 
 

@@ -17,21 +17,21 @@ RECORD_COLUMNS = ["id", "path", "file_name", "file_size", "file_type", "stored_n
                   "uploaded_at", "processed_at", "raw_text"]
 
 
-def admit(files: DataFrame, as_of: str) -> DataFrame:
+def admit(files: DataFrame, as_of: str | None) -> DataFrame:
     """Size gate, media type, route and record row for every file; no file content is read for this."""
     typed = files.withColumn("file_type", media_type_of(F.col("file_name")))
     return create_records(route_media(size_gate(typed)), as_of)
 
 
-def intake_plan(files: DataFrame, as_of: str) -> DataFrame:
-    """Record rows of the accepted files.
+def intake_plan(files: DataFrame, as_of: str | None) -> DataFrame:
+    """Record rows of the accepted files, of a table or a stream of files.
 
-    Text of the text and docx routes is read at once. PDF and image files stay in
-    ``processing`` until their pages come back from the outside extractor.
+    Text of the text and docx routes is read at once. PDF and image files are not
+    opened: they stay in ``processing`` until their pages come back from the
+    outside extractor.
     """
     admitted = admit(files, as_of)
-    now = F.lit(as_of).cast("timestamp")
-    read = text_gate(read_texts(admitted)).withColumn("processed_at", now)
+    read = text_gate(read_texts(admitted)).withColumn("processed_at", F.col("uploaded_at"))
     waiting = (
         admitted.filter(F.col("accepted") & (F.col("route") == ROUTE_EXTERNAL)).drop("content")
         .withColumn("raw_text", F.lit(None).cast("string")).withColumn("processed_at", F.lit(None).cast("timestamp"))
@@ -39,6 +39,21 @@ def intake_plan(files: DataFrame, as_of: str) -> DataFrame:
     return read.select(*RECORD_COLUMNS).unionByName(waiting.select(*RECORD_COLUMNS))
 
 
+def complete_from_log(records: DataFrame, log: DataFrame, as_of: str) -> DataFrame:
+    """Add the uploads of a log (path, file_name, file_size, file_type) that the scan did not deliver.
+
+    Spark's file sources pass over files without content: such uploads are
+    ``parse_failed``. Others in the log without a file are ``save_failed``.
+    """
+    missing = create_records(route_media(log), as_of).join(records.select("id"), "id", "left_anti")
+    status = F.when(F.col("file_size") == 0, rules.PARSE_FAILED).otherwise(rules.SAVE_FAILED)
+    added = (
+        missing.withColumn("processing_status", status).withColumn("processed_at", F.lit(as_of).cast("timestamp"))
+        .withColumn("raw_text", F.lit(None).cast("string"))
+    )
+    return records.unionByName(added.select(*RECORD_COLUMNS))
+
+
 def enrich_plan(records: DataFrame, as_of: str) -> DataFrame:
     """Structured data and in-row enhancements of the records which have text; the others pass unchanged in status.
 

@@ -50,7 +50,7 @@ TERMINAL_STATUSES = (COMPLETED, *FAILURE_STATUSES)
 WHITESPACE = " \t\n\r\f\x0b"
 REDACTED = "[REDACTED]"
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE_PATTERN = r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+PHONE_PATTERN = r"(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
 PROFILE_PATTERN = r"(https?://)?(www\.)?(linkedin\.com|github\.com)/[A-Za-z0-9_/.-]+"
 LINKEDIN_PATTERN = r"(https?://)?(www\.)?linkedin\.com/[A-Za-z0-9_/.-]+"
 WEBSITE_PATTERN = r"https?://[A-Za-z0-9_/.-]+"

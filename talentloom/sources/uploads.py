@@ -31,13 +31,15 @@ def scan_uploads(spark: SparkSession, path: str) -> DataFrame:
 def describe_files(files: DataFrame) -> DataFrame:
     """Name the columns of a binaryFile scan (batch or stream).
 
-    The scan hands back the path URL-encoded where the name holds blanks or
-    marks; it is kept as the key, the name is decoded.
+    The name comes from the file metadata: a filter on it, or on a route made
+    from it, then skips files before they are opened. Metadata names are
+    URL-encoded.
     """
-    name = F.try_url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
+    stored = F.col("_metadata.file_name")
+    name = F.coalesce(F.try_url_decode(F.regexp_replace(stored, r"\+", "%2B")), stored)
     return files.select(
         "path",
-        F.coalesce(name, F.element_at(F.split("path", "/"), -1)).alias("file_name"),
+        name.alias("file_name"),
         F.col("length").alias("file_size"),
         F.col("modificationTime").alias("modified_at"),
         "content",
@@ -145,7 +147,8 @@ def extract_with(df: DataFrame, fn: Callable[[bytes], str]) -> DataFrame:
 def read_texts(routed: DataFrame) -> DataFrame:
     """Raw text of the accepted files of the text, fall-back and docx routes.
 
-    Every route reads its own files only, so Python sees nothing but docx.
+    Every route opens its own files only: the route follows from the file name,
+    so the scan of a branch skips all other files, and Python sees only docx.
     """
     kept = routed.filter(F.col("accepted"))
     plain = decode_text(kept.filter(F.col("route").isin(ROUTE_TEXT, ROUTE_FALLBACK))).drop("content")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +11,7 @@ from talentloom.sources.uploads import describe_files
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; it is never made up here."""
+    """The shared checkpoint folder the cluster names; none is made up here."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         raise ValueError("set spark.checkpoint.dir, or pass checkpoint=")
@@ -29,8 +27,12 @@ def read_uploads(spark: SparkSession, path: str, files_per_trigger: int = 10_000
     return describe_files(files)
 
 
-def dedup_stream(df: DataFrame, keys: list[str], ts: str = "modified_at", delay: str = "1 hour") -> DataFrame:
-    """The same file delivered twice within the delay counts once; older state is dropped."""
+def dedup_stream(df: DataFrame, keys: list[str], ts: str = "uploaded_at", delay: str = "1 hour") -> DataFrame:
+    """A row delivered again within the delay counts once; older keys are forgotten.
+
+    ``ts`` should be the time of intake: on a time set by the sender, rows older
+    than the watermark would be dropped as late.
+    """
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
@@ -38,17 +40,11 @@ def stream_intake(spark: SparkSession, path: str, out: str, checkpoint: str | No
                   files_per_trigger: int = 10_000) -> StreamingQuery:
     """Take in all new files below ``path`` and stop; run again for later ones.
 
-    Every micro-batch writes its own folder ``batch=<n>`` in overwrite mode, so a
-    batch that is repeated after a failure replaces its first attempt.
+    The file sink writes every micro-batch exactly once. State holds ids only.
     """
-    files = dedup_stream(read_uploads(spark, path, files_per_trigger), ["path", "file_size"])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        stamp = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        intake_plan(batch, stamp).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
+    records = dedup_stream(intake_plan(read_uploads(spark, path, files_per_trigger), None), ["id"])
     return (
-        files.writeStream.foreachBatch(write)
+        records.writeStream.format("parquet").outputMode("append").option("path", out)
         .option("checkpointLocation", checkpoint or f"{checkpoint_root(spark)}/intake")
         .trigger(availableNow=True).start()
     )
