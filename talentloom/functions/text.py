@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from talentloom import rules
+from talentloom.functions.values import let
 
 
 
@@ -43,17 +44,46 @@ def word_frame(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}+#]+", " ")), F.lit(" "))
 
 
+def _guarded_replace(text: Column, needles: tuple[str, ...], pattern: str) -> Column:
+    """Replace by a pattern, but scan only texts which hold one of the strings every hit must contain."""
+    present = text.contains(needles[0])
+    for needle in needles[1:]:
+        present = present | text.contains(needle)
+    return F.when(present, F.regexp_replace(text, pattern, rules.REDACTED)).otherwise(text)
+
+
 def redact_text(text: Column) -> Column:
     """Replace e-mail addresses, profile links and phone numbers."""
-    out = F.regexp_replace(text, rules.EMAIL_PATTERN, rules.REDACTED)
-    out = F.regexp_replace(out, rules.PROFILE_PATTERN, rules.REDACTED)
-    return F.regexp_replace(out, rules.PHONE_PATTERN, rules.REDACTED)
+    no_mail = let(text, lambda t: _guarded_replace(t, ("@",), rules.EMAIL_PATTERN))
+    no_links = let(no_mail, lambda t: _guarded_replace(t, ("linkedin.com", "github.com"), rules.PROFILE_PATTERN))
+    return F.regexp_replace(no_links, rules.PHONE_PATTERN, rules.REDACTED)
+
+
+def extract_first(text: Column, pattern: str, needle: str | None = None) -> Column:
+    """First hit of a pattern, null when there is none.
+
+    ``needle`` is a string every hit contains: texts without it are not scanned.
+    """
+    hit = F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit(""))
+    return hit if needle is None else F.when(text.contains(needle), hit)
+
+
+def email_in(text: Column) -> Column:
+    return extract_first(text, rules.EMAIL_PATTERN, "@")
+
+
+def phone_in(text: Column) -> Column:
+    return extract_first(text, rules.PHONE_PATTERN)
+
+
+def linkedin_in(text: Column) -> Column:
+    return extract_first(text, rules.LINKEDIN_PATTERN, "linkedin.com")
 
 
-def extract_first(text: Column, pattern: str) -> Column:
-    """First hit of a pattern, null when there is none."""
-    hit = F.regexp_extract(text, f"({pattern})", 1)
-    return F.when(hit != "", hit)
+def website_in(text: Column) -> Column:
+    """First web address that is not a LinkedIn profile."""
+    rest = F.regexp_replace(text, rules.LINKEDIN_PATTERN, "")
+    return F.when(text.contains("http"), extract_first(rest, rules.WEBSITE_PATTERN))
 
 
 def first_line(text: Column) -> Column:

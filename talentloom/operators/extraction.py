@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talentloom import rules, schemas
+from talentloom import schemas
 from talentloom.functions.dates import duration_text, parse_loose_date, whole_months
-from talentloom.functions.text import extract_first, first_line, strip_ws, word_frame
+from talentloom.functions.text import email_in, first_line, linkedin_in, phone_in, strip_ws, website_in, word_frame
 from talentloom.functions.values import career_level, let
 from talentloom.operators.text_analysis import best_industry, industry_fit_of
 
@@ -125,11 +125,8 @@ def _contact(header: Column, text: Column) -> Column:
     pieces = F.transform(F.split(header, r"[|\n]"), strip_ws)
     place = F.get(F.filter(pieces, lambda p: p.contains(",") & ~p.contains("@")), F.lit(0))
     return F.struct(
-        extract_first(text, rules.EMAIL_PATTERN).alias("email"),
-        F.trim(extract_first(text, rules.PHONE_PATTERN)).alias("phone"),
-        let(place, _address).alias("address"),
-        extract_first(text, rules.LINKEDIN_PATTERN).alias("linkedin"),
-        extract_first(F.regexp_replace(text, rules.LINKEDIN_PATTERN, ""), rules.WEBSITE_PATTERN).alias("website"),
+        email_in(text).alias("email"), phone_in(text).alias("phone"), let(place, _address).alias("address"),
+        linkedin_in(text).alias("linkedin"), website_in(text).alias("website"),
     )
 
 

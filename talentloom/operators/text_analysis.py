@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talentloom import rules, schemas
-from talentloom.functions.text import extract_first, first_line, redact_text, tokens
+from talentloom.functions.text import email_in, first_line, linkedin_in, phone_in, redact_text, tokens, website_in
 from talentloom.functions.values import let
 
 
@@ -74,13 +74,26 @@ def detect_language(docs: DataFrame, text: str = "text", stopwords: dict[str, li
     return scored.withColumn("language", language).withColumn("stop_words", top).drop("_words", "_n")
 
 
-def bias_hits(text: Column) -> dict[str, Column]:
-    """Distinct biased words of a text per category, in order of first appearance."""
-    low = F.lower(text)
-    return {
-        name: F.array_distinct(F.regexp_extract_all(low, F.lit(rules.bias_pattern(words)), 2))
-        for name, words in rules.BIAS_WORDS.items()
-    }
+def bias_hits(text: Column) -> Column:
+    """Struct of the distinct biased words and phrases of a text per category.
+
+    The text is cut into words once for all categories; phrases are looked up as
+    whole words.
+    """
+    def read(low: Column) -> Column:
+        def per_category(words: Column) -> Column:
+            parts = []
+            for category, terms in rules.BIAS_WORDS.items():
+                single = F.array(*[F.lit(t) for t in terms if " " not in t])
+                phrases = [F.when(low.rlike(rules.whole_words(t)), t) for t in terms if " " in t]
+                hits = F.array_intersect(words, single) if len(terms) > len(phrases) else F.array().cast("array<string>")
+                found = F.filter(F.array(*phrases), lambda p: p.isNotNull()) if phrases else F.array().cast("array<string>")
+                parts.append(F.concat(hits, found).alias(category))
+            return F.struct(*parts)
+
+        return let(F.array_distinct(F.split(low, rules.WORD_SPLIT)), per_category)
+
+    return let(F.lower(text), read)
 
 
 def _as_findings(category: str, hits: Column) -> Column:
@@ -102,11 +115,11 @@ def bias_report(
     ``education`` is the list of degrees of the record. ``language`` limits the
     word lists to English texts.
     """
-    parts = []
-    for category, hits in bias_hits(F.coalesce(F.col(text), F.lit(""))).items():
-        if language is not None:
-            hits = F.when(language.eqNullSafe("en"), hits).otherwise(F.array().cast("array<string>"))
-        parts.append(_as_findings(category, hits))
+    hits = bias_hits(F.coalesce(F.col(text), F.lit("")))
+    if language is not None:
+        hits = F.when(language.eqNullSafe("en"), hits)
+    none = F.array().cast("array<string>")
+    parts = [_as_findings(c, F.coalesce(F.col("_hits")[c], none)) for c in rules.BIAS_WORDS]
     if education is not None:
         last = int(as_of[:4]) - rules.OLD_GRADUATION_YEARS
         years = F.transform(
@@ -116,9 +129,9 @@ def bias_report(
         old = F.filter(years, lambda y: (y != "") & (y.try_cast("int") <= last))
         parts.append(_as_findings("Age", F.array_distinct(old)))
     findings = F.concat(*parts)
-    return df.withColumn("_findings", findings).withColumn(
+    return df.withColumn("_hits", hits).withColumn("_findings", findings).withColumn(
         "biasReport", F.struct((F.size("_findings") > 0).alias("biasDetected"), F.col("_findings").alias("findings"))
-    ).drop("_findings")
+    ).drop("_findings", "_hits")
 
 
 def bias_summary(reports: DataFrame, id_col: str = "id") -> DataFrame:
@@ -146,10 +159,10 @@ def contact_fields(df: DataFrame, text: str = "raw_text") -> DataFrame:
         df.withColumn("full_name", first_line(body))
         .withColumn("first_name", F.get(words, F.lit(0)))
         .withColumn("last_name", F.when(F.size(words) > 1, F.element_at(words, -1)))
-        .withColumn("email", extract_first(body, rules.EMAIL_PATTERN))
-        .withColumn("phone", F.trim(extract_first(body, rules.PHONE_PATTERN)))
-        .withColumn("linkedin", extract_first(body, rules.LINKEDIN_PATTERN))
-        .withColumn("website", extract_first(F.regexp_replace(body, rules.LINKEDIN_PATTERN, ""), rules.WEBSITE_PATTERN))
+        .withColumn("email", email_in(body))
+        .withColumn("phone", phone_in(body))
+        .withColumn("linkedin", linkedin_in(body))
+        .withColumn("website", website_in(body))
     )
 
 

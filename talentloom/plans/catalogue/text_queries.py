@@ -60,14 +60,17 @@ def _(t):
     return text_analysis.detect_language(t.texts()).select("doc_id", "language", "stop_words")
 
 
-def _hits_sql(category):
-    pattern = rules.bias_pattern(rules.BIAS_WORDS[category])
-    return f"list_distinct(regexp_extract_all(lower(text), '{pattern}', 2))"
+def _bias_sql(category):
+    single = ", ".join(quoted(w) for w in rules.BIAS_WORDS[category] if " " not in w)
+    parts = [f"select doc_id, '{category}' as category, w as finding from words where w in ({single})"]
+    for phrase in rules.BIAS_WORDS[category]:
+        if " " in phrase:
+            parts.append(f"select doc_id, '{category}', {quoted(phrase)} from documents where regexp_matches(lower(text), '{rules.whole_words(phrase)}')")
+    return " union all ".join(parts)
 
 
-_BIAS = " union all ".join(
-    f"select doc_id, '{c}' as category, unnest({_hits_sql(c)}) as finding from documents" for c in rules.BIAS_WORDS
-)
+_BIAS = (f"with words as (select doc_id, unnest(list_distinct(string_split_regex(lower(text), '{rules.WORD_SPLIT}'))) as w from documents) "
+         + " union all ".join(_bias_sql(c) for c in rules.BIAS_WORDS))
 
 
 @query("s18_bias_report", f"""
@@ -140,7 +143,7 @@ def _section(word):
     from texts_v""")
 def _(t):
     out = extraction.extract_experience(extraction.split_sections(t.resume_texts_v()), AS_OF, _section("experience"))
-    role = out.select("id", F.explode("experience").alias("e")).select("id", "e.*")
+    role = out.select("id", F.explode_outer("experience").alias("e")).select("id", "e.*")
     return role.select(
         "id", "title", "company", "location", "start_date", "end_date", F.col("current").alias("is_current"), "duration",
         F.array_join("achievements", "|").alias("achievement"),
@@ -152,7 +155,7 @@ def _(t):
            cast(yr - 5 as varchar) as graduation_date, 'Class of ' || (yr - 5) as honors from texts_v""")
 def _(t):
     out = extraction.extract_education(extraction.split_sections(t.resume_texts_v()), _section("education"))
-    row = out.select("id", F.explode("education").alias("e")).select("id", "e.*")
+    row = out.select("id", F.explode_outer("education").alias("e")).select("id", "e.*")
     return row.select("id", "degree", "field", "institution", "location", "graduation_date", F.array_join("honors", "|").alias("honors"))
 
 
@@ -160,7 +163,7 @@ def _(t):
     select id, 'Sectors' as category, industry || '|' || region || '|' || country || '|trade' as items, title as soft from texts_v""")
 def _(t):
     out = extraction.extract_skills(extraction.split_sections(t.resume_texts_v()), _section("skill"))
-    group = F.explode("skills.technical").alias("g")
+    group = F.explode_outer("skills.technical").alias("g")
     return out.select("id", F.col("skills.soft").alias("soft"), group).select(
         "id", "g.category", F.array_join("g.items", "|").alias("items"), F.array_join("soft", "|").alias("soft")
     )
@@ -170,7 +173,7 @@ def _(t):
     select id, industry || ' Certificate' as name, 'Institute of ' || region as issuer, cast(yr as varchar) as issue_date from texts_v""")
 def _(t):
     out = extraction.extract_certs(extraction.split_sections(t.resume_texts_v()), _section("certification"))
-    return out.select("id", F.explode("certifications").alias("c")).select("id", "c.name", "c.issuer", F.col("c.issueDate").alias("issue_date"))
+    return out.select("id", F.explode_outer("certifications").alias("c")).select("id", "c.name", "c.issuer", F.col("c.issueDate").alias("issue_date"))
 
 
 def _completed(t):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talentloom import rules, schemas
-from talentloom.sources.tables import spread_small_scan
+from talentloom.sources.tables import spread_small
 
 _TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
            "benchmark labels conversations").split()
@@ -24,7 +24,7 @@ class Tables:
 
     def texts(self) -> DataFrame:
         """Documents, spread over all cores: the text operators are heavy per row."""
-        return spread_small_scan(self.documents)
+        return spread_small(self.documents)
 
     # ---- people ----------------------------------------------------------
     def resumes_v(self) -> DataFrame:
@@ -182,7 +182,7 @@ class Tables:
     def resume_texts_v(self) -> DataFrame:
         """One résumé text per order, in the usual form, from the order and its customer."""
         person = self.resumes_v()
-        role = spread_small_scan(self.orders).select(
+        role = self.orders.select(
             F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("resume_id"), F.col("o_orderpriority").alias("title"),
             F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("mark"),
             F.floor("o_totalprice").cast("bigint").alias("amount"),
@@ -205,4 +205,4 @@ class Tables:
             c("title"), F.lit("\n\n---\nCertifications\n---\n\n"), c("industry"), F.lit(" Certificate\nInstitute of "), c("region"),
             F.lit("\n(Issued: "), c("year").cast("string"), F.lit(")"),
         )
-        return role.join(person, "resume_id").select("id", "resume_id", text.alias("raw_text"))
+        return spread_small(role.join(person, "resume_id").select("id", "resume_id", text.alias("raw_text")), self.orders)

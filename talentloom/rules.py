@@ -56,13 +56,14 @@ LINKEDIN_PATTERN = r"(https?://)?(www\.)?linkedin\.com/[A-Za-z0-9_/.-]+"
 WEBSITE_PATTERN = r"https?://[A-Za-z0-9_/.-]+"
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 # ---- bias words (fixed values) ---------------------------------------------
 BIAS_WORDS = {
-    "Gender": "he|she|his|her|him|hers|himself|herself",
-    "Age": "years old|young|aged",
-    "Ethnicity": "nationality|ethnic|native of|born in",
-    "Marital": "married|single|divorced|spouse|children",
+    "Gender": ["he", "she", "his", "her", "him", "hers", "himself", "herself"],
+    "Age": ["years old", "young", "aged"],
+    "Ethnicity": ["nationality", "ethnic", "native of", "born in"],
+    "Marital": ["married", "single", "divorced", "spouse", "children"],
 }
 BIAS_SUGGESTION = {
     "Gender": "Use neutral wording instead of gendered pronouns.",
@@ -73,9 +74,9 @@ BIAS_SUGGESTION = {
 OLD_GRADUATION_YEARS = 10
 
 
-def bias_pattern(words: str) -> str:
-    """Whole-word pattern; group 2 is the word. Both engines read it alike."""
-    return rf"(^|[^\p{{L}}\p{{N}}_])({words})($|[^\p{{L}}\p{{N}}_])"
+def whole_words(phrase: str) -> str:
+    """Pattern of a phrase between word boundaries; Java regex and RE2 read it alike."""
+    return rf"(^|[^\p{{L}}\p{{N}}_]){phrase}($|[^\p{{L}}\p{{N}}_])"
 
 
 # ---- stop words per language (fixed values) --------------------------------

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores, for work that is heavy per row.
+def spread_small(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """Spread rows made from a scan with fewer splits than cores, for work that is heavy per row.
 
-    Small inputs often sit in one file and would keep one core busy. A large
-    scan has more splits than cores and is returned as it is, without a shuffle.
+    Small inputs often sit in one file, and small shuffles are merged into one
+    task; either would keep one core busy. A large scan has more splits than
+    cores and its rows are returned as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = (df if scan is None else scan).rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
