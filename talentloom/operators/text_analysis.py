@@ -14,8 +14,10 @@ def tag_terms(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text:
 
     Only distinct words of a text are exploded, so frequent words cost one row
     per document; the lexicon (term, category) is an equi join on the word.
+    (The outer form of explode spares Spark's extra filter, which would cut every
+    text into words a second time; the join drops texts without words.)
     """
-    words = docs.select(id_col, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    words = docs.select(id_col, F.explode_outer(F.array_distinct(tokens(F.col(text)))).alias("term"))
     return (
         words.join(lexicon.select("term", "category").distinct(), "term", "inner")
         .groupBy(id_col, "category")
@@ -137,18 +139,24 @@ def bias_report(
 def bias_summary(reports: DataFrame, id_col: str = "id") -> DataFrame:
     """Findings per category over the corpus: records concerned, findings, distinct wordings.
 
-    Equal wordings are counted per category first; the second step sees only
-    distinct wordings and per-record flags.
+    The first finding of a category in a record is marked inside the row, so that
+    records can be counted without gathering them. Equal wordings are counted
+    before they meet by category.
     """
-    rows = reports.select(id_col, F.explode("biasReport.findings").alias("f")).select(id_col, "f.category", "f.finding")
-    records = (
-        rows.groupBy("category", id_col).agg(F.count("*").alias("_n"))
-        .groupBy("category").agg(F.count("*").alias("records"), F.sum("_n").alias("findings"))
+    found = F.col("biasReport.findings")
+    names = F.transform(found, lambda f: f["category"])
+    marked = F.transform(found, lambda f, i: F.struct(
+        f["category"].alias("category"), f["finding"].alias("finding"),
+        (F.array_position("_names", f["category"]) == i + 1).cast("int").alias("first"),
+    ))
+    rows = (
+        reports.select(id_col, "biasReport").withColumn("_names", names)
+        .select(F.explode_outer(marked).alias("f")).filter(F.col("f").isNotNull()).select("f.*")
     )
-    wordings = rows.groupBy("category", "finding").agg(F.count("*").alias("_n")).groupBy("category").agg(
-        F.count("*").alias("wordings")
+    wordings = rows.groupBy("category", "finding").agg(F.count("*").alias("_n"), F.sum("first").alias("_records"))
+    return wordings.groupBy("category").agg(
+        F.sum("_records").alias("records"), F.sum("_n").alias("findings"), F.count("*").alias("wordings")
     )
-    return records.join(wordings, "category", "inner").select("category", "records", "findings", "wordings")
 
 
 def contact_fields(df: DataFrame, text: str = "raw_text") -> DataFrame:
