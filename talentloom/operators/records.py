@@ -211,7 +211,7 @@ def delete_records(resumes: DataFrame, ids: DataFrame) -> Deleted:
 def delete_outcome(resumes: DataFrame, ids: DataFrame) -> DataFrame:
     """What a caller is told per id."""
     hit = _found(ids, resumes, [])
-    return hit.select("id", F.when(F.col("_found"), "Resume deleted successfully").otherwise("Resume not found").alias("message"))
+    return hit.select("id", F.when(F.col("_found"), rules.DELETED).otherwise(rules.UNKNOWN_RESUME).alias("message"))
 
 
 class ForeignKeys(NamedTuple):

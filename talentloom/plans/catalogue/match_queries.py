@@ -33,12 +33,13 @@ LABEL_SQL = """case when overall_score < 40 then 'Poor Match' when overall_score
 
 def candidates(t):
     """Candidate rows for scoring, one per résumé."""
-    skills = match.candidate_lists(t.resume_skills_v(), t.job_skills_v())
+    wanted = t.resume_skills_v().join(t.job_skills_v().select("skill").distinct(), "skill", "left_semi")
+    skills = wanted.groupBy("resume_id").agg(F.count_distinct("skill").cast("int").alias("held"))
     years = enrich.years_of_experience(t.employment_v(), AS_OF).select("resume_id", "years")
     person = t.resumes_v().join(skills, "resume_id", "left").join(years, "resume_id", "left")
-    held = F.greatest(F.coalesce(F.size("have"), F.lit(0)), F.lit(0))
+    held = F.coalesce("held", F.lit(0))
     return person.select(
-        "resume_id", "have", "years", (F.col("resume_id") % 5).cast("int").alias("education_rank"),
+        "resume_id", "years", (F.col("resume_id") % 5).cast("int").alias("education_rank"),
         F.split(F.lower(F.concat_ws(" ", "industry", "region")), " ").alias("title_tokens"), F.lit(None).cast("string").alias("city"),
         F.col("region").alias("state"), "country", "expectation", (F.col("resume_id") % 101).alias("completeness"),
         held.alias("skills_known"), (held + F.col("resume_id") % 3).alias("skills_total"),
@@ -59,14 +60,18 @@ def jobs(t):
     )
 
 
+def asked(t):
+    """Asked pairs with the candidate's skills."""
+    return match.attach_skills(t.applications_v(), t.resume_skills_v(), t.job_skills_v())
+
+
 def scored(t):
-    return matching.score_plan(t.applications_v(), candidates(t), jobs(t))
+    return matching.score_plan(asked(t), candidates(t), jobs(t))
 
 
 def _lists(t):
     """Asked pairs with the skill lists only."""
-    have = match.candidate_lists(t.resume_skills_v(), t.job_skills_v())
-    return match.join_pairs(t.applications_v(), have, match.job_lists(t.job_skills_v()))
+    return asked(t).join(match.job_lists(t.job_skills_v()), "job_id")
 
 
 @query("j06_match_skills", "select * from hits_v")
@@ -86,7 +91,7 @@ def _(t):
 
 
 @query("a12_job_summary", """
-    select job_id, count(*) as candidates, max(overall_score) as best, round(avg(overall_score), 2) as mean, count_if(overall_score >= 70) as good
+    select job_id, count(*) as candidates, max(overall_score) as best, avg(overall_score) as mean, count_if(overall_score >= 70) as good
     from scored_v group by job_id""")
 def _(t):
     return match.job_summary(scored(t))
@@ -184,7 +189,7 @@ def _(t):
     select {uuid_sql("resume_id || '|' || job_id")} as id, resume_id, job_id, cast(resume_id as varchar) as echoed, overall_score,
            {LABEL_SQL} as recommendation, required_n - required_hit as n_gaps, required_hit as n_strengths from scored_v""")
 def _(t):
-    out = matching.match_plan(t.applications_v(), candidates(t), jobs(t), AS_OF)
+    out = matching.match_plan(asked(t), candidates(t), jobs(t), AS_OF)
     m = F.col("result.matchingResults")
     return out.select(
         "id", "resume_id", "job_id", F.col("result.resumeId").alias("echoed"), m["overallScore"].alias("overall_score"),

@@ -15,6 +15,11 @@ PAGES_PER_PART = 500
 REQUESTS_PER_HOUR = 1000
 STUCK_AFTER_SECONDS = 120
 
+# ---- messages (fixed values) -----------------------------------------------
+TOO_LARGE = "File size exceeds the %gMB limit. File size: "
+DELETED = "Resume deleted successfully"
+UNKNOWN_RESUME = "Resume not found"
+
 # ---- media types (fixed values) --------------------------------------------
 MEDIA_PDF = "application/pdf"
 MEDIA_DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
@@ -125,6 +130,7 @@ CURRENCIES = {
 DEFAULT_CURRENCY = "USD"
 COMPARABLES_MIN_ROWS = 5
 COMMON_SKILL_SHARE = 0.1
+LONGEST_LIST = 5000
 NEXT_ROLES = 5
 IMPROVEMENT_AREAS = 3
 SKILL_TREND_BAND = 0.10

@@ -49,9 +49,8 @@ def describe_files(files: DataFrame) -> DataFrame:
 def size_gate(df: DataFrame, size: str = "file_size", limit: int = rules.MAX_FILE_BYTES) -> DataFrame:
     """Add ``accepted`` and ``reject_reason``; only sizes above the limit are rejected."""
     over = F.col(size) > limit
-    reason = F.format_string(
-        f"File size exceeds the {limit / (1024 * 1024):g}MB limit. File size: %.2f MB", F.col(size) / (1024 * 1024)
-    )
+    megabytes = 1024 * 1024
+    reason = F.format_string(rules.TOO_LARGE % (limit / megabytes) + "%.2f MB", F.col(size) / megabytes)
     return df.withColumn("accepted", ~over).withColumn("reject_reason", F.when(over, reason))
 
 

@@ -133,7 +133,8 @@ def test_top_matches(spark):
     assert got == want
 
 
-def test_matching_scores_asked_pairs_only(spark):
+@pytest.mark.parametrize("longest", [0, 4, 5000])
+def test_matching_scores_asked_pairs_only(spark, longest):
     rnd = random.Random(5)
     have = {r: {f"s{0 if rnd.random() < .5 else rnd.randrange(1, 30)}" for _ in range(8)} for r in range(60)}
     need = {j: {f"s{rnd.randrange(0, 40)}": rnd.choice(["required", "preferred"]) for _ in range(6)} for j in range(20)}
@@ -141,7 +142,7 @@ def test_matching_scores_asked_pairs_only(spark):
     out = match.match_skills(
         spark.createDataFrame([(r, s) for r, xs in have.items() for s in xs], "resume_id int, skill string"),
         spark.createDataFrame([(j, s, n) for j, xs in need.items() for s, n in xs.items()], "job_id int, skill string, need string"),
-        spark.createDataFrame(list(asked), "resume_id int, job_id int"),
+        spark.createDataFrame(list(asked), "resume_id int, job_id int"), longest,
     ).collect()
     assert {(r.resume_id, r.job_id) for r in out} == asked
     for r in out:
