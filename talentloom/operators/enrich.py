@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from talentloom import rules, schemas
 from talentloom.functions.dates import whole_months
@@ -201,9 +201,19 @@ def estimate_salary(resumes: DataFrame, market: DataFrame, min_rows: int = rules
     )
 
 
+ID_BLOCK = 1_000_000
+
+
 def next_role(experience: DataFrame) -> DataFrame:
-    """Add ``next_title``: the title of the following role of the same person."""
-    return next_in_order(experience, ["resume_id"], F.col("start_date"), ["start_date", "exp_id"], ["title"])
+    """Add ``next_title``: the title of the following role of the same person.
+
+    A slice is a start date, and with numeric ids a block of ids: then it holds
+    at most ``ID_BLOCK`` rows, even when very many roles start on one day.
+    """
+    numeric = isinstance(experience.schema["exp_id"].dataType, T.IntegralType)
+    day = F.col("start_date")
+    slice_ = F.struct(day, F.floor(F.col("exp_id") / ID_BLOCK).alias("block")) if numeric else day
+    return next_in_order(experience, ["resume_id"], slice_, ["start_date", "exp_id"], ["title"])
 
 
 def role_transitions(experience: DataFrame) -> DataFrame:

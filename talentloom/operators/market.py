@@ -140,9 +140,9 @@ def salary_change(experience: DataFrame, timeframe: str, as_of: str) -> DataFram
 
 
 def industry_distribution(resumes: DataFrame) -> DataFrame:
-    """(industry, n, percent): share of résumés per industry. The total runs over the grouped rows only."""
+    """(industry, n, percent): share of résumés per industry; the total is a scalar subquery."""
     counts = resumes.groupBy("industry").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("percent", F.round(F.col("n") * 100 / total, 1))
 
 

@@ -36,7 +36,7 @@ def bulk_progress(status_events: DataFrame, batch: str = "batch") -> DataFrame:
 
 def step_durations(status_events: DataFrame, key: str = "resume_id") -> DataFrame:
     """Add ``seconds`` to the next event of the record and ``next_status``; null for the last event."""
-    following = next_in_order(status_events, [key], F.date_trunc("hour", "ts"), ["ts", "event_id"], ["ts", "status"])
+    following = next_in_order(status_events, [key], F.date_trunc("minute", "ts"), ["ts", "event_id"], ["ts", "status"])
     micros = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return following.withColumn("seconds", F.round(micros / 1e6, 3)).drop("next_ts")
 

@@ -13,8 +13,8 @@ AS_OF = "2001-08-01"
 BEFORE, AFTER, _ = timeframe_bounds("1y", AS_OF)
 _NOW = f"seen_on > date '{AFTER}' and seen_on <= date '{AS_OF}'"
 _PAST = f"seen_on > date '{BEFORE}' and seen_on <= date '{AFTER}'"
-_HOLDERS = f"""select skill, count(distinct resume_id) filter ({_NOW}) as current,
-    count(distinct resume_id) filter ({_PAST}) as previous from skill_dates_v
+_HOLDERS = f"""select skill, count(distinct resume_id) filter (where {_NOW}) as current,
+    count(distinct resume_id) filter (where {_PAST}) as previous from skill_dates_v
     where seen_on > date '{BEFORE}' and seen_on <= date '{AS_OF}' group by skill"""
 _TREND = f"""select *, case when previous > 0 then round((current - previous) / previous, 4) end as growth_rate,
     case when previous = 0 and current > 0 then 'growing' when round((current - previous) / previous, 4) >= 0.1 then 'growing'
@@ -60,7 +60,7 @@ _EXP_WINDOWS = f"""select title, salary, start_date > date '{AFTER}' as recent f
     select title, round(current, 4) as current, round(previous, 4) as previous, round(rate, 2) as change_percent,
            {_salary_label('round(rate, 2)')} as trend
     from (select *, (current - previous) * 100 / previous as rate from (
-          select title, median(salary) filter (recent) as current, median(salary) filter (not recent) as previous
+          select title, median(salary) filter (where recent) as current, median(salary) filter (where not recent) as previous
           from ({_EXP_WINDOWS}) group by title))""")
 def _(t):
     return market.salary_trends(t.experience_v(), "1y", AS_OF).select(
@@ -71,8 +71,8 @@ def _(t):
 @query("j10_salary_change", f"""
     select title, round(current, 4) as current, round(previous, 4) as previous, round((current - previous) * 100 / previous, 2) as change_percent,
            {_salary_label('round((current - previous) * 100 / previous, 2)')} as trend
-    from (select title, round(sum(cast(round(salary * 100) as bigint)) filter (recent) / count(*) filter (recent) / 100, 4) as current,
-                 round(sum(cast(round(salary * 100) as bigint)) filter (not recent) / count(*) filter (not recent) / 100, 4) as previous
+    from (select title, round(sum(cast(round(salary * 100) as bigint)) filter (where recent) / count(*) filter (where recent) / 100, 4) as current,
+                 round(sum(cast(round(salary * 100) as bigint)) filter (where not recent) / count(*) filter (where not recent) / 100, 4) as previous
           from ({_EXP_WINDOWS}) group by title)""")
 def _(t):
     return market.salary_change(t.experience_v(), "1y", AS_OF)
@@ -97,7 +97,7 @@ PROGRESS_SQL = f"""
     select batch, total, completed, failed, total - completed - failed as processing,
            cast(floor((completed + failed) * 100 / total) as int) as progress,
            case when total > completed + failed then 'processing' when completed = 0 then 'failed' else 'completed' end as status
-    from (select batch, count(*) as total, count_if(status = 'completed') as completed, count_if({_FAILED}) as failed
+    from (select batch, count(*) as total, count(*) filter (where status = 'completed') as completed, count(*) filter (where {_FAILED}) as failed
           from batch_events_v group by batch)"""
 
 

@@ -198,7 +198,7 @@ def _(t):
 
 
 @query("io16_bulk_report", f"""
-    select lang, count(*) as total_files, count_if(accepted) as accepted_files, count_if(not accepted) as rejected_files
+    select lang, count(*) as total_files, count(*) filter (where accepted) as accepted_files, count(*) filter (where not accepted) as rejected_files
     from ({_BULK_SQL}) group by lang""")
 def _(t):
     return intake.bulk_report(_judged(t), "lang")

@@ -15,13 +15,13 @@ VIEWS["own_skills_v"] = "select distinct resume_id, skill from resume_skills_v"
 VIEWS["asked_v"] = """select a.resume_id, a.job_id, j.skill, j.need, s.skill is not null as held
     from applications_v a join job_skills_v j on j.job_id = a.job_id
     left join own_skills_v s on s.resume_id = a.resume_id and s.skill = j.skill"""
-VIEWS["hits_v"] = """select resume_id, job_id, count_if(need = 'required') as required_n, count_if(need = 'required' and held) as required_hit,
-    count_if(need = 'preferred') as preferred_n, count_if(need = 'preferred' and held) as preferred_hit from asked_v group by 1, 2"""
+VIEWS["hits_v"] = """select resume_id, job_id, count(*) filter (where need = 'required') as required_n, count(*) filter (where need = 'required' and held) as required_hit,
+    count(*) filter (where need = 'preferred') as preferred_n, count(*) filter (where need = 'preferred' and held) as preferred_hit from asked_v group by 1, 2"""
 VIEWS["scored_v"] = """select *, cast(round((skills_score * 35 + experience_score * 25 + education_score * 15 + role_score * 15 + location_score * 10) / 100) as int) as overall_score
     from (select h.*, title, expectation, salary_min, salary_max,
       cast(round(80 * (case when required_n = 0 then 1 else required_hit / required_n end) + 20 * (case when preferred_n = 0 then 1 else preferred_hit / preferred_n end)) as int) as skills_score,
       cast(round(case when y >= need + 3 then 100 when y >= need then 80 + 20 * (y - need) / 3 else 80 * y / need end) as int) as experience_score,
-      case when h.job_id % 5 <= h.resume_id % 5 then 100 else greatest(0, 100 - 30 * (h.job_id % 5 - h.resume_id % 5)) end as education_score,
+      cast(case when h.job_id % 5 <= h.resume_id % 5 then 100 else greatest(0, 100 - 30 * (h.job_id % 5 - h.resume_id % 5)) end as int) as education_score,
       case when same and title like '% % %' then 67 when same then 50 else 0 end as role_score, case when same then 75 else 0 end as location_score
       from (select h.*, j.region || ' manager' as title, r.expectation, j.salary_min, j.salary_max, r.region = j.region as same,
               h.job_id % 6 as need, coalesce(round(y.months / 12, 2), 0) as y
@@ -74,7 +74,9 @@ def _lists(t):
     return asked(t).join(match.job_lists(t.job_skills_v()), "job_id")
 
 
-@query("j06_match_skills", "select * from hits_v")
+@query("j06_match_skills", """
+    select resume_id, job_id, cast(required_n as int) as required_n, cast(required_hit as int) as required_hit,
+           cast(preferred_n as int) as preferred_n, cast(preferred_hit as int) as preferred_hit from hits_v""")
 def _(t):
     return match.match_skills(t.resume_skills_v(), t.job_skills_v(), t.applications_v())
 
@@ -91,13 +93,13 @@ def _(t):
 
 
 @query("a12_job_summary", """
-    select job_id, count(*) as candidates, max(overall_score) as best, avg(overall_score) as mean, count_if(overall_score >= 70) as good
+    select job_id, count(*) as candidates, max(overall_score) as best, avg(overall_score) as mean, count(*) filter (where overall_score >= 70) as good
     from scored_v group by job_id""")
 def _(t):
     return match.job_summary(scored(t))
 
 
-TOP_JOBS_SQL = """select resume_id, job_id, overall_score, rank from (select *, row_number() over (
+TOP_JOBS_SQL = """select resume_id, job_id, overall_score, cast(rank as int) as rank from (select *, row_number() over (
     partition by resume_id order by overall_score desc, job_id) as rank from scored_v) where rank <= 5"""
 
 
@@ -111,17 +113,17 @@ def _(t):
 
 
 @query("w4_top_resumes_per_job", """
-    select job_id, resume_id, overall_score, rank from (select *, row_number() over (
+    select job_id, resume_id, overall_score, cast(rank as int) as rank from (select *, row_number() over (
     partition by job_id order by overall_score desc, resume_id) as rank from scored_v) where rank <= 10""")
 def _(t):
     return match.top_matches(scored(t), "job_id", 10).select("job_id", "resume_id", "overall_score", "rank")
 
 
 @query("u1_gap_analysis", """
-    select resume_id, job_id, coalesce(string_agg(skill, ', ' order by skill) filter (need = 'required' and not held), '') as critical,
-           case when count_if(need = 'required' and not held) = 0 then 'none'
-                when count_if(need = 'required' and not held) * 2 > count_if(need = 'required') then 'critical' else 'high' end as impact,
-           coalesce(string_agg(skill, ', ' order by skill) filter (need = 'preferred' and not held), '') as improvement
+    select resume_id, job_id, coalesce(string_agg(skill, ', ' order by skill) filter (where need = 'required' and not held), '') as critical,
+           case when count(*) filter (where need = 'required' and not held) = 0 then 'none'
+                when count(*) filter (where need = 'required' and not held) * 2 > count(*) filter (where need = 'required') then 'critical' else 'high' end as impact,
+           coalesce(string_agg(skill, ', ' order by skill) filter (where need = 'preferred' and not held), '') as improvement
     from asked_v group by 1, 2""")
 def _(t):
     out = match.gap_analysis(_lists(t))
@@ -136,8 +138,8 @@ def _(t):
 
 
 @query("u2_strength_areas", """
-    select resume_id, job_id, coalesce(string_agg(skill, ', ' order by skill) filter (need = 'required' and held), '') as strengths,
-           coalesce(string_agg(skill, ', ' order by skill) filter (need = 'preferred' and held), '') as advantages
+    select resume_id, job_id, coalesce(string_agg(skill, ', ' order by skill) filter (where need = 'required' and held), '') as strengths,
+           coalesce(string_agg(skill, ', ' order by skill) filter (where need = 'preferred' and held), '') as advantages
     from asked_v group by 1, 2""")
 def _(t):
     out = match.strength_areas(_lists(t))

@@ -51,7 +51,7 @@ VIEWS = {
         cast(floor(o_totalprice) as bigint) as amount, industry, region, country
         from orders join resumes_v on resume_id = o_custkey""",
     "islands_v": """select resume_id, min(start_date) as start_date, max(end_date) as end_date, count(*) as n_roles,
-        max(until) filter (fresh = 1) as until from (
+        max(until) filter (where fresh = 1) as until from (
         select *, sum(fresh) over (partition by resume_id order by start_date, exp_id) as island from (
         select *, case when until is null or start_date > until then 1 else 0 end as fresh from (
         select *, max(end_date) over (partition by resume_id order by start_date, exp_id

@@ -43,7 +43,7 @@ def _(t):
 
 @query("r5_stuck_records", """
     select resume_id, status, cast(floor((epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(started)) / 1000000.0) as bigint) as waiting_seconds from (
-    select l.resume_id, l.status, coalesce(max(e.ts) filter (e.status = 'processing'), min(e.ts)) as started
+    select l.resume_id, l.status, coalesce(max(e.ts) filter (where e.status = 'processing'), min(e.ts)) as started
     from latest_v l join status_events_v e on e.resume_id = l.resume_id group by 1, 2)
     where status not in ('completed', 'ai_failed') and epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(started) >= 121000000""")
 def _(t):

@@ -53,7 +53,7 @@ def _stop_sql(lang):
 
 @query("s31_detect_language", f"""
     select doc_id, case greatest(de, en, es, fr) when 0 then null when de then 'de' when en then 'en' when es then 'es' else 'fr' end as language,
-           greatest(de, en, es, fr) as stop_words
+           cast(greatest(de, en, es, fr) as int) as stop_words
     from (select doc_id, {', '.join(f'{_stop_sql(x)} as {x}' for x in ('de', 'en', 'es', 'fr'))}
           from (select doc_id, {_WORDS} as words from documents))""")
 def _(t):
@@ -74,7 +74,7 @@ _BIAS = (f"with words as (select doc_id, unnest(list_distinct(string_split_regex
 
 
 @query("s18_bias_report", f"""
-    select d.doc_id, f.n is not null as bias_detected, coalesce(f.n, 0) as n_findings, coalesce(shown, '') as findings
+    select d.doc_id, f.n is not null as bias_detected, cast(coalesce(f.n, 0) as int) as n_findings, coalesce(shown, '') as findings
     from documents d left join (select doc_id, count(*) as n, string_agg(category || ':' || finding, ' ' order by category || ':' || finding) as shown
     from ({_BIAS}) group by 1) f on f.doc_id = d.doc_id""")
 def _(t):

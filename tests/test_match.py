@@ -129,3 +129,22 @@ def test_pages_follow_each_other(spark):
 
 def test_relevance_without_criteria(spark):
     assert search.relevance(spark.range(1)).first().relevance == 1.0
+
+
+def test_every_search_criterion(spark):
+    row = dict(resume_id=1, skills=["python", "sql"], years=5.0, education_level="Master", education_field="Computer Science", city="Oslo",
+               state="Viken", country="Norway", job_title="Senior Data Engineer", career_level="senior", salary=100.0)
+    df = spark.createDataFrame([row])
+    good = dict(skills=["Python", " SQL"], years_min=5, years_max=5, education_level=["master"], education_field="computer", city="oslo",
+                state="VIKEN", country="norway", job_title="data eng", career_level="Senior", salary_min=100, salary_max=100)
+    bad = dict(skills=["Python", "Go"], years_min=6, years_max=4, education_level=["bachelor"], education_field="law", city="Rome", state="x",
+               country="y", job_title="chef", career_level="junior", salary_min=101, salary_max=99)
+    assert search.search(df, **good).count() == 1 and search.search(df).count() == 1
+    out = search.relevance(df, **good).first()
+    assert out.relevance == 1.0 and set(out.matched_criteria) == set(good)
+    none = search.relevance(df, **bad).first()
+    assert none.relevance == 0.0 and none.matched_criteria == {}
+    conditions = [~F.coalesce(c, F.lit(False)) for c in search.criteria_columns(**bad).values()]
+    assert len(conditions) == 12 and all(df.select(*conditions).first())
+    with pytest.raises(ValueError):
+        search.sort_columns("name")

@@ -40,6 +40,16 @@ def test_next_role(roles, experience):
     assert got == want
 
 
+def test_next_role_inside_one_crowded_day(spark, monkeypatch):
+    monkeypatch.setattr(enrich, "ID_BLOCK", 7)
+    rows = [(1, i, str(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "resume_id int, exp_id int, title string").withColumn("start_date", F.lit("2020-01-01").cast("date"))
+    out = {r.exp_id: r.next_title for r in enrich.next_role(df).collect()}
+    assert out == {i: str(i + 1) if i < 99 else None for i in range(100)}
+    text = df.withColumn("exp_id", F.lpad(F.col("exp_id").cast("string"), 3, "0"))
+    assert {int(r.exp_id): r.next_title for r in enrich.next_role(text).collect()} == out
+
+
 def test_next_value_may_be_null_inside_a_key(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "c")], "k int, t int, v string")
     out = ordered.next_in_order(df, ["k"], F.floor(F.col("t") / 2), ["t"], ["v", "t"]).orderBy("t").collect()
