@@ -64,7 +64,9 @@ def _optional_flag(text: Column) -> Column:
 
 
 def _valid(kind: str, r: Column, text: Column) -> Column:
-    if kind in ("parse", "anonymize"):
+    if kind == "anonymize":
+        return F.lit(True)  # any JSON object will do
+    if kind == "parse":
         name = r["personalInfo"]["name"]
         ok = (
             (name.isNull() | name["full"].isNotNull())
@@ -75,10 +77,14 @@ def _valid(kind: str, r: Column, text: Column) -> Column:
             & _all_have(r["certifications"], "name")
             & ~_explicit_null_items(text)
         )
-        if kind == "parse":
-            ok = ok & F.coalesce(F.forall(r["education"], lambda e: _optional_number(e["gpa"])), F.lit(True))
-            ok = ok & F.coalesce(F.forall(r["experience"], lambda e: _optional_flag(e["current"])), F.lit(True))
-        return ok
+        scores = r["aiEnhancements"]
+        fits = F.map_values(scores["industryFit"])
+        return (
+            ok & F.coalesce(F.forall(r["education"], lambda e: _optional_number(e["gpa"])), F.lit(True))
+            & F.coalesce(F.forall(r["experience"], lambda e: _optional_flag(e["current"])), F.lit(True))
+            & _optional_int(scores["qualityScore"]) & _optional_int(scores["completenessScore"])
+            & F.coalesce(F.forall(fits, lambda v: v.try_cast("double").isNotNull()), F.lit(True))
+        )
     if kind == "bias":
         return (
             _optional_flag(r["biasDetected"]) & ~_explicit_null(text, "$.biasDetected")
@@ -125,6 +131,16 @@ def _strings(value: Column) -> Column:
     return F.coalesce(value, empty_strings())
 
 
+def _scores(e: Column, text: Column) -> Column:
+    fit = F.transform_values(e["industryFit"], lambda _, v: v.try_cast("double"))
+    none = F.create_map().cast("map<string,double>")
+    return F.struct(
+        lenient_int(e["qualityScore"]).alias("qualityScore"), lenient_int(e["completenessScore"]).alias("completenessScore"),
+        _listed(e["suggestions"], text, "$.aiEnhancements.suggestions", schemas.STRINGS).alias("suggestions"),
+        F.when(fit.isNull() & ~_explicit_null(text, "$.aiEnhancements.industryFit"), none).otherwise(fit).alias("industryFit"),
+    )
+
+
 def _typed(kind: str, r: Column, text: Column, as_of: str) -> Column:
     if kind == "parse":
         experience = F.transform(r["experience"], lambda e: e.withField("current", F.coalesce(_flag(e["current"]), F.lit(False)))
@@ -152,7 +168,8 @@ def _typed(kind: str, r: Column, text: Column, as_of: str) -> Column:
             _listed(education.cast(schemas.arr(schemas.DEGREE)), text, "$.education", schemas.arr(schemas.DEGREE)).alias("education"),
             skills.alias("skills"),
             _listed(certifications, text, "$.certifications", schemas.arr(schemas.CERTIFICATION)).alias("certifications"),
-        ).cast(schemas.DOC)
+            F.when(r["aiEnhancements"].isNotNull(), _scores(r["aiEnhancements"], text)).alias("aiEnhancements"),
+        ).cast(schemas.PARSED)
     if kind == "bias":
         return F.struct(
             F.coalesce(_flag(r["biasDetected"]), F.lit(False)).alias("biasDetected"),
@@ -212,7 +229,7 @@ BLOCKS = {"bias": "biasReport", "anonymize": "anonymizedData", "salary": "salary
 
 
 def apply_failure_policy(responses: DataFrame, attempt: str = "attempt") -> DataFrame:
-    """(id, kind, attempt, response) → one row per id with status, structured_data and the enrichment blocks.
+    """(id, kind, attempt, response) → one row per id with status, structured_data and ai_enhancements.
 
     A bad main answer (kind ``parse``) fails the record; a bad or missing block
     is null and the record goes on. All answers of a record meet in a single
@@ -227,12 +244,17 @@ def apply_failure_policy(responses: DataFrame, attempt: str = "attempt") -> Data
     for k in kinds:
         read = ingest_responses(out.withColumnRenamed(f"_{k}", "response"), k)
         out = read.withColumnRenamed("record", f"_{k}_record").withColumnRenamed("valid", f"_{k}_valid").drop("error")
-    good = F.col("_parse_valid")
+    good, main = F.col("_parse_valid"), F.col("_parse_record")
+    blocks = {block: F.col(f"_{k}_record") for k, block in BLOCKS.items()}
+    enhancements = F.struct(*[
+        (blocks[f.name] if f.name in blocks else main["aiEnhancements"][f.name]).cast(f.dataType).alias(f.name)
+        for f in schemas.ENHANCEMENTS.fields
+    ])
     return out.select(
         "id",
         F.when(good, rules.COMPLETED).otherwise(rules.AI_FAILED).alias("processing_status"),
-        F.col("_parse_record").alias("structured_data"),
-        *[F.when(good, F.col(f"_{k}_record")).alias(block) for k, block in BLOCKS.items()],
+        F.when(good, main.dropFields("aiEnhancements")).alias("structured_data"),
+        F.when(good, enhancements).alias("ai_enhancements"),
     )
 
 

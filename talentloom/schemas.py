@@ -38,6 +38,9 @@ CAREER = obj(suggestedNextRoles=STRINGS, improvementAreas=STRINGS, comments=S)
 ENHANCEMENTS = obj(qualityScore=I, completenessScore=I, suggestions=STRINGS, industryFit=T.MapType(S, D),
                    biasReport=BIAS_REPORT, salaryEstimate=SALARY_ESTIMATE, anonymizedData=DOC,
                    careerProgression=CAREER)
+# Scores a parse answer may carry itself; the other blocks have answers of their own.
+PARSE_SCORES = ("qualityScore", "completenessScore", "suggestions", "industryFit")
+PARSED = T.StructType(DOC.fields + [T.StructField("aiEnhancements", T.StructType([ENHANCEMENTS[n] for n in PARSE_SCORES]))])
 SECTIONS = ("metadata", "personalInfo", "summary", "experience", "education", "skills", "certifications",
             "aiEnhancements")
 
@@ -68,6 +71,7 @@ RAW_RESPONSE = {
         skills=SKILLS,
         certifications=arr(obj(name=S, issuer=S, issueDate=S, issue_date=S, expiryDate=S, expiry_date=S,
                                credentialId=S, credential_id=S)),
+        aiEnhancements=obj(qualityScore=S, completenessScore=S, suggestions=STRINGS, industryFit=T.MapType(S, S)),
     ),
     "anonymize": DOC,
     "bias": obj(biasDetected=S, findings=arr(FINDING)),
@@ -88,7 +92,7 @@ RAW_RESPONSE = {
         metadata=obj(matchedAt=S, processingTime=S, algorithm=S, confidenceFactors=T.MapType(S, D)),
     ),
 }
-RESPONSE = {"parse": DOC, "anonymize": DOC, "bias": BIAS_REPORT, "salary": SALARY_ESTIMATE, "career": CAREER}
+RESPONSE = {"parse": PARSED, "anonymize": DOC, "bias": BIAS_REPORT, "salary": SALARY_ESTIMATE, "career": CAREER}
 
 _JSON_NAMES = {"string": "string", "int": "integer", "bigint": "integer", "double": "number", "boolean": "boolean"}
 

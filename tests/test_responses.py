@@ -69,6 +69,21 @@ def test_record_required_fields_and_defaults(spark):
     assert rows[9].record.experience is None
 
 
+def test_scores_inside_a_parse_answer(spark):
+    scores = {"qualityScore": "85", "completenessScore": 90.0, "industryFit": {"technology": 0.9, "finance": 1}}
+    rows = ingest(spark, "parse", NAME | {"aiEnhancements": scores}, NAME | {"aiEnhancements": {"qualityScore": "high"}}, NAME,
+                  NAME | {"aiEnhancements": {"industryFit": {"x": "much"}}})
+    assert [r.valid for r in rows] == [True, False, True, False]
+    e = rows[0].record.aiEnhancements
+    assert (e.qualityScore, e.completenessScore, e.suggestions, e.industryFit) == (85, 90, [], {"technology": 0.9, "finance": 1.0})
+    assert rows[2].record.aiEnhancements is None
+    landed = spark.createDataFrame([("a", "parse", 1, json.dumps(NAME | {"aiEnhancements": scores})), ("a", "anonymize", 1, "{}")],
+                                   "id string, kind string, attempt int, response string")
+    row = responses.apply_failure_policy(landed).first()
+    assert row.ai_enhancements.qualityScore == 85 and row.ai_enhancements.anonymizedData is not None
+    assert "aiEnhancements" not in row.structured_data.asDict()
+
+
 def match_answer(**changes):
     part = {"score": 80, "weight": "20", "details": {"a": 1, "b": [1, 2]}}
     parts = schemas.RAW_RESPONSE["match"]["matchingResults"].dataType["categoryScores"].dataType.names
@@ -110,8 +125,9 @@ def test_failure_policy(spark):
     out = responses.apply_failure_policy(spark.createDataFrame(rows, "id string, kind string, attempt int, response string"))
     got = {r.id: r for r in out.collect()}
     assert {k: r.processing_status for k, r in got.items()} == {"a": "completed", "b": "ai_failed", "c": "completed", "d": "ai_failed"}
-    assert got["a"].salaryEstimate is None and got["a"].careerProgression.comments == "c"
-    assert got["b"].careerProgression is None and got["c"].structured_data.personalInfo.name.full == "A B"
+    blocks = got["a"].ai_enhancements
+    assert blocks.salaryEstimate is None and blocks.careerProgression.comments == "c" and blocks.qualityScore is None
+    assert got["b"].ai_enhancements is None and got["c"].structured_data.personalInfo.name.full == "A B"
 
 
 def test_echoed_keys_come_from_the_inputs(spark):
