@@ -112,12 +112,14 @@ def split_enhancements(df: DataFrame, doc: str = "doc") -> DataFrame:
 def merge_block(df: DataFrame, name: str, blocks: DataFrame) -> DataFrame:
     """Put one enrichment block (id, block) in ``ai_enhancements``.
 
-    A record without a block keeps its place with a null block.
+    A record without a block keeps its place with a null block; one without any
+    enhancements and without a block stays as it is.
     """
     old = F.col("ai_enhancements")
-    merged = F.struct(*[
+    fields = F.struct(*[
         (F.col("_block") if f.name == name else old[f.name]).alias(f.name) for f in schemas.ENHANCEMENTS.fields
     ])
+    merged = F.when(old.isNotNull() | F.col("_block").isNotNull(), fields)
     side = blocks.select("id", F.col("block").alias("_block"))
     return df.join(side, "id", "left").withColumn("ai_enhancements", merged).drop("_block")
 

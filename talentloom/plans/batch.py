@@ -10,6 +10,7 @@ from talentloom.functions.text import norm_skill
 from talentloom.operators import enrich
 from talentloom.operators.extraction import structure_resumes
 from talentloom.operators.intake import create_records, text_gate
+from talentloom.operators.records import merge_block
 from talentloom.operators.text_analysis import bias_report
 from talentloom.sources.uploads import ROUTE_EXTERNAL, media_type_of, read_texts, route_media, size_gate
 
@@ -94,3 +95,30 @@ def skill_rows(resumes: DataFrame) -> DataFrame:
     groups = resumes.select(F.col("id").alias("resume_id"), F.explode("structured_data.skills.technical").alias("t"))
     items = groups.select("resume_id", F.col("t.category").alias("category"), F.explode("t.items").alias("item"))
     return items.select("resume_id", "category", norm_skill(F.col("item")).alias("skill")).filter("skill <> ''").distinct()
+
+
+def compare_plan(resumes: DataFrame, market: DataFrame, as_of: str) -> DataFrame:
+    """Fill the two blocks that need other records: salaryEstimate from the market, careerProgression from all careers.
+
+    ``market`` is (level, industry, country, salary). A record without
+    comparables or dated roles keeps a null block.
+    """
+    doc = F.col("structured_data")
+    done = resumes.filter(F.col("processing_status") == rules.COMPLETED)
+    people = done.select(
+        F.col("id").alias("resume_id"), doc["summary"]["careerLevel"].alias("level"),
+        doc["summary"]["industryFocus"].alias("industry"), doc["personalInfo"]["contact"]["address"]["country"].alias("country"),
+    )
+    salary = enrich.estimate_salary(people, market).filter(F.col("comparables") > 0).select(
+        F.col("resume_id").alias("id"), F.struct("min", "max", "currency", "comments").alias("block")
+    )
+    roles = experience_rows(done, as_of).filter(F.col("start_date").isNotNull())
+    path = enrich.suggest_career(roles, skill_rows(done))
+    career = path.select(
+        F.col("resume_id").alias("id"),
+        F.struct(
+            F.col("next_roles").alias("suggestedNextRoles"), F.col("improvement_areas").alias("improvementAreas"),
+            F.concat(F.lit("From careers which went on from "), "title").alias("comments"),
+        ).alias("block"),
+    )
+    return merge_block(merge_block(resumes, "salaryEstimate", salary), "careerProgression", career)

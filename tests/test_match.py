@@ -148,3 +148,16 @@ def test_every_search_criterion(spark):
     assert len(conditions) == 12 and all(df.select(*conditions).first())
     with pytest.raises(ValueError):
         search.sort_columns("name")
+
+
+def test_salary_and_career_blocks(spark, resumes):
+    market = [("senior", "technology", "United Kingdom", 50000.0 + i) for i in range(5)] + [("junior", "x", "y", 1.0)] * 9
+    market = spark.createDataFrame(market, "level string, industry string, country string, salary double")
+    out = {r.id: r for r in batch.compare_plan(resumes, market, AS_OF).collect()}
+    e = out["r1"].ai_enhancements
+    assert tuple(e.salaryEstimate)[:3] == (50001, 50003, "GBP") and e.salaryEstimate.comments == "Based on 5 comparable careers."
+    assert e.careerProgression.comments == "From careers which went on from Senior Data Engineer"
+    assert e.qualityScore == 100 and e.careerProgression.suggestedNextRoles == []
+    other = out["r2"].ai_enhancements  # an entry-level record: only the widest group has enough rows
+    assert other.salaryEstimate.comments == "Based on 14 comparable careers." and other.careerProgression is None
+    assert out["r1"].processing_status == "completed" and set(out) == {"r1", "r2"}

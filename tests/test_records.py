@@ -126,7 +126,7 @@ def test_matches(spark):
 def test_merge_block_keeps_records_without_one(spark, stored):
     blocks = spark.createDataFrame([("a", (1, 2, "USD", "c"))], schemas.obj(id=schemas.S, block=schemas.SALARY_ESTIMATE))
     out = by_id(records.merge_block(stored, "salaryEstimate", blocks))
-    assert out["a"].ai_enhancements.salaryEstimate.max == 2 and out["b"].ai_enhancements.salaryEstimate is None
+    assert out["a"].ai_enhancements.salaryEstimate.max == 2 and out["b"].ai_enhancements is None
 
 
 def test_json_round_trip(stored):
