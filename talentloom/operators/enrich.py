@@ -201,14 +201,15 @@ def estimate_salary(resumes: DataFrame, market: DataFrame, min_rows: int = rules
     )
 
 
-ID_BLOCK = 1_000_000
+ID_BLOCK = 100_000_000
 
 
 def next_role(experience: DataFrame) -> DataFrame:
     """Add ``next_title``: the title of the following role of the same person.
 
-    A slice is a start date, and with numeric ids a block of ids: then it holds
-    at most ``ID_BLOCK`` rows, even when very many roles start on one day.
+    A slice is a start date, and with numeric ids a block of ids, so that it
+    stays bounded when very many roles start on one day. The blocks are wide:
+    a person with roles on many days should not get too many slices either.
     """
     numeric = isinstance(experience.schema["exp_id"].dataType, T.IntegralType)
     day = F.col("start_date")

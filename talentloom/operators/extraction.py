@@ -12,7 +12,7 @@ from talentloom import schemas
 from talentloom.functions.dates import duration_text, parse_loose_date, whole_months
 from talentloom.functions.text import email_in, first_line, linkedin_in, phone_in, strip_ws, website_in, word_frame
 from talentloom.functions.values import career_level, let
-from talentloom.operators.text_analysis import best_industry, industry_fit_of
+from talentloom.operators.text_analysis import best_industry, distinct_words, industry_fit_of
 
 _RULE = r"(?m)^---[ \t]*$"
 _BLANK_LINE = r"\n[ \t]*\n\s*"
@@ -275,7 +275,10 @@ def years_at_work(experience: Column, as_of: str) -> Column:
 
 
 def structure_resumes(df: DataFrame, as_of: str, text: str = "raw_text") -> DataFrame:
-    """Add ``structured_data`` read from raw text. One projection, no shuffle."""
+    """Add ``structured_data`` read from raw text, ``industry_fit`` and the distinct ``words`` of the text.
+
+    One projection, no shuffle.
+    """
     kept = df.columns
     out = extract_contact(split_sections(df, text), text)
     body = {w: section_body(F.col("sections"), w) for w in ("summary", "experience", "education", "skill", "certification")}
@@ -286,7 +289,8 @@ def structure_resumes(df: DataFrame, as_of: str, text: str = "raw_text") -> Data
     out = extract_certs(out, body["certification"])
     years = years_at_work(F.col("experience"), as_of)
     level = career_level(F.get("experience", F.lit(0))["title"], F.col("_years"))
-    out = out.withColumn("_years", years).withColumn("_fit", industry_fit_of(F.coalesce(F.col(text), F.lit(""))))
+    out = out.withColumn("_years", years).withColumn("words", distinct_words(F.col(text)))
+    out = out.withColumn("_fit", industry_fit_of(F.col("words")))
     summary = F.struct(
         _or_null(F.regexp_replace(body["summary"], r"\s*\n\s*", " ")).alias("text"), level.alias("careerLevel"),
         best_industry(F.col("_fit")).alias("industryFocus"), F.col("_years").alias("yearsOfExperience"),
@@ -294,4 +298,4 @@ def structure_resumes(df: DataFrame, as_of: str, text: str = "raw_text") -> Data
     doc = F.struct(
         "personalInfo", summary.alias("summary"), "experience", "education", "skills", "certifications"
     ).cast(schemas.DOC)
-    return out.withColumn("structured_data", doc).select(*kept, "structured_data", F.col("_fit").alias("industry_fit"))
+    return out.withColumn("structured_data", doc).select(*kept, "structured_data", F.col("_fit").alias("industry_fit"), "words")

@@ -36,14 +36,17 @@ def industry_fit(tagged: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return grouped.select(id_col, F.map_from_entries(scaled).alias("industry_fit"))
 
 
-def industry_fit_of(text: Column) -> Column:
-    """The same map with the built-in industry terms, inside the row."""
-    names = sorted(rules.INDUSTRY_TERMS)
+def distinct_words(text: Column) -> Column:
+    """Distinct lower-case words of a text; underscores count as letters."""
+    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), rules.WORD_SPLIT))
+
 
-    def count(words: Column) -> Column:
-        return F.array(*[
-            F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in rules.INDUSTRY_TERMS[n]]))) for n in names
-        ])
+def industry_fit_of(words: Column) -> Column:
+    """The same map with the built-in industry terms, from the distinct words of a text."""
+    names = sorted(rules.INDUSTRY_TERMS)
+    hits = F.array(*[
+        F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in rules.INDUSTRY_TERMS[n]]))) for n in names
+    ])
 
     def scale(hits: Column) -> Column:
         top = F.array_max(hits)
@@ -51,7 +54,7 @@ def industry_fit_of(text: Column) -> Column:
         found = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), shares), lambda _, v: v > 0)
         return F.when(top > 0, found).otherwise(F.create_map().cast("map<string,double>"))
 
-    return let(let(F.array_distinct(tokens(text)), count), scale)
+    return let(hits, scale)
 
 
 def best_industry(fit: Column) -> Column:
@@ -76,26 +79,18 @@ def detect_language(docs: DataFrame, text: str = "text", stopwords: dict[str, li
     return scored.withColumn("language", language).withColumn("stop_words", top).drop("_words", "_n")
 
 
-def bias_hits(text: Column) -> Column:
-    """Struct of the distinct biased words and phrases of a text per category.
-
-    The text is cut into words once for all categories; phrases are looked up as
-    whole words.
-    """
+def bias_hits(text: Column, words: Column) -> Column:
+    """Struct of the distinct biased words and phrases per category, from a text and its distinct words."""
     def read(low: Column) -> Column:
-        def per_category(words: Column) -> Column:
-            parts = []
-            for category, terms in rules.BIAS_WORDS.items():
-                single = F.array(*[F.lit(t) for t in terms if " " not in t])
-                phrases = [F.when(low.rlike(rules.whole_words(t)), t) for t in terms if " " in t]
-                hits = F.array_intersect(words, single) if len(terms) > len(phrases) else F.array().cast("array<string>")
-                found = F.filter(F.array(*phrases), lambda p: p.isNotNull()) if phrases else F.array().cast("array<string>")
-                parts.append(F.concat(hits, found).alias(category))
-            return F.struct(*parts)
-
-        return let(F.array_distinct(F.split(low, rules.WORD_SPLIT)), per_category)
+        parts = []
+        for category, terms in rules.BIAS_WORDS.items():
+            single = F.array(*[F.lit(t) for t in terms if " " not in t])
+            phrases = [F.when(low.rlike(rules.whole_words(t)), t) for t in terms if " " in t]
+            found = F.filter(F.array(*phrases), lambda p: p.isNotNull()) if phrases else F.array().cast("array<string>")
+            parts.append(F.concat(F.array_intersect(words, single), found).alias(category))
+        return F.struct(*parts)
 
-    return let(F.lower(text), read)
+    return let(F.lower(F.coalesce(text, F.lit(""))), read)
 
 
 def _as_findings(category: str, hits: Column) -> Column:
@@ -111,13 +106,16 @@ def bias_report(
     text: str = "raw_text",
     education: Column | None = None,
     language: Column | None = None,
+    words: Column | None = None,
 ) -> DataFrame:
     """Add ``biasReport``: biased words by category, and graduation years of long ago.
 
     ``education`` is the list of degrees of the record. ``language`` limits the
-    word lists to English texts.
+    word lists to English texts. ``words`` are the distinct words of the text,
+    when the caller has cut it already.
     """
-    hits = bias_hits(F.coalesce(F.col(text), F.lit("")))
+    cut = df.withColumn("_words", distinct_words(F.col(text)) if words is None else words)
+    hits = bias_hits(F.col(text), F.col("_words"))
     if language is not None:
         hits = F.when(language.eqNullSafe("en"), hits)
     none = F.array().cast("array<string>")
@@ -131,9 +129,9 @@ def bias_report(
         old = F.filter(years, lambda y: (y != "") & (y.try_cast("int") <= last))
         parts.append(_as_findings("Age", F.array_distinct(old)))
     findings = F.concat(*parts)
-    return df.withColumn("_hits", hits).withColumn("_findings", findings).withColumn(
+    return cut.withColumn("_hits", hits).withColumn("_findings", findings).withColumn(
         "biasReport", F.struct((F.size("_findings") > 0).alias("biasDetected"), F.col("_findings").alias("findings"))
-    ).drop("_findings", "_hits")
+    ).drop("_findings", "_hits", "_words")
 
 
 def bias_summary(reports: DataFrame, id_col: str = "id") -> DataFrame:

@@ -128,7 +128,8 @@ def extract_docx(df: DataFrame) -> DataFrame:
 def extract_with(df: DataFrame, fn: Callable[[bytes], str]) -> DataFrame:
     """Fill ``raw_text`` from ``content`` by a Python function (for routes with a user's own extractor).
 
-    ``content`` does not travel back from Python: only the text does.
+    ``content`` does not travel back from Python: only the text does. Spark limits
+    Arrow batches by bytes, so large files do not pile up in a worker.
     """
     keep = [f for f in df.schema.fields if f.name not in ("content", "raw_text")]
     names = [f.name for f in keep]
