@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import suffix_dedup
+from talentloom.llm import decontaminate, minhash_dedup, suffix_dedup
 from talentloom.llm.common import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text inside a run of ten words of a test item."""
+    return decontaminate.hit_digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are at least 0.8 alike."""
+    return minhash_dedup.component_rows(minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by a 200-byte string that also starts elsewhere, taken out of every text."""
     return suffix_dedup.span_digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op10_suffix_array_dedup,)
+    f.__name__: f for f in (op1_benchmark_decontamination, op9_minhash_near_dedup, op10_suffix_array_dedup)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL}
