@@ -5,9 +5,10 @@ Steps, each a Spark plan over rows:
 1. Texts of equal bytes fold into one class. Every long enough member of a class of two or more is repeated as a whole.
 2. Winnowing routes work: of each ``length - q + 1`` neighbouring q-grams the one of least hash is the *anchor* of the ``length``-byte string that
    spans them, so equal strings have equal anchors. Anchor hashes seen once are counted away; they cannot lie in a repeated string.
-3. What is left is cut into snippets, the strings of one anchor in one place (at most ``2 * length`` bytes and a little). Equal snippets fold
-   into a weight: in a Burrows-Wheeler transform they would be runs of equal letters.
-4. Snippets of one anchor meet in one task. There an index is built over them: suffixes sorted, the transform kept as runs, the suffixes at run
+3. What is left falls into snippets, the strings of one anchor in one place (at most ``2 * length`` bytes and a little). Equal snippets fold
+   into a weight by a 128-bit key (hash and anchor): in a Burrows-Wheeler transform they would be runs of equal letters. A snippet with a
+   weight of two is repeated as a whole, and an anchor with such a snippet alone is a single run.
+4. Different snippets of one anchor are cut from one of their texts each and meet in one task. There an index is built over them: suffixes sorted, the transform kept as runs, the suffixes at run
    ends sampled, and the common prefix across each run border. Matching statistics stream over the texts: inside a run the match of a
    position is that of its left neighbour less one, so run ends alone decide. Positions matching ``length`` bytes or more are marked.
 5. Anchors with more than ``GROUP`` different snippets (edges of a passage that a great many documents share) do not meet in one task: their
@@ -26,14 +27,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talentloom.llm.common import mixed, row_key
+from talentloom.llm.common import batches_of, mixed, row_key
 
 #: A repeated string has so many bytes.
 LENGTH = 200
 #: Most different snippets of an anchor that are sorted together.
 GROUP = 4096
-#: Bytes of snippets indexed at once in a task, and bytes of a text hashed at once.
-INDEX_BYTES, CHUNK = 4_000_000, 2_000_000
+#: Bytes of snippets indexed at once in a task, and bytes of text hashed at once.
+INDEX_BYTES, SHEET = 4_000_000, 200_000
 _BASE = 0x9E3779B97F4A7C15
 _BREAK = 0xFF  # in no UTF-8 text
 
@@ -47,13 +48,18 @@ _POWERS: list[np.ndarray] = []
 
 
 def gram_hashes(text: np.ndarray, q: int) -> np.ndarray:
-    """Hash of each q-gram of a text of at most ``CHUNK + 2 * q`` bytes."""
+    """Hash of each q-gram of some text."""
     n = len(text)
     if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = _powers(1 << max(16, n.bit_length()))
+        _POWERS[:] = _powers(1 << max(19, n.bit_length()))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((text + np.uint64(1)) * _POWERS[0][:n], out=total[1:])
-    return mixed((total[q:] - total[:-q]) * _POWERS[1][: n - q + 1])
+    grams = total[q:] - total[:-q]
+    grams *= _POWERS[1][: n - q + 1]
+    grams ^= grams >> np.uint64(32)
+    grams *= np.uint64(0xD6E8FEB86659FD93)
+    grams ^= grams >> np.uint64(32)
+    return grams
 
 
 def window_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -67,24 +73,40 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def owners(text: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(offset, q-gram hashes, anchor hash of each start) for the starts of ``length``-byte strings, some at a time."""
-    q = length // 2
-    for at in range(0, max(0, len(text) - length + 1), CHUNK):
-        grams = gram_hashes(text[at : at + CHUNK + length - 1], q)
-        yield at, grams, window_least(grams, length - q + 1)
+def sheets(texts: list[bytes], length: int) -> Iterator[tuple]:
+    """Runs of starts of ``length``-byte strings with one anchor, for many texts at a time.
 
-
-def repeats_inside(grams: np.ndarray, own: np.ndarray, new: np.ndarray, wide: int) -> np.ndarray:
+    Yields (text number, low, high, anchor, twice) arrays, a row per run: the starts low to high of a text have the anchor; twice tells that the
+    anchor stands in two places of the run. Long texts come in slices, so memory is bounded.
+    """
+    wide = length - length // 2 + 1
+    parts = ((k, at, text[at : at + SHEET + length - 1]) for k, text in enumerate(texts) for at in range(0, len(text) - length + 1, SHEET))
+    for held in batches_of(parts, lambda part: len(part[2]), SHEET):
+        number = np.array([k for k, _, _ in held])
+        offset = np.array([at for _, at, _ in held])
+        sizes = np.array([len(x) for _, _, x in held])
+        first = np.cumsum(sizes) - sizes
+        grams = gram_hashes(np.frombuffer(b"".join(x for _, _, x in held), np.uint8), length // 2)
+        own = window_least(grams, wide)
+        stop = first + sizes - length + 1
+        edge = np.unique(np.concatenate((np.flatnonzero(own[1:] != own[:-1]) + 1, first, stop)))
+        low, high = edge[:-1], edge[1:]
+        part = np.searchsorted(first, low, "right") - 1
+        inside = low < stop[part]
+        low, high, part = low[inside], high[inside], part[inside]
+        twice = _repeats_inside(grams, own, low, high, wide)
+        yield number[part], low - first[part] + offset[part], high - first[part] + offset[part], own[low], twice
+
+
+def _repeats_inside(grams: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, wide: int) -> np.ndarray:
     """Which runs of one anchor hold it in two places: long runs, and stretches of a text that goes in short circles."""
-    stop = np.append(new[1:], len(own))
-    twice = stop - new > wide
-    step = wide // 2
-    if len(grams) > wide:
-        near = np.lib.stride_tricks.sliding_window_view(grams, wide)[::step]
-        if (near[:, 1:] == near[:, :1]).any():
-            for k, (low, high) in enumerate(zip(new.tolist(), stop.tolist())):
-                twice[k] |= np.count_nonzero(grams[low : high + wide - 1] == own[low]) > 1
+    twice = high - low > wide
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate((grams, np.zeros(wide, np.uint64))), wide)[:: wide - 1]
+    hits = np.flatnonzero((near[:, 1:] == near[:, :1]).any(axis=1)) * (wide - 1)  # a circle of the length of a string passes one of these places
+    if len(hits):
+        close = np.searchsorted(hits, high + 2 * wide) > np.searchsorted(hits, low - 2 * wide)
+        for k in np.flatnonzero(close & ~twice).tolist():
+            twice[k] = np.count_nonzero(grams[low[k] : high[k] + wide - 1] == own[low[k]]) > 1
     return twice
 
 
@@ -94,58 +116,65 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def anchor_rows(length: int):
     """Rows (anchor, place, row): the anchors of each text; place tells a different place of a different text apart."""
-    wide = length - length // 2 + 1
-
     def run(batches):
         for batch in batches:
-            anchors, places, rows = [], [], []
-            for text, row in zip(batch.column("text").to_pylist(), batch.column("row").to_pylist()):
-                data = text.encode()
-                whole = np.uint64(xxhash.xxh3_64_intdigest(data))
-                for at, grams, own in owners(np.frombuffer(data, np.uint8), length):
-                    new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    twice = new[repeats_inside(grams, own, new, wide)]
-                    where = np.concatenate((new, twice + len(data))) + at  # a second place, told by an offset beyond the text
-                    anchors.append(own[np.concatenate((new, twice))])
-                    places.append(mixed(whole + where.astype(np.uint64)))
-                    rows.append(np.full(len(where), row, np.int64))
-            if anchors:
+            texts, row = [t.encode() for t in batch.column("text").to_pylist()], batch.column("row").to_numpy()
+            whole = np.array([xxhash.xxh3_64_intdigest(t) if len(t) >= length else 0 for t in texts], np.uint64)
+            for number, low, _, anchor, twice in sheets(texts, length):
+                k = np.concatenate((np.arange(len(low)), np.flatnonzero(twice)))
+                at = np.concatenate((low, low[twice] + (1 << 40))).astype(np.uint64)  # a second place, told by an offset beyond any text
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.concatenate(anchors))), pa.array(_signed(np.concatenate(places))), pa.array(np.concatenate(rows))],
-                    names=["anchor", "place", "row"])
+                    [pa.array(_signed(anchor[k])), pa.array(_signed(mixed(whole[number[k]] + at))), pa.array(row[number[k]])], names=["anchor", "place", "row"])
     return run
 
 
-def snippet_rows(length: int):
-    """Rows (anchor, mark, row, start, snippet): the stretches of a text whose anchor is a repeated one."""
+def _snippets(batch: pa.RecordBatch, column: str, length: int):
+    """(row, text, wanted values, [(low, high, anchor)]) per text: the snippets whose anchor is wanted."""
     wide = length - length // 2 + 1
+    wanted = batch.column(column).to_pylist()
+    held = [(t.encode(), r, w) for t, r, w in zip(batch.column("text").to_pylist(), batch.column("row").to_pylist(), wanted) if w]
+    for number, low, high, anchor, _ in sheets([t for t, _, _ in held], length):
+        border = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))
+        for a, b in zip(border[:-1].tolist(), border[1:].tolist()):
+            text, row, w = held[number[a]]
+            own = _signed(anchor[a:b])
+            good = np.flatnonzero(np.isin(own, np.array([x if isinstance(x, int) else x["anchor"] for x in w], np.int64)))
+            yield row, text, w, [(start, min(start + wide, last), x) for first, last, x in zip(low[a:b][good].tolist(), high[a:b][good].tolist(), own[good].tolist())
+                                 for start in range(first, last, wide)]
+
+
+def _mark(piece: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(piece) - (1 << 63)
 
+
+def place_rows(length: int):
+    """Rows (anchor, mark, row, start, count): the snippets of repeated anchors, each by its hash, with the number of its starts."""
     def run(batches):
         for batch in batches:
-            out = ([], [], [], [], [])
-            for text, row, hits in zip(batch.column("text").to_pylist(), batch.column("row").to_pylist(), batch.column("anchors").to_pylist()):
-                if not hits:
-                    continue
-                data = text.encode()
-                known = np.sort(np.array(hits, np.int64).view(np.uint64))
-                for at, _, own in owners(np.frombuffer(data, np.uint8), length):
-                    good = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-                    if not good.any():
-                        continue
-                    edge = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (good[1:] != good[:-1]))))
-                    stop, inside = np.append(edge[1:], len(own)), good[edge]
-                    for first, last in zip(edge[inside].tolist(), stop[inside].tolist()):
-                        for start in range(first, last, wide):
-                            piece = data[at + start : at + min(start + wide, last) + length - 1]
-                            out[0].append(own[first])
-                            out[1].append(xxhash.xxh3_64_intdigest(piece))
-                            out[2].append(row)
-                            out[3].append(at + start)
-                            out[4].append(piece)
+            out = [(x, _mark(text[low : high + length - 1]), row, low, high - low)
+                   for row, text, _, found in _snippets(batch, "anchors", length) for low, high, x in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["anchor", "mark", "row", "start", "count"])
+    return run
+
+
+def snippet_rows(length: int):
+    """Rows (anchor, mark, weight, crowded, snippet): the wanted snippets of each text, each once."""
+    def run(batches):
+        for batch in batches:
+            out, done = ([], [], [], [], []), set()
+            for row, text, wanted, found in _snippets(batch, "wanted", length):
+                weights = {(x["anchor"], x["mark"]): (x["weight"], x["crowded"]) for x in wanted}
+                for low, high, anchor in found:
+                    key = (anchor, _mark(text[low : high + length - 1]))
+                    if key in weights and (row, key) not in done:
+                        done.add((row, key))
+                        for column, value in zip(out, (*key, *weights[key], text[low : high + length - 1])):
+                            column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.array(out[0], np.uint64))), pa.array(_signed(np.array(out[1], np.uint64))), pa.array(out[2], pa.int64()),
-                     pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["anchor", "mark", "row", "start", "snippet"])
+                    [*[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary())],
+                    names=["anchor", "mark", "weight", "crowded", "snippet"])
     return run
 
 
@@ -221,11 +250,10 @@ def index_rows(length: int):
     """Snippets sorted by anchor -> rows (anchor, mark, low, high): runs of starts in a snippet that are repeated."""
     def found(groups):
         out = ([], [], [], [])
-        alone = [group[0] for group in groups if len(group) == 1 and group[0][3] > 1]  # copies of one string: a single run
-        held = [row for group in groups if len(group) > 1 or group[0][3] == 1 for row in group]
-        index = RunIndex([row[2] for row in held]) if held else None
-        repeated = index.matching() >= length if held else None
-        for row, start in zip(held + alone, (index.starts.tolist() if held else []) + [0] * len(alone)):
+        held = [row for group in groups for row in group]
+        index = RunIndex([row[2] for row in held])
+        repeated = index.matching() >= length
+        for row, start in zip(held, index.starts.tolist()):
             count = len(row[2]) - length + 1
             hit = np.full(count, True) if row[3] > 1 else repeated[start : start + count]
             edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
@@ -324,18 +352,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     members = folded.distinct().join(classes, "key").select("row", "rep", (F.col("copies") > 1).alias("whole"))
 
     first = members.where("row = rep").join(hits, "row").select("row", "anchors")
-    cut = (keyed.select("id", "text", "row").join(first, "row", "left").select("id", "text", "row", "anchors").mapInArrow(
-        snippet_rows(length), "anchor long, mark long, row long, start long, snippet binary"))
-    different = cut.groupBy("anchor", "mark").agg(F.first("snippet").alias("snippet"), F.count("*").alias("weight"))
-    crowded = different.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor")
-    meeting = different.join(crowded, "anchor", "left_anti")
+    texts = keyed.select("id", "text", "row")
+    cut = (texts.join(first, "row", "left").select("id", "text", "row", "anchors").mapInArrow(
+        place_rows(length), "anchor long, mark long, row long, start long, count long"))
+    different = cut.groupBy("anchor", "mark").agg(F.count("*").alias("weight"), F.min("row").alias("row"), F.max("count").alias("count"))
+    groups = different.groupBy("anchor").agg(F.count("*").alias("n"), F.max("weight").alias("top"))
+    weighed = different.join(groups, "anchor")
+    wanted = (weighed.where("n > 1 or weight = 1").groupBy("row").agg(
+        F.collect_list(F.struct("anchor", "mark", "weight", (F.col("n") > GROUP).alias("crowded"))).alias("wanted")))
+    snippets = texts.join(wanted, "row", "left").select("id", "text", "row", "wanted").mapInArrow(
+        snippet_rows(length), "anchor long, mark long, weight long, crowded boolean, snippet binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    indexed = (meeting.repartition(parts, "anchor").sortWithinPartitions("anchor", "mark").mapInArrow(
+    indexed = (snippets.where("not crowded").repartition(parts, "anchor").sortWithinPartitions("anchor", "mark").mapInArrow(
         index_rows(length), "anchor long, mark long, low long, high long"))
-    singles = different.join(crowded, "anchor", "left_semi").mapInArrow(single_rows(length), "anchor long, mark long, low long, gram binary, weight long")
+    singles = snippets.where("crowded").mapInArrow(single_rows(length), "anchor long, mark long, low long, gram binary, weight long")
     often = singles.groupBy("gram").agg(F.sum("weight").alias("times")).where("times > 1").select("gram")
     counted = singles.join(often, "gram").select("anchor", "mark", "low", (F.col("low") + 1).alias("high"))
-    places = cut.select("anchor", "mark", "row", "start").join(indexed.union(counted), ["anchor", "mark"])
+    alone = weighed.where("n = 1 and weight > 1").select("anchor", "mark", F.lit(0).cast("long").alias("low"), F.col("count").alias("high"))
+    places = cut.select("anchor", "mark", "row", "start").join(indexed.union(counted).union(alone), ["anchor", "mark"])
     marks = places.groupBy("row").agg(F.collect_list(F.struct(
         (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("marks"))
 
