@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import decontaminate, minhash_dedup, suffix_dedup
+from talentloom.llm import decontaminate, language_id, minhash_dedup, sentencepiece_trie, suffix_dedup
 from talentloom.llm.common import table
 
 
@@ -15,6 +15,16 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.hit_digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, and whether they spell it again."""
+    return sentencepiece_trie.id_digest(sentencepiece_trie.round_trip(table(spark, sf_dir, "documents")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text."""
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles are at least 0.8 alike."""
     return minhash_dedup.component_rows(minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2))
@@ -26,6 +36,6 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op9_minhash_near_dedup, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_benchmark_decontamination, op7_sentencepiece_round_trip, op8_language_id, op9_minhash_near_dedup, op10_suffix_array_dedup)
 }
 ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL}
