@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -78,6 +79,18 @@ def batches_of(rows: Iterable, weight, most: int):
         yield held
 
 
+#: Bytes of rows that a Python task takes up at once.
+SLICE_BYTES = 3_000_000
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some megabytes, so that a task's memory does not hang on the batches it gets."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating stars: (a, b) edges of long ids to (node, root) rows, root the smallest id reachable.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talentloom.llm.common import batches_of, row_key, stored
+from talentloom.llm.common import batches_of, row_key, slices, stored
 
 #: Words of neighbouring item words in a window.
 WINDOW = 10
@@ -72,7 +72,7 @@ def _index(vocabulary, apart: int, id_type: pa.DataType):
 
     def run(batches):
         def rows():
-            for batch in batches:
+            for batch in slices(batches):
                 for i, text, row in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("row").to_pylist()):
                     yield i, words_of(text), row
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from talentloom.llm.common import row_key
+from talentloom.llm.common import row_key, slices
 
 #: Pages of different main text on which a subtree of a host is a template.
 PAGES = 8
@@ -164,7 +164,7 @@ class Page:
 
 
 def _subtrees(batches):
-    for batch in batches:
+    for batch in slices(batches):
         out = ([], [], [], [])
         for row, host, page in zip(*[batch.column(c).to_pylist() for c in ("row", "host", "html")]):
             read = Page(page)
@@ -177,7 +177,7 @@ def _subtrees(batches):
 
 
 def _texts(batches):
-    for batch in batches:
+    for batch in slices(batches):
         pages, templates = batch.column("html").to_pylist(), batch.column("templates").to_pylist()
         texts = [Page(p, frozenset(t or ())).text() for p, t in zip(pages, templates)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])

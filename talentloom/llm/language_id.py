@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from talentloom.llm.common import slices
+
 #: Most labelled documents of a language that the model is fitted on, and words in the stretches taken of each.
 PER_LANGUAGE, STRETCHES = 1000, (3, 8, 30)
 #: Hash buckets, size of a vector, lengths of character n-grams.
@@ -110,7 +112,7 @@ def stretches(text: str) -> list[list[int]]:
 
 
 def _examples(batches):
-    for batch in batches:
+    for batch in slices(batches):
         values, langs = [], []
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
             for ids in stretches(text):
@@ -161,7 +163,7 @@ def _predictions(model, text_name: str, names: list[str]):
 
         words = Words()
         words.rows = []
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(text_name).to_pylist()
             sums = np.zeros((len(texts), classes + 1))
             for at in range(0, len(texts), 500):

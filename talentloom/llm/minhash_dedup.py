@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talentloom.llm.common import WordHashes, components, mixed, row_key, stored
+from talentloom.llm.common import WordHashes, components, mixed, row_key, slices, stored
 
 #: Values in a sketch.
 KEEP = 48
@@ -52,7 +52,7 @@ def _sketches(size: int):
     hashes = WordHashes()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(words_of(t), size, hashes) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
@@ -65,11 +65,9 @@ def _full_sets(size: int):
     hashes = WordHashes()
 
     def run(batches):
-        for batch in batches:
-            texts, rows = batch.column("text").to_pylist(), batch.column("row")
-            for at in range(0, len(texts), 1000):
-                sets = [shingle_set(words_of(t), size, hashes) for t in texts[at : at + 1000]]
-                yield pa.RecordBatch.from_arrays([rows.slice(at, 1000), _lists(sets)], names=["row", "members"])
+        for batch in slices(batches):
+            sets = [shingle_set(words_of(t), size, hashes) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(sets)], names=["row", "members"])
     return run
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import decontaminate, language_id, minhash_dedup, sentencepiece_trie, suffix_dedup
+from talentloom.llm import decontaminate, html_extract, language_id, minhash_dedup, sentencepiece_trie, suffix_dedup, toxicity
 from talentloom.llm.common import table
 
 
@@ -15,6 +15,16 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.hit_digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and whether they spell it again."""
     return sentencepiece_trie.id_digest(sentencepiece_trie.round_trip(table(spark, sf_dir, "documents")))
@@ -36,6 +46,6 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op7_sentencepiece_round_trip, op8_language_id, op9_minhash_near_dedup, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_benchmark_decontamination, op3_html_main_text, op5_toxicity, op7_sentencepiece_round_trip, op8_language_id, op9_minhash_near_dedup, op10_suffix_array_dedup)
 }
 ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL}

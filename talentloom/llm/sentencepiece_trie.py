@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from talentloom.llm.common import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and neighbouring pairs that a worker remembers at most; characters of text whose words form one trie.
@@ -185,7 +187,7 @@ def spell(ids, table: list[bytes]) -> str:
 def _decoded(shared, names: list[str]):
     def run(batches):
         table = shared.value.bytes
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column("ids")
             values, offsets, null = column.values.to_numpy(), column.offsets.to_numpy(), column.is_null().to_pylist()
             texts = [None if null[k] else spell(values[offsets[k] : offsets[k + 1]].tolist(), table) for k in range(len(column))]

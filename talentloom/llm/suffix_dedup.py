@@ -27,14 +27,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talentloom.llm.common import batches_of, mixed, row_key
+from talentloom.llm.common import batches_of, mixed, row_key, slices
 
 #: A repeated string has so many bytes.
 LENGTH = 200
 #: Most different snippets of an anchor that are sorted together.
 GROUP = 4096
 #: Bytes of snippets indexed at once in a task, and bytes of text hashed at once.
-INDEX_BYTES, SHEET = 4_000_000, 200_000
+INDEX_BYTES, SHEET = 1_500_000, 200_000
 _BASE = 0x9E3779B97F4A7C15
 _BREAK = 0xFF  # in no UTF-8 text
 
@@ -117,7 +117,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def anchor_rows(length: int):
     """Rows (anchor, place, row): the anchors of each text; place tells a different place of a different text apart."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, row = [t.encode() for t in batch.column("text").to_pylist()], batch.column("row").to_numpy()
             whole = np.array([xxhash.xxh3_64_intdigest(t) if len(t) >= length else 0 for t in texts], np.uint64)
             for number, low, _, anchor, twice in sheets(texts, length):
@@ -150,7 +150,7 @@ def _mark(piece: bytes) -> int:
 def place_rows(length: int):
     """Rows (anchor, mark, row, start, count): the snippets of repeated anchors, each by its hash, with the number of its starts."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [(x, _mark(text[low : high + length - 1]), row, low, high - low)
                    for row, text, _, found in _snippets(batch, "anchors", length) for low, high, x in found]
             if out:
@@ -161,7 +161,7 @@ def place_rows(length: int):
 def snippet_rows(length: int):
     """Rows (anchor, mark, weight, crowded, snippet): the wanted snippets of each text, each once."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out, done = ([], [], [], [], []), set()
             for row, text, wanted, found in _snippets(batch, "wanted", length):
                 weights = {(x["anchor"], x["mark"]): (x["weight"], x["crowded"]) for x in wanted}
@@ -264,7 +264,7 @@ def index_rows(length: int):
 
     def run(batches):
         groups, size, group = [], 0, []
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(c).to_pylist() for c in ("anchor", "mark", "snippet", "weight")]
             for row in zip(*columns):
                 if group and group[0][0] != row[0]:
@@ -285,7 +285,7 @@ def index_rows(length: int):
 def single_rows(length: int):
     """Snippets of crowded anchors -> rows (anchor, mark, low, gram, weight): every string on its own, by a 128-bit hash."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             out = ([], [], [], [], [])
             for anchor, mark, snippet, weight in zip(*[batch.column(c).to_pylist() for c in ("anchor", "mark", "snippet", "weight")]):
                 for low in range(len(snippet) - length + 1):
@@ -312,7 +312,7 @@ def removed_runs(marks: list[dict] | None, whole: bool, size: int, length: int)
 def kept_rows(length: int, carry: list[str], letters: bool):
     """Each row with its removed runs (byte offsets) and what is left; with ``letters``, letters cut at an edge go too."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, marks, whole = (batch.column(c).to_pylist() for c in ("text", "marks", "whole"))
             sizes, runs_out, left = [], [], []
             for text, mark, all_of_it in zip(texts, marks, whole):
