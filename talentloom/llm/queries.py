@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import decontaminate, html_extract, language_id, minhash_dedup, sentencepiece_trie, suffix_dedup, toxicity
+from talentloom.llm import (
+    decontaminate, embedding_dedup, html_extract, language_id, lm_score, minhash_dedup, sentencepiece_trie, suffix_dedup, token_counts, toxicity,
+)
 from talentloom.llm.common import table
 
 
@@ -15,16 +17,32 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.hit_digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of cosine 0.9 or more."""
+    return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every whole text against all other texts."""
+    return lm_score.backoff_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text before and after masking private details, counted again only around the edits."""
+    trees = token_counts.token_trees(table(spark, sf_dir, "documents"))
+    return token_counts.count_rows(token_counts.edited(trees, token_counts.mask_private))
+
+
 def op7_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and whether they spell it again."""
     return sentencepiece_trie.id_digest(sentencepiece_trie.round_trip(table(spark, sf_dir, "documents")))
@@ -46,6 +64,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op3_html_main_text, op5_toxicity, op7_sentencepiece_round_trip, op8_language_id, op9_minhash_near_dedup, op10_suffix_array_dedup)
+    f.__name__: f for f in (
+        op1_benchmark_decontamination, op2_embedding_near_dedup, op3_html_main_text, op4_lm_score, op5_toxicity, op6_token_counts,
+        op7_sentencepiece_round_trip, op8_language_id, op9_minhash_near_dedup, op10_suffix_array_dedup)
 }
 ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL}
