@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from talentloom.llm.common import components, stored
 
 #: Vectors of a shard (before overlap), sample for centroids, vectors of the audit.
-SHARD, SAMPLE, AUDIT = 1000, 20_000, 256
+SHARD, SAMPLE, AUDIT = 1000, 20_000, 512
 #: Neighbours kept, nearest and far candidates, factor of pruning, beam.
 DEGREE, NEAREST, FAR, FACTOR, BEAM = 20, 40, 16, 1.2, 24
 #: Nodes are expanded down to so much below the threshold; recall that the audit asks for.
@@ -164,17 +164,35 @@ def range_search(queries: np.ndarray, x: np.ndarray, table: np.ndarray, medoid:
             score[r, m] = np.einsum("ij,ij->i", queries[r], x[m])
 
     beam = min(beam, n)
+    ids = np.full((q, beam), medoid)  # best members seen, by query
+    value = np.full((q, beam), -2.0, np.float32)
+    value[:, 0] = score[:, medoid]
+    open_ = np.zeros((q, beam), bool)
+    open_[:, 0] = True
     live = np.arange(q)
     while len(live):
-        seen = score[live]
-        best = np.argpartition(-seen, beam - 1, axis=1)[:, :beam]
-        value = np.take_along_axis(seen, best, axis=1)
-        value[np.take_along_axis(done[live], best, axis=1)] = -2
-        at = np.argmax(value, axis=1)
-        some = value[np.arange(len(live)), at] > -1.5
-        live, nodes = live[some], best[np.arange(len(at)), at][some]
-        if len(live):
-            expand(live, nodes)
+        at = np.argmax(np.where(open_[live], value[live], -2), axis=1)
+        some = open_[live, at]
+        live, at = live[some], at[some]
+        if not len(live):
+            break
+        nodes = ids[live, at]
+        open_[live, at] = False
+        done[live, nodes] = True
+        near = table[nodes]
+        fresh = (near >= 0) & (score[live[:, None], near] < -1.5)
+        rows, column = np.nonzero(fresh)
+        got = near[rows, column]
+        new = np.full(near.shape, -2.0, np.float32)
+        for low in range(0, len(rows), 100_000):
+            r, m = rows[low : low + 100_000], got[low : low + 100_000]
+            new[r, column[low : low + 100_000]] = np.einsum("ij,ij->i", queries[live[r]], x[m])
+        score[live[rows], got] = new[rows, column]
+        every = np.concatenate((value[live], new), axis=1)
+        keep = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
+        ids[live] = np.take_along_axis(np.concatenate((ids[live], near), axis=1), keep, axis=1)
+        open_[live] = np.take_along_axis(np.concatenate((open_[live], fresh), axis=1), keep, axis=1)
+        value[live] = np.take_along_axis(every, keep, axis=1)
     while True:
         rows, nodes = np.nonzero((score >= least - SLACK) & ~done)
         if not len(rows):
