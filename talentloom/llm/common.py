@@ -28,11 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: cuts the lineage, survives lost executors, goes when the session ends."""
+    """Write the rows to the shared folder and read them back: cuts the lineage, survives lost executors, goes when the session ends.
+
+    Shuffle files of the step go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/talentloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    cleaned = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, cleaned)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
@@ -43,6 +54,14 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that a frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 class WordHashes(dict):
     """64-bit hashes of words as bytes, remembered."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talentloom.llm.common import batches_of, row_key, slices, stored
+from talentloom.llm.common import batches_of, row_key, slices, stored, unused
 
 #: Words of neighbouring item words in a window.
 WINDOW = 10
@@ -211,8 +211,9 @@ def hit_digest(found: DataFrame) -> DataFrame:
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a hit, all columns."""
-    hit = contamination(docs, benchmark, window, None, id_col, text_col).where(F.size("spans") > 0).select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", row_key(id_col, text_col)).join(hit, "_row", "left_anti").drop("_row")
+    key = unused(docs, "row_key")
+    hit = contamination(docs, benchmark, window, None, id_col, text_col).where(F.size("spans") > 0).select(F.col("row").alias(key)).distinct()
+    return docs.withColumn(key, row_key(id_col, text_col)).join(hit, key, "left_anti").drop(key)
 
 
 #: SQL twin of the digest: windows as joined words, looked up at every place of every text.

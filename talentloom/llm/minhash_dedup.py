@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talentloom.llm.common import WordHashes, components, mixed, row_key, slices, stored
+from talentloom.llm.common import WordHashes, components, mixed, row_key, slices, stored, unused
 
 #: Values in a sketch.
 KEEP = 48
@@ -89,14 +89,21 @@ def _likely(a: Column, b: Column, percent: int) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) * 100 >= F.size(union) * (percent - 30)
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) pairs that are similar, by estimate first and then exactly."""
-    def side(df: DataFrame, name: str, value: str) -> DataFrame:
-        return df.select(F.col("row").alias(name), F.col(value).alias(f"{value}_{name}"))
+def _side(df: DataFrame, name: str, value: str) -> DataFrame:
+    return df.select(F.col("row").alias(name), F.col(value).alias(f"{value}_{name}"))
 
-    close = (pairs.distinct().join(side(sketches, "a", "sketch"), "a").join(side(sketches, "b", "sketch"), "b")
-             .where(_likely(F.col("sketch_a"), F.col("sketch_b"), percent)).select("a", "b"))
-    both = close.join(side(sets, "a", "members"), "a").join(side(sets, "b", "members"), "b")
+
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) pairs that pass the estimate."""
+    both = pairs.distinct().join(_side(sketches, "a", "sketch"), "a").join(_side(sketches, "b", "sketch"), "b")
+    return both.where(_likely(F.col("sketch_a"), F.col("sketch_b"), percent)).select("a", "b")
+
+
+def _verified(close: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs that are similar by their full sets; only texts in a pair are read again."""
+    wanted = close.select(F.col("a").alias("row")).union(close.select("b")).distinct()
+    sets = stored(keyed.select("text", "row").join(wanted, "row", "left_semi").mapInArrow(_full_sets(words), "row long, members array<long>"))
+    both = close.join(_side(sets, "a", "members"), "a").join(_side(sets, "b", "members"), "b")
     common = F.size(F.array_intersect("members_a", "members_b"))
     return both.where(common * 100 >= (F.size("members_a") + F.size("members_b") - common) * percent).select("a", "b")
 
@@ -122,16 +129,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     room = F.size("sketch") - _shared(percent) + 1 - (F.size("sketch") - F.size("held"))
     lists = stored(reps.join(held, "row").select("row", "n", room.alias("room"), "held").where("room > 0")
                    .select("row", "n", F.explode(F.slice("held", 1, F.col("room"))).alias("x")).select("row", "n", F.col("x.value").alias("value")))
-    wanted = lists.select("row").distinct()
-    sketches = reps.join(wanted, "row", "left_semi").select("row", "sketch")
-    sets = stored(keyed.select("text", "row").join(wanted, "row", "left_semi").mapInArrow(_full_sets(words), "row long, members array<long>")
-                  .dropDuplicates(["row"]))
-
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) / 2))
     banded = lists.withColumn("band", band)
     leaders = banded.groupBy("value", "band").agg(F.min("row").alias("a"))
     stars = banded.join(leaders, ["value", "band"]).where("row <> a").select("a", F.col("row").alias("b"))
-    links = stored(_verified(stars, sketches, sets, percent))
+    links = stored(_verified(stored(_close(stars, reps, percent)), keyed, words, percent))
     joined = components(links)
     placed = lists.join(joined.withColumnRenamed("node", "row"), "row", "left").select("row", "n", "value", F.coalesce("root", "row").alias("root"))
     split = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
@@ -140,7 +142,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     right = open_lists.select("value", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     cross = left.join(right, "value").where(
         (F.col("root_a") < F.col("root_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)).select("a", "b")
-    more = _verified(cross, sketches, sets, percent)
+    more = _verified(stored(_close(cross, reps, percent)), keyed, words, percent)
     joined = components(links.union(more)).withColumnRenamed("node", "rep")
 
     classes = sketched.where("n > 0").groupBy("key").agg(F.min("row").alias("rep"), F.min(F.struct("id", "row")).alias("low"))
@@ -155,11 +157,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def without_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group of near duplicates; rows repeated whole count as copies, all columns stay."""
-    stay = (near_duplicates(docs, words, percent, id_col, text_col).groupBy("row").agg(F.max("chosen").alias("chosen"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-            .where("chosen").select(F.col("row").alias("_row"), "copies", "n"))
-    stay = stay.select("_row", ((F.col("copies") > 1) & (F.col("n") > 0)).alias("_again"))
-    found = docs.withColumn("_row", row_key(id_col, text_col)).join(stay, "_row")
-    return found.where("not _again").union(found.where("_again").dropDuplicates(["_row"])).drop("_row", "_again")
+    key, again = unused(docs, "row_key"), unused(docs, "row_again")
+    rows = near_duplicates(docs, words, percent, id_col, text_col).groupBy("row").agg(
+        F.max("chosen").alias("chosen"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    stay = rows.where("chosen").select(F.col("row").alias(key), ((F.col("copies") > 1) & (F.col("n") > 0)).alias(again))
+    found = docs.withColumn(key, row_key(id_col, text_col)).join(stay, key)
+    return found.where(~F.col(again)).union(found.where(again).dropDuplicates([key])).select(*docs.columns)
 
 
 def component_rows(found: DataFrame) -> DataFrame:
