@@ -155,27 +155,30 @@ def _predictions(model, text_name: str, names: list[str]):
         classes = max(1, len(m.languages))
 
         class Words(dict):
+            """Row of a word in ``table``: its summed scores and its number of buckets."""
+
+            table = np.zeros((1 << 14, classes + 1))
+
             def __missing__(self, word: str) -> int:
+                row = self[word] = len(self)
+                if row == len(self.table):
+                    self.table = np.concatenate((self.table, np.zeros_like(self.table)))
                 ids = subwords(word)
-                row = self[word] = len(self.rows)
-                self.rows.append(np.append(m.scores[ids].sum(axis=0), len(ids)) if ids else np.zeros(classes + 1))
+                self.table[row, :-1] = m.scores[ids].sum(axis=0) if ids else 0
+                self.table[row, -1] = len(ids)
                 return row
 
         words = Words()
-        words.rows = []
         for batch in slices(batches):
             texts = batch.column(text_name).to_pylist()
             sums = np.zeros((len(texts), classes + 1))
-            for at in range(0, len(texts), 500):
-                if len(words) > REMEMBERED:
-                    words.clear()
-                    words.rows.clear()
-                split = [t.lower().split() if t else [] for t in texts[at : at + 500]]
-                found = [np.fromiter(map(words.__getitem__, s), np.int64, len(s)) for s in split]
-                table = np.array(words.rows) if words.rows else np.zeros((1, classes + 1))
-                for k, ids in enumerate(found):
-                    if len(ids):
-                        sums[at + k] = table[ids].sum(axis=0) if len(ids) < 5000 else np.bincount(ids, minlength=len(table)) @ table
+            if len(words) > REMEMBERED:
+                words.clear()
+            for k, text in enumerate(texts):
+                split = text.lower().split() if text else []
+                if split:
+                    ids = np.fromiter(map(words.__getitem__, split), np.int64, len(split))
+                    sums[k] = words.table[ids].sum(axis=0)
             some = (sums[:, -1] > 0) & (len(m.languages) > 0)
             p = m.probabilities(sums[:, :-1] / np.maximum(sums[:, -1:], 1)) if len(texts) else np.zeros((0, classes))
             best = p.argmax(axis=1)

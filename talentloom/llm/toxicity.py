@@ -29,7 +29,8 @@ CLOSE = 6
 #: Second persons of English, German, French and Spanish (fixed values).
 SECOND_PERSONS = frozenset("you your yours yourself yourselves u ur du dich dir dein deine deinen deinem deiner ihr euch euer eure tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_LETTERS = str.maketrans("013457@$!", "oleastasi", "*._-'’")
+#: Letters that digits and signs stand for; one may be read in two ways.
+_LETTERS = [str.maketrans("013457@$!", f"o{one}eastasi", "*._-'’") for one in "il"]
 _SURE, _LIKELY, _SECOND, _CAPITALS, _MIXED, _HIDDEN = (1 << k for k in range(6))
 FEATURES = ("sure", "likely", "hidden", "second", "close", "capitals", "shouted", "punctuation", "runs", "mixed", "n_sure", "n_likely", "n_close", "length")
 
@@ -56,7 +57,7 @@ class WordKinds(dict):
                 kinds |= _CAPITALS
             if not word.isalpha() and any(c.isalpha() for c in word):
                 kinds |= _MIXED
-                plain = terms(low.translate(_LETTERS))
+                plain = {t for letters in _LETTERS for t in terms(low.translate(letters))}
                 if not kinds & (_SURE | _LIKELY) and not (self.sure.isdisjoint(plain) and self.likely.isdisjoint(plain)):
                     kinds |= _HIDDEN
         self[raw] = kinds
