@@ -52,9 +52,11 @@ def career_level(title: Column, years: Column) -> Column:
 
 
 def degree_rank(text: Column) -> Column:
-    """Highest degree named in a text: 0 none, 1 associate … 4 doctor."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.greatest(F.lit(0), *[F.when(t.contains(word), F.lit(rank)) for word, rank in rules.DEGREE_RANKS.items()])
+    """Highest degree named in a text by whole words or usual short forms: 0 none, 1 associate … 4 doctor."""
+    given = F.lower(F.coalesce(text, F.lit("")))
+    return let(given, lambda t: F.greatest(F.lit(0), *[
+        F.when(t.rlike(rf"(?:^|[^\p{{L}}\p{{N}}.])(?:{words})(?:$|[^\p{{L}}\p{{N}}])"), F.lit(rank)) for rank, words in rules.DEGREE_WORDS.items()
+    ]))
 
 
 def currency_of(country: Column) -> Column:

@@ -230,42 +230,34 @@ def current_role(experience: DataFrame) -> DataFrame:
     return experience.groupBy("resume_id").agg(F.max_by("title", F.struct("start_date", "exp_id")).alias("title"))
 
 
-def common_role_skills(resume_skills: DataFrame, roles: DataFrame, min_share: float = rules.COMMON_SKILL_SHARE) -> DataFrame:
-    """(title, ranked): skills held by at least ``min_share`` of the holders of a role, most common first.
+def common_role_skills(resume_skills: DataFrame, roles: DataFrame) -> DataFrame:
+    """(title, ranked): all skills held by holders of a role, most common first.
 
-    ``roles`` is (resume_id, title). The lists are short by construction: shares
-    of a role add up to the mean number of skills per holder, so a list has at
-    most that mean divided by ``min_share`` entries.
+    ``roles`` is (resume_id, title). Holders are counted per skill before the
+    shuffle; a list has at most as many entries as there are skills.
     """
-    holders = roles.groupBy("title").agg(F.count_distinct("resume_id").alias("holders"))
     counts = (
         resume_skills.select("resume_id", "skill").distinct().join(roles.distinct(), "resume_id", "inner")
         .groupBy("title", "skill").agg(F.count("*").alias("n"))
     )
-    common = counts.join(holders, "title", "inner").filter(F.col("n") / F.col("holders") >= min_share)
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "skill")))
-    return common.groupBy("title").agg(F.transform(ranked, lambda r: r["skill"]).alias("ranked"))
+    return counts.groupBy("title").agg(F.transform(ranked, lambda r: r["skill"]).alias("ranked"))
 
 
-def missing_skills(resume_skills: DataFrame, roles: DataFrame, next_roles: DataFrame, k: int = rules.IMPROVEMENT_AREAS,
-                   min_share: float = rules.COMMON_SKILL_SHARE) -> DataFrame:
-    """(resume_id, title, areas): the first ``k`` common skills of a wanted role that the person lacks.
+def missing_skills(resume_skills: DataFrame, roles: DataFrame, next_roles: DataFrame, k: int = rules.IMPROVEMENT_AREAS) -> DataFrame:
+    """(resume_id, title, areas): the first ``k`` skills of a wanted role, most common first, that the person lacks.
 
     ``roles``: who holds which title; ``next_roles``: (resume_id, title) wanted.
-    Own skills are kept only where some role counts them as common, so both
-    lists are bounded and the anti join happens inside the row.
+    The first ``k`` lacking ones are among the first ``k`` + own skills of the
+    ranked list, so the anti join inside the row looks at no more.
     """
-    common = common_role_skills(resume_skills, roles, min_share)
-    vocabulary = common.select(F.explode("ranked").alias("skill")).distinct()
-    own = (
-        resume_skills.join(vocabulary, "skill", "left_semi")
-        .groupBy("resume_id").agg(F.collect_set("skill").alias("_own"))
-    )
+    own = resume_skills.groupBy("resume_id").agg(F.collect_set("skill").alias("_own"))
+    held = F.coalesce("_own", F.array().cast("array<string>"))
     return (
-        next_roles.join(common, "title", "inner").join(own, "resume_id", "left")
+        next_roles.join(common_role_skills(resume_skills, roles), "title", "inner").join(own, "resume_id", "left")
         .select(
             "resume_id", "title",
-            F.slice(F.array_except("ranked", F.coalesce("_own", F.array().cast("array<string>"))), 1, k).alias("areas"),
+            F.slice(F.array_except(F.slice("ranked", F.lit(1), F.size(held) + k), held), 1, k).alias("areas"),
         )
     )
 

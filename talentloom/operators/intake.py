@@ -47,20 +47,24 @@ def text_gate(df: DataFrame, text: str = "raw_text") -> DataFrame:
 
 
 def bulk_accept(df: DataFrame, batch: str, file: str, max_files: int = rules.BULK_LIMIT) -> DataFrame:
-    """Add ``accepted`` and ``reason``: per batch the first ``max_files`` files by ``file`` are taken.
+    """Add ``accepted`` and ``reason``: per batch the first ``max_files`` files by ``file`` are taken, files of equal name one by one.
 
-    The accepted files are found by a ranked limit, which Spark applies in every
-    task before the shuffle, and marked by a join on batch and file. A huge batch
-    is spread by its files and never sorted as a whole.
+    Files of a batch with one name are numbered. The accepted files are found by a
+    ranked limit, which Spark applies in every task before the shuffle, and marked
+    by a null-safe join on batch, file and number. A huge batch is spread by its
+    files and never sorted as a whole; files without a batch form one.
     """
-    rank = F.row_number().over(Window.partitionBy(batch).orderBy(file))
+    same = Window.partitionBy(batch, file).orderBy(F.xxhash64(*df.columns))
+    numbered = df.withColumn("_copy", F.row_number().over(same))
+    rank = F.row_number().over(Window.partitionBy(batch).orderBy(file, "_copy"))
     first = (
-        df.select(batch, file).withColumn("_rank", rank).filter(F.col("_rank") <= max_files)
-        .select(batch, file, F.lit(True).alias("accepted"))
+        numbered.select(batch, file, "_copy").withColumn("_rank", rank).filter(F.col("_rank") <= max_files)
+        .select(*[F.col(c).alias(f"_first_{k}") for k, c in enumerate((batch, file, "_copy"))], F.lit(True).alias("accepted"))
     )
     accepted = F.coalesce("accepted", F.lit(False))
+    place = [F.col(c).eqNullSafe(F.col(f"_first_{k}")) for k, c in enumerate((batch, file, "_copy"))]
     return (
-        df.join(first, [batch, file], "left")
+        numbered.join(first, place, "left").drop("_copy", "_first_0", "_first_1", "_first_2")
         .withColumn("accepted", accepted)
         .withColumn("reason", F.when(~F.col("accepted"), F.lit(f"Batch exceeds the limit of {max_files} files")))
     )

@@ -23,7 +23,9 @@ def next_in_order(df: DataFrame, keys: list[str], slice_: Column, order: list[st
     heads = cut.groupBy(*keys, "_slice").agg(F.min_by(row, F.struct(*order)).alias("_head"))
     across = Window.partitionBy(*keys).orderBy("_slice")
     following = heads.select(*keys, "_slice", F.lead("_head").over(across).alias("_next_head"))
-    joined = cut.withColumn("_next", F.lead(row).over(here)).join(following, [*keys, "_slice"], "inner")
+    following = following.select(*[F.col(c).alias(f"_at_{c}") for c in (*keys, "_slice")], "_next_head")
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in (*keys, "_slice")]  # null keys and null places in the order are values too
+    joined = cut.withColumn("_next", F.lead(row).over(here)).join(following, same, "inner")
     found = F.coalesce("_next", "_next_head")
     return joined.select(*df.columns, *[found[v].alias(f"{prefix}{v}") for v in values])
 

@@ -12,16 +12,26 @@ from talentloom.operators.ordered import exact_quantiles, next_in_order
 
 
 def status_counts(df: DataFrame, by_day: bool = False) -> DataFrame:
-    """Records per status; ``by_day`` adds days with subtotals (null day or status = all)."""
+    """Records per status, from one row per record (see ``latest_status``); ``by_day`` adds days with subtotals (null day or status = all)."""
     if not by_day:
         return df.groupBy("status").agg(F.count("*").alias("n"))
     return df.withColumn("day", F.to_date("ts")).rollup("day", "status").agg(F.count("*").alias("n"))
 
 
-def bulk_progress(status_events: DataFrame, batch: str = "batch") -> DataFrame:
-    """Files per batch by state, and percent finished (completed or failed)."""
+def file_status(status_events: DataFrame, batch: str = "batch", key: str = "resume_id") -> DataFrame:
+    """(batch, record, status, since, progress, error): the latest status of every file of a batch, percent done, and what failed."""
+    order = F.struct("ts", "event_id")
+    latest = status_events.groupBy(batch, key).agg(F.max_by("status", order).alias("status"), F.max("ts").alias("since"))
+    steps = F.create_map(*[F.lit(x) for pair in rules.STEP_PROGRESS.items() for x in pair])
+    return latest.withColumn("progress", F.coalesce(F.try_element_at(steps, F.col("status")), F.lit(0))).withColumn(
+        "error", F.when(F.col("status").isin(*rules.FAILURE_STATUSES), F.col("status"))
+    )
+
+
+def bulk_progress(status_events: DataFrame, batch: str = "batch", key: str = "resume_id") -> DataFrame:
+    """Files per batch by their latest status, and percent finished (completed or failed)."""
     failed = F.col("status").isin(*rules.FAILURE_STATUSES)
-    counts = status_events.groupBy(batch).agg(
+    counts = file_status(status_events, batch, key).groupBy(batch).agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == rules.COMPLETED).alias("completed"),
         F.count_if(failed).alias("failed"),
     )

@@ -17,6 +17,14 @@ from talentloom.operators.intake import stored_name
 NOT_FOUND, NOT_READY, NO_RESULT, OK, INVALID_ID = "not_found", "not_ready", "no_result", "ok", "invalid_id"
 
 
+def one_per_id(df: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
+    """One row per id: the one of the highest ``version``; without one, or on a tie, always the same row whatever the order of rows."""
+    rest = [c for c in df.columns if c != key]
+    row = F.struct(*[F.col(c) for c in rest])
+    order = F.struct(*([F.col(version)] if version else []), F.to_json(row))
+    return df.groupBy(key).agg(F.max_by(row, order).alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in rest])
+
+
 def check_uuid(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Add ``id_outcome``: ok or invalid_id."""
     return df.withColumn("id_outcome", F.when(is_uuid(F.col(id_col)), OK).otherwise(INVALID_ID))
@@ -109,8 +117,8 @@ def split_enhancements(df: DataFrame, doc: str = "doc") -> DataFrame:
     )
 
 
-def merge_block(df: DataFrame, name: str, blocks: DataFrame) -> DataFrame:
-    """Put one enrichment block (id, block) in ``ai_enhancements``.
+def merge_block(df: DataFrame, name: str, blocks: DataFrame, version: str | None = None) -> DataFrame:
+    """Put one enrichment block (id, block) in ``ai_enhancements``; of several blocks for an id, the one of the highest ``version``.
 
     A record without a block keeps its place with a null block; one without any
     enhancements and without a block stays as it is.
@@ -120,7 +128,7 @@ def merge_block(df: DataFrame, name: str, blocks: DataFrame) -> DataFrame:
         (F.col("_block") if f.name == name else old[f.name]).alias(f.name) for f in schemas.ENHANCEMENTS.fields
     ])
     merged = F.when(old.isNotNull() | F.col("_block").isNotNull(), fields)
-    side = blocks.select("id", F.col("block").alias("_block"))
+    side = one_per_id(blocks, version=version).select("id", F.col("block").alias("_block"))
     return df.join(side, "id", "left").withColumn("ai_enhancements", merged).drop("_block")
 
 
@@ -147,13 +155,16 @@ def retrieve_match(matches: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def complete_matches(matches: DataFrame, results: DataFrame, as_of: str) -> DataFrame:
+def complete_matches(matches: DataFrame, results: DataFrame, as_of: str, version: str | None = None) -> DataFrame:
     """Enter results (match_id, result JSON text or null, error) in their match rows.
 
     A result completes the row; without one it fails and keeps ``{"error": …}``.
-    Results for unknown matches have no effect.
+    Results for unknown matches have no effect. Of several results for a match the
+    one of the highest ``version`` counts, without versions one that completes it.
     """
-    side = results.select(F.col("match_id").alias("id"), "result", "error", F.lit(True).alias("_hit"))
+    if version is None:
+        results, version = results.withColumn("_version", F.col("result").isNotNull()), "_version"
+    side = one_per_id(results, "match_id", version).select(F.col("match_id").alias("id"), "result", "error", F.lit(True).alias("_hit"))
     hit = F.col("_hit").isNotNull()
     good = F.col("result").isNotNull()
     failure = F.to_json(F.struct(F.coalesce("error", F.lit("")).alias("error")))
@@ -171,9 +182,10 @@ class StatusChange(NamedTuple):
     status_events: DataFrame
 
 
-def advance_status(resumes: DataFrame, changes: DataFrame, as_of: str) -> StatusChange:
-    """Apply (id, status[, raw_text]) changes; processed_at is set on every change, also on failures."""
+def advance_status(resumes: DataFrame, changes: DataFrame, as_of: str, version: str | None = None) -> StatusChange:
+    """Apply (id, status[, raw_text]) changes, one per id; processed_at is set on every change, also on failures."""
     now = F.lit(as_of).cast("timestamp")
+    changes = one_per_id(changes, version=version)
     with_text = "raw_text" in changes.columns
     side = changes.select(
         "id", F.col("status").alias("_status"), *([F.col("raw_text").alias("_text")] if with_text else [])
@@ -235,9 +247,9 @@ def fk_violations(matches: DataFrame, resumes: DataFrame, deletes: DataFrame, ca
     return ForeignKeys(deletes.join(refs, "id", "left_semi"), orphans, matches)
 
 
-def overwrite_records(resumes: DataFrame, updates: DataFrame, as_of: str) -> DataFrame:
-    """Replace structured_data and ai_enhancements by id; absent enhancements become null, unknown ids do nothing."""
-    side = updates.select(
+def overwrite_records(resumes: DataFrame, updates: DataFrame, as_of: str, version: str | None = None) -> DataFrame:
+    """Replace structured_data and ai_enhancements by id; absent enhancements become null, unknown ids do nothing, one update per id counts."""
+    side = one_per_id(updates, version=version).select(
         "id", F.col("structured_data").alias("_doc"),
         (F.col("ai_enhancements") if "ai_enhancements" in updates.columns
          else F.lit(None).cast(resumes.schema["ai_enhancements"].dataType)).alias("_ai"),
@@ -288,12 +300,13 @@ def _patched_rows(old: Column, new: Column, item, keys: tuple[str, ...]) -> Colu
     return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(whole)
 
 
-def patch_records(resumes: DataFrame, patches: DataFrame, as_of: str, keys: tuple[str, ...] = ("title", "company")) -> DataFrame:
-    """Change only the given fields of structured_data; experience rows are matched by ``keys``.
+def patch_records(resumes: DataFrame, patches: DataFrame, as_of: str, keys: tuple[str, ...] = ("title", "company", "start_date"),
+                  version: str | None = None) -> DataFrame:
+    """Change only the given fields of structured_data; experience rows are matched by ``keys``, so two stints of one title stay apart.
 
-    One join on id; the lists are patched inside the row, without exploding them.
+    One join on id, one patch per id; the lists are patched inside the row, without exploding them.
     """
-    side = patches.select("id", F.col("structured_data").alias("_new"), F.lit(True).alias("_hit"))
+    side = one_per_id(patches, version=version).select("id", F.col("structured_data").alias("_new"), F.lit(True).alias("_hit"))
     old, new, hit = F.col("structured_data"), F.col("_new"), F.col("_hit").isNotNull()
 
     def section(field) -> Column:

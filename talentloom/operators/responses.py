@@ -13,13 +13,14 @@ from talentloom.functions.values import as_array, empty_strings, lenient_int
 def parse_json(df: DataFrame, kind: str, text: str = "response") -> DataFrame:
     """Add ``raw`` (the fields of the kind as read) and ``parse_ok``.
 
-    ``from_json`` alone also takes single quotes and text after the object, so
-    the text must pass the strict JSON reader as the only item of a list.
+    ``from_json`` alone also takes single quotes and text after the object, so the
+    text must be the first of two items of a list, without single quotes outside of
+    strings. Of a repeated key the last value counts.
     """
     body = F.col(text)
-    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    strict = body.rlike(r"^\s*\{[\s\S]*\}\s*$") & listed.isNotNull() & alone
+    alone = F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2
+    bare = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*"', "")
+    strict = body.rlike(r"^\s*\{[\s\S]*\}\s*$") & alone & ~bare.contains("'")
     raw = F.from_json(body, schemas.RAW_RESPONSE[kind], {"allowSingleQuotes": "false"})
     return df.withColumn("parse_ok", F.coalesce(strict, F.lit(False))).withColumn("raw", F.when(F.col("parse_ok"), raw))
 
@@ -35,6 +36,12 @@ def _explicit_null_items(text: Column) -> Column:
     return F.coalesce(bad, F.lit(False))
 
 
+def _written(text: Column, path: str) -> Column:
+    """The JSON text holds a string at this field, not a number or a flag."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
+    return F.coalesce(kind == "STRING", F.lit(True))
+
+
 def _all_have(rows: Column, *fields: str) -> Column:
     def whole(row: Column) -> Column:
         out = row.isNotNull()
@@ -92,19 +99,19 @@ def _valid(kind: str, r: Column, text: Column) -> Column:
         )
     if kind == "salary":
         return (
-            r["comments"].isNotNull() & _optional_int(r["min"]) & _optional_int(r["max"])
+            r["comments"].isNotNull() & _written(text, "$.comments") & _written(text, "$.currency") & _optional_int(r["min"]) & _optional_int(r["max"])
             & ~_explicit_null(text, "$.currency")
         )
     if kind == "career":
         return (
-            r["comments"].isNotNull()
+            r["comments"].isNotNull() & _written(text, "$.comments")
             & ~_explicit_null(text, "$.suggestedNextRoles") & ~_explicit_null(text, "$.improvementAreas")
             & ~F.coalesce(F.exists(r["suggestedNextRoles"], lambda x: x.isNull()), F.lit(False))
             & ~F.coalesce(F.exists(r["improvementAreas"], lambda x: x.isNull()), F.lit(False))
         )
     if kind == "match":
         m = r["matchingResults"]
-        ok = is_uuid(r["matchId"]) & is_uuid(r["resumeId"]) & r["jobTitle"].isNotNull()
+        ok = is_uuid(r["matchId"]) & is_uuid(r["resumeId"]) & r["jobTitle"].isNotNull() & _written(text, "$.jobTitle")
         ok = ok & lenient_int(m["overallScore"]).isNotNull() & m["confidence"].try_cast("double").isNotNull()
         ok = ok & m["recommendation"].isNotNull() & m["gapAnalysis"].isNotNull()
         for c in schemas.RAW_RESPONSE["match"]["matchingResults"].dataType["categoryScores"].dataType.names:

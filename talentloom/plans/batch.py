@@ -11,7 +11,7 @@ from talentloom.operators import enrich
 from talentloom.operators.extraction import structure_resumes
 from talentloom.operators.intake import create_records, text_gate
 from talentloom.operators.records import merge_block
-from talentloom.operators.text_analysis import bias_report
+from talentloom.operators.text_analysis import bias_report, detect_language
 from talentloom.sources.uploads import ROUTE_EXTERNAL, media_type_of, read_texts, route_media, size_gate
 
 RECORD_COLUMNS = ["id", "path", "file_name", "file_size", "file_type", "stored_name", "route", "processing_status",
@@ -64,7 +64,8 @@ def enrich_plan(records: DataFrame, as_of: str) -> DataFrame:
     kept = [c for c in records.columns if c not in ("processing_status", "processed_at")]
     has_text = F.col("processing_status") == rules.AI_PROCESSING
     out = structure_resumes(records, as_of)
-    out = bias_report(out, as_of, education=F.col("structured_data.education"), words=F.col("words"))
+    out = detect_language(out, "raw_text")
+    out = bias_report(out, as_of, education=F.col("structured_data.education"), language=F.col("language"), words=F.col("words"))
     out = enrich.anonymize(enrich.quality_scores(out))
     empty = {f.name: F.lit(None).cast(f.dataType) for f in schemas.ENHANCEMENTS.fields}
     empty |= {"qualityScore": F.col("qualityScore"), "completenessScore": F.col("completenessScore"),

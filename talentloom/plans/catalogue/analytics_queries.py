@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talentloom.functions.dates import timeframe_bounds
 from talentloom.functions.values import career_level
-from talentloom.operators import enrich, market, progress, search
+from talentloom.operators import enrich, market, progress, records, search
 from talentloom.plans.catalogue.registry import query
 
 AS_OF = "2001-08-01"
@@ -98,7 +98,7 @@ PROGRESS_SQL = f"""
            cast(floor((completed + failed) * 100 / total) as int) as progress,
            case when total > completed + failed then 'processing' when completed = 0 then 'failed' else 'completed' end as status
     from (select batch, count(*) as total, count(*) filter (where status = 'completed') as completed, count(*) filter (where {_FAILED}) as failed
-          from batch_events_v group by batch)"""
+          from batch_latest_v group by batch)"""
 
 
 @query("a06_bulk_progress", PROGRESS_SQL)
@@ -106,16 +106,23 @@ def _(t):
     return progress.bulk_progress(t.batch_events_v())
 
 
-@query("a07_status_counts", "select status, count(*) as n from status_events_v group by status")
+@query("a06_bulk_files", """
+    select batch, resume_id, status, case status when 'processing' then 10 when 'ai_processing' then 50 else 100 end as progress,
+           case when status = 'ai_failed' then status end as error from batch_latest_v""")
 def _(t):
-    return progress.status_counts(t.status_events_v())
+    return progress.file_status(t.batch_events_v()).drop("since")
+
+
+@query("a07_status_counts", "select status, count(*) as n from latest_v group by status")
+def _(t):
+    return progress.status_counts(records.latest_status(t.status_events_v()))
 
 
 @query("a07_status_rollup", """
     select coalesce(strftime(day, '%Y-%m-%d'), 'all') as day, coalesce(status, 'all') as status, n from (
-    select cast(ts as date) as day, status, count(*) as n from status_events_v group by rollup (1, 2))""")
+    select cast(ts as date) as day, status, count(*) as n from latest_v group by rollup (1, 2))""")
 def _(t):
-    rolled = progress.status_counts(t.status_events_v(), by_day=True)
+    rolled = progress.status_counts(records.latest_status(t.status_events_v()), by_day=True)
     return rolled.select(
         F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit("all")).alias("day"),
         F.coalesce("status", F.lit("all")).alias("status"), "n",

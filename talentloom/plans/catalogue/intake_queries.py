@@ -99,10 +99,9 @@ def _(t):
     return uploads.extract_docx(files).select("doc_id", F.md5("raw_text").alias("digest"))
 
 
-@query("io07_assemble_pages", f"""
-    select doc_id, page_no // {rules.PAGES_PER_PART} as part_no, count(*) as n_pages,
-           string_agg(page_text || chr(10), '' order by page_no) as raw_text
-    from doc_pages_v where page_text <> '' group by 1, 2""")
+@query("io07_assemble_pages", """
+    select doc_id, count(*) as n_pages, string_agg(page_text || chr(10), '' order by page_no) as raw_text
+    from doc_pages_v where page_text <> '' group by 1""")
 def _(t):
     return pages.assemble_pages(t.doc_pages_v())
 

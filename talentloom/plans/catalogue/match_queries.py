@@ -33,8 +33,7 @@ LABEL_SQL = """case when overall_score < 40 then 'Poor Match' when overall_score
 
 def candidates(t):
     """Candidate rows for scoring, one per résumé."""
-    wanted = t.resume_skills_v().join(t.job_skills_v().select("skill").distinct(), "skill", "left_semi")
-    skills = wanted.groupBy("resume_id").agg(F.count_distinct("skill").cast("int").alias("held"))
+    skills = t.resume_skills_v().groupBy("resume_id").agg(F.count_distinct("skill").cast("int").alias("held"))
     years = enrich.years_of_experience(t.employment_v(), AS_OF).select("resume_id", "years")
     person = t.resumes_v().join(skills, "resume_id", "left").join(years, "resume_id", "left")
     held = F.coalesce("held", F.lit(0))
@@ -48,10 +47,10 @@ def candidates(t):
 
 
 def jobs(t):
-    """Job rows for scoring, one per supplier."""
+    """Job rows for scoring, one per supplier and month."""
     title = F.concat("region", F.lit(" manager"))
     need = (F.col("job_id") % 6).cast("int")
-    return t.jobs_v().join(match.job_lists(t.job_skills_v()), "job_id").select(
+    return t.with_employer(match.job_lists(t.job_skills_v())).select(
         "job_id", title.alias("title"), F.concat(F.lit("Supplier "), F.col("job_id").cast("string")).alias("company"),
         "required", "preferred", need.alias("min_years"), (need + 3).alias("pref_years"),
         (F.col("job_id") % 5).cast("int").alias("job_education_rank"), F.split(F.lower(title), " ").alias("job_title_tokens"),
@@ -235,9 +234,8 @@ def _(t):
 
 
 VIEWS["held_roles_v"] = "select distinct resume_id, title from experience_v"
-VIEWS["common_v"] = f"""select title, skill, n, row_number() over (partition by title order by n desc, skill) as rk from (
-    select h.title, s.skill, count(*) as n from held_roles_v h join own_skills_v s on s.resume_id = h.resume_id group by 1, 2) c
-    join (select title as t, count(*) as holders from held_roles_v group by 1) g on g.t = c.title where n / holders >= {rules.COMMON_SKILL_SHARE}"""
+VIEWS["common_v"] = """select title, skill, n, row_number() over (partition by title order by n desc, skill) as rk from (
+    select h.title, s.skill, count(*) as n from held_roles_v h join own_skills_v s on s.resume_id = h.resume_id group by 1, 2)"""
 
 
 @query("j09_missing_skills", f"""
@@ -257,8 +255,7 @@ def _(t):
         select title, next_title, count(*) as n from next_role_v where next_title <> title group by 1, 2)),
     current_roles as (select * from current_role_v),
     counts as (select c.title, s.skill, count(*) as n from current_roles c join own_skills_v s on s.resume_id = c.resume_id group by 1, 2),
-    common as (select counts.title, skill, n, row_number() over (partition by counts.title order by n desc, skill) as rk from counts
-        join (select title, count(*) as holders from current_roles group by 1) h on h.title = counts.title where n / holders >= {rules.COMMON_SKILL_SHARE}),
+    common as (select title, skill, n, row_number() over (partition by title order by n desc, skill) as rk from counts),
     lacking as (select resume_id, string_agg(skill, ', ' order by rk) as areas from (
         select w.resume_id, c.skill, c.rk, row_number() over (partition by w.resume_id order by c.rk) as pos
         from current_roles w join usual u on u.title = w.title and u.rank = 1 join common c on c.title = u.next_title

@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 
 _LINES = ("lineitem join orders on l_orderkey = o_orderkey join part on p_partkey = l_partkey")
 _SKILL = "lower(p_type || ' ' || p_name)"
+_JOB = "l_suppkey * 1000 + (year(cast(l_shipdate as date)) - 1990) * 12 + month(cast(l_shipdate as date))"
 
 VIEWS = {
     "resumes_v": """select c_custkey as resume_id, c_name as full_name, c_mktsegment as industry, n_name as country,
@@ -24,17 +25,18 @@ VIEWS = {
         cast(o_orderdate as date) + cast(o_orderkey % 400 as int) as end_date from orders""",
     "resume_skills_v": f"select distinct o_custkey as resume_id, p_type as category, {_SKILL} as skill from {_LINES}",
     "skill_dates_v": f"select distinct o_custkey as resume_id, cast(o_orderdate as date) as seen_on, {_SKILL} as skill from {_LINES}",
-    "jobs_v": """select s_suppkey as job_id, s_name as title, n_name as country, r_name as region, s_acctbal as salary_min,
-        s_acctbal + 5000 as salary_max from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
-    "job_skills_v": f"""select job_id, skill, case when rk <= 5 then 'required' else 'preferred' end as need from (
-        select job_id, skill, row_number() over (partition by job_id order by qty desc, skill) as rk from (
-        select l_suppkey as job_id, {_SKILL} as skill, sum(cast(l_quantity as bigint)) as qty
-        from lineitem join part on p_partkey = l_partkey group by 1, 2)) where rk <= 10""",
-    "applications_v": "select distinct o_custkey as resume_id, l_suppkey as job_id from lineitem join orders on l_orderkey = o_orderkey",
+    "jobs_v": f"""select job_id, s_name as title, n_name as country, r_name as region, s_acctbal as salary_min,
+        s_acctbal + 5000 as salary_max from (select distinct l_suppkey, {_JOB} as job_id from lineitem) join supplier on l_suppkey = s_suppkey
+        join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
+    "job_skills_v": f"""select {_JOB} as job_id, {_SKILL} as skill, case when max(l_quantity) > 25 then 'required' else 'preferred' end as need
+        from lineitem join part on p_partkey = l_partkey group by 1, 2""",
+    "applications_v": f"select distinct o_custkey as resume_id, {_JOB} as job_id from lineitem join orders on l_orderkey = o_orderkey",
     "status_events_v": """select event_id, user_id as resume_id, ts, case event_type when 'signup' then 'processing'
         when 'view' then 'ai_processing' when 'click' then 'ai_processing' when 'purchase' then 'completed'
         else 'ai_failed' end as status from events""",
     "batch_events_v": "select *, event_id // 50 as batch from status_events_v",
+    "batch_latest_v": """select batch, resume_id, status, ts from (select *, row_number() over (
+        partition by batch, resume_id order by ts desc, event_id desc) as rn from batch_events_v) where rn = 1""",
     "latest_v": """select resume_id, status, ts from (select *, row_number() over (
         partition by resume_id order by ts desc, event_id desc) as rn from status_events_v) where rn = 1""",
     "doc_pages_v": "select conv_id as doc_id, turn as page_no, text as page_text from conversations",

@@ -18,17 +18,16 @@ _WORDS = f"list_filter(list_distinct(string_split_regex(lower(text), '{_SPLIT}')
 
 
 def _lexicon(t):
-    """Long words of the benchmark items, each in the category of its item."""
+    """All words of the benchmark items, each in the category of its item."""
     words = F.explode(F.array_distinct(F.split(F.lower("text"), rules.TOKEN_SPLIT)))
     return t.benchmark.select(F.concat(F.lit("topic"), (F.col("item_id") % 10).cast("string")).alias("category"), words.alias("term")).filter(
-        F.length("term") >= 5
+        F.col("term") != ""
     )
 
 
 _TAGGED = f"""select doc_id, category, count(*) as n_terms from (
         select doc_id, unnest({_WORDS}) as term from documents) d
-    join (select distinct category, term from (select 'topic' || (item_id % 10) as category, unnest({_WORDS}) as term from benchmark)
-          where length(term) >= 5) l on l.term = d.term group by 1, 2"""
+    join (select distinct category, term from (select 'topic' || (item_id % 10) as category, unnest({_WORDS}) as term from benchmark)) l on l.term = d.term group by 1, 2"""
 
 
 @query("j08_tag_terms", _TAGGED)
@@ -65,20 +64,27 @@ def _bias_sql(category):
     parts = [f"select doc_id, '{category}' as category, w as finding from words where w in ({single})"]
     for phrase in rules.BIAS_WORDS[category]:
         if " " in phrase:
-            parts.append(f"select doc_id, '{category}', {quoted(phrase)} from documents where regexp_matches(lower(text), '{rules.whole_words(phrase)}')")
+            parts.append(f"select doc_id, '{category}', {quoted(phrase)} from english where regexp_matches(lower(text), '{rules.whole_words(phrase)}')")
     return " union all ".join(parts)
 
 
-_BIAS = (f"with words as (select doc_id, unnest(list_distinct(string_split_regex(lower(text), '{rules.WORD_SPLIT}'))) as w from documents) "
+_ENGLISH = f"""(select doc_id, text from (select doc_id, text, {', '.join(f'{_stop_sql(x)} as {x}' for x in ('de', 'en', 'es', 'fr'))}
+    from (select doc_id, text, {_WORDS} as words from documents)) where en > 0 and en = greatest(de, en, es, fr) and de < en)"""
+_BIAS = (f"with english as {_ENGLISH}, words as (select doc_id, unnest(list_distinct(string_split_regex(lower(text), '{rules.WORD_SPLIT}'))) as w from english) "
          + " union all ".join(_bias_sql(c) for c in rules.BIAS_WORDS))
 
 
+def _bias(t):
+    """Reports of the documents, word lists for the English ones."""
+    return text_analysis.bias_report(text_analysis.detect_language(t.texts()), AS_OF, text="text", language=F.col("language"))
+
+
 @query("s18_bias_report", f"""
     select d.doc_id, f.n is not null as bias_detected, cast(coalesce(f.n, 0) as int) as n_findings, coalesce(shown, '') as findings
     from documents d left join (select doc_id, count(*) as n, string_agg(category || ':' || finding, ' ' order by category || ':' || finding) as shown
     from ({_BIAS}) group by 1) f on f.doc_id = d.doc_id""")
 def _(t):
-    out = text_analysis.bias_report(t.texts(), AS_OF, text="text")
+    out = _bias(t)
     shown = F.transform("biasReport.findings", lambda f: F.concat(f["category"], F.lit(":"), f["finding"]))
     return out.select(
         "doc_id", F.col("biasReport.biasDetected").alias("bias_detected"), F.size("biasReport.findings").alias("n_findings"),
@@ -89,7 +95,7 @@ def _(t):
 @query("a13_bias_summary", f"""
     select category, count(distinct doc_id) as records, count(*) as findings, count(distinct finding) as wordings from ({_BIAS}) group by 1""")
 def _(t):
-    return text_analysis.bias_summary(text_analysis.bias_report(t.texts(), AS_OF, text="text"), "doc_id")
+    return text_analysis.bias_summary(_bias(t), "doc_id")
 
 
 @query("s09_redact_text", f"""

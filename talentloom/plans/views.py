@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talentloom import rules, schemas
-from talentloom.sources.tables import spread_small
 
 _TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
            "benchmark labels conversations").split()
@@ -22,9 +21,16 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """The rows in as many tasks as the session asks for with ``spark.talentloom.tasks``; as they lie if it asks for none.
+
+        For tables that lie in one row group, which no scan can split.
+        """
+        tasks = self.spark.conf.get("spark.talentloom.tasks", None)
+        return df.repartition(int(tasks)) if tasks else df
+
     def texts(self) -> DataFrame:
-        """Documents, spread over all cores: the text operators are heavy per row."""
-        return spread_small(self.documents)
+        return self.spread(self.documents)
 
     # ---- people ----------------------------------------------------------
     def resumes_v(self) -> DataFrame:
@@ -53,14 +59,13 @@ class Tables:
         return F.lower(F.concat_ws(" ", "p_type", "p_name"))
 
     def skill_lines(self) -> DataFrame:
-        """One row per line item: who, for which job, which skill, when."""
+        """One row per line item: who, which skill, when."""
         return (
-            self.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+            self.lineitem.select("l_orderkey", "l_partkey")
             .join(self.orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.part.select("p_partkey", "p_type", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
             .select(
-                F.col("o_custkey").alias("resume_id"), F.col("l_suppkey").alias("job_id"),
-                F.col("o_orderdate").cast("date").alias("seen_on"), F.col("p_type").alias("category"),
+                F.col("o_custkey").alias("resume_id"), F.col("o_orderdate").cast("date").alias("seen_on"), F.col("p_type").alias("category"),
                 self._skill().alias("skill"),
             )
         )
@@ -72,35 +77,40 @@ class Tables:
         return self.skill_lines().select("resume_id", "seen_on", "skill").distinct()
 
     # ---- jobs ------------------------------------------------------------
-    def jobs_v(self) -> DataFrame:
+    def _job(self):
+        """A job: what a supplier shipped in one month."""
+        shipped = F.col("l_shipdate").cast("date")
+        return F.col("l_suppkey") * 1000 + (F.year(shipped) - 1990) * 12 + F.month(shipped)
+
+    def employers_v(self) -> DataFrame:
         places = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey"))
         return self.supplier.join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(
-            F.col("s_suppkey").alias("job_id"), F.col("s_name").alias("title"), F.col("n_name").alias("country"),
+            F.col("s_suppkey").alias("employer_id"), F.col("s_name").alias("title"), F.col("n_name").alias("country"),
             F.col("r_name").alias("region"), F.col("s_acctbal").alias("salary_min"),
             (F.col("s_acctbal") + 5000).alias("salary_max"),
         )
 
-    def job_skills_v(self) -> DataFrame:
-        """Per job the ten skills with most quantity: five required, five preferred."""
-        from pyspark.sql import Window
+    def with_employer(self, jobs: DataFrame) -> DataFrame:
+        """Rows with a job_id beside the employer of the job."""
+        return jobs.withColumn("employer_id", F.expr("job_id div 1000")).join(self.employers_v(), "employer_id").drop("employer_id")
 
-        lines = self.lineitem.select("l_suppkey", "l_partkey", "l_quantity").join(
+    def jobs_v(self) -> DataFrame:
+        return self.with_employer(self.lineitem.select(self._job().alias("job_id")).distinct())
+
+    def job_skills_v(self) -> DataFrame:
+        """Every skill of a job with its need: required where a line asks for more than 25 pieces."""
+        lines = self.lineitem.select(self._job().alias("job_id"), "l_partkey", "l_quantity").join(
             self.part.select("p_partkey", "p_type", "p_name"), F.col("l_partkey") == F.col("p_partkey")
         )
-        sums = lines.groupBy(F.col("l_suppkey").alias("job_id"), self._skill().alias("skill")).agg(
-            F.sum(F.col("l_quantity").cast("bigint")).alias("qty")
-        )
-        rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("qty"), F.asc("skill")))
-        return sums.withColumn("rk", rank).filter(F.col("rk") <= 10).select(
-            "job_id", "skill", F.when(F.col("rk") <= 5, "required").otherwise("preferred").alias("need")
-        )
+        need = F.when(F.max("l_quantity") > 25, "required").otherwise("preferred")
+        return lines.groupBy("job_id", self._skill().alias("skill")).agg(need.alias("need"))
 
     def applications_v(self) -> DataFrame:
-        """Asked pairs: a candidate applied to every job which supplied one of the orders."""
+        """Asked pairs: a candidate applied to every job that one of the orders was shipped by."""
         return (
-            self.lineitem.select("l_orderkey", "l_suppkey")
+            self.lineitem.select("l_orderkey", self._job().alias("job_id"))
             .join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(F.col("o_custkey").alias("resume_id"), F.col("l_suppkey").alias("job_id")).distinct()
+            .select(F.col("o_custkey").alias("resume_id"), "job_id").distinct()
         )
 
     # ---- events and pages --------------------------------------------------
@@ -168,7 +178,7 @@ class Tables:
         return self.orders.select(F.col("o_orderkey").alias("id"))
 
     def stored_matches_v(self) -> DataFrame:
-        """Match rows: one per supplier and customer who bought from it, status by the supplier's key."""
+        """Match rows: one per application, status by the key of the job."""
         status = F.when(F.col("job_id") % 3 == 0, rules.PENDING).when(F.col("job_id") % 3 == 1, rules.COMPLETED).otherwise(rules.FAILED)
         result = F.when((F.col("job_id") % 2 == 1) & (F.col("status") != rules.PENDING),
                         F.concat(F.lit('{"overallScore": '), F.col("resume_id").cast("string"), F.lit("}")))
@@ -205,4 +215,4 @@ class Tables:
             c("title"), F.lit("\n\n---\nCertifications\n---\n\n"), c("industry"), F.lit(" Certificate\nInstitute of "), c("region"),
             F.lit("\n(Issued: "), c("year").cast("string"), F.lit(")"),
         )
-        return spread_small(role.join(person, "resume_id").select("id", "resume_id", text.alias("raw_text")), self.orders)
+        return self.spread(role.join(person, "resume_id").select("id", "resume_id", text.alias("raw_text")))

@@ -11,9 +11,9 @@ from __future__ import annotations
 MAX_FILE_BYTES = 10 * 1024 * 1024
 BULK_LIMIT = 50
 MIN_TEXT_CHARS = 100
-PAGES_PER_PART = 500
 REQUESTS_PER_HOUR = 1000
 STUCK_AFTER_SECONDS = 120
+STEP_SHARES = (10, 50, 100)
 
 # ---- messages (fixed values) -----------------------------------------------
 TOO_LARGE = "File size exceeds the %gMB limit. File size: "
@@ -50,12 +50,13 @@ SAVE_FAILED = "save_failed"
 QUEUE_FAILED = "queue_failed"
 FAILURE_STATUSES = (PARSE_FAILED, AI_FAILED, SAVE_FAILED, QUEUE_FAILED, FAILED)
 TERMINAL_STATUSES = (COMPLETED, *FAILURE_STATUSES)
+STEP_PROGRESS = {PROCESSING: STEP_SHARES[0], AI_PROCESSING: STEP_SHARES[1], **{s: STEP_SHARES[2] for s in TERMINAL_STATUSES}}
 
 # ---- text ------------------------------------------------------------------
 WHITESPACE = " \t\n\r\f\x0b"
 REDACTED = "[REDACTED]"
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE_PATTERN = r"(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+PHONE_PATTERN = r"(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}([ ./-]?\(?[0-9]{1,4}\)?){2,6}"
 PROFILE_PATTERN = r"(https?://)?(www\.)?(linkedin\.com|github\.com)/[A-Za-z0-9_/.-]+"
 LINKEDIN_PATTERN = r"(https?://)?(www\.)?linkedin\.com/[A-Za-z0-9_/.-]+"
 WEBSITE_PATTERN = r"https?://[A-Za-z0-9_/.-]+"
@@ -113,7 +114,12 @@ COMPLETENESS_WEIGHTS = (
     ("certifications", 5, "Add certifications."),
 )
 CATEGORY_WEIGHTS = {"skills": 35, "experience": 25, "education": 15, "role": 15, "location": 10}
-DEGREE_RANKS = {"associate": 1, "bachelor": 2, "master": 3, "doctor": 4, "phd": 4}
+DEGREE_WORDS = {
+    1: r"associate (?:of|in|degree)|associate'?s degree|associate's|a\.?a\.?s?\.?",
+    2: r"bachelor|bachelors|bachelor's|b\.?s\.?c?\.?|b\.?a\.?|b\.?eng\.?|b\.?tech\.?|b\.?b\.?a\.?|licence",
+    3: r"master (?:of|in|degree)|masters|master's|m\.?s\.?c?\.?|m\.?a\.?|m\.?eng\.?|m\.?b\.?a\.?|m\.?tech\.?",
+    4: r"doctor of|doctorate|doctoral|phd|ph\.d\.?|d\.?phil\.?|dr\.?",
+}
 RECOMMENDATIONS = (
     (40, "Poor Match"),
     (55, "Weak Match"),
@@ -129,8 +135,6 @@ CURRENCIES = {
 }
 DEFAULT_CURRENCY = "USD"
 COMPARABLES_MIN_ROWS = 5
-COMMON_SKILL_SHARE = 0.1
-LONGEST_LIST = 5000
 NEXT_ROLES = 5
 IMPROVEMENT_AREAS = 3
 SKILL_TREND_BAND = 0.10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,27 +29,62 @@ def stream_quota_audit(events: DataFrame, key: str = "user_id", limit: int = rul
     return progress.quota_audit(stamped, key, limit)
 
 
-def stream_bulk_progress(events: DataFrame, batch: str = "batch") -> DataFrame:
-    """Running progress per batch (update or complete mode)."""
-    return progress.bulk_progress(events, batch)
+_PROGRESS_OUT = "batch bigint, total bigint, completed bigint, failed bigint, processing bigint, progress int, status string, n_events bigint"
+
+
+def stream_bulk_progress(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Running progress per batch by the latest status of each file (update mode); ``n_events`` tells newer rows from older ones.
+
+    ``events``: batch, resume_id, ts, event_id, status. The state of a batch is one status per file, which the bulk limit bounds; it goes
+    when the watermark has passed the latest event by ``delay``.
+    """
+    def track(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        files, seen = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
+        for rows in batches:
+            seen += len(rows)
+            for record, ts, event, new in zip(rows["resume_id"], rows["ts"], rows["event_id"], rows["status"]):
+                place = [pd.Timestamp(ts).value // 1000, int(event), new]
+                if str(record) not in files or place[:2] >= files[str(record)][:2]:
+                    files[str(record)] = place
+        state.update((json.dumps(files), seen))
+        latest = max(place[0] for place in files.values()) // 1000
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
+        total, names = len(files), [place[2] for place in files.values()]
+        completed, failed = names.count(rules.COMPLETED), sum(n in rules.FAILURE_STATUSES for n in names)
+        waiting = total - completed - failed
+        label = "processing" if waiting else "completed" if completed else "failed"
+        yield pd.DataFrame({"batch": [key[0]], "total": [total], "completed": [completed], "failed": [failed], "processing": [waiting],
+                            "progress": [100 * (completed + failed) // total], "status": [label], "n_events": [seen]})
+
+    stamped = events.select("batch", "resume_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status").withWatermark("ts", delay)
+    return stamped.groupBy("batch").applyInPandasWithState(track, _PROGRESS_OUT, "files string, seen bigint", "update", "EventTimeTimeout")
 
 
 _STUCK_OUT = "resume_id bigint, status string, waiting_seconds bigint"
-_STUCK_STATE = "status string, started timestamp, latest timestamp"
+_STUCK_STATE = "status string, started timestamp, latest timestamp, told boolean"
+_KEEP_MS = 24 * 3600 * 1000  # an alert is remembered so long
 
 
 def stream_stuck(events: DataFrame, seconds: int = rules.STUCK_AFTER_SECONDS, delay: str = "10 seconds") -> DataFrame:
-    """Alert when a record has no final status ``seconds`` after its start, by an event-time timer.
+    """Alert once when a record has no final status ``seconds`` after its start, by an event-time timer.
 
-    ``events``: resume_id, ts (timestamp), status. State per record is one status and two times.
+    ``events``: resume_id, ts (timestamp), status. State per record is one status, two times and a mark. A final status, and an alert, stay
+    in the state until the watermark has passed them, so an older event that comes late does not start the record anew; what comes
+    later than the watermark is dropped by Spark.
     """
     def track(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, started, latest, told = state.get if state.exists else (None, None, None, False)
         if state.hasTimedOut:
-            status, _, _ = state.get
-            state.remove()
+            if told or status in rules.TERMINAL_STATUSES:
+                state.remove()
+                return
+            state.update((status, started, latest, True))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + _KEEP_MS)
             yield pd.DataFrame({"resume_id": [key[0]], "status": [status], "waiting_seconds": [seconds]})
             return
-        status, started, latest = state.get if state.exists else (None, None, None)
         for batch in batches:
             for ts, new in sorted(zip(batch["ts"], batch["status"])):
                 if latest is None or ts >= latest:
@@ -56,12 +92,14 @@ def stream_stuck(events: DataFrame, seconds: int = rules.STUCK_AFTER_SECONDS, de
                 if new == rules.PROCESSING and (started is None or ts > started):
                     started = ts
         started = started if started is not None else latest
+        state.update((status, started, latest, told))
+        now = state.getCurrentWatermarkMs() + 1
         if status in rules.TERMINAL_STATUSES:
-            state.remove()
-            return
-        state.update((status, started, latest))
-        due = int(started.timestamp() * 1000) + seconds * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000) + 1, now))
+        elif told:
+            state.setTimeoutTimestamp(now + _KEEP_MS)
+        else:
+            state.setTimeoutTimestamp(max(int(started.timestamp() * 1000) + seconds * 1000, now))
 
     return (
         events.withWatermark("ts", delay).groupBy("resume_id")

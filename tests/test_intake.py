@@ -149,13 +149,17 @@ def test_user_extractor(spark):
 def test_pages(spark):
     rows = [(1, 2, "b"), (1, 0, "a"), (1, 1, ""), (1, 3, " "), (2, 0, ""), (3, 7, "x"), (3, 2, "w")]
     df = spark.createDataFrame(rows, "doc_id int, page_no int, page_text string")
-    got = {(r.doc_id, r.part_no): r.raw_text for r in pages.assemble_pages(df).collect()}
-    assert got == {(1, 0): "a\nb\n \n", (3, 0): "w\nx\n"}
-    kept = {(r.doc_id, r.part_no): r.raw_text for r in pages.assemble_pages(df, keep_empty=True).collect()}
-    assert kept[(1, 0)] == "a\n\nb\n \n" and kept[(2, 0)] == "\n"
-    parts = sorted((r.doc_id, r.part_no, r.raw_text) for r in pages.assemble_pages(df, pages_per_part=2).collect())
-    whole = "".join(p[2] for p in parts if p[0] == 1)
-    assert whole == "a\nb\n \n"
+    got = {r.doc_id: r.raw_text for r in pages.assemble_pages(df).collect()}
+    assert got == {1: "a\nb\n \n", 3: "w\nx\n"}
+    kept = {r.doc_id: r.raw_text for r in pages.assemble_pages(df, keep_empty=True).collect()}
+    assert kept[1] == "a\n\nb\n \n" and kept[2] == "\n"
+
+
+def test_a_long_document_stays_one_row(spark):
+    df = spark.range(501).select(F.lit(1).alias("doc_id"), F.col("id").alias("page_no"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("page_text"))
+    (row,) = pages.assemble_pages(df).collect()
+    assert row.n_pages == 501 and row.raw_text == "".join(f"p{k}\n" for k in range(501))
+    assert not intake.needs_ocr(pages.assemble_pages(df)).first().needs_ocr
 
 
 def test_ocr_threshold(spark):

@@ -143,8 +143,7 @@ def test_top_matches(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("longest", [0, 4, 5000])
-def test_matching_scores_asked_pairs_only(spark, longest):
+def test_matching_scores_asked_pairs_only(spark):
     rnd = random.Random(5)
     have = {r: {f"s{0 if rnd.random() < .5 else rnd.randrange(1, 30)}" for _ in range(8)} for r in range(60)}
     need = {j: {f"s{rnd.randrange(0, 40)}": rnd.choice(["required", "preferred"]) for _ in range(6)} for j in range(20)}
@@ -152,7 +151,7 @@ def test_matching_scores_asked_pairs_only(spark, longest):
     out = match.match_skills(
         spark.createDataFrame([(r, s) for r, xs in have.items() for s in xs], "resume_id int, skill string"),
         spark.createDataFrame([(j, s, n) for j, xs in need.items() for s, n in xs.items()], "job_id int, skill string, need string"),
-        spark.createDataFrame(list(asked), "resume_id int, job_id int"), longest,
+        spark.createDataFrame(list(asked), "resume_id int, job_id int"),
     ).collect()
     assert {(r.resume_id, r.job_id) for r in out} == asked
     for r in out:
@@ -168,11 +167,11 @@ def test_missing_skills(spark):
     own = {r: {f"s{min(rnd.randrange(12), rnd.randrange(12))}" for _ in range(5)} for r in range(120)}
     skills = spark.createDataFrame([(r, s) for r, xs in own.items() for s in xs], "resume_id int, skill string")
     roles = spark.createDataFrame(list(title.items()), "resume_id int, title string")
-    got = {r.resume_id: r.areas for r in enrich.missing_skills(skills, roles, roles, k=3, min_share=0.25).collect()}
+    got = {r.resume_id: r.areas for r in enrich.missing_skills(skills, roles, roles, k=3).collect()}
     for r, t in title.items():
         holders = [x for x in title if title[x] == t]
         counts = Counter(s for x in holders for s in own[x])
-        ranked = sorted((-n, s) for s, n in counts.items() if n / len(holders) >= 0.25)
+        ranked = sorted((-n, s) for s, n in counts.items())
         assert got[r] == [s for _, s in ranked if s not in own[r]][:3]
 
 

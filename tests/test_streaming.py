@@ -39,8 +39,10 @@ def test_status_stream_equals_batch(spark, parts, tmp_path):
 
 
 def test_progress_stream_equals_batch(spark, parts, tmp_path):
-    out = run(status.stream_bulk_progress(stream(spark, parts)), tmp_path, "progress_out", "complete")
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, progress.bulk_progress(parts[2]).collect()))
+    out = run(status.stream_bulk_progress(stream(spark, parts), delay="3650 days"), tmp_path, "progress_out", "update")
+    names = ["batch", "total", "completed", "failed", "processing", "progress", "status"]
+    last = out.groupBy("batch").agg(F.max_by(F.struct(*names[1:]), "n_events").alias("r")).select("batch", "r.*").select(names)
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, progress.bulk_progress(parts[2]).select(names).collect()))
 
 
 def test_quota_stream_equals_batch(spark, parts, tmp_path):
@@ -72,10 +74,16 @@ def test_stuck_alert(spark, tmp_path):
     go()
     write((2, 60, "completed"), (3, 70, "ai_processing"))
     go()
+    write((2, 55, "ai_processing"), (8, 62, "completed"))  # older than the final status of 2
+    go()
     write((9, 4000, "completed"))
     go()
     write((9, 4001, "completed"))
     go()
+    write((1, 4002, "ai_processing"), (9, 4200, "completed"))  # 1 was told already
+    go()
+    write((9, 4400, "completed"))
+    go()
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.resume_id, r.status) for r in out) == [(1, "processing"), (3, "ai_processing")]
 
