@@ -2,10 +2,10 @@
 
 1. A text becomes the set of 64-bit hashes of its word shingles; the ``KEEP`` least are its sketch (the whole set, if that is smaller). Equal
    sets fold into a class, one member works for all.
-2. Inverted lists: each retained value lists the classes that retain it. Values retained once link nothing and are counted away. Two sets as similar
-   as asked share many retained values (``_shared``: certain for sets inside a sketch; for larger ones the chance to share fewer than half of
-   ``KEEP`` = 48 at similarity 0.8 is about 1e-7), so they also share one of the rarest few of either (prefix filter). Only these
-   few are listed, so frequent values seldom have lists.
+2. Inverted lists: retained values that stand side by side in a sketch form runs of ``_run`` values, and each run lists the classes that hold it.
+   Of the least values of the union of two similar sets at least four fifths are common; where three common ones follow each other, both sketches
+   have the same run. For sets inside a sketch that is certain (``_short`` ones are listed by their subsets), for larger ones at similarity 0.8 the
+   chance of no common run among 48 values is about 1e-8. Sets that share little have next to no common run, so frequent shingles make no lists.
 3. In each list, classes of like size are first compared with one leader of the list; links found join components. What is left are pairs of
    one list in different components: only those are formed. A group of thousands of near copies so costs a star, not all pairs.
 4. Every pair passes the estimate on the sketch of the union (share of common values among its least ``KEEP``), then the exact similarity on full sets.
@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -71,16 +72,47 @@ def _full_sets(size: int):
     return run
 
 
-def _shared(percent: int):
-    """Retained values that two similar sets share at least, as SQL over the size n of either."""
-    def least(n: int) -> int:
-        most = 100 * n // percent
-        need = -(-percent * n // 100)
-        return max(1, need if most <= KEEP else -(-percent * most // 100) - most + KEEP)
+def _run(percent: int) -> int:
+    """Values of a run: as many as common values must follow each other somewhere, at most three."""
+    return max(1, min(3, -(-percent // max(1, 100 - percent)) - 1))
 
-    small = [least(n) for n in range(1, KEEP)]
-    half = max(1, math.ceil(KEEP * (percent / 100 - 0.3)))
-    return F.when(F.col("n") >= KEEP, half).otherwise(F.element_at(F.array(*[F.lit(min(x, KEEP)) for x in small]), F.least(F.col("n"), F.lit(KEEP - 1)).cast("int")))
+
+def _short(percent: int) -> int:
+    """Largest union in which a run may be missing: there similar sets are found by their common subsets."""
+    def least_run(union: int) -> int:
+        gaps = union - -(-percent * union // 100)
+        return -(-(union - gaps) // (gaps + 1))
+
+    return max((u for u in range(1, KEEP + 1) if least_run(u) < _run(percent)), default=0)
+
+
+def _runs(percent: int):
+    """Rows (row, n, value): the runs of each sketch, and the large enough subsets of short sets."""
+    size, short = _run(percent), _short(percent)
+
+    def run(batches):
+        for batch in slices(batches):
+            keys, rows, sizes = [], [], []
+            for row, n, sketch in zip(batch.column("row").to_pylist(), batch.column("n").to_pylist(), batch.column("sketch")):
+                values = sketch.values.to_numpy().view(np.uint64)
+                found = []
+                if len(values) >= size:
+                    total = np.full(len(values) - size + 1, 7, np.uint64)
+                    for k in range(size):
+                        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + values[k : len(values) - size + 1 + k])
+                    found.append(total)
+                if n <= short:
+                    least = -(-percent * n // 100)
+                    subsets = [c for k in range(max(1, least), n + 1) for c in combinations(values.tolist(), k)]
+                    found.append(np.array([xxhash.xxh3_64_intdigest(np.array(c, np.uint64).tobytes()) for c in subsets], np.uint64))
+                for part in found:
+                    keys.append(part)
+                    rows.append(np.full(len(part), row, np.int64))
+                    sizes.append(np.full(len(part), n, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys).view(np.int64))],
+                                                 names=["row", "n", "value"])
+    return run
 
 
 def _likely(a: Column, b: Column, percent: int) -> Column:
@@ -123,12 +155,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     reps = stored(sketched.join(classes.select(F.col("rep").alias("row")).distinct(), "row", "left_semi").where("n > 0")
                   .select("row", "n", "sketch").dropDuplicates(["row"]))
 
-    values = reps.select("row", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
-    held = values.join(often, "value").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("held"))
-    room = F.size("sketch") - _shared(percent) + 1 - (F.size("sketch") - F.size("held"))
-    lists = stored(reps.join(held, "row").select("row", "n", room.alias("room"), "held").where("room > 0")
-                   .select("row", "n", F.explode(F.slice("held", 1, F.col("room"))).alias("x")).select("row", "n", F.col("x.value").alias("value")))
+    runs = reps.mapInArrow(_runs(percent), "row long, n long, value long")
+    often = runs.groupBy("value").agg(F.count("*").alias("times")).where("times > 1").select("value")
+    lists = stored(runs.join(often, "value"))
+
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) / 2))
     banded = lists.withColumn("band", band)
     leaders = banded.groupBy("value", "band").agg(F.min("row").alias("a"))
