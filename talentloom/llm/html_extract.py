@@ -62,9 +62,9 @@ def _names(attributes: str) -> tuple[str, bool]:
 class Page:
     """One pass over a page: blocks of text left, and hashes of the subtrees that may be templates."""
 
-    def __init__(self, page: str, templates: frozenset = frozenset()):
+    def __init__(self, page: str, host: str = "", templates: frozenset = frozenset()):
         self.hashes: set[int] = set()
-        self._templates = templates
+        self._host, self._templates = host, templates
         self._pieces: list[str | None] = []  # text, or None where a block ends
         self._regions: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
         self._stack: list[list] = []  # tag, class, marked, first piece, digests of children, holds an article, inside an article
@@ -136,7 +136,8 @@ class Page:
             self._stack[-1][4].append(digest)
         if name not in ("html", "body", "article", "main") and not holds and children and (name in CONTAINERS or not inside):
             self.hashes.add(digest)
-        if not holds and name not in ("html", "body", "main") and (name in FURNITURE or marked or digest in self._templates):
+        if not holds and name not in ("html", "body", "main") and (
+                name in FURNITURE or marked or (self._templates and of_site(self._host, digest) in self._templates)):
             del self._pieces[first:]
         elif name in self._regions and not inside:
             self._regions[name].append((first, len(self._pieces)))
@@ -163,23 +164,27 @@ class Page:
         return "\n".join(blocks)
 
 
+def of_site(host: str, digest: int) -> int:
+    """Hash of a subtree on a host."""
+    return xxhash.xxh3_64_intdigest(f"{host} {digest}") - (1 << 63)
+
+
 def _subtrees(batches):
     for batch in slices(batches):
-        out = ([], [], [], [])
+        out = ([], [], [])
         for row, host, page in zip(*[batch.column(c).to_pylist() for c in ("row", "host", "html")]):
             read = Page(page)
             content = xxhash.xxh3_64_intdigest(read.text()) - (1 << 63)
             for digest in read.hashes:
-                for column, value in zip(out, (row, host, content, digest)):
+                for column, value in zip(out, (row, content, of_site(host, digest))):
                     column.append(value)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["row", "host", "content", "digest"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["row", "content", "digest"])
 
 
 def _texts(batches):
     for batch in slices(batches):
-        pages, templates = batch.column("html").to_pylist(), batch.column("templates").to_pylist()
-        texts = [Page(p, frozenset(t or ())).text() for p, t in zip(pages, templates)]
+        rows = zip(*[batch.column(c).to_pylist() for c in ("host", "html", "templates")])
+        texts = [Page(page, host, frozenset(templates or ())).text() for host, page, templates in rows]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -192,10 +197,11 @@ def main_text(pages: DataFrame, least: int = PAGES, id_col: str = "page_id", url
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = read.withColumn("row", row_key("page_id", "url", "html"))
-    trees = keyed.select("row", host.alias("host"), "html").mapInArrow(_subtrees, "row long, host string, content long, digest long")
-    often = (trees.groupBy("host", "digest", "content").agg(F.lit(1).alias("one")).groupBy("host", "digest").agg(F.count("*").alias("pages"))
-             .where(F.col("pages") >= least).select("host", "digest"))
-    mine = trees.select("row", "host", "digest").join(often, ["host", "digest"]).groupBy("row").agg(F.collect_set("digest").alias("templates"))
+    named = keyed.withColumn("host", host)
+    trees = named.select("row", "host", "html").mapInArrow(_subtrees, "row long, content long, digest long")
+    often = (trees.groupBy("digest", "content").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("pages"))
+             .where(F.col("pages") >= least).select("digest"))
+    mine = trees.select("row", "digest").join(often, "digest").groupBy("row").agg(F.collect_set("digest").alias("templates"))
     kind = ", ".join(f"{c} {read.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    found = keyed.join(mine, "row", "left").select("page_id", "url", "html", "templates").mapInArrow(_texts, f"{kind}, text string")
+    found = keyed.join(mine, "row", "left").withColumn("host", host).select("page_id", "url", "host", "html", "templates").mapInArrow(_texts, f"{kind}, text string")
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
