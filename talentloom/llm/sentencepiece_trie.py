@@ -33,7 +33,8 @@ class Vocabulary:
     def __init__(self, pieces: list[str], scores: list[float], kind: str, byte_ids: dict[int, int], control: set[int], unknown: int):
         self.pieces, self.scores, self.kind, self.byte_ids, self.unknown = pieces, scores, kind, byte_ids, unknown
         self.ids = {p: i for i, p in enumerate(pieces) if i not in control and i not in byte_ids.values() and i != unknown}
-        self.longest = max(map(len, self.ids), default=1)
+        #: Every ending of a piece, with the piece that it is, or -1.
+        self.endings = {p[k:]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.outside = min(scores) - 10.0
         spelled = {i: bytes([b]) for b, i in byte_ids.items()}
         self.bytes = [spelled.get(i, b"" if i in control else p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)]
@@ -58,7 +59,6 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.apart: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Letters merged by rank, the best pair first, the leftmost of equals."""
@@ -74,22 +74,19 @@ class Encoder:
     def open(self, before: int, piece: int) -> bool:
         """Whether a piece may follow another one (-1: a border) under the merge procedure."""
         if before < 0:
-            known = self.whole.get(piece)
-            if known is None:
-                known = self.whole[piece] = len(self.merged(self.v.pieces[piece])) == 1
-            return known
-        known = self.apart.get((before, piece))
-        if known is None:
+            known = len(self.merged(self.v.pieces[piece])) == 1
+        else:
             a, b = self.v.pieces[before], self.v.pieces[piece]
-            known = self.apart[before, piece] = self.merged(a + b) == [a, b]
+            known = self.merged(a + b) == [a, b]
+        self.apart[before, piece] = known
         return known
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word of a sorted list."""
-        ids, scores, longest, outside = self.v.ids, self.v.scores, self.v.longest, self.v.outside
+        endings, scores, outside, apart = self.v.endings, self.v.scores, self.v.outside, self.apart
         unigram = self.v.kind == "unigram"
-        if len(self.apart) > REMEMBERED:
-            self.apart.clear()
+        if len(apart) > REMEMBERED:
+            apart.clear()
         before = ""
         last, back, total = [-1], [0], [0.0]  # per prefix: last piece (-1: none or bytes), where it starts, score of the path
         out = []
@@ -99,27 +96,34 @@ class Encoder:
                 same += 1
             del last[same + 1 :], back[same + 1 :], total[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                found, start, score = -1, end - 1, total[end - 1] + outside
-                got = False
-                for low in range(max(0, end - longest), end):
-                    piece = ids.get(word[low:end])
+                found, start, score, low = -1, end - 1, None, end - 1
+                while low >= 0:
+                    piece = endings.get(word[low:end])
                     if piece is None:
-                        continue
-                    if unigram:
-                        if not got or total[low] + scores[piece] > score:
-                            found, start, score, got = piece, low, total[low] + scores[piece], True
-                    elif self.open(last[low], piece):
-                        found, start, score = piece, low, total[low] + scores[piece]
                         break
+                    if piece >= 0:
+                        if unigram:
+                            if score is None or total[low] + scores[piece] > score:
+                                found, start, score = piece, low, total[low] + scores[piece]
+                        else:
+                            may = apart.get((last[low], piece))
+                            if self.open(last[low], piece) if may is None else may:
+                                found, start, score = piece, low, total[low] + scores[piece]
+                                break
+                    low -= 1
                 last.append(found)
                 back.append(start)
-                total.append(score)
+                total.append(total[end - 1] + outside if score is None else score)
             before = word
             path, at = [], len(word)
             while at:
-                path.append(last[at] if last[at] >= 0 else word[back[at] : at])
+                if last[at] >= 0:
+                    path.append(last[at])
+                else:
+                    path.extend(reversed(self.spelled(word[back[at] : at])))
                 at = back[at]
-            out.append([i for p in reversed(path) for i in ([p] if isinstance(p, int) else self.spelled(p))])
+            path.reverse()
+            out.append(path)
         return out
 
     def spelled(self, letters: str) -> list[int]:
@@ -138,22 +142,34 @@ def cutter(vocabulary: Vocabulary) -> re.Pattern:
     return re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
+_WORKER: dict[int, tuple[Encoder, dict[str, bytes]]] = {}
+
+
+def _memory(vocabulary: Vocabulary) -> tuple[Encoder, dict[str, bytes]]:
+    """Encoder and known words of this worker, kept from task to task while the vocabulary stays."""
+    key = hash((vocabulary.kind, tuple(vocabulary.pieces), tuple(vocabulary.scores)))
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Encoder(vocabulary), {}
+    return _WORKER[key]
+
+
 def _encoded(shared, text_name: str, names: list[str]):
     def run(batches):
-        encoder, cut = Encoder(shared.value), cutter(shared.value)
-        known: dict[str, np.ndarray] = {}
+        encoder, known = _memory(shared.value)
+        cut = cutter(shared.value)
 
         def rows(part: pa.RecordBatch, words: list[list[str] | None]) -> pa.RecordBatch:
-            new = sorted({w for ws in words if ws for w in ws if w not in known})
+            every = set().union(*[ws for ws in words if ws])
+            new = every.difference(known)
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = sorted({w for ws in words if ws for w in ws})
-            known.update(zip(new, (np.array(x, np.int32) for x in encoder.encode(new))))
-            values = [np.concatenate([known[w] for w in ws]) if ws else np.zeros(0, np.int32) for ws in words if ws is not None]
-            sizes = iter(len(v) for v in values)
-            offsets = np.cumsum([0] + [0 if ws is None else next(sizes) for ws in words]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(
-                pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)), mask=pa.array([ws is None for ws in words]))
+                new = every
+            new = sorted(new)
+            known.update(zip(new, (np.array(x, np.int32).tobytes() for x in encoder.encode(new))))
+            joined = [b"".join(map(known.__getitem__, ws)) if ws else b"" for ws in words]
+            offsets = np.cumsum([0] + [len(j) // 4 for j in joined]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(joined), np.int32)), mask=pa.array([ws is None for ws in words]))
             return pa.RecordBatch.from_arrays([*part.columns, ids], names=[*names, "ids"])
 
         for batch in batches:
