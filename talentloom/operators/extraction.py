@@ -1,20 +1,23 @@
 """Raw text → nested record, with column expressions only.
 
-Expected form: a header with name and contact line, then sections headed by a
-line between two ``---`` rules, entries of a section parted by blank lines.
+Expected form: a header with name and contact line, then sections, entries of a
+section parted by blank lines. A section is headed by a line between two ``---``
+rules; in texts without rules by a line that is a usual heading, or in capitals.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talentloom import schemas
+from talentloom import rules, schemas
 from talentloom.functions.dates import duration_text, parse_loose_date, whole_months
 from talentloom.functions.text import email_in, first_line, linkedin_in, phone_in, strip_ws, website_in, word_frame
 from talentloom.functions.values import career_level, let
 from talentloom.operators.text_analysis import best_industry, distinct_words, industry_fit_of
 
 _RULE = r"(?m)^---[ \t]*$"
+_HEADING = r"(?<=\n)[ \t]*((?i:" + "|".join(rules.HEADING_WORDS) + r")|[A-Z][A-Z&/]+(?: [A-Z&/]+){0,3})[ \t]*:?[ \t]*(?=\n)"
+_STATE = r"^[A-Z]{2}(\s+[0-9]{5}(-[0-9]{4})?)?$"
 _BLANK_LINE = r"\n[ \t]*\n\s*"
 _DATE_SPAN = r"\(\s*([^()–-]+?)\s*[–-]\s*([^()]+?)\s*\)"
 _ZIP = r"(?:^|\s)([A-Z0-9-]*[0-9][A-Z0-9 -]*)$"
@@ -32,7 +35,8 @@ def _sections(text: Column) -> Column:
         header = F.struct(F.lit(_HEADER).alias("section"), strip_ws(F.get(parts, F.lit(0))).alias("body"))
         return F.concat(F.array(header), named)
 
-    return let(F.split(text, _RULE, -1), read)
+    ruled = F.when(text.rlike(_RULE), text).otherwise(F.regexp_replace(text, _HEADING, "---\n$1\n---"))
+    return let(F.split(ruled, _RULE, -1), read)
 
 
 def split_sections(df: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -46,8 +50,14 @@ def split_sections(df: DataFrame, text: str = "raw_text") -> DataFrame:
 
 
 def section_body(sections: Column, word: str) -> Column:
-    """Bodies of all sections whose heading holds a word; '' when there is none."""
-    hits = F.filter(F.map_entries(sections), lambda e: e.key.contains(word))
+    """Bodies of all sections whose heading holds a word or one of its usual other names; '' when there is none."""
+    def named(key: Column) -> Column:
+        out = F.lit(False)
+        for name in rules.SECTION_NAMES.get(word, (word,)):
+            out = out | key.contains(name)
+        return out
+
+    hits = F.filter(F.map_entries(sections), lambda e: named(e.key))
     return F.array_join(F.transform(hits, lambda e: e.value), "\n\n")
 
 
@@ -106,16 +116,17 @@ def _parts(lines: Column) -> Column:
 
 
 def _address(place: Column) -> Column:
-    """``street, city[, state zip], country`` or ``city, country``."""
+    """``street, city[, state zip], country``, ``city, country``, or without a country ``[street,] city, ST[ zip]``."""
     def read(parts: Column) -> Column:
-        n = F.size(parts)
-        region = F.when(n >= 4, F.get(parts, F.lit(2)))
+        n, end = F.size(parts), F.element_at(parts, -1)
+        home = (n >= 2) & end.rlike(_STATE) & ~end.isin("UK", "US")
+        region = F.when(home, end).when(n >= 4, F.get(parts, F.lit(2)))
         return F.struct(
             F.when(n >= 3, F.get(parts, F.lit(0))).alias("street"),
             F.when(n >= 3, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))).alias("city"),
             _or_null(F.trim(F.regexp_replace(region, _ZIP, ""))).alias("state"),
             _or_null(F.regexp_extract(region, _ZIP, 1)).alias("zipCode"),
-            F.element_at(parts, -1).alias("country"),
+            F.when(~home, end).alias("country"),
         )
 
     return F.when(place.isNotNull(), let(F.transform(F.split(place, ","), strip_ws), read))
@@ -217,7 +228,10 @@ def extract_skills(df: DataFrame, body: Column) -> DataFrame:
 
     def kind(g: Column) -> Column:
         low = F.lower(g["category"])
-        return F.when(low.isin("soft skills", "soft"), "soft").when(low.isin("languages", "spoken languages"), "spoken").otherwise("technical")
+        words = F.split(F.lower(g["listed"]), r"[^\p{L}]+")
+        tongues = F.arrays_overlap(words, F.array(*[F.lit(x) for x in rules.SPOKEN_LANGUAGES]))  # else languages of programming
+        spoken = (low == "spoken languages") | ((low == "languages") & tongues)
+        return F.when(low.isin("soft skills", "soft"), "soft").when(spoken, "spoken").otherwise("technical")
 
     groups = F.transform(named, lambda g: F.struct(g["category"].alias("category"), g["listed"].alias("listed"), kind(g).alias("kind")))
     listed = df.withColumn("_groups", groups)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, functions as F
 
 from talentloom import rules, schemas
@@ -9,9 +11,10 @@ from talentloom.functions.dates import parse_loose_date
 from talentloom.functions.text import norm_skill
 from talentloom.operators import enrich
 from talentloom.operators.extraction import structure_resumes
-from talentloom.operators.intake import create_records, text_gate
+from talentloom.operators.intake import create_records, needs_ocr, text_gate
 from talentloom.operators.records import merge_block
 from talentloom.operators.text_analysis import bias_report, detect_language
+from talentloom.sources.pages import assemble_pages
 from talentloom.sources.uploads import ROUTE_EXTERNAL, media_type_of, read_texts, route_media, size_gate
 
 RECORD_COLUMNS = ["id", "path", "file_name", "file_size", "file_type", "stored_name", "route", "processing_status",
@@ -40,6 +43,32 @@ def intake_plan(files: DataFrame, as_of: str | None) -> DataFrame:
     return read.select(*RECORD_COLUMNS).unionByName(waiting.select(*RECORD_COLUMNS))
 
 
+class Returned(NamedTuple):
+    records: DataFrame
+    ocr: DataFrame
+
+
+def return_plan(records: DataFrame, pages: DataFrame, as_of: str, seen: bool = False) -> Returned:
+    """Bring the pages (doc_id, page_no, page_text) of handed-off files back into their records.
+
+    A text that is too short goes to the outside reader of images once more (``ocr``: the list to hand off) and its record waits on; with
+    ``seen`` the pages come from there and are taken as they are. Other records pass unchanged. ``enrich_plan`` takes on from here.
+    """
+    texts = needs_ocr(assemble_pages(pages, keep_empty=seen)).select(
+        F.col("doc_id").alias("id"), F.col("raw_text").alias("_text"), (F.col("needs_ocr") & F.lit(not seen)).alias("_again"))
+    waiting = (F.col("route") == ROUTE_EXTERNAL) & (F.col("processing_status") == rules.PROCESSING)
+    joined = records.join(texts, "id", "left").withColumn("_back", waiting & F.col("_text").isNotNull() & ~F.col("_again"))
+    judged = text_gate(joined.withColumnRenamed("processing_status", "_status"), "_text")
+    out = judged.select(*[
+        F.when(F.col("_back"), F.col("processing_status")).otherwise(F.col("_status")).alias(c) if c == "processing_status"
+        else F.when(F.col("_back"), F.col("_text")).otherwise(F.col("raw_text")).alias(c) if c == "raw_text"
+        else F.when(F.col("_back"), F.lit(as_of).cast("timestamp")).otherwise(F.col("processed_at")).alias(c) if c == "processed_at"
+        else F.col(c) for c in records.columns
+    ])
+    ocr = joined.filter(waiting & F.col("_again")).select("id", "path", "file_name", "file_type")
+    return Returned(out, ocr)
+
+
 def complete_from_log(records: DataFrame, log: DataFrame, as_of: str) -> DataFrame:
     """Add the uploads of a log (path, file_name, file_size, file_type) that the scan did not deliver.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from talentloom import rules
 from talentloom.operators import intake, match, records
+from talentloom.plans import batch
 from talentloom.plans.catalogue.registry import query, quoted, uuid_sql
 from talentloom.sources import pages, records_json, uploads
 
@@ -181,6 +182,19 @@ def _(t):
     return prompts.select("id", "kind", F.md5("prompt").alias("digest"))
 
 
+_KINDS = ("bias", "anonymize", "salary", "career", "match")
+
+
+@query("io14_prompts_of_all_kinds", " union all ".join(
+    f"select doc_id as id, '{k}' as kind, md5({quoted(records_json.prompt_head(k))} || text) as digest from documents" for k in _KINDS))
+def _(t):
+    out = None
+    for kind in _KINDS:
+        prompts = records_json.build_prompts(t.documents, kind, F.col("text"), "doc_id").select("id", "kind", F.md5("prompt").alias("digest"))
+        out = prompts if out is None else out.unionByName(prompts)
+    return out
+
+
 _BULK_SQL = f"""
     select lang, doc_id, rn <= {rules.BULK_LIMIT} as accepted,
            case when rn > {rules.BULK_LIMIT} then 'Batch exceeds the limit of {rules.BULK_LIMIT} files' end as reason
@@ -217,6 +231,33 @@ def _(t):
     return uploads.external_hand_off(uploads.route_media(_typed(t)))
 
 
+_RETURNED = f"""select c.doc_id, length(trim(coalesce(raw_text, ''), {_WS})) < 100 as again, raw_text from (select distinct conv_id as doc_id from conversations) c
+    left join (select doc_id, string_agg(page_text || chr(10), '' order by page_no) as raw_text from doc_pages_v where page_text <> '' group by 1) p
+    on p.doc_id = c.doc_id"""
+
+
+def _returned(t):
+    """Scans handed off, one per conversation, with the turns as their pages."""
+    name = F.concat(F.col("conv_id").cast("string"), F.lit(".pdf"))
+    files = t.conversations.select("conv_id").distinct().select(
+        F.col("conv_id").alias("id"), F.concat(F.lit("/up/"), name).alias("path"), name.alias("file_name"), F.lit(rules.MEDIA_PDF).alias("file_type"),
+        F.lit(uploads.ROUTE_EXTERNAL).alias("route"), F.lit(rules.PROCESSING).alias("processing_status"),
+        F.lit(None).cast("timestamp").alias("processed_at"), F.lit(None).cast("string").alias("raw_text"))
+    return batch.return_plan(files, t.doc_pages_v(), AS_OF)
+
+
+@query("io17_returned_pages", f"""
+    select doc_id as id, case when again then 'processing' else 'ai_processing' end as status, case when not again then md5(raw_text) end as digest
+    from ({_RETURNED})""")
+def _(t):
+    return _returned(t).records.select("id", F.col("processing_status").alias("status"), F.md5("raw_text").alias("digest"))
+
+
+@query("io17_second_hand_off", f"select doc_id as id, doc_id || '.pdf' as file_name from ({_RETURNED}) where again and raw_text is not null")
+def _(t):
+    return _returned(t).ocr.select("id", "file_name")
+
+
 @query("u5_check_intake", f"""
     with judged as ({_BULK_SQL})
     select case when j.doc_id is null then 'unknown' else 'lost' end as problem, count(*) as n

@@ -101,6 +101,23 @@ INDUSTRY_TERMS = {
     "consulting": ["strategy", "stakeholder", "advisory", "transformation", "workshop", "roadmap", "client", "engagement"],
 }
 
+# ---- headings of a resume -------------------------------------------------------
+SECTION_NAMES = {
+    "summary": ("summary", "profile", "objective", "about me"),
+    "experience": ("experience", "employment", "work history", "career history"),
+    "education": ("education", "academic background", "qualifications"),
+    "skill": ("skill", "competenc"),
+    "certification": ("certif", "licenses"),
+}
+HEADING_WORDS = ("professional summary", "executive summary", "career summary", "summary", "profile", "objective", "about me", "work experience",
+                 "professional experience", "experience", "employment history", "employment", "work history", "career history", "education",
+                 "academic background", "technical skills", "core skills", "key skills", "skills", "competencies", "certifications", "certificates",
+                 "licenses and certifications")
+SPOKEN_LANGUAGES = ("arabic", "bengali", "bulgarian", "cantonese", "chinese", "croatian", "czech", "danish", "dutch", "english", "estonian", "farsi",
+                    "finnish", "french", "german", "greek", "hebrew", "hindi", "hungarian", "indonesian", "irish", "italian", "japanese", "korean",
+                    "latvian", "lithuanian", "malay", "mandarin", "norwegian", "persian", "polish", "portuguese", "punjabi", "romanian", "russian",
+                    "serbian", "slovak", "spanish", "swahili", "swedish", "tamil", "thai", "turkish", "ukrainian", "urdu", "vietnamese", "welsh")
+
 # ---- scores ----------------------------------------------------------------
 COMPLETENESS_WEIGHTS = (
     ("full_name", 10, "Add your full name."),

@@ -92,17 +92,52 @@ RAW_RESPONSE = {
         metadata=obj(matchedAt=S, processingTime=S, algorithm=S, confidenceFactors=T.MapType(S, D)),
     ),
 }
-RESPONSE = {"parse": PARSED, "anonymize": DOC, "bias": BIAS_REPORT, "salary": SALARY_ESTIMATE, "career": CAREER}
+_TYPED_SCORE = obj(score=I, weight=I, details=T.MapType(S, S))
+MATCH_ANSWER = obj(
+    matchId=S, resumeId=S, jobTitle=S, company=S,
+    matchingResults=obj(
+        overallScore=I, confidence=D, recommendation=S,
+        categoryScores=obj(skillsMatch=_TYPED_SCORE, experienceMatch=_TYPED_SCORE, educationMatch=_TYPED_SCORE,
+                           roleAlignment=_TYPED_SCORE, locationMatch=_TYPED_SCORE),
+        strengthAreas=STRINGS, gapAnalysis=obj(criticalGaps=arr(_GAP), improvementAreas=arr(_GAP)),
+        salaryAlignment=obj(candidateExpectation=S, jobSalaryRange=S, marketRate=S, alignment=S), competitiveAdvantages=STRINGS,
+    ),
+    explanation=obj(summary=S, keyFactors=STRINGS, recommendations=STRINGS),
+    metadata=obj(matchedAt=S, processingTime=D, algorithm=S, confidenceFactors=T.MapType(S, D)),
+)
+RESPONSE = {"parse": PARSED, "anonymize": DOC, "bias": BIAS_REPORT, "salary": SALARY_ESTIMATE, "career": CAREER, "match": MATCH_ANSWER}
+# What an answer must hold to be valid, by kind and path; the same fields that validation asks for.
+REQUIRED = {
+    "parse": {"personalInfo.name": ["full"], "experience": ["title", "company"], "education": ["degree", "institution"],
+              "skills.technical": ["category"], "skills.languages": ["language"], "certifications": ["name"]},
+    "anonymize": {},
+    "bias": {"findings": ["category", "finding", "suggestion"]},
+    "salary": {"": ["comments"]},
+    "career": {"": ["comments"]},
+    "match": {
+        "": ["matchId", "resumeId", "jobTitle", "matchingResults", "explanation", "metadata"],
+        "matchingResults": ["overallScore", "confidence", "recommendation", "categoryScores", "gapAnalysis", "salaryAlignment"],
+        **{f"matchingResults.categoryScores.{c}": ["score", "weight", "details"] for c in
+           ("skillsMatch", "experienceMatch", "educationMatch", "roleAlignment", "locationMatch")},
+        "matchingResults.categoryScores": ["skillsMatch", "experienceMatch", "educationMatch", "roleAlignment", "locationMatch"],
+        "matchingResults.gapAnalysis.criticalGaps": ["category", "missing", "impact", "suggestion"],
+        "matchingResults.gapAnalysis.improvementAreas": ["category", "missing", "impact", "suggestion"],
+        "matchingResults.salaryAlignment": ["candidateExpectation", "jobSalaryRange", "alignment"],
+        "explanation": ["summary"], "metadata": ["matchedAt", "processingTime", "algorithm"],
+    },
+}
 
 _JSON_NAMES = {"string": "string", "int": "integer", "bigint": "integer", "double": "number", "boolean": "boolean"}
 
 
-def json_schema(dtype: T.DataType) -> dict:
-    """JSON-schema form of a record type, for the prompt data set."""
+def json_schema(dtype: T.DataType, required: dict[str, list[str]] | None = None, path: str = "") -> dict:
+    """JSON-schema form of a record type, for the prompt data set; ``required`` lists mandatory fields by path."""
+    required = required or {}
     if isinstance(dtype, T.StructType):
-        return {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in dtype.fields}}
+        inner = {f.name: json_schema(f.dataType, required, f"{path}.{f.name}".lstrip(".")) for f in dtype.fields}
+        return {"type": "object", "properties": inner} | ({"required": required[path]} if path in required else {})
     if isinstance(dtype, T.ArrayType):
-        return {"type": "array", "items": json_schema(dtype.elementType)}
+        return {"type": "array", "items": json_schema(dtype.elementType, required, path)}
     if isinstance(dtype, T.MapType):
-        return {"type": "object", "additionalProperties": json_schema(dtype.valueType)}
+        return {"type": "object", "additionalProperties": json_schema(dtype.valueType, required, path)}
     return {"type": _JSON_NAMES[dtype.simpleString()]}

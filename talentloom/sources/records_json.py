@@ -26,8 +26,8 @@ INSTRUCTIONS = {
 
 def prompt_head(kind: str) -> str:
     """Instruction and JSON schema, the same for every record of a kind."""
-    shape = schemas.RESPONSE.get(kind, schemas.RAW_RESPONSE[kind])
-    return f"{INSTRUCTIONS[kind]}\nSchema:\n{json.dumps(schemas.json_schema(shape))}\nInput:\n"
+    shape = schemas.json_schema(schemas.RESPONSE[kind], schemas.REQUIRED[kind])
+    return f"{INSTRUCTIONS[kind]}\nSchema:\n{json.dumps(shape)}\nInput:\n"
 
 
 def build_prompts(df: DataFrame, kind: str, payload: Column, id_col: str = "id") -> DataFrame:
