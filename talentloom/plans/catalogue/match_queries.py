@@ -22,8 +22,8 @@ VIEWS["scored_v"] = """select *, cast(round((skills_score * 35 + experience_scor
       cast(round(80 * (case when required_n = 0 then 1 else required_hit / required_n end) + 20 * (case when preferred_n = 0 then 1 else preferred_hit / preferred_n end)) as int) as skills_score,
       cast(round(case when y >= need + 3 then 100 when y >= need then 80 + 20 * (y - need) / 3 else 80 * y / need end) as int) as experience_score,
       cast(case when h.job_id % 5 <= h.resume_id % 5 then 100 else greatest(0, 100 - 30 * (h.job_id % 5 - h.resume_id % 5)) end as int) as education_score,
-      case when same and title like '% % %' then 67 when same then 50 else 0 end as role_score, case when same then 75 else 0 end as location_score
-      from (select h.*, j.region || ' manager' as title, r.expectation, j.salary_min, j.salary_max, r.region = j.region as same,
+      case when same and title like '% % %' then 67 when same then 50 else 0 end as role_score, case when same and home then 75 else 0 end as location_score
+      from (select h.*, j.region || ' manager' as title, r.expectation, j.salary_min, j.salary_max, r.region = j.region as same, r.country = j.country as home,
               h.job_id % 6 as need, coalesce(round(y.months / 12, 2), 0) as y
             from hits_v h join jobs_v j on j.job_id = h.job_id join resumes_v r on r.resume_id = h.resume_id
             left join years_v y on y.resume_id = h.resume_id) h)"""
