@@ -50,19 +50,15 @@ def grams_of(texts: list[str | None], order: int, hashes: WordHashes) -> tuple[n
     return sizes, out
 
 
-def contexts_of(sizes: np.ndarray, grams: list[np.ndarray], order: int) -> list[np.ndarray]:
-    """For each k the hash of the (k-1)-gram before each word: that of the word before, or of the start marks."""
-    starts = np.cumsum(sizes) - sizes
-    heads = starts[sizes > 0]
+def start_grams(order: int) -> np.ndarray:
+    """Hashes of the runs of 1 to ``order`` - 1 start marks, the contexts of first words."""
     out = []
     for k in range(1, order):
-        before = np.concatenate((grams[k - 1][:1], grams[k - 1][:-1])) if len(grams[k - 1]) else grams[k - 1].copy()
         total = np.full(1, k, np.uint64)
         for _ in range(k):
             total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + np.array([_START]))
-        before[heads] = total[0]
-        out.append(before)
-    return out
+        out.append(total)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -74,13 +70,14 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
 
 
-def _all_grams(texts: list, order: int, hashes: WordHashes):
-    """Sizes, per word its grams and contexts, and all of them sorted and once each with counts. The mark run of length k counts once per text."""
-    sizes, grams = grams_of(texts, order, hashes)
-    before = contexts_of(sizes, grams, order)
-    starts = [b[(np.cumsum(sizes) - sizes)[sizes > 0]] for b in before]
-    every, counts = np.unique(np.concatenate([*grams, *starts]), return_counts=True)
-    return sizes, grams, before, every, counts
+_HASHES = WordHashes()
+
+
+def _all_grams(texts: list, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Words per text, per word its grams, and all of them in one array; each text with words adds the runs of start marks once."""
+    sizes, grams = grams_of(texts, order, _HASHES)
+    starts = np.tile(start_grams(order), int(np.count_nonzero(sizes)))
+    return sizes, grams, np.concatenate([*grams, starts])
 
 
 def _buckets(every: np.ndarray, buckets: int) -> np.ndarray:
@@ -91,7 +88,7 @@ def _buckets(every: np.ndarray, buckets: int) -> np.ndarray:
 
 def _requests(order: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        _, _, _, every, counts = _all_grams(table.column("text").to_pylist(), order, WordHashes())
+        every, counts = np.unique(_all_grams(table.column("text").to_pylist(), order)[2], return_counts=True)
         at = _buckets(every, buckets)
         out = [(k, planes(np.diff(every[a:b], prepend=np.uint64(0))), planes(counts[a:b])) for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if b > a]
         segment = table.column("segment")[0].as_py()
@@ -113,44 +110,46 @@ def _answers(table: pa.Table) -> pa.Table:
                                  pa.array([planes(found[e - len(r) : e]) for e, r in zip(ends.tolist(), runs)], pa.binary())], names=["segment", "bucket", "totals"])
 
 
-def word_scores(number: np.ndarray, grams: list[np.ndarray], before: list[np.ndarray], count, backoff: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per word the log score without the total of words, and 1 where that total divides; ``count(hashes, number)`` gives counts in other texts."""
-    n = len(number)
+def word_scores(left: list[np.ndarray], contexts: list[np.ndarray], backoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per word the log score without the total of words, and 1 where that total divides.
+
+    ``left`` has for k = 1, 2, … the counts of the word's k-gram in other texts, ``contexts`` for k = 2, … those of the (k-1)-gram before it.
+    """
+    n = len(left[0])
     score, by_total, open_ = np.zeros(n), np.zeros(n), np.ones(n, bool)
-    for k in range(len(grams), 0, -1):
-        seen = count(grams[k - 1], number).astype(np.float64)
-        if k > 1:
-            context = np.maximum(count(before[k - 2], number), 1)
-            hit = open_ & (seen > 0)
-            score[hit] += np.log(seen[hit]) - np.log(context[hit])
-            open_ &= ~hit
-            score[open_] += np.log(backoff)
-        else:
-            score[open_] += np.log(np.maximum(seen[open_], backoff))
-            by_total[open_] = 1
+    for k in range(len(left), 1, -1):
+        hit = open_ & (left[k - 1] > 0)
+        score[hit] += np.log(left[k - 1][hit] / np.maximum(contexts[k - 2][hit], 1))
+        open_ &= ~hit
+        score[open_] += np.log(backoff)
+    score[open_] += np.log(np.maximum(left[0][open_], backoff))
+    by_total[open_] = 1
     return score, by_total
 
 
 def _scores(order: int, backoff: float):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        sizes, grams, before, every, counts = _all_grams(texts.column("text").to_pylist(), order, WordHashes())
-        runs = sorted(zip(answers.column("bucket").to_pylist(), answers.column("totals")), key=lambda x: x[0])
-        totals = np.concatenate([unplanes(t.as_py()) for _, t in runs]).astype(np.int64) if runs else np.zeros(0, np.int64)
-        number = np.repeat(np.arange(len(sizes)), sizes)
-        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        places = [np.searchsorted(every, g) for g in grams]
-        own_keys = np.concatenate([p * len(sizes) + number for p in places] + [np.searchsorted(every, b[starts]) * len(sizes) + number[starts] for b in before])
-        own, own_counts = np.unique(own_keys, return_counts=True)
-
-        def count(hashes, number):
-            place = np.searchsorted(every, hashes)
-            key = place * len(sizes) + number
-            at = np.minimum(np.searchsorted(own, key), max(len(own) - 1, 0))
-            return totals[place] - np.where(own[at] == key, own_counts[at], 0)
-
-        score, by_total = word_scores(number, grams, before, count, backoff) if len(number) else (np.zeros(0), np.zeros(0))
-        summed = np.bincount(number, score, len(sizes)) if len(number) else np.zeros(len(sizes))
-        backed = np.bincount(number, by_total, len(sizes)) if len(number) else np.zeros(len(sizes))
+        sizes, grams, joined = _all_grams(texts.column("text").to_pylist(), order)
+        n, docs = len(grams[0]), len(sizes)
+        number = np.repeat(np.arange(docs), sizes)
+        summed = backed = np.zeros(docs)
+        if n:
+            place = np.unique(joined, return_inverse=True)[1]
+            runs = sorted(zip(answers.column("bucket").to_pylist(), answers.column("totals")), key=lambda x: x[0])
+            totals = np.concatenate([unplanes(t.as_py()) for _, t in runs]).astype(np.int64)
+            left = []
+            for k in range(order):
+                here = place[k * n : (k + 1) * n]
+                _, which, own = np.unique(here * docs + number, return_inverse=True, return_counts=True)
+                left.append(totals[here] - own[which])
+            heads = np.flatnonzero(np.diff(number, prepend=-1))
+            contexts = []
+            for k in range(order - 1):
+                before = np.concatenate((left[k][:1], left[k][:-1]))
+                before[heads] = totals[place[order * n + k]] - 1
+                contexts.append(before)
+            score, by_total = word_scores(left, contexts, backoff)
+            summed, backed = np.bincount(number, score, docs), np.bincount(number, by_total, docs)
         return pa.Table.from_arrays([texts.column("id").combine_chunks(), pa.array(sizes), pa.array(backed.astype(np.int64)), pa.array(summed)],
                                     names=["id", "n_words", "n_backed_off", "log_score"])
     return run
