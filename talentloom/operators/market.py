@@ -42,12 +42,17 @@ def top_n(df: DataFrame, key: str, n: int, by: str = "n") -> DataFrame:
     return df.orderBy(F.desc(by), F.asc(key)).limit(n)
 
 
-def top_skills(skill_dates: DataFrame, timeframe: str, as_of: str, n: int = 10, exact: bool = True) -> DataFrame:
-    """Skills by number of distinct résumés in the window; the sketch variant saves the shuffle of pairs."""
+def skill_counts(skill_dates: DataFrame, timeframe: str, as_of: str, exact: bool = True) -> DataFrame:
+    """(skill, n): distinct résumés per skill in the window; the sketch variant saves the shuffle of pairs."""
     _, after, until = timeframe_bounds(timeframe, as_of)
     rows = skill_dates.filter(in_window(F.col("seen_on"), after, until))
     count = F.count_distinct("resume_id") if exact else F.approx_count_distinct("resume_id")
-    return top_n(rows.groupBy("skill").agg(count.alias("n")), "skill", n)
+    return rows.groupBy("skill").agg(count.alias("n"))
+
+
+def top_skills(skill_dates: DataFrame, timeframe: str, as_of: str, n: int = 10, exact: bool = True) -> DataFrame:
+    """The skills that most résumés name in the window."""
+    return top_n(skill_counts(skill_dates, timeframe, as_of, exact), "skill", n)
 
 
 def growth_label(rate: Column, band: float, up: str, down: str) -> Column:

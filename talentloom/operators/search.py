@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SORT_COLUMNS = {"relevance": "relevance", "date": "seen_on", "experience": "years", "salary": "salary"}
 MAX_PAGE = 100
+MAX_DEPTH = 10_000
 DEFAULT_PAGE = 20
 
 
@@ -91,9 +92,11 @@ def sort_results(df: DataFrame, field: str = "relevance", order: str = "desc", i
 
 
 def page(df: DataFrame, keys: list[Column], number: int = 1, limit: int = DEFAULT_PAGE) -> DataFrame:
-    """One page of the sorted rows; every task keeps only the rows up to the end of the page."""
+    """One page of the sorted rows; every task keeps only the rows up to the end of the page, so deep pages are refused (see ``page_after``)."""
     if number < 1 or not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"page must be at least 1, limit from 1 to {MAX_PAGE}")
+    if number * limit > MAX_DEPTH:
+        raise ValueError(f"a page may end at row {MAX_DEPTH} at most; page_after goes on from there")
     return df.orderBy(*keys).offset((number - 1) * limit).limit(limit)
 
 

@@ -43,9 +43,12 @@ def _(t):
     return market.top_skills(t.skill_dates_v(), "1y", AS_OF, 20)
 
 
-@query("a02_top_skills_sketch")
+@query("a02_top_skills_sketch", f"select skill, true as near from skill_dates_v where {_NOW} group by 1")
 def _(t):
-    return market.top_skills(t.skill_dates_v(), "1y", AS_OF, 20, exact=False)
+    """Sketched counts of all skills lie within a fifth of the exact ones."""
+    exact = market.skill_counts(t.skill_dates_v(), "1y", AS_OF).withColumnRenamed("n", "_exact")
+    sketch = market.skill_counts(t.skill_dates_v(), "1y", AS_OF, exact=False)
+    return sketch.join(exact, "skill").select("skill", (F.abs(F.col("n") - F.col("_exact")) * 5 <= F.col("_exact")).alias("near"))
 
 
 def _salary_label(rate):
@@ -335,6 +338,13 @@ def _(t):
     return search.page(t.resumes_v(), keys, 3, 20).select("resume_id", "full_name", "expectation")
 
 
+@query("t2_page_after", """
+    select resume_id, full_name, expectation from resumes_v where expectation < 5000 or (expectation = 5000 and resume_id > 10)
+    order by expectation desc, resume_id limit 20""")
+def _(t):
+    return search.page_after(t.resumes_v(), "expectation", "resume_id", (5000.0, 10), 20).select("resume_id", "full_name", "expectation")
+
+
 @query("t2_page_info", "select 3 as page, 20 as \"limit\", count(*) as total, cast(ceil(count(*) / 20) as bigint) as total_pages from resumes_v")
 def _(t):
     return search.page_info(t.resumes_v(), 3, 20)

@@ -20,11 +20,6 @@ AS_OF = "2024-02-01"
 SMALL_LIMIT = 5000
 
 
-@query("io01_scan_uploads")
-def _(t):
-    return uploads.scan_uploads(t.spark, t.folder).select("file_name", "file_size")
-
-
 @query("io02_size_gate", f"""
     select doc_id, n_chars <= {SMALL_LIMIT} as accepted,
            case when n_chars > {SMALL_LIMIT} then 'File size exceeds the {SMALL_LIMIT / (1024 * 1024):g}MB limit. File size: '

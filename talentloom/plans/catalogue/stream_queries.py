@@ -29,6 +29,13 @@ def _(t):
     return out.select("id", F.col("processing_status").alias("status"), F.md5("raw_text").alias("digest"))
 
 
+@query("r2_dedup_rows", "select event_id, user_id from events")
+def _(t):
+    """Rows delivered twice count once."""
+    rows = t.events.select("event_id", "user_id")
+    return rows.unionByName(rows).dropDuplicates(["event_id"])
+
+
 @query("r3_stream_status", "select resume_id, status from latest_v")
 def _(t):
     return status.stream_status(t.status_events_v()).select("resume_id", "status")
