@@ -122,12 +122,12 @@ def _(t):
 def _(t):
     out = extraction.split_sections(t.resume_texts_v())
     s = F.col("sections")
-    return out.select("id", F.size(s).alias("n_sections"), s["professional summary"].alias("summary"), s["certifications"].alias("certifications"))
+    return out.select("id", F.size(s).alias("n_sections"), s["profile"].alias("summary"), s["certifications"].alias("certifications"))
 
 
 @query("s13_extract_contact", """
     select id, full_name, split_part(full_name, ' ', 1) as first, 'user' || id || '@mail.example.com' as email,
-           '(555) 123-' || lpad(cast(id % 10000 as varchar), 4, '0') as phone, id || ' Main Street' as street, region as city, country,
+           '(312) 470-' || lpad(cast(id % 10000 as varchar), 4, '0') as phone, id || ' Canal Row' as street, region as city, country,
            'linkedin.com/in/user' || id as linkedin from texts_v""")
 def _(t):
     out = extraction.extract_contact(t.resume_texts_v()).select("id", "personalInfo.*")
@@ -145,7 +145,7 @@ def _section(word):
     select id, title, industry || ' Inc.' as company, region || ', ' || country as location, cast(yr as varchar) as start_date,
            case mark when 'O' then 'Present' else cast(yr + 2 as varchar) end as end_date, mark = 'O' as is_current,
            case when mark = 'O' and yr = 2023 then '1 year 1 month' when mark = 'O' then (2024 - yr) || ' years 1 month' else '2 years' end as duration,
-           'Handled ' || amount || ' units in ' || industry as achievement
+           'Shipped ' || amount || ' crates of ' || industry as achievement
     from texts_v""")
 def _(t):
     out = extraction.extract_experience(extraction.split_sections(t.resume_texts_v()), AS_OF, _section("experience"))

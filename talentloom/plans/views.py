@@ -202,13 +202,13 @@ class Tables:
         born = c("year") - 5
         text = F.concat(
             c("full_name"), F.lit("\n\n"),
-            c("id").cast("string"), F.lit(" Main Street, "), c("region"), F.lit(", "), c("country"),
-            F.lit(" | (555) 123-"), F.lpad((c("id") % 10000).cast("string"), 4, "0"),
+            c("id").cast("string"), F.lit(" Canal Row, "), c("region"), F.lit(", "), c("country"),
+            F.lit(" | (312) 470-"), F.lpad((c("id") % 10000).cast("string"), 4, "0"),
             F.lit(" | user"), c("id").cast("string"), F.lit("@mail.example.com | linkedin.com/in/user"), c("id").cast("string"),
-            F.lit("\n\n---\nProfessional Summary\n---\n\nWorked in "), c("industry"), F.lit(" for many years.\n\n---\nWork Experience\n---\n\n"),
+            F.lit("\n\n---\nProfile\n---\n\nWorked in "), c("industry"), F.lit(" for many years.\n\n---\nEmployment\n---\n\n"),
             c("title"), F.lit("\n"), c("industry"), F.lit(" Inc., "), c("region"), F.lit(", "), c("country"),
-            F.lit("\n("), c("year").cast("string"), F.lit(" – "), until, F.lit(")\n- Handled "), c("amount").cast("string"),
-            F.lit(" units in "), c("industry"), F.lit("\n\n---\nEducation\n---\n\nBachelor of Science in "), c("region"),
+            F.lit("\n("), c("year").cast("string"), F.lit(" – "), until, F.lit(")\n- Shipped "), c("amount").cast("string"),
+            F.lit(" crates of "), c("industry"), F.lit("\n\n---\nEducation\n---\n\nBachelor of Science in "), c("region"),
             F.lit("\nUniversity of "), c("country"), F.lit(", "), c("region"), F.lit("\n("), (born - 4).cast("string"), F.lit(" – "),
             born.cast("string"), F.lit(")\n- Class of "), born.cast("string"),
             F.lit("\n\n---\nSkills\n---\n\n- Sectors: "), c("industry"), F.lit(", "), c("region"), F.lit(" ("), c("country"), F.lit(", trade)\n- Soft skills: "),

@@ -16,7 +16,7 @@ STUCK_AFTER_SECONDS = 120
 STEP_SHARES = (10, 50, 100)
 
 # ---- messages (fixed values) -----------------------------------------------
-TOO_LARGE = "File size exceeds the %gMB limit. File size: "
+TOO_LARGE = "File size exceeds the %gMB limit. File size: %.2f MB"
 DELETED = "Resume deleted successfully"
 UNKNOWN_RESUME = "Resume not found"
 

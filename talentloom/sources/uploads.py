@@ -50,7 +50,7 @@ def size_gate(df: DataFrame, size: str = "file_size", limit: int = rules.MAX_FIL
     """Add ``accepted`` and ``reject_reason``; only sizes above the limit are rejected."""
     over = F.col(size) > limit
     megabytes = 1024 * 1024
-    reason = F.format_string(rules.TOO_LARGE % (limit / megabytes) + "%.2f MB", F.col(size) / megabytes)
+    reason = F.format_string(rules.TOO_LARGE.replace("%g", f"{limit / megabytes:g}"), F.col(size) / megabytes)
     return df.withColumn("accepted", ~over).withColumn("reject_reason", F.when(over, reason))
 
 
