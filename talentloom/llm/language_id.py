@@ -1,6 +1,6 @@
 """Language of a text: averaged embeddings of hashed subwords under a linear softmax, trained by stochastic gradient descent in numpy.
 
-A word, in lower case and without what is no letter, gives its hashed character n-grams with its borders, and itself. The mean of their vectors, times a
+A word, in lower case and without what is no letter, gives its hashed n-grams of bytes with its borders, and itself. The mean of their vectors, times a
 matrix, gives a score per language. The model is fitted on the driver on a bounded sample of labelled rows (``PER_LANGUAGE`` documents of
 each language, a few short stretches of words of each). A held-back part of the sample sets the temperature of the probabilities and the bar
 below which a prediction is rejected. Prediction is linear, so every task sums one small vector per word, remembered, over the whole text.
@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from talentloom.llm.common import slices
+from talentloom.llm.common import mixed, slices
 
 #: Most labelled documents of a language that the model is fitted on, and words in the stretches taken of each.
 PER_LANGUAGE, STRETCHES = 1000, (3, 8, 30)
-#: Hash buckets, size of a vector, lengths of character n-grams.
+#: Hash buckets, size of a vector, lengths of n-grams of bytes.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (2, 3, 4)
 #: Passes over the sample, rate of learning, rows of a step.
 PASSES, RATE, STEP = 6, 0.5, 32
@@ -29,14 +29,31 @@ UNKNOWN = "und"
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word's n-grams and of the word itself; none for a word without letters."""
-    word = _NO_LETTER.sub("", word)
-    if not word:
-        return []
-    marked = f"<{word}>"
-    grams = {marked} | {marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)}
-    return sorted(zlib.crc32(g.encode()) % BUCKETS for g in grams)
+def letters(word: str) -> str:
+    return word if word.isalpha() else _NO_LETTER.sub("", word)
+
+
+def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of each word and of the word itself, and the place of their word; none for a word without letters."""
+    marked = [f"<{w}>".encode() if w else b"" for w in map(letters, words)]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    place = np.repeat(np.arange(len(marked)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes from here to the end of the word
+    values, places = [], []
+    for n in GRAMS:
+        starts = np.flatnonzero(left >= n)
+        total = np.full(len(starts), n, np.uint64)
+        for k in range(n):
+            total = (total + data[starts + k]) * np.uint64(0x9E3779B97F4A7C15)
+        values.append(total)
+        places.append(place[starts])
+    if len(data):
+        some = np.flatnonzero(sizes)
+        whole = (data + np.uint64(1)) * mixed(left.astype(np.uint64))
+        values.append(np.add.reduceat(whole, (np.cumsum(sizes) - sizes)[some]))
+        places.append(some)
+    return (mixed(np.concatenate(values)) % np.uint64(BUCKETS)).astype(np.int32), np.concatenate(places)
 
 
 class Model:
@@ -105,7 +122,7 @@ def stretches(text: str) -> list[list[int]]:
     words, out = text.lower().split(), []
     for k, size in enumerate(STRETCHES):
         at = zlib.crc32(f"{k} {len(words)} {text[:40]}".encode()) % max(1, len(words) - size + 1)
-        ids = [b for w in words[at : at + size] for b in subwords(w)]
+        ids = buckets(words[at : at + size])[0].tolist()
         if ids:
             out.append(ids)
     return out
@@ -154,31 +171,25 @@ def _predictions(model, text_name: str, names: list[str]):
         m = model.value
         classes = max(1, len(m.languages))
 
-        class Words(dict):
-            """Row of a word in ``table``: its summed scores and its number of buckets."""
+        rows: dict[str, int] = {}
+        table = np.zeros((0, classes + 1))  # per word the summed scores and the number of buckets
 
-            table = np.zeros((1 << 14, classes + 1))
-
-            def __missing__(self, word: str) -> int:
-                row = self[word] = len(self)
-                if row == len(self.table):
-                    self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-                ids = subwords(word)
-                self.table[row, :-1] = m.scores[ids].sum(axis=0) if ids else 0
-                self.table[row, -1] = len(ids)
-                return row
-
-        words = Words()
         for batch in slices(batches):
             texts = batch.column(text_name).to_pylist()
+            split = [t.lower().split() if t else [] for t in texts]
+            every = set().union(*split)
+            new = list(every.difference(rows))
+            if len(rows) + len(new) > REMEMBERED:
+                rows.clear()
+                table, new = table[:0], list(every)
+            rows.update(zip(new, range(len(rows), len(rows) + len(new))))
+            values, place = buckets(new)
+            fresh = [np.bincount(place, m.scores[values, k], len(new)) for k in range(classes)] + [np.bincount(place, minlength=len(new))]
+            table = np.concatenate((table, np.stack(fresh, axis=1))) if new else table
             sums = np.zeros((len(texts), classes + 1))
-            if len(words) > REMEMBERED:
-                words.clear()
-            for k, text in enumerate(texts):
-                split = text.lower().split() if text else []
-                if split:
-                    ids = np.fromiter(map(words.__getitem__, split), np.int64, len(split))
-                    sums[k] = words.table[ids].sum(axis=0)
+            for k, words in enumerate(split):
+                if words:
+                    sums[k] = table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
             some = (sums[:, -1] > 0) & (len(m.languages) > 0)
             p = m.probabilities(sums[:, :-1] / np.maximum(sums[:, -1:], 1)) if len(texts) else np.zeros((0, classes))
             best = p.argmax(axis=1)

@@ -38,13 +38,22 @@ def test_language_of_awkward_rows(spark):
 
 def test_language_model_learns_and_calibrates():
     r = random.Random(4)
-    rows = [(language_id.subwords(w), k) for k, stems in enumerate((["ung", "heit"], ["ment", "eau"])) for w in (r.choice(stems) + r.choice(stems) for _ in range(200))]
+    subwords = lambda w: language_id.buckets([w])[0]
+    rows = [(subwords(w), k) for k, stems in enumerate((["ung", "heit"], ["ment", "eau"])) for w in (r.choice(stems) + r.choice(stems) for _ in range(200))]
     sizes = np.array([len(x) for x, _ in rows])
-    model = language_id.fit(np.concatenate([np.array(x, np.int32) for x, _ in rows]), sizes, np.array([k for _, k in rows]), ["de", "fr"])
-    p = model.probabilities(np.stack([model.scores[language_id.subwords(w)].mean(axis=0) for w in ("heitung", "eaument")]))
+    model = language_id.fit(np.concatenate([x for x, _ in rows]), sizes, np.array([k for _, k in rows]), ["de", "fr"])
+    p = model.probabilities(np.stack([model.scores[subwords(w)].mean(axis=0) for w in ("heitung", "eaument")]))
     assert p[0, 0] > 0.9 and p[1, 1] > 0.9 and 0 <= model.bar <= 0.75
 
 
+def test_buckets_of_words_do_not_hang_on_their_neighbours():
+    words = ["Straße,", "a", "", "123", "niño's", "the"]
+    values, place = language_id.buckets(words)
+    for k, w in enumerate(words):
+        assert sorted(values[place == k]) == sorted(language_id.buckets([w])[0])
+    assert not (place == 2).any() and not (place == 3).any() and len(language_id.buckets([])[0]) == 0
+
+
 def test_toxic_documents_of_the_held_out_fold(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out")
