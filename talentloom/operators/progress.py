@@ -65,10 +65,11 @@ def step_times(durations: DataFrame) -> DataFrame:
     rows = durations.filter(F.col("seconds").isNotNull()).withColumn(
         "_ms", F.round(F.col("seconds") * 1000, 0).cast("bigint")
     )
-    means = rows.groupBy("status").agg(
-        F.count("*").alias("n"), F.round(F.sum("_ms") / F.count("*") / 1000, 3).alias("mean")
+    counted = rows.groupBy("status", "_ms").agg(F.count("*").alias("_n"))  # feeds mean and quantiles
+    means = counted.groupBy("status").agg(
+        F.sum("_n").alias("n"), F.round(F.sum(F.col("_ms") * F.col("_n")) / F.sum("_n") / 1000, 3).alias("mean")
     )
-    spread = exact_quantiles(rows, ["status"], "_ms", {"median": 0.5, "p95": 0.95}, 600_000)
+    spread = exact_quantiles(counted, ["status"], "_ms", {"median": 0.5, "p95": 0.95}, 600_000, weight="_n")
     return means.join(spread, "status", "inner").select(
         "status", "n", "mean",
         F.round(F.col("median") / 1000, 3).alias("median"), F.round(F.col("p95") / 1000, 3).alias("p95"),
