@@ -6,8 +6,9 @@
    Of the least values of the union of two similar sets at least four fifths are common; where three common ones follow each other, both sketches
    have the same run. For sets inside a sketch that is certain (``_short`` ones are listed by their subsets), for larger ones at similarity 0.8 the
    chance of no common run among 48 values is about 1e-8. Sets that share little have next to no common run, so frequent shingles make no lists.
-3. In each list, classes of like size are first compared with one leader of the list; links found join components. What is left are pairs of
-   one list in different components: only those are formed. A group of thousands of near copies so costs a star, not all pairs.
+3. Stars first: each class is compared with one other class, the least leader of its lists (classes of like size only); links found join components,
+   and a second round offers leaders of other components. What is left are pairs of one list in different components: only those are formed. A group
+   of thousands of near copies so costs one or two pairs a class, not all pairs.
 4. Every pair passes the estimate on the sketch of the union (share of common values among its least ``KEEP``), then the exact similarity on full sets.
 """
 
@@ -131,13 +132,20 @@ def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.where(_likely(F.col("sketch_a"), F.col("sketch_b"), percent)).select("a", "b")
 
 
-def _verified(close: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that are similar by their full sets; only texts in a pair are read again."""
-    wanted = close.select(F.col("a").alias("row")).union(close.select("b")).distinct()
-    sets = stored(keyed.select("text", "row").join(wanted, "row", "left_semi").mapInArrow(_full_sets(words), "row long, members array<long>"))
+def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are similar, by the estimate first and then by their full sets."""
+    close = stored(_close(pairs, sketches, percent))
     both = close.join(_side(sets, "a", "members"), "a").join(_side(sets, "b", "members"), "b")
     common = F.size(F.array_intersect("members_a", "members_b"))
-    return both.where(common * 100 >= (F.size("members_a") + F.size("members_b") - common) * percent).select("a", "b")
+    return stored(both.where(common * 100 >= (F.size("members_a") + F.size("members_b") - common) * percent).select("a", "b"))
+
+
+def _placed(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The lists with the component that each class is in so far."""
+    if links is None:
+        return lists.withColumn("root", F.col("row"))
+    joined = components(links).withColumnRenamed("node", "row")
+    return lists.join(joined, "row", "left").withColumn("root", F.coalesce("root", "row"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,20 +167,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     often = runs.groupBy("value").agg(F.count("*").alias("times")).where("times > 1").select("value")
     lists = stored(runs.join(often, "value"))
 
+    sets = stored(keyed.select("text", "row").join(lists.select("row").distinct(), "row", "left_semi").mapInArrow(
+        _full_sets(words), "row long, members array<long>"))
+
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) / 2))
-    banded = lists.withColumn("band", band)
-    leaders = banded.groupBy("value", "band").agg(F.min("row").alias("a"))
-    stars = banded.join(leaders, ["value", "band"]).where("row <> a").select("a", F.col("row").alias("b"))
-    links = stored(_verified(stored(_close(stars, reps, percent)), keyed, words, percent))
-    joined = components(links)
-    placed = lists.join(joined.withColumnRenamed("node", "row"), "row", "left").select("row", "n", "value", F.coalesce("root", "row").alias("root"))
+    links = None
+    for _ in range(2):
+        banded = _placed(lists, links).withColumn("band", band)
+        leaders = banded.groupBy("value", "band").agg(F.min(F.struct("root", "row")).alias("lead"))
+        stars = banded.join(leaders, ["value", "band"]).where(F.col("root") != F.col("lead.root")).groupBy(F.col("row").alias("b")).agg(
+            F.min("lead").alias("lead")).select(F.col("lead.row").alias("a"), "b")
+        found = _verified(stars, reps, sets, percent)
+        links = found if links is None else links.union(found)
+
+    placed = _placed(lists, links)
     split = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
     open_lists = placed.join(split, "value")
     left = open_lists.select("value", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     right = open_lists.select("value", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     cross = left.join(right, "value").where(
         (F.col("root_a") < F.col("root_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)).select("a", "b")
-    more = _verified(stored(_close(cross, reps, percent)), keyed, words, percent)
+    more = _verified(cross, reps, sets, percent)
     joined = components(links.union(more)).withColumnRenamed("node", "rep")
 
     classes = sketched.where("n > 0").groupBy("key").agg(F.min("row").alias("rep"), F.min(F.struct("id", "row")).alias("low"))
