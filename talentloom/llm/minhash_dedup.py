@@ -6,9 +6,10 @@
    Of the least values of the union of two similar sets at least four fifths are common; where three common ones follow each other, both sketches
    have the same run. For sets inside a sketch that is certain (``_short`` ones are listed by their subsets), for larger ones at similarity 0.8 the
    chance of no common run among 48 values is about 1e-8. Sets that share little have next to no common run, so frequent shingles make no lists.
-3. Stars first: each class is compared with one other class, the least leader of its lists (classes of like size only); links found join components,
-   and a second round offers leaders of other components. What is left are pairs of one list in different components: only those are formed. A group
-   of thousands of near copies so costs one or two pairs a class, not all pairs.
+3. Stars first: each class is compared with one other class of like size, the one of its lists that is in most lists (of near copies the least
+   changed); links found join components. What is left are pairs of one list in different components. Of these only pairs are formed that can be
+   similar: shingles that no other class of an open list has are in no common part, which bounds the similarity from above, without error. A group of
+   thousands of near copies so costs a pair a class, and few more.
 4. Every pair passes the estimate on the sketch of the union (share of common values among its least ``KEEP``), then the exact similarity on full sets.
 """
 
@@ -140,10 +141,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
     return stored(both.where(common * 100 >= (F.size("members_a") + F.size("members_b") - common) * percent).select("a", "b"))
 
 
-def _placed(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
     """The lists with the component that each class is in so far."""
-    if links is None:
-        return lists.withColumn("root", F.col("row"))
     joined = components(links).withColumnRenamed("node", "row")
     return lists.join(joined, "row", "left").withColumn("root", F.coalesce("root", "row"))
 
@@ -171,22 +170,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         _full_sets(words), "row long, members array<long>"))
 
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) / 2))
-    links = None
-    for _ in range(2):
-        banded = _placed(lists, links).withColumn("band", band)
-        leaders = banded.groupBy("value", "band").agg(F.min(F.struct("root", "row")).alias("lead"))
-        stars = banded.join(leaders, ["value", "band"]).where(F.col("root") != F.col("lead.root")).groupBy(F.col("row").alias("b")).agg(
-            F.min("lead").alias("lead")).select(F.col("lead.row").alias("a"), "b")
-        found = _verified(stars, reps, sets, percent)
-        links = found if links is None else links.union(found)
+    banded = lists.join(lists.groupBy("row").agg(F.count("*").alias("degree")), "row").withColumn("band", band)
+    leaders = banded.groupBy("value", "band").agg(F.max(F.struct("degree", "row")).alias("lead"))
+    stars = banded.join(leaders, ["value", "band"]).groupBy(F.col("row").alias("b")).agg(F.max("lead").alias("lead")).select(F.col("lead.row").alias("a"), "b")
+    links = _verified(stars.where("a <> b"), reps, sets, percent)
 
     placed = _placed(lists, links)
     split = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
-    open_lists = placed.join(split, "value")
-    left = open_lists.select("value", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = open_lists.select("value", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    cross = left.join(right, "value").where(
-        (F.col("root_a") < F.col("root_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)).select("a", "b")
+    open_lists = stored(placed.join(split, "value"))
+    shingles = sets.join(open_lists.select("row").distinct(), "row", "left_semi").select("row", F.explode("members").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("times"), F.min("row").alias("row")).where("times = 1").groupBy("row").agg(F.count("*").alias("alone"))
+    bound = stored(open_lists.join(alone, "row", "left").select("value", "row", "n", "root", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+                   .where(F.col("most") * 100 >= F.col("n") * percent))
+    left = bound.select("value", *[F.col(c).alias(f"{c}_a") for c in ("row", "n", "root", "most")])
+    right = bound.select("value", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "root", "most")])
+    common = F.least("most_a", "most_b")
+    cross = left.join(right, "value").where((F.col("root_a") < F.col("root_b")) & (common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent)).select(
+        F.col("row_a").alias("a"), F.col("row_b").alias("b"))
     more = _verified(cross, reps, sets, percent)
     joined = components(links.union(more)).withColumnRenamed("node", "rep")
 
