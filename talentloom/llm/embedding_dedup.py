@@ -5,8 +5,8 @@
 2. Each shard builds a graph over its members: candidates are the nearest and some far members, thinned by robust pruning (a candidate goes if a
    kept neighbour is nearer to it by a factor), edges run both ways, and every member can be reached from the medoid.
 3. The adjacency lists of a vector from all its shards are united into one flat graph.
-4. Each vector is searched in the shards of its ``probes`` nearest centroids over the united lists: greedily from the medoid with a beam, then by
-   range: every node near the threshold is expanded until none is left. Pairs found are verified by the cosine in double precision.
+4. Each vector is searched in the shards of its ``probes`` nearest centroids over the united lists: greedily from the medoid (and from its own list,
+   where it is a member) with a beam, then by range: every node near the threshold is expanded until none is left. Pairs found are verified by the cosine in double precision.
 5. An audit compares a stated set of vectors with all vectors, in blocks. While recall stays below ``RECALL`` the search is widened.
 """
 
@@ -146,8 +146,12 @@ def _connect(lists: list[list[int]], medoid: int, x: np.ndarray) -> None:
         seen[front] = True
 
 
-def range_search(queries: np.ndarray, x: np.ndarray, table: np.ndarray, medoid: int, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, member) pairs of cosine ``least`` or more that a search from the medoid finds. table: neighbours of each member, -1 filled."""
+def range_search(queries: np.ndarray, x: np.ndarray, table: np.ndarray, medoid: int, least: float, beam: int,
+                 own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) pairs of cosine ``least`` or more that a search from the medoid finds. table: neighbours of each member, -1 filled.
+
+    ``own`` is the member that a query is, or -1: such a query starts from its own list as well.
+    """
     q, n = len(queries), len(x)
     score = np.full((q, n), -2.0, np.float32)  # cosine of members seen, by query
     done = np.zeros((q, n), bool)
@@ -169,6 +173,10 @@ def range_search(queries: np.ndarray, x: np.ndarray, table: np.ndarray, medoid:
     value[:, 0] = score[:, medoid]
     open_ = np.zeros((q, beam), bool)
     open_[:, 0] = True
+    if own is not None and beam > 1:
+        rows = np.flatnonzero((own >= 0) & (own != medoid))
+        score[rows, own[rows]] = np.einsum("ij,ij->i", queries[rows], x[own[rows]])
+        ids[rows, 1], value[rows, 1], open_[rows, 1] = own[rows], score[rows, own[rows]], True
     live = np.arange(q)
     while len(live):
         at = np.argmax(np.where(open_[live], value[live], -2), axis=1)
@@ -245,7 +253,8 @@ def _found(least: float, beam: int):
         single = x[:n].astype(np.float32)
         for low in range(0, len(x) if n else 0, 2048):
             q = x[low : low + 2048]
-            rows, nodes = range_search(q.astype(np.float32), single, neighbours, medoid, least - 1e-4, beam)
+            place = np.arange(low, low + len(q))
+            rows, nodes = range_search(q.astype(np.float32), single, neighbours, medoid, least - 1e-4, beam, np.where(place < n, place, -1))
             exact = np.concatenate([np.einsum("ij,ij->i", q[rows[a : a + 100_000]], x[nodes[a : a + 100_000]]) for a in range(0, len(rows), 100_000)] or [np.zeros(0)])
             fine = (exact >= least) & (reps[low + rows] != reps[nodes])
             rows, nodes = rows[fine], nodes[fine]
