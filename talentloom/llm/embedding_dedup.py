@@ -22,6 +22,8 @@ from talentloom.llm.common import components, stored
 SHARD, SAMPLE, AUDIT = 1000, 20_000, 512
 #: Neighbours kept, nearest and far candidates, factor of pruning, beam.
 DEGREE, NEAREST, FAR, FACTOR, BEAM = 20, 40, 16, 1.2, 24
+#: Nearest members of which one at least has a member in its list.
+NEAR_BACK = 6
 #: Nodes are expanded down to so much below the threshold; recall that the audit asks for.
 SLACK, RECALL = 0.12, 0.98
 
@@ -106,6 +108,7 @@ def build(x: np.ndarray, seed: int = 5) -> tuple[list[np.ndarray], int]:
     total = x.sum(axis=0)
     medoid = int(np.argmax(x @ total))
     lists: list[list[int]] = [[] for _ in range(n)]
+    closest: list[list[int]] = []
     if n > 1:
         for low in range(0, n, 1024):
             close = x[low : low + 1024] @ x.T
@@ -113,6 +116,7 @@ def build(x: np.ndarray, seed: int = 5) -> tuple[list[np.ndarray], int]:
             most = min(NEAREST, n - 1)
             near = np.argpartition(-close, most - 1, axis=1)[:, :most]
             for k in range(len(close)):
+                closest.append(near[k][np.argsort(-close[k, near[k]], kind="stable")[:NEAR_BACK]].tolist())
                 ids = np.unique(np.concatenate((near[k], rng.integers(0, n, FAR), [medoid])))
                 lists[low + k] = prune(x[low + k], ids[ids != low + k], x, DEGREE).tolist()
         back: list[list[int]] = [[] for _ in range(n)]
@@ -122,6 +126,10 @@ def build(x: np.ndarray, seed: int = 5) -> tuple[list[np.ndarray], int]:
         for a in range(n):
             both = np.unique(np.array(lists[a] + back[a], np.int64))
             lists[a] = (both if len(both) <= 2 * DEGREE else prune(x[a], both, x, 2 * DEGREE)).tolist()
+        for a in range(n):  # in a crowd a member may be in no list of a near one: the shortest of these takes it in
+            close = closest[a]
+            if not any(a in lists[b] for b in close):
+                lists[min(close, key=lambda b: (len(lists[b]), b))].append(a)
     _connect(lists, medoid, x)
     return [np.array(ids, np.int64) for ids in lists], medoid
 
