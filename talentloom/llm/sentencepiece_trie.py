@@ -14,6 +14,7 @@ Letters outside the vocabulary become their bytes. The vocabulary is read on the
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from talentloom.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and neighbouring pairs that a worker remembers at most; characters of text whose words form one trie.
-REMEMBERED, STRETCH = 400_000, 6_000_000
+REMEMBERED, PAIRS, STRETCH = 400_000, 800_000, 6_000_000
 
 
 class Vocabulary:
@@ -58,7 +59,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by the pair of neighbours as one number
+        self.size = len(vocabulary.pieces)
 
     def merged(self, text: str) -> list[str]:
         """Letters merged by rank, the best pair first, the leftmost of equals."""
@@ -78,14 +80,14 @@ class Encoder:
         else:
             a, b = self.v.pieces[before], self.v.pieces[piece]
             known = self.merged(a + b) == [a, b]
-        self.apart[before, piece] = known
+        self.apart[before * self.size + piece] = known
         return known
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word of a sorted list."""
-        endings, scores, outside, apart = self.v.endings, self.v.scores, self.v.outside, self.apart
+        endings, scores, outside, apart, size = self.v.endings, self.v.scores, self.v.outside, self.apart, self.size
         unigram = self.v.kind == "unigram"
-        if len(apart) > REMEMBERED:
+        if len(apart) > PAIRS:
             apart.clear()
         before = ""
         last, back, total = [-1], [0], [0.0]  # per prefix: last piece (-1: none or bytes), where it starts, score of the path
@@ -106,9 +108,9 @@ class Encoder:
                             if score is None or total[low] + scores[piece] > score:
                                 found, start, score = piece, low, total[low] + scores[piece]
                         else:
-                            may = apart.get((last[low], piece))
+                            may = apart.get(last[low] * size + piece)
                             if self.open(last[low], piece) if may is None else may:
-                                found, start, score = piece, low, total[low] + scores[piece]
+                                found, start, score = piece, low, 0.0
                                 break
                     low -= 1
                 last.append(found)
@@ -166,7 +168,7 @@ def _encoded(shared, text_name: str, names: list[str]):
                 known.clear()
                 new = every
             new = sorted(new)
-            known.update(zip(new, (np.array(x, np.int32).tobytes() for x in encoder.encode(new))))
+            known.update(zip(new, (array("i", x).tobytes() for x in encoder.encode(new))))
             joined = [b"".join(map(known.__getitem__, ws)) if ws else b"" for ws in words]
             offsets = np.cumsum([0] + [len(j) // 4 for j in joined]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(joined), np.int32)), mask=pa.array([ws is None for ws in words]))
