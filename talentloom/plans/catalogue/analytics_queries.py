@@ -45,10 +45,10 @@ def _(t):
 
 @query("a02_top_skills_sketch", f"select skill, true as near from skill_dates_v where {_NOW} group by 1")
 def _(t):
-    """Sketched counts of all skills lie within a fifth of the exact ones."""
+    """Sketched counts of all skills lie within a fifth of the exact ones, or one off."""
     exact = market.skill_counts(t.skill_dates_v(), "1y", AS_OF).withColumnRenamed("n", "_exact")
     sketch = market.skill_counts(t.skill_dates_v(), "1y", AS_OF, exact=False)
-    return sketch.join(exact, "skill").select("skill", (F.abs(F.col("n") - F.col("_exact")) * 5 <= F.col("_exact")).alias("near"))
+    return sketch.join(exact, "skill").select("skill", (F.abs(F.col("n") - F.col("_exact")) <= F.greatest(F.col("_exact") / 5, F.lit(1))).alias("near"))
 
 
 def _salary_label(rate):
