@@ -25,7 +25,7 @@ from talentloom.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and neighbouring pairs that a worker remembers at most; characters of text whose words form one trie.
-REMEMBERED, PAIRS, STRETCH = 400_000, 800_000, 6_000_000
+REMEMBERED, PAIRS, STRETCH = 300_000, 400_000, 2_500_000
 
 
 class Vocabulary:
