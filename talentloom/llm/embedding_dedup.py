@@ -1,31 +1,32 @@
-"""Near-duplicate vectors by a robust-pruned flat graph.
-
-1. Equal vectors fold into one. Centroids come from a bounded sample; each vector belongs to the shards of its ``overlap`` nearest centroids, so shards
-   overlap, and their number grows with the input while their size does not.
-2. Each shard builds a graph over its members: candidates are the nearest and some far members, thinned by robust pruning (a candidate goes if a
-   kept neighbour is nearer to it by a factor), edges run both ways, and every member can be reached from the medoid.
-3. The adjacency lists of a vector from all its shards are united into one flat graph.
-4. Each vector is searched in the shards of its ``probes`` nearest centroids over the united lists: greedily from the medoid (and from its own list,
-   where it is a member) with a beam, then by range: every node near the threshold is expanded until none is left. Pairs found are verified by the cosine in double precision.
-5. An audit compares a stated set of vectors with all vectors, in blocks. While recall stays below ``RECALL`` the search is widened.
+"""Near-duplicate vectors, every link found.
+
+1. Equal vectors fold into one. Centroids come from a bounded sample; each vector belongs to the shard of its nearest centroid, large shards are dealt
+   into parts. Inside a shard the members are compared, which gives each a label: the smallest id of its component in the shard.
+2. Shards go out in chunks of bounded size, and all vectors are searched in every shard of a chunk that may hold a link: a shard is left out only if its
+   radius, or the border between its centroid and the nearest one of the vector, puts all members beyond the angle. A shard that lies wholly
+   within the angle is counted by its size.
+3. Products in single precision decide where their error cannot matter, the others are verified by the cosine in double precision.
+4. Links are counted, not listed; components come from pairs of labels, whose number hangs on shards and not on the pairs in a crowd.
+5. An audit compares vectors of the largest shards and of drawn ones with all vectors, in blocks. Any difference is an error.
+
+The bounds spare work where vectors lie in groups. Vectors without any structure are all compared: the work then grows with the square of their number,
+what is stored and sent does not.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from talentloom.llm.common import components, stored
 
-#: Vectors of a shard (before overlap), sample for centroids, vectors of the audit.
+#: Vectors of a shard, sample for centroids, vectors of the audit.
 SHARD, SAMPLE, AUDIT = 1000, 20_000, 512
-#: Neighbours kept, nearest and far candidates, factor of pruning, beam.
-DEGREE, NEAREST, FAR, FACTOR, BEAM = 20, 40, 16, 1.2, 24
-#: Nearest members of which one at least has a member in its list.
-NEAR_BACK = 6
-#: Nodes are expanded down to so much below the threshold; recall that the audit asks for.
-SLACK, RECALL = 0.12, 0.98
+#: Bytes of vectors in a chunk of shards; vectors compared at a time.
+CHUNK_BYTES, ROWS = 48_000_000, 2048
 
 
 def valid(vector: str):
@@ -45,8 +46,8 @@ def matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
     return unit(column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)) if len(column) else np.zeros((0, 1))
 
 
-def centroids(sample: np.ndarray, count: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two levels of directions: tops, the centroids, and the top of each centroid, by a few rounds of spherical k-means."""
+def centroids(sample: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
+    """Directions in two levels, by a few rounds of spherical k-means."""
     rng = np.random.default_rng(seed)
 
     def means(x: np.ndarray, k: int) -> np.ndarray:
@@ -62,257 +63,200 @@ def centroids(sample: np.ndarray, count: int, seed: int = 11) -> tuple[np.ndarra
 
     tops = means(sample, int(np.ceil(np.sqrt(count))))
     near = np.argmax(sample @ tops.T, axis=1)
-    parts = [means(sample[near == t], -(-count * int((near == t).sum()) // len(sample))) for t in range(len(tops)) if (near == t).any()]
-    owner = np.repeat([t for t in range(len(tops)) if (near == t).any()], [len(p) for p in parts])
-    return tops, np.concatenate(parts), owner
-
-
-def nearest_shards(x: np.ndarray, tree: tuple, count: int) -> np.ndarray:
-    """The nearest centroids of each vector: exact among few, among many those below its nearest tops."""
-    tops, fine, owner = tree
-    count = min(count, len(fine))
-    close = x @ fine.T if len(fine) <= 512 else None
-    if close is None:
-        lead = min(len(tops), max(4, len(tops) // 8))
-        chosen = np.argpartition(-(x @ tops.T), lead - 1, axis=1)[:, :lead]
-        close = np.full((len(x), len(fine)), -2.0, np.float32)
-        for t in range(len(tops)):
-            rows, cols = np.flatnonzero((chosen == t).any(axis=1)), np.flatnonzero(owner == t)
-            if len(rows) and len(cols):
-                close[np.ix_(rows, cols)] = x[rows] @ fine[cols].T
-    part = np.argpartition(-close, count - 1, axis=1)[:, :count]
-    order = np.argsort(-np.take_along_axis(close, part, axis=1), axis=1, kind="stable")
-    return np.take_along_axis(part, order, axis=1)
-
-
-def prune(point: np.ndarray, ids: np.ndarray, x: np.ndarray, degree: int) -> np.ndarray:
-    """Robust pruning: nearest first; a candidate goes if a kept one is nearer to it by ``FACTOR`` than the point is."""
-    own = 2 - 2 * (x[ids] @ point)
-    order = np.argsort(own, kind="stable")
-    ids, own = ids[order], own[order]
-    between = 2 - 2 * (x[ids] @ x[ids].T)
-    open_, kept = np.ones(len(ids), bool), []
-    for k in range(len(ids)):
-        if open_[k]:
-            kept.append(k)
-            if len(kept) == degree:
-                break
-            open_ &= FACTOR * between[k] > own
-    return ids[kept]
-
-
-def build(x: np.ndarray, seed: int = 5) -> tuple[list[np.ndarray], int]:
-    """Adjacency lists over unit vectors, and the medoid from which each can be reached."""
-    n = len(x)
-    rng = np.random.default_rng(seed)
-    total = x.sum(axis=0)
-    medoid = int(np.argmax(x @ total))
-    lists: list[list[int]] = [[] for _ in range(n)]
-    closest: list[list[int]] = []
-    if n > 1:
-        for low in range(0, n, 1024):
-            close = x[low : low + 1024] @ x.T
-            close[np.arange(len(close)), np.arange(low, low + len(close))] = -3
-            most = min(NEAREST, n - 1)
-            near = np.argpartition(-close, most - 1, axis=1)[:, :most]
-            for k in range(len(close)):
-                closest.append(near[k][np.argsort(-close[k, near[k]], kind="stable")[:NEAR_BACK]].tolist())
-                ids = np.unique(np.concatenate((near[k], rng.integers(0, n, FAR), [medoid])))
-                lists[low + k] = prune(x[low + k], ids[ids != low + k], x, DEGREE).tolist()
-        back: list[list[int]] = [[] for _ in range(n)]
-        for a, ids in enumerate(lists):
-            for b in ids:
-                back[b].append(a)
-        for a in range(n):
-            both = np.unique(np.array(lists[a] + back[a], np.int64))
-            lists[a] = (both if len(both) <= 2 * DEGREE else prune(x[a], both, x, 2 * DEGREE)).tolist()
-        for a in range(n):  # in a crowd a member may be in no list of a near one: the shortest of these takes it in
-            close = closest[a]
-            if not any(a in lists[b] for b in close):
-                lists[min(close, key=lambda b: (len(lists[b]), b))].append(a)
-    _connect(lists, medoid, x)
-    return [np.array(ids, np.int64) for ids in lists], medoid
-
-
-def _connect(lists: list[list[int]], medoid: int, x: np.ndarray) -> None:
-    """Link what the medoid does not reach to the nearest member that it does."""
-    seen = np.zeros(len(lists), bool)
-    front = [medoid]
-    seen[medoid] = True
-    while True:
-        while front:
-            front = [b for b in {b for a in front for b in lists[a]} if not seen[b]]
-            seen[front] = True
-        lost = np.flatnonzero(~seen)
-        if not len(lost):
-            return
-        there = np.flatnonzero(seen)
-        near = there[int(np.argmax(x[there] @ x[lost[0]]))]
-        lists[near].append(int(lost[0]))
-        lists[lost[0]].append(int(near))
-        front = [int(lost[0])]
-        seen[front] = True
-
-
-def range_search(queries: np.ndarray, x: np.ndarray, table: np.ndarray, medoid: int, least: float, beam: int,
-                 own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(query, member) pairs of cosine ``least`` or more that a search from the medoid finds. table: neighbours of each member, -1 filled.
-
-    ``own`` is the member that a query is, or -1: such a query starts from its own list as well.
-    """
-    q, n = len(queries), len(x)
-    score = np.full((q, n), -2.0, np.float32)  # cosine of members seen, by query
-    done = np.zeros((q, n), bool)
-    score[:, medoid] = queries @ x[medoid]
-
-    def expand(rows: np.ndarray, nodes: np.ndarray) -> None:
-        done[rows, nodes] = True
-        near = table[nodes]
-        rows, near = np.repeat(rows, table.shape[1])[(near >= 0).ravel()], near.ravel()[(near >= 0).ravel()]
-        new = score[rows, near] < -1.5
-        rows, near = rows[new], near[new]
-        for low in range(0, len(rows), 200_000):
-            r, m = rows[low : low + 200_000], near[low : low + 200_000]
-            score[r, m] = np.einsum("ij,ij->i", queries[r], x[m])
-
-    beam = min(beam, n)
-    ids = np.full((q, beam), medoid)  # best members seen, by query
-    value = np.full((q, beam), -2.0, np.float32)
-    value[:, 0] = score[:, medoid]
-    open_ = np.zeros((q, beam), bool)
-    open_[:, 0] = True
-    if own is not None and beam > 1:
-        rows = np.flatnonzero((own >= 0) & (own != medoid))
-        score[rows, own[rows]] = np.einsum("ij,ij->i", queries[rows], x[own[rows]])
-        ids[rows, 1], value[rows, 1], open_[rows, 1] = own[rows], score[rows, own[rows]], True
-    live = np.arange(q)
-    while len(live):
-        at = np.argmax(np.where(open_[live], value[live], -2), axis=1)
-        some = open_[live, at]
-        live, at = live[some], at[some]
-        if not len(live):
-            break
-        nodes = ids[live, at]
-        open_[live, at] = False
-        done[live, nodes] = True
-        near = table[nodes]
-        fresh = (near >= 0) & (score[live[:, None], near] < -1.5)
-        rows, column = np.nonzero(fresh)
-        got = near[rows, column]
-        new = np.full(near.shape, -2.0, np.float32)
-        for low in range(0, len(rows), 100_000):
-            r, m = rows[low : low + 100_000], got[low : low + 100_000]
-            new[r, column[low : low + 100_000]] = np.einsum("ij,ij->i", queries[live[r]], x[m])
-        score[live[rows], got] = new[rows, column]
-        every = np.concatenate((value[live], new), axis=1)
-        keep = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
-        ids[live] = np.take_along_axis(np.concatenate((ids[live], near), axis=1), keep, axis=1)
-        open_[live] = np.take_along_axis(np.concatenate((open_[live], fresh), axis=1), keep, axis=1)
-        value[live] = np.take_along_axis(every, keep, axis=1)
-    while True:
-        rows, nodes = np.nonzero((score >= least - SLACK) & ~done)
+    return np.concatenate([means(sample[near == t], -(-count * int((near == t).sum()) // len(sample))) for t in range(len(tops)) if (near == t).any()])
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each vector."""
+    return np.concatenate([np.argmax(x[k : k + ROWS] @ centres.T, axis=1) for k in range(0, len(x), ROWS)] or [np.zeros(0, int)])
+
+
+def linked(x: np.ndarray, single: np.ndarray, y: np.ndarray, single_y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of x and y have a cosine of ``least`` or more: single precision where its error cannot matter, else double."""
+    close = single @ single_y.T
+    error = 1.2e-7 * (x.shape[1] + 4)  # twice the bound on rounding of unit vectors
+    fine = close >= least + error
+    rows, cols = np.nonzero((close >= least - error) & ~fine)
+    for low in range(0, len(rows), 100_000):
+        r, c = rows[low : low + 100_000], cols[low : low + 100_000]
+        fine[r, c] = np.einsum("ij,ij->i", x[r], y[c]) >= least
+    return fine
+
+
+def local_labels(x: np.ndarray, reps: np.ndarray, least: float) -> np.ndarray:
+    """The smallest rep of each member's component among the members."""
+    single, front = x.astype(np.float32), np.zeros(0, int)
+    label, left = np.empty(len(x), np.int64), np.argsort(reps)
+    while len(left):
+        lead, front, left = reps[left[0]], left[:1], left[1:]
+        while len(front):
+            label[front] = lead
+            hit = np.zeros(len(left), bool)
+            for low in range(0, len(front), ROWS):
+                part = front[low : low + ROWS]
+                hit |= linked(x[part], single[part], x[left], single[left], least).any(axis=0)
+            front, left = left[hit], left[~hit]
+    return label
+
+
+class Chunk:
+    """Some shards: members by shard, and what rules a shard out or in for a vector."""
+
+    def __init__(self, shard: np.ndarray, cell: np.ndarray, rep: np.ndarray, label: np.ndarray, copies: np.ndarray, vectors: np.ndarray, centres: np.ndarray):
+        order = np.lexsort((rep, shard))
+        self.rep, self.label, self.copies, self.x = rep[order], label[order], copies[order], vectors[order]
+        self.starts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        self.ends = np.append(self.starts[1:], len(order))
+        self.cell = cell[order][self.starts]
+        self.centres = centres
+        cosine = np.einsum("ij,ij->i", self.x, centres[cell[order]])
+        self.radius = np.arccos(np.clip(np.minimum.reduceat(cosine, self.starts), -1, 1))
+        self.size = np.add.reduceat(self.copies, self.starts)
+
+    def asked(self, x: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, shard): whether members may link, and whether all of them do. ``own`` is the nearest centroid of each vector."""
+        angle, eps = np.arccos(np.clip(least, -1, 1)), 1e-6
+        centre = self.centres[self.cell]
+        cosine = x @ centre.T
+        to = np.arccos(np.clip(cosine, -1, 1))
+        ahead = np.einsum("ij,ij->i", x, self.centres[own])[:, None] - cosine  # members are on the other side of the border
+        apart = np.sqrt(np.maximum(2 - 2 * self.centres[own] @ centre.T, 0))
+        beyond = ahead > (np.sqrt(max(2 - 2 * least, 0)) + eps) * apart + eps
+        every = to + self.radius <= angle - eps
+        return ~every & ~beyond & (to <= angle + self.radius + eps), every
+
+
+def searched(x: np.ndarray, own: np.ndarray, rep: np.ndarray, label: np.ndarray, chunk: Chunk, least: float, listed: bool) -> tuple[np.ndarray, set, list]:
+    """Copies of linked members by vector, the vector itself included, pairs of labels that link, and if asked the pairs of reps."""
+    single, single_y = x.astype(np.float32), chunk.single
+    counts, joined, pairs = np.zeros(len(x), np.int64), set(), []
+    may, every = chunk.asked(x, own, least)
+    counts += every @ chunk.size
+    for k, (a, b) in enumerate(zip(chunk.starts.tolist(), chunk.ends.tolist())):
+        names, which = np.unique(chunk.label[a:b], return_inverse=True)
+        rows = np.flatnonzero(every[:, k])
+        joined.update((i, j) for i in np.unique(label[rows]).tolist() for j in names.tolist() if i != j)
+        if listed:
+            pairs += [(np.repeat(rep[rows], b - a), np.tile(chunk.rep[a:b], len(rows)))]
+        rows = np.flatnonzero(may[:, k])
         if not len(rows):
-            break
-        expand(rows, nodes)
-    return np.nonzero(score >= least)
-
-
-def _shards(tree_shared, overlap: int, probes: int):
-    """Rows (shard, rep, member, vector): the shards that hold a vector, and those where it is only searched."""
+            continue
+        r, c = np.nonzero(linked(x[rows], single[rows], chunk.x[a:b], single_y[a:b], least))
+        if len(r):
+            counts[rows] += np.bincount(r, chunk.copies[a:b][c], len(rows)).astype(np.int64)
+            mine, place = np.unique(label[rows], return_inverse=True)
+            met = np.zeros((len(mine), len(names)), bool)
+            met[place[r], which[c]] = True
+            joined.update((i, j) for i, j in zip(mine[np.nonzero(met)[0]].tolist(), names[np.nonzero(met)[1]].tolist()) if i != j)
+            if listed:
+                pairs.append((rep[rows][r], chunk.rep[a:b][c]))
+    return counts, joined, pairs
+
+
+def _cells(centres):
     def run(batches):
         for batch in batches:
             x = matrix(batch.column("vector"))
-            near = nearest_shards(x, tree_shared.value, probes) if len(x) else np.zeros((0, 1), int)
-            rows = np.repeat(np.arange(len(x)), near.shape[1])
-            rank = np.tile(np.arange(near.shape[1]), len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("rep").take(pa.array(rows)), pa.array(rank < overlap),
-                                              batch.column("vector").take(pa.array(rows))], names=["shard", "rep", "member", "vector"])
+            cell = nearest(x, centres.value) if len(x) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *[batch.column(c) for c in ("rep", "copies", "vector")]], names=["cell", "rep", "copies", "vector"])
     return run
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """A shard: rows (rep, near) of its graph; the medoid's row has lead true."""
-    x, reps = matrix(table.column("vector")), table.column("rep").to_numpy()
-    order = np.argsort(reps)
-    x, reps = x[order], reps[order]
-    lists, medoid = build(x)
-    return pa.Table.from_arrays([table.column("shard").combine_chunks(), pa.array(reps), pa.array([reps[ids].tolist() for ids in lists], pa.list_(pa.int64())),
-                                 pa.array(np.arange(len(reps)) == medoid)], names=["shard", "rep", "near", "lead"])
+def _labelled(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        label = local_labels(matrix(table.column("vector")), table.column("rep").to_numpy(), least)
+        return table.select(["shard", "cell", "rep", "copies", "vector"]).append_column("label", pa.array(label))
+    return run
 
 
-def _found(least: float, beam: int):
-    def run(table: pa.Table) -> pa.Table:
-        x, reps, member = matrix(table.column("vector")), table.column("rep").to_numpy(), table.column("member").to_numpy(zero_copy_only=False)
-        order = np.lexsort((reps, ~member))  # members first
-        x, reps, member = x[order], reps[order], member[order]
-        n = int(member.sum())
-        near, lead = table.column("near").to_pylist(), table.column("lead").to_pylist()
-        lists = []
-        for k in order[:n].tolist():
-            ids = np.array(near[k] or [], np.int64)
-            at = np.minimum(np.searchsorted(reps[:n], ids), max(n - 1, 0))
-            lists.append(at[reps[:n][at] == ids] if len(ids) else at)
-        width = max((len(ids) for ids in lists), default=0)
-        neighbours = np.full((n, max(1, width)), -1, np.int64)
-        for k, ids in enumerate(lists):
-            neighbours[k, : len(ids)] = ids
-        medoid = next((k for k, o in enumerate(order[:n].tolist()) if lead[o]), 0)
-        out_reps, out_links = [], []
-        single = x[:n].astype(np.float32)
-        for low in range(0, len(x) if n else 0, 2048):
-            q = x[low : low + 2048]
-            place = np.arange(low, low + len(q))
-            rows, nodes = range_search(q.astype(np.float32), single, neighbours, medoid, least - 1e-4, beam, np.where(place < n, place, -1))
-            exact = np.concatenate([np.einsum("ij,ij->i", q[rows[a : a + 100_000]], x[nodes[a : a + 100_000]]) for a in range(0, len(rows), 100_000)] or [np.zeros(0)])
-            fine = (exact >= least) & (reps[low + rows] != reps[nodes])
-            rows, nodes = rows[fine], nodes[fine]
-            cut = np.searchsorted(rows, np.arange(len(q) + 1))
-            for k in range(len(q)):
-                if cut[k + 1] > cut[k]:
-                    out_reps.append(reps[low + k])
-                    out_links.append(reps[nodes[cut[k] : cut[k + 1]]])
-        return pa.Table.from_arrays([pa.array(out_reps, pa.int64()), pa.array(out_links, pa.list_(pa.int64()))], names=["rep", "links"])
+def _searched(shared, least: float, listed: bool):
+    """Rows (rep, links, -, -) with the count of a vector in the chunk, and (-, -, a, b) with linked labels, or reps where pairs are listed."""
+    def run(batches):
+        chunk = shared.value
+        chunk.single = chunk.x.astype(np.float32)
+        told = set()
+        for batch in batches:
+            whole, cells, reps, labels = matrix(batch.column("vector")), *[batch.column(c).to_numpy() for c in ("cell", "rep", "label")]
+            for low in range(0, len(reps), ROWS):
+                part = slice(low, low + ROWS)
+                counts, joined, pairs = searched(whole[part], cells[part], reps[part], labels[part], chunk, least, listed)
+                some = np.flatnonzero(counts)
+                new = [] if listed else sorted(joined - told)
+                told |= joined
+                first = np.concatenate([p[0] for p in pairs]) if pairs else np.array([a for a, _ in new], np.int64)
+                second = np.concatenate([p[1] for p in pairs]) if pairs else np.array([b for _, b in new], np.int64)
+                for columns in ((reps[part][some], counts[some], None, None), (None, None, first, second)):
+                    n = max(len(c) for c in columns if c is not None)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names=["rep", "links", "a", "b"])
     return run
 
 
 def _compared(shared, least: float):
-    """Rows (a, b): vectors of the audit with all that link to them, by comparing with every row."""
+    """Rows (rep, low, high) of the audit: copies of surely and of possibly linked rows, by comparing with every row in double precision."""
     def run(batches):
         ids, asked = shared.value
+        low, high = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for batch in batches:
-            x, reps = matrix(batch.column("vector")), batch.column("rep").to_numpy()
-            rows, cols = np.nonzero(x @ asked.T >= least) if len(x) and len(ids) and x.shape[1] == asked.shape[1] else (np.zeros(0, int), np.zeros(0, int))
-            keep = reps[rows] != ids[cols]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[cols[keep]], pa.int64()), pa.array(reps[rows[keep]], pa.int64())], names=["a", "b"])
+            if batch.num_rows:
+                close, copies = matrix(batch.column("vector")) @ asked.T, batch.column("copies").to_numpy()
+                low += copies @ (close >= least + 1e-12)
+                high += copies @ (close >= least - 1e-12)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, low, high)], names=["rep", "low", "high"])
     return run
 
 
-def links(vectors: DataFrame, least: float, overlap: int = 2, probes: int = 4) -> tuple[DataFrame, float]:
-    """(a, b) pairs, both ways, of (rep, vector) rows of one size whose cosine is ``least`` or more, and the recall of the audit."""
-    spark = vectors.sparkSession
+def _audited(placed: DataFrame, shards: list, counted: DataFrame, least: float) -> float:
+    """The share of links found of vectors from the largest shards and from drawn ones; an error if it is not all of them."""
+    by_size = sorted(shards, key=lambda r: (-r["n"], r["shard"]))[: AUDIT // 2]
+    ids = sorted({r["first"] for r in by_size} | {r["first"] for r in sorted(shards, key=lambda r: r["drawn"])[: AUDIT // 2]})
+    chosen = placed.where(F.col("rep").isin(ids)).select("rep", "vector").toArrow()  # bounded: AUDIT
+    asked = placed.sparkSession.sparkContext.broadcast((chosen.column("rep").to_numpy(), matrix(chosen.column("vector"))))
+    truth = placed.select("copies", "vector").mapInArrow(_compared(asked, least), "rep long, low long, high long").groupBy("rep").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    rows = truth.join(counted, "rep", "left").select("low", "high", F.coalesce("links", F.lit(0)).alias("links")).collect()
+    wrong = sum(not r["low"] <= r["links"] <= r["high"] for r in rows)
+    if wrong:
+        raise RuntimeError(f"the audit found {wrong} of {len(rows)} vectors with other links than the search")
+    return min(1.0, sum(r["links"] for r in rows) / max(1, sum(r["low"] for r in rows)))
+
+
+def _search(vectors: DataFrame, least: float, listed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """(rep, label) of (rep, copies, vector) rows of one size, (rep, links) with the row's own copies, (a, b) links of labels or reps, recall of the audit."""
+    context = vectors.sparkSession.sparkContext
     n = vectors.count()
-    drawn = vectors.orderBy(F.xxhash64("rep"), "rep").limit(min(n, SAMPLE)).toArrow()  # bounded: SAMPLE
+    drawn = vectors.select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(min(n, SAMPLE)).toArrow()  # bounded: SAMPLE
     sample = matrix(drawn.column("vector"))
-    tree = spark.sparkContext.broadcast(centroids(sample, -(-n // SHARD)))
-    audited = vectors.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(AUDIT).toArrow()  # bounded: AUDIT
-    asked = spark.sparkContext.broadcast((audited.column("rep").to_numpy(), matrix(audited.column("vector"))))
-    truth = stored(vectors.mapInArrow(_compared(asked, least), "a long, b long"))
-    total = truth.count()
-    beam = BEAM
-    for attempt in range(3):
-        placed = stored(vectors.mapInArrow(_shards(tree, overlap, probes), "shard int, rep long, member boolean, vector array<double>"))
-        graph = placed.where("member").groupBy("shard").applyInArrow(_lists, "shard int, rep long, near array<long>, lead boolean")
-        graph = stored(graph)
-        united = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # lists of at most overlap shards
-        leads = graph.where("lead").select("shard", "rep", "lead")
-        ready = placed.join(united, "rep").join(leads, ["shard", "rep"], "left")
-        one_way = ready.groupBy("shard").applyInArrow(_found(least, beam), "rep long, links array<long>")
-        pairs = stored(one_way.select(F.col("rep").alias("a"), F.explode("links").alias("b")))
-        pairs = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        recall = truth.join(pairs, ["a", "b"], "left_semi").count() / total if total else 1.0
-        if recall >= RECALL or attempt == 2:
-            return pairs, recall
-        overlap, probes, beam = overlap + 1, 2 * probes, 2 * beam
+    centres = centroids(sample, -(-n // SHARD))
+    shared = context.broadcast(centres)
+    celled = stored(vectors.select("rep", "copies", "vector").mapInArrow(_cells(shared), "cell int, rep long, copies long, vector array<double>"))
+    parts = celled.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2 * SHARD)).alias("parts"))
+    dealt = celled.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    dealt = dealt.withColumn("shard", F.col("cell").cast("long") * (1 << 32) + F.col("part")).drop("parts", "part")
+    placed = stored(dealt.groupBy("shard").applyInArrow(_labelled(least), "shard long, cell int, rep long, copies long, vector array<double>, label long"))
+    shards = placed.groupBy("shard").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(1))).alias("first"),
+                                         F.min(F.xxhash64("rep", F.lit(1))).alias("drawn")).orderBy("shard").collect()  # one row per shard
+    most, chunks, held = max(1, CHUNK_BYTES // (8 * sample.shape[1])), [], 0
+    for r in shards:
+        if not chunks or held + r["n"] > most:
+            chunks.append([r["shard"], r["shard"]])
+            held = 0
+        chunks[-1][1] = r["shard"]
+        held += r["n"]
+    out = None
+    for low, high in chunks:
+        got = placed.where(F.col("shard").between(low, high)).toArrow()  # bounded: CHUNK_BYTES
+        chunk = Chunk(*[got.column(c).to_numpy() for c in ("shard", "cell", "rep", "label", "copies")], matrix(got.column("vector")), centres)
+        sent = context.broadcast(chunk)
+        found = stored(placed.select("cell", "rep", "label", "vector").mapInArrow(_searched(sent, least, listed), "rep long, links long, a long, b long"))
+        sent.unpersist()
+        out = found if out is None else out.union(found)
+    counted = stored(out.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links")))
+    return placed.select("rep", "label"), counted, out.where("a is not null").select("a", "b"), _audited(placed, shards, counted, least)
+
+
+def links(vectors: DataFrame, least: float) -> tuple[DataFrame, float]:
+    """(a, b) pairs, both ways, of (rep, vector) rows of one size whose cosine is ``least`` or more, and the recall of the audit."""
+    _, _, pairs, recall = _search(vectors.select("rep", F.lit(1).cast("long").alias("copies"), "vector"), least, listed=True)
+    return pairs.where("a <> b"), recall
 
 
 def linked_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -327,20 +271,16 @@ def linked_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     classes = stored(good.groupBy("key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"), F.first("vector").alias("vector"))
                      .select("key", "copies", "low", "vector", F.xxhash64("key").alias("rep"), F.size("vector").alias("size")))
     sizes = [r["size"] for r in classes.groupBy("size").count().collect()]  # one row per length of vector
-    pairs = None
-    for size in sorted(sizes):
-        found = links(classes.where(F.col("size") == size).select("rep", "vector"), least)[0]
-        pairs = found if pairs is None else pairs.union(found)
+    parts = [_search(classes.where(F.col("size") == size).select("rep", "copies", "vector"), least)[:3] for size in sorted(sizes)]
     bare = rows.withColumn("key", F.when(valid("vector"), F.md5(F.to_json(F.struct("vector"))))).select("vec_id", "key")
-    if pairs is None:
+    if not parts:
         return bare.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    copies = classes.select(F.col("rep").alias("b"), "copies")
-    counted = pairs.join(copies, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
-    roots = components(pairs).withColumnRenamed("node", "rep")
-    facts = (classes.select("key", "rep", "copies", "low").join(counted, "rep", "left").join(roots, "rep", "left")
-             .withColumn("root", F.coalesce("root", "rep")))
+    labels, counted, edges = (reduce(DataFrame.union, x) for x in zip(*parts))
+    roots = components(edges).withColumnRenamed("node", "label")
+    facts = (classes.select("key", "rep", "copies", "low").join(counted, "rep", "left").join(labels, "rep").join(roots, "label", "left")
+             .withColumn("root", F.coalesce("root", "label")))
     heads = facts.groupBy("root").agg(F.min("low").alias("head"))
-    facts = facts.join(heads, "root").select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "head")
+    facts = facts.join(heads, "root").select("key", (F.coalesce("links", "copies") - 1).alias("n_links"), "head")
     out = bare.join(facts, "key", "left")
     component = F.when(F.col("key").isNotNull(), F.col("head")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

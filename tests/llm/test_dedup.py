@@ -140,6 +140,36 @@ def test_linked_vectors_equal_all_pairs(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_crowds_of_many_shards_are_counted_whole(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 20)
+    monkeypatch.setattr(embedding_dedup, "CHUNK_BYTES", 40_000)
+    r = np.random.default_rng(4)
+    tight, wide, chain = r.normal(size=(3, 16)), r.normal(size=16), np.linspace(0, 3, 60)
+    x = np.concatenate([tight[0] + 0.1 * r.normal(size=(700, 16)), wide + 0.33 * r.normal(size=(500, 16)),
+                        np.stack([np.cos(chain), np.sin(chain)], axis=1) @ tight[1:], r.normal(size=(200, 16))])
+    df = spark.createDataFrame([(k, [float(v) for v in y]) for k, y in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(y) for y in embedding_dedup.linked_vectors(df).collect())
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = union_find(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near))])
+    assert got == [(k, int(near[k].sum()), root[k], root[k] == k) for k in range(len(x))]
+
+
+def test_audit_refuses_lost_links(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 60)
+    search = embedding_dedup._searched
+
+    def losing(*args):
+        run = search(*args)
+        return lambda batches: (b.slice(0, b.num_rows // 2) for b in run(batches))
+
+    monkeypatch.setattr(embedding_dedup, "_searched", losing)
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="audit"):
+        embedding_dedup.linked_vectors(df)
+
+
 def test_vectors_none_or_no_good_ones(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embedding_dedup.linked_vectors(spark.createDataFrame([], schema)).count() == 0
