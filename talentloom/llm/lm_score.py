@@ -3,8 +3,8 @@
 1. Documents are dealt into segments of some megabytes by a hash of the row. A segment explodes its n-grams (64-bit hashes of runs of 1 to ``order``
    words) and keeps each once, with its count: a run of sorted hashes per hash bucket.
 2. Buckets gather the runs of all segments: together they are the n-gram count table, partitioned by hash. Joined to the runs they came from, each gets
-   the corpus counts of its n-grams. A frequent n-gram is one entry per segment, so no bucket is hot.
-3. Counts return to the segments. A document's own n-grams are taken off, and the scores of its words are summed per document.
+   the counts of its n-grams in all other segments. A frequent n-gram is one entry per segment, so no bucket is hot.
+3. Counts return to the segments, which add their own; most long n-grams stand in one segment only, and their zeros take next to no room. A document's own n-grams are taken off, and the scores of its words are summed per document.
 
 Runs travel as byte planes of differences, which shuffle compression packs well. The number of segments and buckets grows with the input, their
 size does not. Nothing but the total number of words comes to the driver.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from talentloom.llm.common import WordHashes, mixed, row_key, stored
 
 #: Longest n-gram, weight of each step back.
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in a segment.
 SEGMENT_BYTES = 6_000_000
 _START = np.uint64(0x9AE16A3B2F90404F)
@@ -99,13 +99,14 @@ def _requests(order: int, buckets: int):
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """A bucket: its part of the count table, joined back to each run."""
+    """A bucket: its part of the count table, joined back to each run without the run's own counts."""
     runs = [np.cumsum(unplanes(g.as_py()), dtype=np.uint64) for g in table.column("grams")]
     counts = [unplanes(c.as_py()) for c in table.column("counts")]
     every, place = np.unique(np.concatenate(runs), return_inverse=True)
     total = np.zeros(len(every), np.uint64)
-    np.add.at(total, place, np.concatenate(counts))
-    found, ends = total[place], np.cumsum([len(r) for r in runs])
+    here = np.concatenate(counts)
+    np.add.at(total, place, here)
+    found, ends = total[place] - here, np.cumsum([len(r) for r in runs])
     return pa.Table.from_arrays([table.column("segment").combine_chunks(), table.column("bucket").combine_chunks(),
                                  pa.array([planes(found[e - len(r) : e]) for e, r in zip(ends.tolist(), runs)], pa.binary())], names=["segment", "bucket", "totals"])
 
@@ -134,14 +135,17 @@ def _scores(order: int, backoff: float):
         number = np.repeat(np.arange(docs), sizes)
         summed = backed = np.zeros(docs)
         if n:
-            place = np.unique(joined, return_inverse=True)[1]
+            _, place, held = np.unique(joined, return_inverse=True, return_counts=True)
             runs = sorted(zip(answers.column("bucket").to_pylist(), answers.column("totals")), key=lambda x: x[0])
-            totals = np.concatenate([unplanes(t.as_py()) for _, t in runs]).astype(np.int64)
+            totals = np.concatenate([unplanes(t.as_py()) for _, t in runs]).astype(np.int64) + held
             left = []
             for k in range(order):
                 here = place[k * n : (k + 1) * n]
-                _, which, own = np.unique(here * docs + number, return_inverse=True, return_counts=True)
-                left.append(totals[here] - own[which])
+                rest = totals[here] - 1
+                several = np.flatnonzero(held[here] > 1)  # what the segment holds once, the text holds once
+                _, which, own = np.unique(here[several] * docs + number[several], return_inverse=True, return_counts=True)
+                rest[several] -= own[which] - 1
+                left.append(rest)
             heads = np.flatnonzero(np.diff(number, prepend=-1))
             contexts = []
             for k in range(order - 1):

@@ -98,6 +98,14 @@ def test_backoff_scores_equal_plain_counts(spark, order, monkeypatch):
     assert lm_score.backoff_scores(frame(spark, [])).count() == 0
 
 
+def test_usual_pairs_in_unusual_order_score_lower(spark):
+    rows = [(1, "a b c"), (2, "a b e"), (3, "a b c"), (4, "a b c"), (5, "d b e"), (6, "d b e")]
+    got = {x["id"]: x for x in lm_score.backoff_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["log_score"] > got[2]["log_score"] + 0.1  # words and pairs alone give both the same
+    plain = backoff([t for _, t in rows], 3)
+    assert [(got[i]["n_words"], got[i]["n_backed_off"], round(got[i]["log_score"], 6)) for i, _ in rows] == [(n, k, round(s, 6)) for n, k, s in plain]
+
+
 def random_text(r, n):
     return "".join(r.choice(" aab'st  \n\t.,1é日 re'll▁😀") for _ in range(n))
 
