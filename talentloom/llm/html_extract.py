@@ -2,10 +2,10 @@
 
 1. Each page is read once as a tree; every element that could be page furniture (containers, and anything outside the article) gives the hash of its
    subtree: tag, class, text and the hashes of its children.
-2. Spark counts per host on how many pages of *different* main text a subtree stands, by two partial sums, so a host of any size is no hot
-   group and copies of one article do not make its parts a template.
-3. Subtrees standing on ``PAGES`` or more go back to their pages, which are read again without them, and without elements whose tag, role or class says
-   that they are no article text.
+2. Spark counts per host on how many pages of *different* main text a subtree stands, by partial sums, so a host of any size is no hot
+   group. Near copies count by min-hashes of their pairs of words, which alike texts share as often as they are alike.
+3. A subtree is a template if it stands on a share of the host's unlike pages and if its pages are unlike (``BARS``). Templates go back to their pages,
+   which are read again without them, and without elements whose tag, role or class says that they are no article text.
 
 The text of a page is that of its article elements, else of its main elements, else of what is left of the page. Text blocks
 (paragraphs, headings, list items) inside an article are never templates: a passage that many articles share is text.
@@ -16,14 +16,18 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from talentloom.llm.common import row_key, slices
+from talentloom.llm.common import mixed, row_key, slices, stored
 
-#: Pages of different main text on which a subtree of a host is a template.
-PAGES = 8
+#: By kind of subtree: pages of different main text on which a template stands at least, and its share of the unlike pages of the host.
+OUTSIDE, BLOCK, INSIDE = 0, 1, 2  # container outside an article or main, other element there, container inside
+BARS = {OUTSIDE: (3, 0.25), BLOCK: (3, 0.5), INSIDE: (8, 0.5)}
+#: Min-hashes of a page; so many of a template's different pages, as a share, are unlike.
+LIKE, UNLIKE = 8, 0.5
 #: Elements that are never article text.
 FURNITURE = frozenset("nav header footer aside form noscript template iframe svg canvas object select button dialog menu head".split())
 #: Their content is no markup.
@@ -63,7 +67,7 @@ class Page:
     """One pass over a page: blocks of text left, and hashes of the subtrees that may be templates."""
 
     def __init__(self, page: str, host: str = "", templates: frozenset = frozenset()):
-        self.hashes: set[int] = set()
+        self.hashes: set[tuple[int, int]] = set()
         self._host, self._templates = host, templates
         self._pieces: list[str | None] = []  # text, or None where a block ends
         self._regions: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
@@ -134,10 +138,11 @@ class Page:
         digest = xxhash.xxh3_64_intdigest("\x00".join([name, names, *[" ".join(c.split()) if isinstance(c, str) else str(c) for c in children]])) - (1 << 63)
         if self._stack:
             self._stack[-1][4].append(digest)
+        kind = INSIDE if inside else OUTSIDE if name in CONTAINERS else BLOCK
         if name not in ("html", "body", "article", "main") and not holds and children and (name in CONTAINERS or not inside):
-            self.hashes.add(digest)
+            self.hashes.add((digest, kind))
         if not holds and name not in ("html", "body", "main") and (
-                name in FURNITURE or marked or (self._templates and of_site(self._host, digest) in self._templates)):
+                name in FURNITURE or marked or (self._templates and of_site(self._host, digest, kind) in self._templates)):
             del self._pieces[first:]
         elif name in self._regions and not inside:
             self._regions[name].append((first, len(self._pieces)))
@@ -164,21 +169,31 @@ class Page:
         return "\n".join(blocks)
 
 
-def of_site(host: str, digest: int) -> int:
-    """Hash of a subtree on a host."""
-    return xxhash.xxh3_64_intdigest(f"{host} {digest}") - (1 << 63)
+def of_site(host: str, digest: int, kind: int) -> int:
+    """Hash of a subtree of a kind on a host."""
+    return xxhash.xxh3_64_intdigest(f"{host} {digest} {kind}") - (1 << 63)
+
+
+def likeness(text: str) -> list[int]:
+    """Min-hashes of the pairs of neighbouring words."""
+    words = text.split()
+    pairs = np.array([xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:] or [""])] or [0], np.uint64)
+    return [int(mixed(pairs + np.uint64(k)).min()) - (1 << 63) for k in range(LIKE)]
 
 
 def _subtrees(batches):
     for batch in slices(batches):
-        out = ([], [], [])
+        out, kinds = ([], [], [], [], []), []
         for row, host, page in zip(*[batch.column(c).to_pylist() for c in ("row", "host", "html")]):
             read = Page(page)
-            content = xxhash.xxh3_64_intdigest(read.text()) - (1 << 63)
-            for digest in read.hashes:
-                for column, value in zip(out, (row, content, of_site(host, digest))):
+            text = read.text()
+            content, like, site = xxhash.xxh3_64_intdigest(text) - (1 << 63), likeness(text), xxhash.xxh3_64_intdigest(host) - (1 << 63)
+            for digest, kind in [(None, None), *read.hashes]:  # a page without subtrees is a page of its site, too
+                for column, value in zip(out, (row, site, content, like, None if digest is None else of_site(host, digest, kind))):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["row", "content", "digest"])
+                kinds.append(kind)
+        yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.list_(pa.int64()) if k == 3 else pa.int64()) for k, x in enumerate(out)], pa.array(kinds, pa.int32())],
+                                         names=["row", "site", "content", "like", "digest", "kind"])
 
 
 def _texts(batches):
@@ -188,7 +203,13 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def main_text(pages: DataFrame, least: int = PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _unlike(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, n): unlike pages of a key, the mean over the min-hashes of how many different ones there are."""
+    each = rows.select(key, F.posexplode("like").alias("k", "value")).groupBy(key, "k", "value").agg(F.lit(1).alias("one"))
+    return each.groupBy(key).agg((F.count("*") / F.lit(LIKE)).alias("n"))
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (page_id, url, text, n_chars), one per page.
 
     Null or empty html gives an empty text. Pages without a readable host form a site of their own. Repeated rows come back as often as they came and
@@ -198,10 +219,18 @@ def main_text(pages: DataFrame, least: int = PAGES, id_col: str = "page_id", url
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = read.withColumn("row", row_key("page_id", "url", "html"))
     named = keyed.withColumn("host", host)
-    trees = named.select("row", "host", "html").mapInArrow(_subtrees, "row long, content long, digest long")
-    often = (trees.groupBy("digest", "content").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("pages"))
-             .where(F.col("pages") >= least).select("digest"))
-    mine = trees.select("row", "digest").join(often, "digest").groupBy("row").agg(F.collect_set("digest").alias("templates"))
+    trees = stored(named.select("row", "host", "html").mapInArrow(_subtrees, "row long, site long, content long, like array<long>, digest long, kind int"))
+    often = stored(trees.where("digest is not null").groupBy("digest", "content").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("pages"))
+                   .where(F.col("pages") >= min(least for least, _ in BARS.values())))
+    held = stored(trees.select("row", "site", "like", "digest", "kind").join(often, "digest"))
+    unlike = _unlike(held, "digest").withColumnRenamed("n", "unlike")
+    sites = _unlike(trees.where("digest is null"), "site").withColumnRenamed("n", "of_site")
+    found = held.select("digest", "site", "kind", "pages").distinct().join(unlike, "digest").join(sites, "site")
+    enough = F.lit(False)
+    for kind, (least, share) in BARS.items():
+        enough = enough | ((F.col("kind") == kind) & (F.col("pages") >= least) & (F.col("unlike") >= share * F.col("of_site")))
+    enough = enough & (F.col("unlike") >= UNLIKE * F.col("pages"))
+    mine = held.select("row", "digest").join(found.where(enough).select("digest"), "digest").groupBy("row").agg(F.collect_set("digest").alias("templates"))
     kind = ", ".join(f"{c} {read.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     found = keyed.join(mine, "row", "left").withColumn("host", host).select("page_id", "url", "host", "html", "templates").mapInArrow(_texts, f"{kind}, text string")
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -104,6 +104,18 @@ def test_articles_keep_what_they_share(spark):
     assert all(got[k] == f"T\nShared passage\n{prose(k, 9)}" for k in range(12))
 
 
+def test_near_copies_keep_a_wrapped_body(spark):
+    body = f"<div class=body><p>{prose(1, 80)}</p><ul><li>{prose(2, 9)}</li></ul></div>"
+    pages = [(k, "http://a.example/", f"<article><h1>Title {k}</h1>{body}</article>") for k in range(40)]
+    pages += [(100 + k, "http://b.example/", f"<h1>Title {k}</h1>{body}") for k in range(40)]  # no article
+    pages += [(200 + k, "http://c.example/", f"<article><p>{prose(20 + k, 40)}</p>{'<ul><li>One list</li></ul>' if k < 9 else ''}</article>") for k in range(40)]
+    pages += [(300 + k, "http://d.example/", f"<div>Buy our things</div><div><p>{prose(20 + k, 40)}</p></div>") for k in range(4)]  # a small host
+    got = {x["page_id"]: x["text"] for x in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[h + k] == f"Title {k}\n{prose(1, 80)}\n{prose(2, 9)}" for h in (0, 100) for k in range(40))
+    assert all(got[200 + k] == prose(20 + k, 40) + ("\nOne list" if k < 9 else "") for k in range(40))
+    assert all(got[300 + k] == prose(20 + k, 40) for k in range(4))
+
+
 def test_pipeline_stages_equal_plain_versions(spark, tmp_path):
     rows = [r for r in documents() if r[0] is not None]
     docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
