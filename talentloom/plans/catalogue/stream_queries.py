@@ -8,7 +8,7 @@ from talentloom.operators import progress
 from talentloom.plans import batch
 from talentloom.plans.catalogue.analytics_queries import PROGRESS_SQL
 from talentloom.plans.catalogue.registry import query, uuid_sql
-from talentloom.streaming import status
+from talentloom.streaming import intake, status
 
 AS_OF = "2024-02-01"
 
@@ -33,7 +33,7 @@ def _(t):
 def _(t):
     """Rows delivered twice count once."""
     rows = t.events.select("event_id", "user_id")
-    return rows.unionByName(rows).dropDuplicates(["event_id"])
+    return intake.dedup_rows(rows.unionByName(rows), ["event_id"])
 
 
 @query("r3_stream_status", "select resume_id, status from latest_v")

@@ -27,13 +27,18 @@ def read_uploads(spark: SparkSession, path: str, files_per_trigger: int = 10_000
     return describe_files(files)
 
 
+def dedup_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: of a whole table, or of a stream within its watermark."""
+    return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+
+
 def dedup_stream(df: DataFrame, keys: list[str], ts: str = "uploaded_at", delay: str = "1 hour") -> DataFrame:
     """A row delivered again within the delay counts once; older keys are forgotten.
 
     ``ts`` should be the time of intake: on a time set by the sender, rows older
     than the watermark would be dropped as late.
     """
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+    return dedup_rows(df.withWatermark(ts, delay), keys)
 
 
 def stream_intake(spark: SparkSession, path: str, out: str, checkpoint: str | None = None,

@@ -127,3 +127,12 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     else:
         with pytest.raises(ValueError):
             intake.checkpoint_root(spark)
+
+
+def test_dedup_query_runs_the_streams_operator(spark, monkeypatch):
+    import __spark_entry__
+
+    query = __spark_entry__.queries()["r2_dedup_rows"]
+    once = query(spark, "/root/testdata/sf0.001").count()
+    monkeypatch.setattr(intake, "dedup_rows", lambda df, keys: df)  # an operator that keeps everything
+    assert query(spark, "/root/testdata/sf0.001").count() == 2 * once
