@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talentloom.llm import (
-    decontaminate, embedding_dedup, html_extract, language_id, lm_score, minhash_dedup, sentencepiece_trie, suffix_dedup, token_counts, toxicity,
+    chat_template, decontaminate, embedding_dedup, fill_in_middle, gram_index, html_extract, language_id, lm_score, minhash_dedup, sentencepiece_trie,
+    suffix_dedup, token_counts, toxicity,
 )
 from talentloom.llm.common import table
 
@@ -63,9 +64,28 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.span_digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all texts, their near words counted, their usual forms and roots."""
+    return gram_index.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut for filling in its middle, and rebuilt from that."""
+    return fill_in_middle.row_digest(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted and read back."""
+    rows = chat_template.formatted(chat_template.with_trial(table(spark, sf_dir, "conversations")))
+    return chat_template.read_back(rows).withColumnRenamed("id", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_benchmark_decontamination, op2_embedding_near_dedup, op3_html_main_text, op4_lm_score, op5_toxicity, op6_token_counts,
-        op7_sentencepiece_round_trip, op8_language_id, op9_minhash_near_dedup, op10_suffix_array_dedup)
+        op7_sentencepiece_round_trip, op8_language_id, op9_minhash_near_dedup, op10_suffix_array_dedup,
+        op11_spelling_variants, op12_fill_in_middle, op13_chat_formatting)
+}
+ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": decontaminate.SQL, "op12_fill_in_middle": fill_in_middle.SQL, "op13_chat_formatting": chat_template.SQL,
 }
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL}
