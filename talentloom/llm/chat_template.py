@@ -414,15 +414,16 @@ class Guard:
     """
 
     def __init__(self, control: Iterable[str]):
-        forms = sorted({(c[0], c[1:]) for c in control}, key=lambda f: (f[0], -len(f[1]), f[1]))
-        self.source = "|".join(rf"(?<={re.escape(head)})\\*(?={re.escape(rest)})" for head, rest in forms)
-        self._forms = re.compile(self.source)
+        rests: dict[str, list[str]] = {}
+        for c in sorted(set(control)):
+            rests.setdefault(c[0], []).append(re.escape(c[1:]))
+        self._forms = re.compile("|".join(rf"{re.escape(head)}\\*(?={'|'.join(rest)})" for head, rest in rests.items()))
 
     def guarded(self, text) -> str:
         return self._forms.sub(lambda m: m[0] + "\\", _text(text))
 
     def plain(self, text: str) -> str:
-        return self._forms.sub(lambda m: m[0][1:], text)
+        return self._forms.sub(lambda m: m[0][:-1] if len(m[0]) > 1 else m[0], text)
 
 
 #: The strings that mark turns of the production template.
