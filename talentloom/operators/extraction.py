@@ -1,8 +1,9 @@
-"""Raw text → nested record, with column expressions only.
+"""Raw text → nested record.
 
-Expected form: a header with name and contact line, then sections, entries of a
-section parted by blank lines. A section is headed by a line between two ``---``
-rules; in texts without rules by a line that is a usual heading, or in capitals.
+The lines of a text are told apart by ``line_states``: its form needs no rules, no
+usual headings and no blank lines. Fields of an entry are read from its lines with
+column expressions: title, employer and dates on lines of their own, or on one line
+parted by bars, dashes, commas or "at".
 """
 
 from __future__ import annotations
@@ -11,37 +12,39 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from talentloom import rules, schemas
 from talentloom.functions.dates import duration_text, parse_loose_date, whole_months
-from talentloom.functions.text import email_in, first_line, linkedin_in, phone_in, strip_ws, website_in, word_frame
+from talentloom.functions.text import email_in, linkedin_in, phone_in, strip_ws, website_in, word_frame
 from talentloom.functions.values import career_level, let
+from talentloom.operators import line_states as ls
 from talentloom.operators.text_analysis import best_industry, distinct_words, industry_fit_of
 
-_RULE = r"(?m)^---[ \t]*$"
-_HEADING = r"(?<=\n)[ \t]*((?i:" + "|".join(rules.HEADING_WORDS) + r")|[A-Z][A-Z&/]+(?: [A-Z&/]+){0,3})[ \t]*:?[ \t]*(?=\n)"
 _STATE = r"^[A-Z]{2}(\s+[0-9]{5}(-[0-9]{4})?)?$"
-_BLANK_LINE = r"\n[ \t]*\n\s*"
-_DATE_SPAN = r"\(\s*([^()–-]+?)\s*[–-]\s*([^()]+?)\s*\)"
+_DATE_SPAN = r"^\(?\s*([^()]+?)\s*(?:[–—]|\s-+\s|\s(?:to|until)\s|(?<=\d{4})-+(?=\d{4}|\p{L}))\s*([^()]+?)\s*\)?$"
 _ZIP = r"(?:^|\s)([A-Z0-9-]*[0-9][A-Z0-9 -]*)$"
 _HEADER = "header"
+_EDGES = r"^[\s,;|•·–—-]+|[\s,;|•·–—(-]+$"
 
 
-def _sections(text: Column) -> Column:
-    """Array of (section, body); the part above the first rule is the header."""
-    def read(parts: Column) -> Column:
-        last = F.size(parts) - 2  # a body needs a heading before it
-        at = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(2))).otherwise(F.array().cast("array<int>"))
-        named = F.transform(at, lambda i: F.struct(
-            F.lower(strip_ws(F.get(parts, i))).alias("section"), strip_ws(F.get(parts, i + 1)).alias("body")
-        ))
-        header = F.struct(F.lit(_HEADER).alias("section"), strip_ws(F.get(parts, F.lit(0))).alias("body"))
-        return F.concat(F.array(header), named)
-
-    ruled = F.when(text.rlike(_RULE), text).otherwise(F.regexp_replace(text, _HEADING, "---\n$1\n---"))
-    return let(F.split(ruled, _RULE, -1), read)
+def with_lines(df: DataFrame, text: str = "raw_text") -> DataFrame:
+    """The frame with its ``lines``, read once."""
+    return df if "lines" in df.columns else ls.read_lines(df, text)
 
 
 def split_sections(df: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Add ``sections``: map from lower-case heading to body; bodies under the same heading are joined."""
-    pairs = df.withColumn("_pairs", _sections(F.coalesce(F.col(text), F.lit(""))))
+    """Add ``lines`` and ``sections``: map from lower-case heading to body; bodies under the same heading are joined.
+
+    What stands above the first heading is the ``header``.
+    """
+    def read(lines: Column) -> Column:
+        def body(heading: Column) -> Column:
+            held = F.filter(lines, lambda x: (x["heading"] == heading) & ~ls.in_states(x, *ls.HEADINGS) & ~x["line"].rlike(ls.RULE))
+            return strip_ws(F.array_join(F.transform(held, lambda x: x["line"]), "\n"))
+
+        heads = F.filter(lines, lambda x: ls.in_states(x, *ls.HEADINGS))
+        named = F.transform(heads, lambda x: F.struct(
+            F.lower(F.regexp_replace(x["line"], r"\s*:$", "")).alias("section"), body(x["heading"]).alias("body")))
+        return F.concat(F.array(F.struct(F.lit(_HEADER).alias("section"), body(F.lit(-1)).alias("body"))), named)
+
+    pairs = with_lines(df, text).withColumn("_pairs", let(F.col("lines"), read))
     names = F.array_distinct(F.transform("_pairs", lambda p: p.section))
     bodies = F.transform(names, lambda n: F.array_join(
         F.transform(F.filter("_pairs", lambda p: p.section == n), lambda p: p.body), "\n\n"
@@ -49,40 +52,14 @@ def split_sections(df: DataFrame, text: str = "raw_text") -> DataFrame:
     return pairs.withColumn("sections", F.map_from_arrays(names, bodies)).drop("_pairs")
 
 
-def section_body(sections: Column, word: str) -> Column:
-    """Bodies of all sections whose heading holds a word or one of its usual other names; '' when there is none."""
-    def named(key: Column) -> Column:
-        out = F.lit(False)
-        for name in rules.SECTION_NAMES.get(word, (word,)):
-            out = out | key.contains(name)
-        return out
-
-    hits = F.filter(F.map_entries(sections), lambda e: named(e.key))
-    return F.array_join(F.transform(hits, lambda e: e.value), "\n\n")
-
-
-def _entries(body: Column) -> Column:
-    """Entries of a section, each as its trimmed non-blank lines."""
-    blocks = F.filter(F.split(strip_ws(body), _BLANK_LINE), lambda b: strip_ws(b) != "")
-    return F.transform(blocks, lambda b: F.filter(F.transform(F.split(b, "\n"), strip_ws), lambda line: line != ""))
-
-
-def _line(lines: Column, n: int) -> Column:
-    return F.get(lines, F.lit(n))
-
-
-def _is_bullet(line: Column) -> Column:
-    return line.rlike(r"^[-•*]\s")
-
-
-def _bullets(lines: Column) -> Column:
-    return F.transform(F.filter(lines, _is_bullet), lambda line: F.regexp_replace(line, r"^[-•*]\s+", ""))
-
-
 def _or_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def _part(parts: Column, n: int) -> Column:
+    return F.get(parts, F.lit(n))
+
+
 def _place(line: Column) -> tuple[Column, Column]:
     """("company", "city, ST") of a line ``company, city, ST``."""
     return (
@@ -91,28 +68,57 @@ def _place(line: Column) -> tuple[Column, Column]:
     )
 
 
-def _is_span(line: Column) -> Column:
-    return line.rlike(r"^\(.*\)$")
+def _undated(line: Column) -> Column:
+    """A line without its span or closing year, and without the separators left at its ends."""
+    bare = F.regexp_replace(F.regexp_replace(line, ls.SPAN, ""), rf"[\s,;|(–—-]+{ls.DATE}\)?$", "")
+    return _or_null(F.regexp_replace(bare, _EDGES, ""))
 
 
-def _span_line(lines: Column) -> Column:
-    """The first line which is a span of dates in parentheses."""
-    return F.get(F.filter(lines, _is_span), F.lit(0))
+def _span(dates: Column, line: Column) -> Column:
+    """(start, end) texts of a line of dates, or else of a span within a line; a single date is the end."""
+    def read(d: Column) -> Column:
+        start = _or_null(F.regexp_extract(d, _DATE_SPAN, 1))
+        end = F.coalesce(_or_null(F.regexp_extract(d, _DATE_SPAN, 2)), _or_null(F.regexp_extract(d, r"^\(?\s*([^()]+?)\s*\)?$", 1)))
+        return F.struct(start.alias("start"), end.alias("end"))
 
+    inner = F.struct(_or_null(F.regexp_extract(line, ls.SPAN, 1)).alias("start"),
+                     F.coalesce(_or_null(F.regexp_extract(line, ls.SPAN, 2)), _or_null(F.regexp_extract(line, rf"({ls.DATE})\)?$", 1))).alias("end"))
+    return F.when(dates.isNotNull(), let(dates, read)).otherwise(inner)
 
-def _span(line: Column) -> tuple[Column, Column]:
-    """(start, end) texts of a span; a single date is the end."""
-    start = _or_null(F.regexp_extract(line, _DATE_SPAN, 1))
-    end = _or_null(F.regexp_extract(line, _DATE_SPAN, 2))
-    return start, F.coalesce(end, _or_null(F.regexp_extract(line, r"^\(\s*([^()]+?)\s*\)$", 1)))
 
+def _split_parts(line: Column) -> Column:
+    """The parts of an undated line: by bars, dashes, wide gaps; else by "at"; else by commas."""
+    bars = F.split(line, ls.SEPARATOR)
+    at = F.split(line, r"\s+(?:at|@)\s+", 2)
+    return let(bars, lambda b: F.when(F.size(b) > 1, b).otherwise(let(at, lambda a: F.when(F.size(a) > 1, a).otherwise(F.split(line, r"\s*,\s*")))))
 
-def _parts(lines: Column) -> Column:
-    """What every entry is read from, computed once per entry."""
-    return F.struct(
-        lines.alias("lines"), _line(lines, 0).alias("head"), _line(lines, 1).alias("place"),
-        _span_line(lines).alias("span"), _bullets(lines).alias("bullets"),
-    )
+
+def _named(given: Column) -> Column:
+    """(title, company, location) from the role line and the employer line of an entry; one of them may hold all three."""
+    def one_line(line: Column) -> Column:
+        def read(parts: Column) -> Column:
+            first, second = _part(parts, 0), _part(parts, 1)
+            turned = ls.has_word(second, rules.TITLE_WORDS) & ~ls.has_word(first, rules.TITLE_WORDS)
+            company = F.when(turned, first).otherwise(second)
+            rest = F.array_join(F.filter(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), lambda p: p != ""), ", ")
+            inner, place = _place(company)
+            return F.struct(F.when(turned, second).otherwise(first).alias("title"), inner.alias("company"), F.coalesce(_or_null(rest), place).alias("location"))
+
+        return F.when(line.isNotNull(), let(_split_parts(line), read))
+
+    def two_lines(role: Column, employer: Column) -> Column:
+        def read(parts: Column) -> Column:
+            company, place = _place(_part(parts, 0))
+            rest = _or_null(F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), ", "))
+            return F.struct(role.alias("title"), company.alias("company"), F.coalesce(rest, place).alias("location"))
+
+        return let(F.split(employer, ls.SEPARATOR), read)
+
+    def choose(g: Column) -> Column:
+        return F.when(g["role"].isNotNull() & g["employer"].isNotNull(), two_lines(g["role"], g["employer"])).otherwise(
+            one_line(F.coalesce(g["role"], g["employer"])))
+
+    return let(given, choose)
 
 
 def _address(place: Column) -> Column:
@@ -132,18 +138,8 @@ def _address(place: Column) -> Column:
     return F.when(place.isNotNull(), let(F.transform(F.split(place, ","), strip_ws), read))
 
 
-def _contact(header: Column, text: Column) -> Column:
-    pieces = F.transform(F.split(header, r"[|\n]"), strip_ws)
-    place = F.get(F.filter(pieces, lambda p: p.contains(",") & ~p.contains("@")), F.lit(0))
-    return F.struct(
-        email_in(text).alias("email"), phone_in(text).alias("phone"), let(place, _address).alias("address"),
-        linkedin_in(text).alias("linkedin"), website_in(text).alias("website"),
-    )
-
-
 def extract_contact(df: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Add ``personalInfo`` from the header (name, address) and the whole text (e-mail, phone, links)."""
-    header = df.withColumn("_header", F.get(F.split(F.coalesce(F.col(text), F.lit("")), _RULE, 2), F.lit(0)))
+    """Add ``personalInfo``: name and address from their lines, e-mail, phone and links from the whole text."""
     def named(full: Column) -> Column:
         words = F.split(full, r"\s+")
         name = F.struct(
@@ -152,89 +148,155 @@ def extract_contact(df: DataFrame, text: str = "raw_text") -> DataFrame:
         )
         return F.when(full.isNotNull(), name)
 
-    name = let(first_line(F.col("_header")), named)
-    contact = _contact(F.col("_header"), F.col(text))
-    return header.withColumn("personalInfo", F.struct(name.alias("name"), contact.alias("contact"))).drop("_header")
+    lines, whole = F.col("lines"), F.col(text)
+    pieces = F.flatten(F.transform(ls.lines_in(lines, "contact"), lambda line: F.transform(F.split(line, r"[|•·]"), strip_ws)))
+    place = F.get(F.filter(pieces, lambda p: p.contains(",") & ~p.contains("@") & ~p.rlike("(?i)https?:|www")), F.lit(0))
+    contact = F.struct(
+        email_in(whole).alias("email"), phone_in(whole).alias("phone"), let(place, _address).alias("address"),
+        linkedin_in(whole).alias("linkedin"), website_in(whole).alias("website"),
+    )
+    name = let(ls.first_in(lines, "name"), named)
+    return with_lines(df, text).withColumn("personalInfo", F.struct(name.alias("name"), contact.alias("contact")))
 
 
-def extract_experience(df: DataFrame, as_of: str, body: Column, skills: Column | None = None) -> DataFrame:
-    """Add ``experience``: title / "company, location" / "(start – end)" / bullets.
+def extract_experience(df: DataFrame, as_of: str, skills: Column | None = None, text: str = "raw_text") -> DataFrame:
+    """Add ``experience``: title, company, location, dates, what is said in sentences and what in bullets.
 
     Entries without title or company are left out. ``skills`` are the technical
     items of the record; those named in an entry become its technologies.
     """
     known = skills if skills is not None else F.array().cast("array<string>")
     framed = F.transform(known, lambda k: F.struct(k.alias("skill"), word_frame(k).alias("frame")))
-    listed = df.withColumn("_known", framed)
+    listed = with_lines(df, text).withColumn("_known", framed)
 
-    def read(p: Column) -> Column:
-        company, location = _place(p["place"])
-        start, end = _span(p["span"])
+    def gather(lines: Column) -> Column:
+        role, employer = ls.first_in(lines, "role"), ls.first_in(lines, "employer")
         return F.struct(
-            p["head"].alias("title"), company.alias("company"), location.alias("location"), start.alias("start"), end.alias("end"),
-            F.filter(F.slice(p["lines"], 3, F.greatest(F.size(p["lines"]), F.lit(1))), lambda x: ~_is_bullet(x) & ~_is_span(x)).alias("plain"),
-            p["bullets"].alias("bullets"), word_frame(F.array_join(p["lines"], " ")).alias("words"),
+            F.struct(_undated(role).alias("role"), _undated(employer).alias("employer")).alias("given"),
+            _span(ls.first_in(lines, "work_dates"), F.concat_ws(" ", role, employer)).alias("span"),
+            ls.lines_in(lines, "duty").alias("plain"), ls.whole_bullets(lines).alias("bullets"),
+            word_frame(F.array_join(F.transform(lines, lambda x: x["line"]), " ")).alias("words"),
         )
 
+    def read(p: Column) -> Column:
+        return F.struct(_named(p["given"]).alias("n"), *[p[k].alias(k) for k in ("span", "plain", "bullets", "words")])
+
     def role(r: Column) -> Column:
+        start, end = r["span"]["start"], r["span"]["end"]
         return F.struct(
-            r["title"].alias("title"), r["company"].alias("company"), r["location"].alias("location"),
-            r["start"].alias("start_date"), r["end"].alias("end_date"),
-            F.coalesce(F.lower(r["end"]) == "present", F.lit(False)).alias("current"),
-            duration_text(parse_loose_date(r["start"], as_of), parse_loose_date(r["end"], as_of)).alias("duration"),
+            r["n"]["title"].alias("title"), r["n"]["company"].alias("company"), r["n"]["location"].alias("location"),
+            start.alias("start_date"), end.alias("end_date"),
+            F.coalesce(F.lower(end).isin("present", "current", "now", "today", "ongoing"), F.lit(False)).alias("current"),
+            duration_text(parse_loose_date(start, as_of), parse_loose_date(end, as_of)).alias("duration"),
             _or_null(F.array_join(r["plain"], " ")).alias("description"),
             r["bullets"].alias("achievements"),
             F.transform(F.filter("_known", lambda k: r["words"].contains(k["frame"])), lambda k: k["skill"]).alias("technologies"),
         )
 
-    found = F.transform(F.transform(_entries(body), _parts), read)
-    complete = F.filter(found, lambda r: r["title"].isNotNull() & r["company"].isNotNull())
+    found = F.transform(F.transform(ls.entries_of(F.col("lines"), "work"), gather), read)
+    complete = F.filter(found, lambda r: r["n"]["title"].isNotNull() & r["n"]["company"].isNotNull())
     return listed.withColumn("experience", F.transform(complete, role)).drop("_known")
 
 
-def extract_education(df: DataFrame, body: Column) -> DataFrame:
-    """Add ``education``: "degree in field" / "institution, location" / "(start – end)" / bullets as honors."""
+_SHORT_DEGREE = r"^((?:B|M)\.?(?:Sc|A|S|Eng|Tech|BA|Ed)\.?|MBA|Ph\.?D\.?|Dipl?\.?)(?:\s*\((?:Hons|Honours)\))?\s+(?!in\b|of\b)(.+)$"
+
+
+def extract_education(df: DataFrame, text: str = "raw_text") -> DataFrame:
+    """Add ``education``: degree and field, institution and place, date of graduation, grade, notes as honors.
+
+    Entries without degree or institution are left out.
+    """
+    def gather(lines: Column) -> Column:
+        degree, school = ls.first_in(lines, "degree"), ls.first_in(lines, "school")
+        return F.struct(
+            _undated(degree).alias("degree"), _undated(school).alias("school"),
+            _span(ls.first_in(lines, "school_dates"), F.concat_ws(" ", school, degree))["end"].alias("end"),
+            ls.whole_bullets(lines).alias("notes"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"),
+        )
+
+    def named(g: Column) -> Column:
+        """(degree, institution, location)."""
+        def one_line(line: Column) -> Column:
+            def read(parts: Column) -> Column:
+                flat = F.flatten(F.transform(parts, lambda p: F.split(p, r"\s*,\s*")))
+
+                def pick(held: Column) -> Column:
+                    schools = F.filter(held, lambda p: ls.has_word(p, rules.SCHOOL_WORDS))
+                    degrees = F.filter(held, lambda p: ls.has_word(p, rules.DEGREE_MARKS))
+                    degree = F.coalesce(_part(degrees, 0), _part(F.filter(held, lambda p: ~ls.has_word(p, rules.SCHOOL_WORDS)), 0))
+                    school = F.coalesce(_part(F.filter(schools, lambda p: p != degree), 0), _part(F.filter(held, lambda p: p != degree), 0))
+                    rest = F.filter(held, lambda p: (p != degree) & (p != school) & (p != ""))
+                    return F.struct(degree.alias("degree"), school.alias("institution"), _or_null(F.array_join(rest, ", ")).alias("location"))
+
+                return let(flat, pick)
+
+            return F.when(line.isNotNull(), let(F.split(line, ls.SEPARATOR), read))
+
+        institution, location = _place(g["school"])
+        both = F.struct(g["degree"].alias("degree"), institution.alias("institution"), location.alias("location"))
+        return F.when(g["degree"].isNotNull() & g["school"].isNotNull(), both).otherwise(one_line(F.coalesce(g["degree"], g["school"])))
+
     def degree(p: Column) -> Column:
-        institution, location = _place(p["place"])
-        _, end = _span(p["span"])
-        gpa = F.regexp_extract(F.array_join(p["lines"], "\n"), r"GPA:?\s*([0-9]\.[0-9]+)", 1)
+        head = p["n"]["degree"]
         return F.struct(
-            F.coalesce(_or_null(F.regexp_extract(p["head"], r"^(.*?)\s+in\s+", 1)), p["head"]).alias("degree"),
-            _or_null(F.regexp_extract(p["head"], r"^.*?\s+in\s+(.*)$", 1)).alias("field"),
-            institution.alias("institution"), location.alias("location"), end.alias("graduation_date"),
-            gpa.try_cast("double").alias("gpa"), p["bullets"].alias("honors"),
+            F.coalesce(_or_null(F.regexp_extract(head, r"^(.*?)\s+in\s+", 1)), _or_null(F.regexp_extract(head, _SHORT_DEGREE, 1)), head).alias("degree"),
+            F.coalesce(_or_null(F.regexp_extract(head, r"^.*?\s+in\s+(.*)$", 1)), _or_null(F.regexp_extract(head, _SHORT_DEGREE, 2))).alias("field"),
+            p["n"]["institution"].alias("institution"), p["n"]["location"].alias("location"), p["end"].alias("graduation_date"),
+            F.regexp_extract(p["text"], r"GPA:?\s*([0-9]\.[0-9]+)", 1).try_cast("double").alias("gpa"), p["notes"].alias("honors"),
         )
 
-    found = F.transform(F.transform(_entries(body), _parts), degree)
-    return df.withColumn("education", F.filter(found, lambda d: d["degree"].isNotNull() & d["institution"].isNotNull()))
+    entries = F.transform(ls.entries_of(F.col("lines"), "school"), gather)
+    found = F.transform(entries, lambda g: F.struct(named(g).alias("n"), *[g[k].alias(k) for k in ("end", "notes", "text")]))
+    complete = F.filter(found, lambda p: p["n"]["degree"].isNotNull() & p["n"]["institution"].isNotNull())
+    return with_lines(df, text).withColumn("education", F.transform(complete, degree))
 
 
 def _skill_items(listed: Column) -> Column:
-    """``a, b (c, d)`` → a, b, c, d: commas in parentheses do not part items, head and inner items both count."""
-    outer = F.split(listed, r",(?![^()]*\))")
+    """``a, b (c, d); e`` → a, b, c, d, e: separators in parentheses do not part items, head and inner items both count."""
+    outer = F.split(listed, r"[,;|•·](?![^()]*\))")
     both = F.flatten(F.transform(outer, lambda item: F.concat(
         F.array(F.regexp_replace(item, r"\(.*\)", "")), F.split(F.regexp_extract(item, r"\((.*)\)", 1), ",")
     )))
     return F.array_distinct(F.filter(F.transform(both, strip_ws), lambda s: s != ""))
 
 
-def extract_skills(df: DataFrame, body: Column) -> DataFrame:
-    """Add ``skills`` from lines ``- Category: a, b (c, d)``; soft skills and spoken languages by their category."""
-    lines = F.filter(F.transform(F.split(body, "\n"), strip_ws), lambda x: x.rlike(r"^[-•*]\s+[^:]+:"))
-    named = F.transform(lines, lambda x: F.struct(
-        strip_ws(F.regexp_extract(x, r"^[-•*]\s+([^:]+):", 1)).alias("category"),
-        F.regexp_extract(x, r"^[^:]+:(.*)$", 1).alias("listed"),
-    ))
-
-    def kind(g: Column) -> Column:
-        low = F.lower(g["category"])
-        words = F.split(F.lower(g["listed"]), r"[^\p{L}]+")
-        tongues = F.arrays_overlap(words, F.array(*[F.lit(x) for x in rules.SPOKEN_LANGUAGES]))  # else languages of programming
-        spoken = (low == "spoken languages") | ((low == "languages") & tongues)
-        return F.when(low.isin("soft skills", "soft"), "soft").when(spoken, "spoken").otherwise("technical")
+def extract_skills(df: DataFrame, text: str = "raw_text") -> DataFrame:
+    """Add ``skills``: lines ``Category: a, b (c, d)`` by their category, lists without one by the heading they stand under.
 
-    groups = F.transform(named, lambda g: F.struct(g["category"].alias("category"), g["listed"].alias("listed"), kind(g).alias("kind")))
-    listed = df.withColumn("_groups", groups)
+    Soft skills and spoken languages are told by the category.
+    """
+    def groups(lines: Column) -> Column:
+        def kind(g: Column) -> Column:
+            low = F.lower(g["category"])
+            words = F.split(F.lower(g["listed"]), r"[^\p{L}]+")
+            tongues = F.arrays_overlap(words, F.array(*[F.lit(x) for x in rules.SPOKEN_LANGUAGES]))  # else languages of programming
+            spoken = (low == "spoken languages") | ((low == "languages") & tongues)
+            return F.when(low.isin("soft skills", "soft"), "soft").when(spoken, "spoken").otherwise("technical")
+
+        def one(x: Column) -> Column:
+            def read(line: Column) -> Column:
+                labelled = line.rlike(r"^[^:]{2,40}:\s*\S")
+                above = F.regexp_replace(F.get(lines, x["heading"])["line"], r"\s*:$", "")
+                return F.struct(
+                    F.when(labelled, strip_ws(F.regexp_extract(line, r"^([^:]+):", 1))).otherwise(F.coalesce(F.when(x["heading"] >= 0, above), F.lit("Skills"))).alias("category"),
+                    F.when(labelled, F.regexp_extract(line, r"^[^:]+:(.*)$", 1)).otherwise(line).alias("listed"), labelled.alias("labelled"),
+                )
+
+            return let(F.regexp_replace(x["line"], ls.BULLET, ""), read)
+
+        def merged(found: Column) -> Column:
+            """Labelled lines as they are, the others of one heading in one group."""
+            loose = F.filter(found, lambda g: ~g["labelled"])
+            names = F.array_distinct(F.transform(loose, lambda g: g["category"]))
+            joined = F.transform(names, lambda n: F.struct(n.alias("category"), F.array_join(
+                F.transform(F.filter(loose, lambda g: g["category"] == n), lambda g: g["listed"]), ", ").alias("listed"), F.lit(False).alias("labelled")))
+            return F.concat(F.filter(found, lambda g: g["labelled"]), joined)
+
+        held = F.filter(lines, lambda x: ls.in_states(x, "skills"))
+        found = let(F.transform(held, one), merged)
+        return F.transform(found, lambda g: F.struct(g["category"].alias("category"), g["listed"].alias("listed"), kind(g).alias("kind")))
+
+    listed = with_lines(df, text).withColumn("_groups", let(F.col("lines"), groups))
 
     def of(name: str) -> Column:
         return F.filter("_groups", lambda g: g["kind"] == name)
@@ -252,21 +314,28 @@ def extract_skills(df: DataFrame, body: Column) -> DataFrame:
     return listed.withColumn("skills", skills).drop("_groups")
 
 
-def extract_certs(df: DataFrame, body: Column) -> DataFrame:
-    """Add ``certifications``: name / issuer / "(Issued: …)"."""
+def extract_certs(df: DataFrame, text: str = "raw_text") -> DataFrame:
+    """Add ``certifications``: name / issuer / "(Issued: …)", or all on one line parted by bars, dashes or commas."""
+    def gather(lines: Column) -> Column:
+        line = F.regexp_replace(ls.first_in(lines, "cert"), ls.BULLET, "")
+        notes = F.filter(ls.lines_in(lines, "cert_note"), lambda x: ~x.startswith("(") & ~ls.has_word(x, rules.ISSUE_WORDS) & ~x.rlike(ls.ONLY_DATES))
+        return F.struct(line.alias("line"), F.split(_undated(line), rf"{ls.SEPARATOR}|\s*,\s*").alias("parts"), F.regexp_replace(_part(notes, 0), ls.BULLET, "").alias("issuer"),
+                        F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"), F.array_join(ls.lines_in(lines, "cert_note"), "\n").alias("notes"))
+
     def cert(p: Column) -> Column:
+        alone = p["issuer"].isNull() & (F.size(p["parts"]) > 1)
+        issued = _or_null(F.regexp_extract(p["text"], r"(?:\(|^|\n|\s)Issued:?\s*([^(),\n]+?)\s*(?:[,)\n]|$)", 1))
         return F.struct(
-            p["name"].alias("name"), F.when(~p["issuer"].startswith("("), p["issuer"]).alias("issuer"),
-            _or_null(F.regexp_extract(p["text"], r"\(Issued:\s*([^(),]+?)\s*[,)]", 1)).alias("issueDate"),
-            _or_null(F.regexp_extract(p["text"], r"Expires:\s*([^(),]+?)\s*[,)]", 1)).alias("expiryDate"),
+            F.when(alone, _part(p["parts"], 0)).otherwise(F.when(p["issuer"].isNull(), _undated(p["line"])).otherwise(p["line"])).alias("name"),
+            F.when(alone, F.array_join(F.slice(p["parts"], 2, F.size(p["parts"])), ", ")).otherwise(p["issuer"]).alias("issuer"),
+            F.coalesce(issued, _or_null(F.regexp_extract(p["line"], rf"({ls.DATE})\)?$", 1)), _or_null(F.regexp_extract(p["notes"], rf"(?m)^\(?({ls.DATE})\)?$", 1))).alias("issueDate"),
+            _or_null(F.regexp_extract(p["text"], r"Expires:?\s*([^(),\n]+?)\s*(?:[,)\n]|$)", 1)).alias("expiryDate"),
             _or_null(F.regexp_extract(p["text"], r"(?:Credential )?ID:\s*([^(),\s]+)", 1)).alias("credentialId"),
         )
 
-    entries = F.transform(_entries(body), lambda lines: F.struct(
-        _line(lines, 0).alias("name"), _line(lines, 1).alias("issuer"), F.array_join(lines, "\n").alias("text")
-    ))
-    found = F.filter(entries, lambda p: p["name"].isNotNull())
-    return df.withColumn("certifications", F.transform(found, cert))
+    entries = F.transform(ls.entries_of(F.col("lines"), "cert"), gather)
+    found = F.filter(entries, lambda p: p["line"].isNotNull())
+    return with_lines(df, text).withColumn("certifications", F.transform(found, cert))
 
 
 def years_at_work(experience: Column, as_of: str) -> Column:
@@ -291,22 +360,19 @@ def years_at_work(experience: Column, as_of: str) -> Column:
 def structure_resumes(df: DataFrame, as_of: str, text: str = "raw_text") -> DataFrame:
     """Add ``structured_data`` read from raw text, ``industry_fit`` and the distinct ``words`` of the text.
 
-    One projection, no shuffle.
+    Projections and one Arrow function, no shuffle. A column named ``lines`` of the frame is worked out anew and not kept.
     """
-    kept = df.columns
-    out = extract_contact(split_sections(df, text), text)
-    body = {w: section_body(F.col("sections"), w) for w in ("summary", "experience", "education", "skill", "certification")}
-    out = extract_skills(out, body["skill"])
+    kept = [c for c in df.columns if c != "lines"]
+    out = extract_skills(extract_contact(with_lines(df.drop("lines"), text), text), text)
     items = F.flatten(F.transform(F.col("skills.technical"), lambda t: t["items"]))
-    out = extract_experience(out, as_of, body["experience"], items)
-    out = extract_education(out, body["education"])
-    out = extract_certs(out, body["certification"])
+    out = extract_experience(out, as_of, items, text)
+    out = extract_certs(extract_education(out, text), text)
     years = years_at_work(F.col("experience"), as_of)
     level = career_level(F.get("experience", F.lit(0))["title"], F.col("_years"))
     out = out.withColumn("_years", years).withColumn("words", distinct_words(F.col(text)))
     out = out.withColumn("_fit", industry_fit_of(F.col("words")))
     summary = F.struct(
-        _or_null(F.regexp_replace(body["summary"], r"\s*\n\s*", " ")).alias("text"), level.alias("careerLevel"),
+        _or_null(F.array_join(ls.lines_in(F.col("lines"), "summary"), " ")).alias("text"), level.alias("careerLevel"),
         best_industry(F.col("_fit")).alias("industryFocus"), F.col("_years").alias("yearsOfExperience"),
     )
     doc = F.struct(

@@ -52,6 +52,12 @@ VIEWS = {
     "texts_v": """select o_orderkey as id, full_name, o_orderpriority as title, year(o_orderdate) as yr, o_orderstatus as mark,
         cast(floor(o_totalprice) as bigint) as amount, industry, region, country
         from orders join resumes_v on resume_id = o_custkey""",
+    "layouts_v": """select id, id % 4 as form, full_name, yr, amount, industry, region, country, region || ', ' || country as place,
+        list_extract(['Senior Accountant', 'Data Engineer', 'Ward Nurse', 'Project Manager'], cast((id // 4) % 4 + 1 as int)) as title1,
+        list_extract(['Bookkeeper', 'Software Developer', 'Shift Supervisor', 'Research Assistant'], cast((id // 4) % 4 + 1 as int)) as title2,
+        substr(industry, 1, 1) || lower(substr(industry, 2)) || ' Group' as firm1,
+        'Quay ' || substr(industry, 1, 1) || lower(substr(industry, 2)) || ' Ltd' as firm2,
+        case mark when 'O' then 'Present' else cast(yr + 2 as varchar) end as until from texts_v""",
     "islands_v": """select resume_id, min(start_date) as start_date, max(end_date) as end_date, count(*) as n_roles,
         max(until) filter (where fresh = 1) as until from (
         select *, sum(fresh) over (partition by resume_id order by start_date, exp_id) as island from (

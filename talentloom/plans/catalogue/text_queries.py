@@ -130,17 +130,13 @@ def _(t):
            '(312) 470-' || lpad(cast(id % 10000 as varchar), 4, '0') as phone, id || ' Canal Row' as street, region as city, country,
            'linkedin.com/in/user' || id as linkedin from texts_v""")
 def _(t):
-    out = extraction.extract_contact(t.resume_texts_v()).select("id", "personalInfo.*")
+    out = extraction.extract_contact(extraction.with_lines(t.resume_texts_v())).select("id", "personalInfo.*")
     return out.select(
         "id", F.col("name.full").alias("full_name"), "name.first", "contact.email", "contact.phone", "contact.address.street",
         "contact.address.city", "contact.address.country", "contact.linkedin",
     )
 
 
-def _section(word):
-    return extraction.section_body(F.col("sections"), word)
-
-
 @query("s14_extract_experience", """
     select id, title, industry || ' Inc.' as company, region || ', ' || country as location, cast(yr as varchar) as start_date,
            case mark when 'O' then 'Present' else cast(yr + 2 as varchar) end as end_date, mark = 'O' as is_current,
@@ -148,7 +144,7 @@ def _section(word):
            'Shipped ' || amount || ' crates of ' || industry as achievement
     from texts_v""")
 def _(t):
-    out = extraction.extract_experience(extraction.split_sections(t.resume_texts_v()), AS_OF, _section("experience"))
+    out = extraction.extract_experience(extraction.with_lines(t.resume_texts_v()), AS_OF)
     role = out.select("id", F.explode_outer("experience").alias("e")).select("id", "e.*")
     return role.select(
         "id", "title", "company", "location", "start_date", "end_date", F.col("current").alias("is_current"), "duration",
@@ -160,7 +156,7 @@ def _(t):
     select id, 'Bachelor of Science' as degree, region as field, 'University of ' || country as institution, region as location,
            cast(yr - 5 as varchar) as graduation_date, 'Class of ' || (yr - 5) as honors from texts_v""")
 def _(t):
-    out = extraction.extract_education(extraction.split_sections(t.resume_texts_v()), _section("education"))
+    out = extraction.extract_education(extraction.with_lines(t.resume_texts_v()))
     row = out.select("id", F.explode_outer("education").alias("e")).select("id", "e.*")
     return row.select("id", "degree", "field", "institution", "location", "graduation_date", F.array_join("honors", "|").alias("honors"))
 
@@ -168,7 +164,7 @@ def _(t):
 @query("s16_extract_skills", """
     select id, 'Sectors' as category, industry || '|' || region || '|' || country || '|trade' as items, title as soft from texts_v""")
 def _(t):
-    out = extraction.extract_skills(extraction.split_sections(t.resume_texts_v()), _section("skill"))
+    out = extraction.extract_skills(extraction.with_lines(t.resume_texts_v()))
     group = F.explode_outer("skills.technical").alias("g")
     return out.select("id", F.col("skills.soft").alias("soft"), group).select(
         "id", "g.category", F.array_join("g.items", "|").alias("items"), F.array_join("soft", "|").alias("soft")
@@ -178,10 +174,72 @@ def _(t):
 @query("s17_extract_certs", """
     select id, industry || ' Certificate' as name, 'Institute of ' || region as issuer, cast(yr as varchar) as issue_date from texts_v""")
 def _(t):
-    out = extraction.extract_certs(extraction.split_sections(t.resume_texts_v()), _section("certification"))
+    out = extraction.extract_certs(extraction.with_lines(t.resume_texts_v()))
     return out.select("id", F.explode_outer("certifications").alias("c")).select("id", "c.name", "c.issuer", F.col("c.issueDate").alias("issue_date"))
 
 
+def _layouts(t):
+    return extraction.with_lines(t.resume_layouts_v())
+
+
+@query("s13_layout_contact", """
+    select id, full_name, 'user' || id || '@mail.example.com' as email, '(312) 470-' || lpad(cast(id % 10000 as varchar), 4, '0') as phone, id || ' Canal Row' as street,
+           region as city, country, 'Worked in ' || industry || ' for many years.' as summary from layouts_v""")
+def _(t):
+    doc = F.col("structured_data")
+    info = doc["personalInfo"]
+    return extraction.structure_resumes(t.resume_layouts_v(), AS_OF).select(
+        "id", info["name"]["full"].alias("full_name"), info["contact"]["email"].alias("email"), info["contact"]["phone"].alias("phone"),
+        info["contact"]["address"]["street"].alias("street"), info["contact"]["address"]["city"].alias("city"), info["contact"]["address"]["country"].alias("country"),
+        doc["summary"]["text"].alias("summary"),
+    )
+
+
+@query("s14_layout_roles", """
+    select id, 0 as pos, title1 as title, firm1 as company, place as location, cast(yr as varchar) as start_date, until as end_date, until = 'Present' as is_current,
+           case form when 1 then 'Moved goods for the whole branch.' when 3 then 'Moved ' || amount || ' crates of goods.' end as description,
+           case when form < 3 then 'Moved ' || amount || ' crates' else '' end as achievements from layouts_v
+    union all
+    select id, 1, title2, firm2, case when form < 3 then place end, case form when 1 then 'Mar ' else '' end || (yr - 4), case form when 1 then 'Jul ' else '' end || (yr - 1), false,
+           case form when 3 then 'Planned the work of nine people.' end,
+           case form when 0 then 'Planned the work of nine people, with reports to the board' when 3 then '' else 'Planned the work of nine people' end from layouts_v""")
+def _(t):
+    out = extraction.extract_experience(_layouts(t), AS_OF).select("id", F.posexplode("experience").alias("pos", "e"))
+    return out.select("id", "pos", "e.title", "e.company", "e.location", "e.start_date", "e.end_date", F.col("e.current").alias("is_current"), "e.description",
+                      F.array_join("e.achievements", "|").alias("achievements"))
+
+
+@query("s15_layout_degrees", """
+    select id, 0 as pos, list_extract(['BSc', 'Master of Science', 'Diploma', 'Licence'], cast(form + 1 as int)) as degree,
+           case form when 0 then 'Accounting' else 'Trade' end as field, 'University of ' || country as institution,
+           case form when 0 then null when 3 then country else place end as location, cast(yr - 5 as varchar) as graduation_date, cast(null as double) as gpa from layouts_v
+    union all
+    select id, 1, case form when 0 then 'Diploma' else 'Bachelor of Arts' end, case form when 0 then 'Trade' else 'History' end, 'College of ' || region,
+           case form when 1 then place end, cast(yr - 8 as varchar), case form when 1 then 3.5 end from layouts_v where form < 2""")
+def _(t):
+    out = extraction.extract_education(_layouts(t)).select("id", F.posexplode("education").alias("pos", "e"))
+    return out.select("id", "pos", "e.degree", "e.field", "e.institution", "e.location", "e.graduation_date", "e.gpa")
+
+
+@query("s16_layout_skills", """
+    select id, case form when 0 then 'SKILLS' when 3 then 'Planning' else 'Skills' end as category,
+           case form when 3 then 'rotas|stock' else 'Excel|SQL|' || industry end as items, case form when 2 then 'German|English' else '' end as languages from layouts_v
+    union all select id, 'Tools', 'Excel|' || industry, '' from layouts_v where form = 3""")
+def _(t):
+    out = extraction.extract_skills(_layouts(t))
+    tongues = F.array_join(F.transform("skills.languages", lambda x: x["language"]), "|").alias("languages")
+    return out.select("id", tongues, F.explode("skills.technical").alias("g")).select("id", "g.category", F.array_join("g.items", "|").alias("items"), "languages")
+
+
+@query("s17_layout_certs", """
+    select id, case form when 0 then 'ACCA' else 'Certified Planner' end as name, case when form <> 1 then 'Institute of ' || region end as issuer,
+           cast(yr as varchar) as issue_date, case form when 3 then cast(yr + 3 as varchar) end as expiry_date from layouts_v
+    union all select id, 'Certified Planner', null, cast(yr - 1 as varchar), null from layouts_v where form = 0""")
+def _(t):
+    out = extraction.extract_certs(_layouts(t)).select("id", F.explode("certifications").alias("c"))
+    return out.select("id", "c.name", "c.issuer", F.col("c.issueDate").alias("issue_date"), F.col("c.expiryDate").alias("expiry_date"))
+
+
 def _completed(t):
     texts = t.resume_texts_v().withColumn("processing_status", F.lit(rules.AI_PROCESSING)).withColumn(
         "processed_at", F.lit(None).cast("timestamp")

@@ -216,3 +216,57 @@ class Tables:
             F.lit("\n(Issued: "), c("year").cast("string"), F.lit(")"),
         )
         return self.spread(role.join(person, "resume_id").select("id", "resume_id", text.alias("raw_text")))
+
+    def resume_layouts_v(self) -> DataFrame:
+        """One résumé text per order in one of four forms without rules, by its key: one-line entries under capitals; no headings at all; employer before
+        title under usual names; dates before both."""
+        c = F.col
+        person = self.resumes_v()
+        role = self.orders.select(
+            c("o_orderkey").alias("id"), c("o_custkey").alias("resume_id"), F.year("o_orderdate").alias("year"), c("o_orderstatus").alias("mark"),
+            F.floor("o_totalprice").cast("bigint").cast("string").alias("amount"),
+        )
+
+        def pick(*names):
+            return F.element_at(F.array(*[F.lit(n) for n in names]), ((F.floor(c("id") / 4)) % 4 + 1).cast("int"))
+
+        branch = F.concat(F.substring("industry", 1, 1), F.lower(F.expr("substring(industry, 2)")))
+        rows = role.join(person, "resume_id").select(
+            "*", pick("Senior Accountant", "Data Engineer", "Ward Nurse", "Project Manager").alias("title1"),
+            pick("Bookkeeper", "Software Developer", "Shift Supervisor", "Research Assistant").alias("title2"),
+            F.concat(branch, F.lit(" Group")).alias("firm1"), F.concat(F.lit("Quay "), branch, F.lit(" Ltd")).alias("firm2"),
+            F.concat_ws(", ", "region", "country").alias("place"),
+            F.when(c("mark") == "O", F.lit("Present")).otherwise((c("year") + 2).cast("string")).alias("until"),
+        )
+
+        def year(back: int):
+            return (c("year") - back).cast("string")
+
+        def text(*parts):
+            return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+        top = text(c("full_name"), "\n", c("id").cast("string"), " Canal Row, ", c("place"), " | user", c("id").cast("string"), "@mail.example.com | (312) 470-",
+                   F.lpad((c("id") % 10000).cast("string"), 4, "0"), "\n\nWorked in ", c("industry"), " for many years.\n\n")
+        moved, planned = text("Moved ", c("amount"), " crates"), "Planned the work of nine people"
+        forms = [
+            text("EXPERIENCE\n", c("title1"), " | ", c("firm1"), ", ", c("place"), " | ", year(0), " - ", c("until"), "\n- ", moved, "\n",
+                 c("title2"), " | ", c("firm2"), ", ", c("place"), " | ", year(4), " - ", year(1), "\n- ", planned, ", with\n  reports to the board\n\n",
+                 "EDUCATION\nBSc Accounting, University of ", c("country"), ", ", year(5), "\nDiploma in Trade, College of ", c("region"), ", ", year(8),
+                 "\n\nSKILLS\nExcel, SQL, ", c("industry"), "\n\nCERTIFICATIONS\nACCA, Institute of ", c("region"), ", ", year(0), "\nCertified Planner (", year(1), ")"),
+            text(c("title1"), "\n", c("firm1"), ", ", c("place"), "\n", year(0), " – ", c("until"), "\nMoved goods for the whole branch.\n- ", moved, "\n\n",
+                 c("title2"), "\n", c("firm2"), ", ", c("place"), "\nMar ", year(4), " – Jul ", year(1), "\n- ", planned, "\n\n",
+                 "Master of Science in Trade\nUniversity of ", c("country"), ", ", c("place"), "\n", year(7), " – ", year(5), "\n\n",
+                 "Bachelor of Arts in History\nCollege of ", c("region"), ", ", c("place"), "\n", year(10), " – ", year(8), "\n- GPA: 3.5\n\n",
+                 "Excel, SQL, ", c("industry"), "\n\nCertified Planner\nIssued: ", year(0)),
+            text("Employment History\n", c("firm1"), ", ", c("place"), "\n", c("title1"), "\n", year(0), " - ", c("until"), "\n• ", moved, "\n\n",
+                 c("firm2"), ", ", c("place"), "\n", c("title2"), "\n", year(4), " - ", year(1), "\n• ", planned, "\n\n",
+                 "Education\nUniversity of ", c("country"), ", ", c("place"), "\nDiploma in Trade\n", year(7), " - ", year(5), "\n\n",
+                 "Skills\n• Excel\n• SQL\n• ", c("industry"), "\n\nLanguages\nGerman (native), English\n\nCertifications\nCertified Planner – Institute of ", c("region"), ", ",
+                 year(0)),
+            text("Work Experience\n", year(0), " – ", c("until"), "\n", c("title1"), ", ", c("firm1"), ", ", c("place"), "\n", moved, " of goods.\n\n",
+                 year(4), " – ", year(1), "\n", c("title2"), " at ", c("firm2"), "\n", planned, ".\n\nEducation\n", year(7), " – ", year(5),
+                 "\nLicence in Trade, University of ", c("country"), ", ", c("country"), "\n\nKey Skills\nPlanning: rotas, stock\nTools: Excel, ", c("industry"),
+                 "\n\nCertificates\nCertified Planner\nInstitute of ", c("region"), "\n(Issued: ", year(0), ", Expires: ", year(-3), ")"),
+        ]
+        form = F.when(c("id") % 4 == 0, forms[0]).when(c("id") % 4 == 1, forms[1]).when(c("id") % 4 == 2, forms[2]).otherwise(forms[3])
+        return self.spread(rows.select("id", "resume_id", F.concat(top, form).alias("raw_text")))

@@ -158,3 +158,34 @@ SKILL_TREND_BAND = 0.10
 SALARY_TREND_BAND = 0.05
 TIMEFRAMES = {"30d": 30, "90d": 90, "1y": 365, "all": None}
 MATCH_ALGORITHM = "rules-1"
+
+# ---- words that tell the lines of a resume apart (patterns of Java, case aside) ---
+HEADINGS = {
+    "summary": (r"(?:professional |executive |career |personal )?(?:summary|profile|objective|statement)", "about(?: me)?"),
+    "work": (r"(?:professional |work |relevant |career )?(?:experience|employment|history)", r"(?:employment|work|career) (?:history|experience)", "positions(?: held)?"),
+    "school": (r"education(?:al)?(?: (?:background|history))?(?: (?:and|&) (?:training|qualifications))?", r"academic (?:background|history|qualifications)", "qualifications", "studies"),
+    "skill": (r"(?:technical |core |key |soft |professional |it |computer )?(?:skills|competenc(?:ies|es)|expertise)(?: (?:and|&) \w+)?", "technologies", "tools",
+              "(?:spoken )?languages", "skills summary", "areas of expertise"),
+    "cert": (r"(?:professional )?(?:certifications?|certificates|licen[cs]es)(?: (?:and|&) (?:certifications?|certificates|licen[cs]es|training))?",),
+    "other": ("references", "interests", "hobbies", "publications", "(?:personal )?projects", "awards(?: and honou?rs)?", "honou?rs(?: and awards)?", "volunteering",
+              "volunteer (?:work|experience)", "memberships?", "activities", "additional information", "patents"),
+}
+#: Single words, in lower case, without points and apostrophes.
+TITLE_WORDS = ("engineer", "developer", "programmer", "architect", "manager", "analyst", "scientist", "accountant", "auditor", "bookkeeper", "clerk", "assistant",
+               "associate", "consultant", "adviser", "advisor", "director", "officer", "president", "vp", "head", "lead", "leader", "supervisor", "coordinator",
+               "specialist", "administrator", "technician", "operator", "designer", "writer", "editor", "teacher", "lecturer", "professor", "researcher", "nurse",
+               "physician", "pharmacist", "therapist", "chef", "cook", "driver", "mechanic", "electrician", "salesperson", "representative", "cashier", "recruiter",
+               "planner", "buyer", "controller", "treasurer", "economist", "lawyer", "attorney", "paralegal", "intern", "trainee", "apprentice", "founder", "ceo", "cto",
+               "cfo", "coo", "tester", "librarian")
+FIRM_WORDS = ("inc", "ltd", "limited", "llc", "llp", "plc", "gmbh", "ag", "corp", "corporation", "company", "co", "group", "holdings", "partners", "solutions",
+              "technologies", "labs", "systems", "consulting", "bank", "industries", "services", "agency", "studio", "studios", "analytics", "hospital", "council",
+              "ministry", "store", "stores", "insurance", "software", "logistics", "foundation", "sons")
+SCHOOL_WORDS = ("university", "college", "institute", "school", "academy", "polytechnic", "universität", "université", "universite", "università", "universidad",
+                "hochschule", "école", "lycée", "akademie")
+DEGREE_MARKS = ("bachelor", "bachelors", "master", "masters", "doctor", "doctorate", "phd", "mba", "bsc", "msc", "beng", "meng", "btech", "mtech", "associates", "diploma",
+                "degree", "licence", "licenciatura", "abitur", "levels", "baccalaureate")
+SHORT_DEGREES = ("ba", "ma", "bs", "ms", "bba", "aa", "aas", "associate")
+CERTIFICATE_WORDS = ("certified", "certificate", "certification", "chartered", "licensed", "license", "cpa", "cfa", "pmp", "cissp", "ccna", "acca", "itil", "scrum",
+                     "practitioner")
+ISSUE_WORDS = ("issued", "issuer", "expires", "expire", "expiry", "credential", "valid", "awarded", "obtained", "earned", "renewed")
+NOTE_WORDS = ("gpa", "honors", "honours", "laude", "distinction", "deans", "thesis", "graduated", "grade", "coursework", "modules", "dissertation")
