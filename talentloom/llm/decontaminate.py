@@ -18,15 +18,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from talentloom.llm.common import batches_of, row_key, slices, stored, unused
 
 #: Words of neighbouring item words in a window.
 WINDOW = 10
 #: Words of test items matched in one pass over the index.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: Bytes of text in a segment of the index.
 SEGMENT_BYTES = 4_000_000
 #: Maps bytes to lower-case words: letters and digits of ASCII and all beyond it are in words, the rest parts them.
@@ -46,7 +47,7 @@ def windows_of(words: list, size: int = WINDOW) -> list[tuple]:
 def _index(vocabulary, apart: int, id_type: pa.DataType):
     names = ["segment", "term", "gaps", "ids", "rows", "sizes"]
 
-    def segment(held):
+    def segment(key, held):
         places, terms, sizes, base = [], [], [], 0
         for _, text, _ in held:
             found = np.fromiter(map(vocabulary.value.get, text, repeat(-1)), np.int32, len(text))
@@ -61,7 +62,6 @@ def _index(vocabulary, apart: int, id_type: pa.DataType):
         start = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
         gaps = np.diff(place, prepend=0)
         gaps[start] = place[start]
-        key = xxhash.xxh3_64_intdigest(np.array([row for _, _, row in held], np.int64).tobytes()) - (1 << 63)
         n, ends = len(start), np.append(start, len(place)).astype(np.int32)
         spelled = vocabulary.value["\0words"]
         return pa.RecordBatch.from_arrays([
@@ -76,8 +76,9 @@ def _index(vocabulary, apart: int, id_type: pa.DataType):
                 for i, text, row in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("row").to_pylist()):
                     yield i, words_of(text), row
 
-        for held in batches_of(rows(), lambda r: 8 * len(r[1]) + 100, SEGMENT_BYTES):
-            yield segment(held)
+        first = TaskContext.get().partitionId() << 32  # a key of its own for each segment, alike when a lost task runs again
+        for n, held in enumerate(batches_of(rows(), lambda r: 8 * len(r[1]) + 100, SEGMENT_BYTES)):
+            yield segment(first + n, held)
     return run
 
 
@@ -159,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", row_key("id", "text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text")).where("item is not null and text is not null").distinct()
     kind, apart = docs.schema[id_col].dataType.simpleString(), window + 2 * (near or 0) + 1
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
     found = None
     for block in _blocks(items):
         tests = [(r["item"], words_of(r["text"])) for r in block.collect()]  # at most BLOCK_WORDS words

@@ -1,6 +1,7 @@
 """Page text, benchmark hits and the pipeline."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import oracle
 from corpus import documents, frame, near_groups, prose, repeats
@@ -53,6 +54,20 @@ def test_hits_of_awkward_rows(spark, monkeypatch, block):
     assert sorted(x["doc_id"] or -1 for x in left.collect()) == clean and left.columns == frame(spark).columns
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string", "decimal(12,0)", "smallint"])
+def test_files_of_equal_content_are_hit_alike(spark, tmp_path, kind):
+    items = [(1, prose(3, 60)), (2, prose(8, 12))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, prose(20 + k, 8) + " " + (prose(3, 60) if k % 3 else prose(8, 12)) + " " + prose(50 + k, 4000 if k == 5 else 9)) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).coalesce(1)
+    docs.write.parquet(str(tmp_path / "docs"))
+    once = spark.read.parquet(str(tmp_path / "docs"))
+    want = sorted((int(i), n, m) for i, n, m, _ in hits(rows, items))
+    got = decontaminate.hit_digest(decontaminate.contamination(once.union(once).union(once), benchmark)).collect()
+    assert sorted((int(x["doc_id"]), x["n_words"], x["n_hit"]) for x in got) == sorted(want * 3) and all(x["contaminated"] for x in got)
+    assert decontaminate.without_hits(once.union(once), benchmark).count() == 0
+
+
 def test_hits_without_rows(spark):
     benchmark = spark.createDataFrame([(1, "some words")], "item_id long, text string")
     assert decontaminate.contamination(frame(spark, []), benchmark).count() == 0
