@@ -1,45 +1,138 @@
-"""Answers of an outside model, landed as text: clean, parse, validate, merge."""
+"""Answers of an outside model, landed as text: clean, parse, validate, merge.
+
+A text is parsed once, to a VARIANT. Everything else is read from that: the fields of
+a kind as text, the kind of every leaf as it was written, and explicit nulls.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import functools
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from talentloom import rules, schemas
 from talentloom.functions.dates import parse_ts
 from talentloom.functions.text import is_uuid, strip_fence
-from talentloom.functions.values import as_array, empty_strings, lenient_int
+from talentloom.functions.values import as_array, empty_strings, lenient_int, let
 
 
 def parse_json(df: DataFrame, kind: str, text: str = "response") -> DataFrame:
-    """Add ``raw`` (the fields of the kind as read) and ``parse_ok``.
+    """Add ``answer`` (the object as VARIANT), ``raw`` (the fields of the kind as read) and ``parse_ok``.
 
-    ``from_json`` alone also takes single quotes and text after the object, so the
-    text must be the first of two items of a list, without single quotes outside of
-    strings. Of a repeated key the last value counts.
+    The text is parsed as the first of two items of a list; the second is a hash of
+    the text, so nothing of the text can end the list before it. Of a repeated key
+    the last value counts; VARIANT refuses such objects, so they are read by the
+    fields of the kind and written anew.
     """
     body = F.col(text)
-    alone = F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2
+    end = F.xxhash64(body).cast("string")
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), end, F.lit('"]')))
+    whole = (F.try_variant_get(F.col("_listed"), "$[1]", "string") == F.xxhash64(body).cast("string")) & body.rlike(r"^\s*\{")
     bare = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*"', "")
-    strict = body.rlike(r"^\s*\{[\s\S]*\}\s*$") & alone & ~bare.contains("'")
-    raw = F.from_json(body, schemas.RAW_RESPONSE[kind], {"allowSingleQuotes": "false"})
-    return df.withColumn("parse_ok", F.coalesce(strict, F.lit(False))).withColumn("raw", F.when(F.col("parse_ok"), raw))
+    strict = body.rlike(r"^\s*\{[\s\S]*\}\s*$") & (F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2) & ~bare.contains("'")
+    again = F.to_json(F.from_json(body, schemas.RAW_RESPONSE[kind], {"allowSingleQuotes": "false"}))
+    object_ = F.when(whole, F.try_variant_get(F.col("_listed"), "$[0]", "variant")).when(
+        F.col("_listed").isNull() & body.rlike(_TWO_KEYS) & strict, F.try_parse_json(again))
+    read = df.withColumn("_listed", listed).withColumn("answer", object_).drop("_listed")
+    raw = F.try_variant_get("answer", "$", schemas.RAW_RESPONSE[kind].simpleString())
+    return read.withColumn("parse_ok", F.col("answer").isNotNull()).withColumn("raw", F.when(F.col("answer").isNotNull(), raw))
+
+
+#: A key that stands in a text twice; a cheap test before a text that VARIANT refuses is looked at again.
+_TWO_KEYS = r'("[^"\\]*"\s*:)[\s\S]*\1'
+
+
+def _explicit_null(answer: Column, path: str) -> Column:
+    """The answer holds this field with the value null."""
+    return F.coalesce(F.is_variant_null(F.try_variant_get(answer, path, "variant")), F.lit(False))
+
+
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _absent(value: Column) -> Column:
+    """A field that is missing or null."""
+    return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))
+
+
+def _is_list(value: Column, fits) -> Column:
+    items = F.try_variant_get(value, "$", "array<variant>")
+    return let(items, lambda held: held.isNotNull() & F.coalesce(F.forall(held, fits), F.lit(True)))
+
+
+def _is_text(value: Column) -> Column:
+    return F.coalesce(_kind(value) == "STRING", F.lit(False))
+
+
+def _is_number(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string").try_cast("double").isNotNull()
+
+
+def _leaf_fits(value: Column, dtype: T.DataType, path: str) -> Column:
+    """Whether a leaf that is there was written as its type asks; numbers and flags are left to the checks of their text."""
+    if path.endswith("improvementAreas.missing"):  # one text or a list of them
+        return _is_text(value) | _is_list(value, _is_text)
+    if isinstance(dtype, T.StringType):
+        return _is_text(value)
+    if isinstance(dtype, T.ArrayType):
+        return _is_list(value, _is_text)
+    if isinstance(dtype, T.MapType):
+        held = F.try_variant_get(value, "$", "map<string,variant>")
+        if isinstance(dtype.valueType, T.DoubleType):
+            return let(held, lambda m: m.isNotNull() & F.coalesce(F.forall(F.map_values(m), _is_number), F.lit(True)))
+        return held.isNotNull()
+    return F.lit(True)
+
 
+def _types_fit(value: Column, dtype: T.DataType, kind: str, path: str = "") -> Column:
+    """Whether every leaf below a struct, or the structs of a list, fits; what is missing or null fits unless it must not be null."""
+    if isinstance(dtype, T.StructType):
+        strict = schemas.NOT_NULL[kind].get(path, [])
 
-def _explicit_null(text: Column, path: str) -> Column:
-    """The JSON text holds this field with the value null."""
-    return F.coalesce(F.is_variant_null(F.try_variant_get(F.try_parse_json(text), path, "variant")), F.lit(False))
+        def field(f: T.StructField) -> Column:
+            at = f"{path}.{f.name}".lstrip(".")
+            inner = value[f.name]
+            if isinstance(f.dataType, T.StructType) or (isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)):
+                return _types_fit(inner, f.dataType, kind, at)
+            null = F.lit(False) if f.name in strict else F.lit(True)
+            return F.when(inner.isNull(), True).when(F.is_variant_null(inner), null).otherwise(_leaf_fits(inner, f.dataType, at))
 
+        fits = functools.reduce(lambda a, b: a & b, [field(f) for f in dtype.fields])
+        return F.when(value.isNull(), True).otherwise(fits)
+    items = F.forall(value, lambda item: item.isNotNull() & _types_fit(item, dtype.elementType, kind, path))
+    return F.coalesce(items, F.lit(True))
 
-def _explicit_null_items(text: Column) -> Column:
-    groups = F.try_variant_get(F.try_parse_json(text), "$.skills.technical", "array<variant>")
-    bad = F.exists(groups, lambda g: F.coalesce(F.is_variant_null(F.try_variant_get(g, "$.items", "variant")), F.lit(False)))
-    return F.coalesce(bad, F.lit(False))
 
+def _holders(dtype: T.StructType, path: str = "") -> list[tuple[str, T.DataType]]:
+    """Paths of the structs and lists of structs that do not stand in a list."""
+    out = []
+    for f in dtype.fields:
+        at = f"{path}.{f.name}".lstrip(".")
+        if isinstance(f.dataType, T.StructType):
+            out += [(at, f.dataType), *_holders(f.dataType, at)]
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            out.append((at, f.dataType))
+    return out
 
-def _written(text: Column, path: str) -> Column:
-    """The JSON text holds a string at this field, not a number or a flag."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
-    return F.coalesce(kind == "STRING", F.lit(True))
+
+def _well_formed(kind: str, answer: Column, given: tuple[str, ...] = ()) -> Column:
+    """Objects and lists where the kind has them, texts and lists of texts where it asks for text; nulls where they may be.
+
+    Top-level fields that are ``given`` from elsewhere are not looked at.
+    """
+    dtype = T.StructType([f for f in schemas.CHECKED[kind].fields if f.name not in given])
+
+    def holder(path: str, held: T.DataType) -> Column:
+        parent, _, name = path.rpartition(".")
+        null = F.lit(False) if name in schemas.NOT_NULL[kind].get(parent, []) else F.lit(True)
+        shallow = "map<string,variant>" if isinstance(held, T.StructType) else "array<variant>"
+        value = F.try_variant_get(answer, f"$.{path}", "variant")
+        return F.when(value.isNull(), True).when(F.is_variant_null(value), null).otherwise(F.try_variant_get(answer, f"$.{path}", shallow).isNotNull())
+
+    form = F.try_variant_get(answer, "$", schemas.leaves_as_variant(dtype).simpleString())
+    leaves = let(form, lambda value: _types_fit(value, dtype, kind))
+    return functools.reduce(lambda a, b: a & b, [*[holder(p, d) for p, d in _holders(dtype)], leaves])
 
 
 def _all_have(rows: Column, *fields: str) -> Column:
@@ -70,7 +163,8 @@ def _optional_flag(text: Column) -> Column:
     return text.isNull() | _flag(text).isNotNull()
 
 
-def _valid(kind: str, r: Column, text: Column) -> Column:
+def _valid(kind: str, r: Column, given: tuple[str, ...] = ()) -> Column:
+    """Required fields are there, numbers and flags can be read."""
     if kind == "anonymize":
         return F.lit(True)  # any JSON object will do
     if kind == "parse":
@@ -82,7 +176,6 @@ def _valid(kind: str, r: Column, text: Column) -> Column:
             & _all_have(r["skills"]["technical"], "category")
             & _all_have(r["skills"]["languages"], "language")
             & _all_have(r["certifications"], "name")
-            & ~_explicit_null_items(text)
         )
         scores = r["aiEnhancements"]
         fits = F.map_values(scores["industryFit"])
@@ -93,25 +186,16 @@ def _valid(kind: str, r: Column, text: Column) -> Column:
             & F.coalesce(F.forall(fits, lambda v: v.try_cast("double").isNotNull()), F.lit(True))
         )
     if kind == "bias":
-        return (
-            _optional_flag(r["biasDetected"]) & ~_explicit_null(text, "$.biasDetected")
-            & ~_explicit_null(text, "$.findings") & _all_have(r["findings"], "category", "finding", "suggestion")
-        )
+        return _optional_flag(r["biasDetected"]) & _all_have(r["findings"], "category", "finding", "suggestion")
     if kind == "salary":
-        return (
-            r["comments"].isNotNull() & _written(text, "$.comments") & _written(text, "$.currency") & _optional_int(r["min"]) & _optional_int(r["max"])
-            & ~_explicit_null(text, "$.currency")
-        )
+        return r["comments"].isNotNull() & _optional_int(r["min"]) & _optional_int(r["max"])
     if kind == "career":
-        return (
-            r["comments"].isNotNull() & _written(text, "$.comments")
-            & ~_explicit_null(text, "$.suggestedNextRoles") & ~_explicit_null(text, "$.improvementAreas")
-            & ~F.coalesce(F.exists(r["suggestedNextRoles"], lambda x: x.isNull()), F.lit(False))
-            & ~F.coalesce(F.exists(r["improvementAreas"], lambda x: x.isNull()), F.lit(False))
-        )
+        return r["comments"].isNotNull()
     if kind == "match":
         m = r["matchingResults"]
-        ok = is_uuid(r["matchId"]) & is_uuid(r["resumeId"]) & r["jobTitle"].isNotNull() & _written(text, "$.jobTitle")
+        ok = is_uuid(r["matchId"]) & r["jobTitle"].isNotNull()
+        if "resumeId" not in given:
+            ok = ok & is_uuid(r["resumeId"])
         ok = ok & lenient_int(m["overallScore"]).isNotNull() & m["confidence"].try_cast("double").isNotNull()
         ok = ok & m["recommendation"].isNotNull() & m["gapAnalysis"].isNotNull()
         for c in schemas.RAW_RESPONSE["match"]["matchingResults"].dataType["categoryScores"].dataType.names:
@@ -129,26 +213,26 @@ def _valid(kind: str, r: Column, text: Column) -> Column:
     raise ValueError(f"unknown kind {kind}")
 
 
-def _listed(rows: Column, text: Column, path: str, dtype) -> Column:
+def _listed(rows: Column, answer: Column, path: str, dtype) -> Column:
     """A missing list is empty, an explicit null stays null."""
-    return F.when(rows.isNull() & ~_explicit_null(text, path), F.array().cast(dtype)).otherwise(rows)
+    return F.when(rows.isNull() & ~_explicit_null(answer, path), F.array().cast(dtype)).otherwise(rows)
 
 
 def _strings(value: Column) -> Column:
     return F.coalesce(value, empty_strings())
 
 
-def _scores(e: Column, text: Column) -> Column:
+def _scores(e: Column, answer: Column) -> Column:
     fit = F.transform_values(e["industryFit"], lambda _, v: v.try_cast("double"))
     none = F.create_map().cast("map<string,double>")
     return F.struct(
         lenient_int(e["qualityScore"]).alias("qualityScore"), lenient_int(e["completenessScore"]).alias("completenessScore"),
-        _listed(e["suggestions"], text, "$.aiEnhancements.suggestions", schemas.STRINGS).alias("suggestions"),
-        F.when(fit.isNull() & ~_explicit_null(text, "$.aiEnhancements.industryFit"), none).otherwise(fit).alias("industryFit"),
+        _listed(e["suggestions"], answer, "$.aiEnhancements.suggestions", schemas.STRINGS).alias("suggestions"),
+        F.when(fit.isNull() & ~_explicit_null(answer, "$.aiEnhancements.industryFit"), none).otherwise(fit).alias("industryFit"),
     )
 
 
-def _typed(kind: str, r: Column, text: Column, as_of: str) -> Column:
+def _typed(kind: str, r: Column, answer: Column, as_of: str) -> Column:
     if kind == "parse":
         experience = F.transform(r["experience"], lambda e: e.withField("current", F.coalesce(_flag(e["current"]), F.lit(False)))
                                  .withField("achievements", _strings(e["achievements"]))
@@ -163,19 +247,19 @@ def _typed(kind: str, r: Column, text: Column, as_of: str) -> Column:
             F.coalesce(c["credentialId"], c["credential_id"]).alias("credentialId"),
         ))
         skills = F.when(r["skills"].isNotNull(), F.struct(
-            _listed(technical, text, "$.skills.technical", schemas.arr(schemas.TECHNICAL)).alias("technical"),
-            _listed(r["skills"]["soft"], text, "$.skills.soft", schemas.STRINGS).alias("soft"),
-            _listed(r["skills"]["languages"], text, "$.skills.languages", schemas.arr(schemas.LANGUAGE)).alias("languages"),
+            _listed(technical, answer, "$.skills.technical", schemas.arr(schemas.TECHNICAL)).alias("technical"),
+            _listed(r["skills"]["soft"], answer, "$.skills.soft", schemas.STRINGS).alias("soft"),
+            _listed(r["skills"]["languages"], answer, "$.skills.languages", schemas.arr(schemas.LANGUAGE)).alias("languages"),
         ))
         years = r["summary"]["yearsOfExperience"].try_cast("double")
         return F.struct(
             r["personalInfo"].alias("personalInfo"),
             F.when(r["summary"].isNotNull(), r["summary"].withField("yearsOfExperience", years)).alias("summary"),
-            _listed(experience.cast(schemas.arr(schemas.ROLE)), text, "$.experience", schemas.arr(schemas.ROLE)).alias("experience"),
-            _listed(education.cast(schemas.arr(schemas.DEGREE)), text, "$.education", schemas.arr(schemas.DEGREE)).alias("education"),
+            _listed(experience.cast(schemas.arr(schemas.ROLE)), answer, "$.experience", schemas.arr(schemas.ROLE)).alias("experience"),
+            _listed(education.cast(schemas.arr(schemas.DEGREE)), answer, "$.education", schemas.arr(schemas.DEGREE)).alias("education"),
             skills.alias("skills"),
-            _listed(certifications, text, "$.certifications", schemas.arr(schemas.CERTIFICATION)).alias("certifications"),
-            F.when(r["aiEnhancements"].isNotNull(), _scores(r["aiEnhancements"], text)).alias("aiEnhancements"),
+            _listed(certifications, answer, "$.certifications", schemas.arr(schemas.CERTIFICATION)).alias("certifications"),
+            F.when(r["aiEnhancements"].isNotNull(), _scores(r["aiEnhancements"], answer)).alias("aiEnhancements"),
         ).cast(schemas.PARSED)
     if kind == "bias":
         return F.struct(
@@ -217,19 +301,21 @@ def _typed(kind: str, r: Column, text: Column, as_of: str) -> Column:
     return r
 
 
-def validate(df: DataFrame, kind: str, text: str = "response", as_of: str = "1970-01-01") -> DataFrame:
-    """Add ``valid`` and ``record``: required fields present, defaults filled, unknown fields dropped."""
-    checked = df.withColumn("valid", F.col("parse_ok") & F.coalesce(_valid(kind, F.col("raw"), F.col(text)), F.lit(False)))
-    record = F.when(F.col("valid"), _typed(kind, F.col("raw"), F.col(text), as_of))
-    return checked.withColumn("record", record)
+def validate(df: DataFrame, kind: str, as_of: str = "1970-01-01", given: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``valid`` and ``record``: required fields present, every leaf of its type, defaults filled, unknown fields dropped."""
+    fits = F.lit(True) if kind == "anonymize" else _well_formed(kind, F.col("answer"), given) & _valid(kind, F.col("raw"), given)  # any object will do there
+    checked = df.withColumn("valid", F.col("parse_ok") & F.coalesce(fits, F.lit(False)))
+    return checked.withColumn("record", F.when(F.col("valid"), _typed(kind, F.col("raw"), F.col("answer"), as_of)))
+
+
+def _error() -> Column:
+    return F.when(~F.col("parse_ok"), "not a JSON object").when(~F.col("valid"), "required fields missing or wrong")
 
 
 def ingest_responses(df: DataFrame, kind: str, text: str = "response", as_of: str = "1970-01-01") -> DataFrame:
     """(…, response) → (…, valid, error, record): fence off, strict JSON, required fields, defaults."""
     cleaned = df.withColumn(text, strip_fence(F.col(text)))
-    out = validate(parse_json(cleaned, kind, text), kind, text, as_of)
-    error = F.when(~F.col("parse_ok"), "not a JSON object").when(~F.col("valid"), "required fields missing or wrong")
-    return out.withColumn("error", error).drop("raw", "parse_ok", text)
+    return validate(parse_json(cleaned, kind, text), kind, as_of).withColumn("error", _error()).drop("answer", "raw", "parse_ok", text)
 
 
 BLOCKS = {"bias": "biasReport", "anonymize": "anonymizedData", "salary": "salaryEstimate", "career": "careerProgression"}
@@ -265,6 +351,9 @@ def apply_failure_policy(responses: DataFrame, attempt: str = "attempt") -> Data
     )
 
 
+_ECHOED = ("resumeId", "jobTitle", "company")
+
+
 def override_echoed(answers: DataFrame, inputs: DataFrame) -> DataFrame:
     """Take resumeId, jobTitle and company from the inputs, never from the answer; processingTime is measured.
 
@@ -282,3 +371,13 @@ def override_echoed(answers: DataFrame, inputs: DataFrame) -> DataFrame:
         .withField("metadata", meta.withField("processingTime", seconds.cast("string")))
     )
     return answers.join(side, "match_id", "inner").withColumn("raw", fixed).drop("resume_id", "job_title", "_company")
+
+
+def ingest_matches(answers: DataFrame, inputs: DataFrame, as_of: str, text: str = "response") -> DataFrame:
+    """(match_id, response, started_at, finished_at) → (match_id, valid, error, record): parsed, keys of the inputs put in, checked.
+
+    The answer's own matchId must be a UUID; resumeId, jobTitle, company and the
+    measured processingTime come from the inputs, so what it says there is not looked at.
+    """
+    parsed = parse_json(answers.withColumn(text, strip_fence(F.col(text))), "match", text)
+    return validate(override_echoed(parsed, inputs), "match", as_of, _ECHOED).withColumn("error", _error()).select("match_id", "valid", "error", "record")

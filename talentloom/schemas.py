@@ -127,6 +127,31 @@ REQUIRED = {
     },
 }
 
+# Types that the leaves of an answer are checked for; times are read leniently, and certification dates come under either name.
+_METADATA = MATCH_ANSWER["metadata"].dataType
+CHECKED = RESPONSE | {
+    "parse": T.StructType([T.StructField("certifications", RAW_RESPONSE["parse"]["certifications"].dataType) if f.name == "certifications" else f for f in PARSED.fields]),
+    "match": T.StructType([T.StructField("metadata", T.StructType([_METADATA["algorithm"], _METADATA["confidenceFactors"]])) if f.name == "metadata" else f
+                           for f in MATCH_ANSWER.fields]),
+}
+# Fields that may be left out of an answer but not be null, by kind and path.
+NOT_NULL = {
+    "parse": {"skills.technical": ["items"]}, "anonymize": {}, "bias": {"": ["biasDetected", "findings"]}, "salary": {"": ["currency"]},
+    "career": {"": ["suggestedNextRoles", "improvementAreas"]},
+    "match": {"matchingResults": ["strengthAreas", "competitiveAdvantages"], "matchingResults.gapAnalysis": ["criticalGaps", "improvementAreas"],
+              "explanation": ["keyFactors", "recommendations"]},
+}
+
+
+def leaves_as_variant(dtype: T.DataType) -> T.DataType:
+    """A record type whose leaves, lists of leaves and maps are VARIANT: one read of an answer gives all its fields as they were written."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, leaves_as_variant(f.dataType)) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
+        return T.ArrayType(leaves_as_variant(dtype.elementType))
+    return T.VariantType()
+
+
 _JSON_NAMES = {"string": "string", "int": "integer", "bigint": "integer", "double": "number", "boolean": "boolean"}
 
 

@@ -138,3 +138,52 @@ def test_echoed_keys_come_from_the_inputs(spark):
     inputs = spark.createDataFrame([("m", "r1", "Clerk", None)], "match_id string, resume_id string, job_title string, company string")
     r = responses.override_echoed(answers, inputs).first().raw
     assert (r.resumeId, r.jobTitle, r.company, r.metadata.processingTime) == ("r1", "Clerk", None, "2.5")
+
+
+def test_every_leaf_is_checked(spark):
+    """Each text of a whole answer in turn as a number, each list as a text, each object as a list."""
+    import copy
+
+    whole = {
+        "personalInfo": {"name": {"first": "A", "full": "A B"}, "contact": {"email": "e", "address": {"city": "c"}}}, "summary": {"text": "t"},
+        "experience": [{"title": "t", "company": "c", "location": "l", "achievements": ["a"], "technologies": ["b"]}],
+        "education": [{"degree": "d", "institution": "i", "honors": ["h"]}], "skills": {"technical": [{"category": "c", "items": ["x"]}], "soft": ["s"], "languages": [{"language": "l"}]},
+        "certifications": [{"name": "n", "issuer": "i", "expiry_date": "2020"}], "aiEnhancements": {"suggestions": ["s"], "industryFit": {"x": 0.5}},
+    }
+
+    def paths(value, at=()):
+        if isinstance(value, dict):
+            yield at
+            for k, v in value.items():
+                yield from paths(v, (*at, k))
+        elif isinstance(value, list):
+            yield at
+            for k, v in enumerate(value):
+                yield from paths(v, (*at, k))
+        elif isinstance(value, str):
+            yield at
+
+    spoilt = []
+    for path in [p for p in paths(whole) if p]:
+        answer = copy.deepcopy(whole)
+        holder = answer
+        for step in path[:-1]:
+            holder = holder[step]
+        old = holder[path[-1]]
+        holder[path[-1]] = 5 if isinstance(old, str) else "text" if isinstance(old, list) else [old]
+        spoilt.append(answer)
+    rows = ingest(spark, "parse", whole, *spoilt)
+    assert rows[0].valid and len(spoilt) > 35 and not any(r.valid for r in rows[1:])
+
+
+def test_a_text_is_parsed_once(spark):
+    """One parse to VARIANT in the plan of a kind; the second one stands in the branch for repeated keys."""
+    df = spark.createDataFrame([(1, "{}")], "id int, response string")
+    for kind in schemas.RESPONSE:
+        plan = responses.ingest_responses(df, kind)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson(concat([") == 1 and plan.count("parseJson(") == 2, kind
+
+
+def test_nothing_can_end_the_text_early(spark):
+    rows = ingest(spark, "career", '{"comments":"c"},"1"] {}', '{"comments":"c"}]', '{"comments":"c"', '{"comments":"c"},{"comments":"d"}', ' {"comments":"c"} ', '{"comments":"a\\u0022}"}')
+    assert [r.valid for r in rows] == [False, False, False, False, True, True]
