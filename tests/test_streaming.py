@@ -53,6 +53,54 @@ def test_quota_stream_equals_batch(spark, parts, tmp_path):
     assert got and got == sorted(map(tuple, want.collect()))
 
 
+def test_status_changes_equal_batch(spark, parts, tmp_path):
+    out = run(status.stream_status_changes(stream(spark, parts), delay="3650 days"), tmp_path, "changes_out", "update")
+    last = out.groupBy("resume_id").agg(F.max_by(F.struct("status", "ts", "event_id"), F.struct("ts", "event_id")).alias("r")).select("resume_id", "r.status", "r.ts")
+    want = records.latest_status(parts[2]).select("resume_id", "status", F.col("ts").cast("timestamp").alias("ts"))
+    assert out.count() >= last.count() > 0 and sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("kind", ["changes", "progress"])
+def test_keyed_state_ends_with_the_watermark(spark, tmp_path, kind):
+    root, cp, out = (str(tmp_path / n) for n in ("in", "cp", "out"))
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "batch bigint, resume_id bigint, ts timestamp, event_id bigint, status string"
+
+    def write(*rows):
+        df = spark.createDataFrame([(b, r, t0 + dt.timedelta(seconds=s), n, x) for b, r, s, n, x in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(root)
+
+    def go():
+        events = status.read_status(spark, root, schema, 1)
+        made = status.stream_status_changes(events, "60 seconds", "10 seconds") if kind == "changes" else status.stream_bulk_progress(events, "60 seconds")
+        q = (made.writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).option("checkpointLocation", cp).outputMode("update")
+             .trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        assert q.exception() is None and not q.isActive
+
+    def state(name):
+        held = spark.read.format("statestore").option("path", cp).option("stateVarName", name).load()
+        return {r.key[0] for r in held.collect()}
+
+    name, first, later = ("newest", {1, 2, 3}, {9}) if kind == "changes" else ("counts", {1, 2}, {3})
+    write((1, 1, 0, 1, "processing"), (1, 2, 1, 2, "processing"), (2, 3, 2, 3, "processing"))
+    go()
+    assert state(name) == first
+    write((1, 1, 20, 5, "completed"), (1, 1, 10, 4, "ai_processing"), (1, 2, 1, 1, "ai_failed"))  # the last one is older than what is known
+    go()
+    write((3, 9, 500, 6, "processing"))
+    go()
+    write((3, 9, 501, 7, "completed"))
+    go()
+    assert state(name) == later
+    rows = spark.read.parquet(out).collect()
+    if kind == "changes":
+        assert sorted((r.resume_id, r.status) for r in rows) == [(1, "completed"), (1, "processing"), (2, "processing"), (3, "processing"), (9, "completed"), (9, "processing")]
+    else:
+        assert sorted((r.batch, r.n_events, r.total, r.completed, r.failed) for r in rows) == [
+            (1, 2, 2, 0, 0), (1, 5, 2, 1, 0), (2, 1, 1, 0, 0), (3, 1, 1, 0, 0), (3, 2, 1, 1, 0)]
+
+
 def test_stuck_alert(spark, tmp_path):
     root = str(tmp_path / "in")
     t0 = dt.datetime(2024, 1, 1)
