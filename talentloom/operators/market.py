@@ -55,6 +55,41 @@ def top_skills(skill_dates: DataFrame, timeframe: str, as_of: str, n: int = 10,
     return top_n(skill_counts(skill_dates, timeframe, as_of, exact), "skill", n)
 
 
+#: Logarithm of the registers of a distinct-count sketch, and the relative standard error of its counts.
+SKETCH_BITS, SKETCH_ERROR = 12, 0.0163
+
+
+def skill_sketches(skill_dates: DataFrame) -> DataFrame:
+    """(skill, seen_on, sketch): one distinct-count sketch of the résumés per skill and day.
+
+    Days are united for any window afterwards, so the pairs are read once and stored; a sketch of few résumés takes some bytes, one of many
+    at most 4 KB. Null skills and days go, null résumés are not counted.
+    """
+    rows = skill_dates.where("skill is not null and seen_on is not null")
+    return rows.groupBy("skill", "seen_on").agg(F.hll_sketch_agg(F.col("resume_id").cast("string"), SKETCH_BITS).alias("sketch"))
+
+
+def sketched_holders(sketches: DataFrame, timeframe: str, as_of: str) -> DataFrame:
+    """(skill, current, previous) like ``holders``, from stored sketches: days of a window are united, not added, so a résumé counts once.
+
+    Counts are estimates of relative error ``SKETCH_ERROR``.
+    """
+    before, after, until = timeframe_bounds(timeframe, as_of)
+    rows = sketches.filter(in_window(F.col("seen_on"), before, until))
+    now = in_window(F.col("seen_on"), after, until)
+
+    def count(here: Column) -> Column:
+        return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(F.when(here, F.col("sketch")))), F.lit(0).cast("bigint"))
+
+    return rows.groupBy("skill").agg(count(now).alias("current"), count(~now).alias("previous"))
+
+
+def sketched_top_skills(sketches: DataFrame, timeframe: str, as_of: str, n: int = 10) -> DataFrame:
+    """(skill, n): the skills that most résumés name in the window, from stored sketches."""
+    counts = sketched_holders(sketches, timeframe, as_of).where("current > 0")
+    return top_n(counts.select("skill", F.col("current").alias("n")), "skill", n)
+
+
 def growth_label(rate: Column, band: float, up: str, down: str) -> Column:
     return F.when(rate >= band, up).when(rate <= -band, down).otherwise("stable")
 
@@ -65,7 +100,22 @@ def skill_trend(skill_dates: DataFrame, timeframe: str, as_of: str) -> DataFrame
     A skill without a past is growing and has no rate; without a previous window
     (timeframe ``all``) every skill is stable.
     """
-    counts = holders(skill_dates, timeframe, as_of)
+    return _trend(holders(skill_dates, timeframe, as_of), timeframe)
+
+
+def sketched_skill_trend(sketches: DataFrame, timeframe: str, as_of: str) -> DataFrame:
+    """``skill_trend`` from stored sketches."""
+    return _trend(sketched_holders(sketches, timeframe, as_of), timeframe)
+
+
+def skill_report(trend: DataFrame, n: int = 10) -> DataFrame:
+    """(rank, skill, count, trend, growth_rate): the ``n`` most named skills of a window in one result, from either kind of trend."""
+    top = top_n(trend.where("current > 0"), "skill", n, by="current")
+    rank = F.row_number().over(Window.orderBy(F.desc("current"), F.asc("skill")))  # over n rows
+    return top.select(rank.alias("rank"), "skill", F.col("current").alias("count"), "trend", "growth_rate")
+
+
+def _trend(counts: DataFrame, timeframe: str) -> DataFrame:
     rate = F.when(F.col("previous") > 0, F.round((F.col("current") - F.col("previous")) / F.col("previous"), 4))
     label = growth_label(F.col("growth_rate"), rules.SKILL_TREND_BAND, "growing", "declining")
     if rules.TIMEFRAMES[timeframe] is None:

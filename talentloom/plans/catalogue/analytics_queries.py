@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talentloom.functions.dates import timeframe_bounds
 from talentloom.functions.values import career_level
 from talentloom.operators import enrich, market, progress, records, search
 from talentloom.plans.catalogue.registry import query
+from talentloom.sources import store
 
 AS_OF = "2001-08-01"
 BEFORE, AFTER, _ = timeframe_bounds("1y", AS_OF)
@@ -51,6 +54,27 @@ def _(t):
     return sketch.join(exact, "skill").select("skill", (F.abs(F.col("n") - F.col("_exact")) <= F.greatest(F.col("_exact") / 5, F.lit(1))).alias("near"))
 
 
+def _stored_sketches(t):
+    """The sketches of all days, written once and read again."""
+    path = f"{store.scratch_root(t.spark)}/sketches-{uuid.uuid4().hex}"
+    market.skill_sketches(t.skill_dates_v()).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query("a02_top_skills_stored_sketches", f"""
+    select skill, count(distinct resume_id) as n from skill_dates_v where {_NOW} group by 1 order by n desc, skill limit 20""")
+def _(t):
+    """Counts of some tens of résumés are exact in a sketch; larger ones are held against exact counts in tests."""
+    return market.sketched_top_skills(_stored_sketches(t), "1y", AS_OF, 20)
+
+
+@query("a02_skill_report", f"""
+    select cast(row_number() over (order by current desc, skill) as int) as rank, skill, current as count, trend, coalesce(growth_rate, -99) as growth_rate
+    from ({_TREND}) where current > 0 order by current desc, skill limit 25""")
+def _(t):
+    return market.skill_report(market.skill_trend(t.skill_dates_v(), "1y", AS_OF), 25).withColumn("growth_rate", F.coalesce("growth_rate", F.lit(-99.0)))
+
+
 def _salary_label(rate):
     return f"case when {rate} >= 5 then 'increasing' when {rate} <= -5 then 'decreasing' else 'stable' end"
 
@@ -184,6 +208,11 @@ def _(t):
     return market.skill_trend(t.skill_dates_v(), "1y", AS_OF).withColumn("growth_rate", F.coalesce("growth_rate", F.lit(-99.0)))
 
 
+@query("w2_skill_trend_sketches", f"select skill, current, previous, cast(coalesce(growth_rate, -99) as double) as growth_rate, trend from ({_TREND})")
+def _(t):
+    return market.sketched_skill_trend(_stored_sketches(t), "1y", AS_OF).withColumn("growth_rate", F.coalesce("growth_rate", F.lit(-99.0)))
+
+
 _SERIES = "select skill, date_trunc('month', seen_on) as period, count(distinct resume_id) as n from skill_dates_v group by 1, 2"
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talentloom import rules, schemas
 from talentloom.operators import records
+from talentloom.sources import store
 from talentloom.plans.catalogue.registry import query, uuid_sql
 
 NOW = "2024-03-01 12:00:00"
@@ -268,6 +271,23 @@ def _(t):
     )
 
 
+@query("j04_store_overwrite", """
+    select r.id, case when s_suppkey is not null then 'completed' else processing_status end as status,
+           case when s_suppkey is not null then s_name when processing_status = 'completed' then full_name end as full_name, r.id % 7 = 0 as second
+    from stored_resumes_v r left join supplier on s_suppkey = r.id where r.id % 7 <> 0 or r.id not between 7 and 70
+    union all select r.id, processing_status, case when processing_status = 'completed' then full_name end, true from stored_resumes_v r where r.id % 7 = 0 and r.id between 7 and 70""")
+def _(t):
+    """A stored table after two changes, an overwrite and a delete, each by the buckets of its ids; deleted rows are read from the version before both."""
+    root = f"{store.scratch_root(t.spark)}/store-{uuid.uuid4().hex}"
+    store.create_store(t.stored_resumes_v(), root, buckets=64)
+    store.change_store(t.spark, root, _updates(t), lambda rows: records.overwrite_records(rows, _updates(t), NOW))
+    gone = t.spark.range(7, 71, 7).toDF("id")
+    store.change_store(t.spark, root, gone, lambda rows: records.delete_records(rows, gone).remaining)
+    old = store.read_store(t.spark, root, 0).join(gone, "id", "left_semi")
+    return store.read_store(t.spark, root).unionByName(old).select(
+        "id", F.col("processing_status").alias("status"), F.col("structured_data.personalInfo.name.full").alias("full_name"), (F.col("id") % 7 == 0).alias("second"))
+
+
 @query("j04_overwrite_outcome", """
     select w.id, case when r.id is null then 'not_found' else 'ok' end as outcome
     from wanted_ids_v w left join stored_resumes_v r on r.id = w.id""")
