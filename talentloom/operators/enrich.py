@@ -147,12 +147,9 @@ def employment_gaps(experience: DataFrame, as_of: str, min_days: int = 1) -> Dat
     )
 
 
-SALARY_WIDTH = 1000.0
-
-
 def salary_comparables(market: DataFrame, keys: list[str]) -> DataFrame:
     """p25, p75 and count of the salaries per group, exact."""
-    return exact_quantiles(market, keys, "salary", {"p25": 0.25, "p75": 0.75}, SALARY_WIDTH)
+    return exact_quantiles(market, keys, "salary", {"p25": 0.25, "p75": 0.75})
 
 
 _LEVELS = (("level", "industry", "country"), ("level", "industry"), ("level",), ())
@@ -174,7 +171,7 @@ def estimate_salary(resumes: DataFrame, market: DataFrame, min_rows: int = rules
     counted = market.groupBy("level", "industry", "country", "salary").agg(F.count("*").alias("_n"))
     levels = F.array(*[F.struct(F.lit(i).alias("depth"), _group_name(c).alias("group")) for i, c in enumerate(_LEVELS)])
     spread = counted.select("salary", "_n", F.explode(levels).alias("l")).select("salary", "_n", F.col("l.group").alias("group"))
-    stats = exact_quantiles(spread, ["group"], "salary", {"p25": 0.25, "p75": 0.75}, SALARY_WIDTH, weight="_n")
+    stats = exact_quantiles(spread, ["group"], "salary", {"p25": 0.25, "p75": 0.75}, weight="_n")
     combos = resumes.select("level", "industry", "country").distinct()
     best = (
         combos.withColumn("l", F.explode(levels))

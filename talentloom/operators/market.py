@@ -169,7 +169,7 @@ def _salary_trend(both: DataFrame) -> DataFrame:
 def salary_trends(experience: DataFrame, timeframe: str, as_of: str) -> DataFrame:
     """(title, current, previous, change_percent, trend): median salary per role against the window before."""
     rows = _in_both_windows(experience, timeframe, as_of).select("title", "_window", "salary")
-    medians = exact_quantiles(rows, ["title", "_window"], "salary", {"median": 0.5}, 1000.0)
+    medians = exact_quantiles(rows, ["title", "_window"], "salary", {"median": 0.5})
     both = medians.groupBy("title").agg(
         F.max(F.when(F.col("_window") == "current", F.col("median"))).alias("current"),
         F.max(F.when(F.col("_window") == "previous", F.col("median"))).alias("previous"),
@@ -201,12 +201,12 @@ def industry_distribution(resumes: DataFrame) -> DataFrame:
     return counts.withColumn("percent", F.round(F.col("n") * 100 / total, 1))
 
 
-def score_rank(df: DataFrame, by: str, score: str, width: float = 100.0) -> DataFrame:
+def score_rank(df: DataFrame, by: str, score: str) -> DataFrame:
     """Add ``pct_rank``: percent rank of the score within ``by``.
 
     Same value as ``percent_rank()``, without sorting a whole group in one task:
     each distinct score gets its position from sliced counts and is joined back.
     """
-    places = value_positions(df, [by], score, width)
+    places = value_positions(df, [by], score)
     rank = F.when(F.col("total") > 1, F.col("below") / (F.col("total") - 1)).otherwise(F.lit(0.0))
     return df.join(places.select(by, score, F.round(rank, 4).alias("pct_rank")), [by, score], "left")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from talentloom.functions.values import let
+
 
 def next_in_order(df: DataFrame, keys: list[str], slice_: Column, order: list[str], values: list[str],
                   prefix: str = "next_") -> DataFrame:
@@ -30,18 +32,41 @@ def next_in_order(df: DataFrame, keys: list[str], slice_: Column, order: list[st
     return joined.select(*df.columns, *[found[v].alias(f"{prefix}{v}") for v in values])
 
 
-def value_positions(df: DataFrame, keys: list[str], value: str, width: float, weight: str | None = None) -> DataFrame:
+#: Slices of a key at most, and how many of their bounds are passed over at once in looking up the slice of a value.
+SLICES, STRIDE = 1024, 32
+#: Rank error of a bound is one in so many: slices differ in size by that, results do not.
+ACCURACY = 10_000
+
+
+def equal_slices(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``_slice``: which of up to ``SLICES`` stretches of about equally many distinct values of its key a value lies in.
+
+    The bounds come from one mergeable summary per key, whatever the range or the spread of the values; keys of few values have few bounds. Each
+    value looks its slice up in two steps. Null keys go.
+    """
+    summary = F.percentile_approx(value, [k / SLICES for k in range(1, SLICES)], ACCURACY)
+    bounds = counts.groupBy(*keys).agg(F.array_distinct(summary).alias("_bounds"))
+    marks = F.transform(F.sequence(F.lit(0), F.size("_bounds") - 1, F.lit(STRIDE)), lambda k: F.get("_bounds", k))
+    bounds = bounds.withColumn("_marks", marks)
+    here = F.col(value)
+    start = F.greatest(F.size(F.filter("_marks", lambda b: b < here)) - 1, F.lit(0)) * STRIDE
+    place = let(start, lambda at: at + F.size(F.filter(F.slice("_bounds", at + 1, STRIDE), lambda b: b < here)))
+    return counts.join(bounds, keys, "inner").withColumn("_slice", place.cast("bigint")).drop("_bounds", "_marks")
+
+
+def value_positions(df: DataFrame, keys: list[str], value: str, width: float | None = None, weight: str | None = None) -> DataFrame:
     """Per key and distinct value: ``n`` rows, ``below`` rows with a smaller value, ``total`` rows of the key.
 
     ``weight`` is a column of row counts when the input is counted already.
     Equal values are counted before the first shuffle. The counts are ordered
-    inside slices of ``width``; a histogram of the slices gives each its offset.
+    inside slices, of equal depth unless a ``width`` is given; a histogram of the
+    slices gives each its offset.
     """
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
-        .withColumn("_slice", F.floor(F.col(value) / width).cast("bigint"))
     )
+    counts = equal_slices(counts, keys, value) if width is None else counts.withColumn("_slice", F.floor(F.col(value) / width).cast("bigint"))
     coarse = counts.groupBy(*keys, "_slice").agg(F.sum("n").alias("_slice_n"))
     by_key = Window.partitionBy(*keys)
     coarse = coarse.select(
@@ -57,7 +82,7 @@ def value_positions(df: DataFrame, keys: list[str], value: str, width: float, we
     )
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], width: float,
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], width: float | None = None,
                     weight: str | None = None) -> DataFrame:
     """Interpolated quantiles per key, one column per entry of ``probs``, and ``n_rows``.
 

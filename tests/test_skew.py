@@ -188,3 +188,26 @@ def test_market_windows(spark):
         assert (got[s].current, got[s].previous) == (now, past)
         assert got[s].growth_rate == (round((now - past) / past, 4) if past else None)
     assert all(r.trend == "stable" and r.growth_rate is None for r in market.skill_trend(df, "all", "2024-03-01").collect())
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e9])
+def test_slices_follow_the_values(spark, scale):
+    """Scores in 0..1, up to 1e9, and bunched together: a bounded number of slices, none of them much larger than its share."""
+    n = 40_000
+    base = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("g"),
+                                 F.pow(F.rand(5), F.lit(6.0)).alias("s"), F.col("id"))
+    df = base.select("g", (F.col("s") * scale).alias("s"), "id").cache()
+    cut = ordered.equal_slices(df, ["g"], "s").groupBy("g", "_slice").count().cache()
+    hot = cut.where("g = 'hot'")
+    assert 200 < hot.count() <= ordered.SLICES and hot.agg(F.max("count")).first()[0] <= 8 * (n / 3) / ordered.SLICES + 8
+    assert cut.agg(F.max("_slice")).first()[0] < ordered.SLICES
+    got = {(r.g, r.id): r.pct_rank for r in market.score_rank(df, "g", "s").collect()}
+    want = df.selectExpr("g", "id", "round(percent_rank() over (partition by g order by s), 4) as p").collect()
+    assert len(got) == n and all(abs(got[r.g, r.id] - r.p) < 1e-9 for r in want)
+
+
+def test_slices_of_awkward_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", None), ("b", -5.0), (None, 2.0), ("c", None)] + [("d", float(k % 2)) for k in range(9)], "g string, s double")
+    out = {r.g: (r.n_rows, r.q) for r in ordered.exact_quantiles(df, ["g"], "s", {"q": 0.5}).collect()}
+    assert out == {"a": (2, 1.0), "b": (1, -5.0), "d": (9, 0.0)}
+    assert ordered.exact_quantiles(df.where("false"), ["g"], "s", {"q": 0.5}).count() == 0
