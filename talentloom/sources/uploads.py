@@ -103,16 +103,38 @@ def decode_text(df: DataFrame) -> DataFrame:
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+_MAIN = "/officeDocument"
+_RELATION = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+
+
+def _main_part(archive: zipfile.ZipFile) -> str:
+    """Name of the main document: what the relations of the package say, else the usual one."""
+    if "_rels/.rels" in archive.namelist():
+        for relation in ET.fromstring(archive.read("_rels/.rels")).iter(_RELATION):
+            if relation.get("Type", "").endswith(_MAIN):
+                return relation.get("Target", "").lstrip("/")
+    return "word/document.xml"
+
+
+def _runs(node: ET.Element) -> Iterator[ET.Element]:
+    """Runs of a paragraph, also inside links and insertions; what stands inside a run, as a text box does, is not body text."""
+    for child in node:
+        if child.tag == f"{_W}r":
+            yield child
+        else:
+            yield from _runs(child)
+
+
 def _docx_text(content: bytes) -> str:
     """Body paragraphs joined by line feeds; '' for whatever is not a readable docx."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            body = ET.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
+            body = ET.fromstring(archive.read(_main_part(archive))).find(f"{_W}body")
         marks = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
         return "\n".join(
             "".join(
                 (node.text or "") if node.tag == f"{_W}t" else marks.get(node.tag, "")
-                for run in paragraph.iter(f"{_W}r") for node in run
+                for run in _runs(paragraph) for node in run
             )
             for paragraph in body.findall(f"{_W}p")
         )

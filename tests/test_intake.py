@@ -184,3 +184,27 @@ def test_prompts_hold_the_whole_payload(spark):
         assert p.endswith(text) and p.startswith(records_json.INSTRUCTIONS[kind])
     with pytest.raises(ValueError):
         records_json.build_prompts(df, "poem", F.col("t"))
+
+
+def test_main_part_by_relations_and_no_text_boxes():
+    import io
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    box = "<w:r><w:pict><w:txbxContent><w:p><w:r><w:t>in a box</w:t></w:r></w:p></w:txbxContent></w:pict><w:t>beside it</w:t></w:r>"
+    body = f"<w:document {w}><w:body><w:p><w:r><w:t>One</w:t></w:r><w:hyperlink><w:r><w:t> link</w:t></w:r></w:hyperlink><w:ins><w:r><w:tab/><w:t>two</w:t></w:r></w:ins></w:p><w:p>{box}</w:p></w:body></w:document>"
+    rels = ('<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+            '<Relationship Id="r0" Type="http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/>'
+            '<Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="/word/document2.xml"/></Relationships>')
+
+    def made(**parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for name, text in parts.items():
+                archive.writestr(name.replace("__", "/").replace("DOT", "."), text)
+        return out.getvalue()
+
+    want = "One link\ttwo\nbeside it"
+    assert uploads._docx_text(made(_relsDOTrels="x", word__documentDOTxml=body)) == want
+    assert uploads._docx_text(made(**{"_rels/.rels": rels, "word/document2.xml": body, "word/document.xml": body.replace("One", "Old")})) == want
+    assert uploads._docx_text(made(**{"_rels/.rels": rels, "word/document.xml": body})) == ""
