@@ -82,6 +82,16 @@ def value_positions(df: DataFrame, keys: list[str], value: str, width: float | N
     )
 
 
+def running_sum(counts: DataFrame, keys: list[str], value: str, term: str, to: str) -> DataFrame:
+    """Add ``to``: the sum of a term over the rows of a key up to each value, from rows of distinct values per key."""
+    cut = equal_slices(counts, keys, value)
+    coarse = cut.groupBy(*keys, "_slice").agg(F.sum(term).alias("_slice_sum"))
+    before = F.sum("_slice_sum").over(Window.partitionBy(*keys).orderBy("_slice")) - F.col("_slice_sum")
+    inside = Window.partitionBy(*keys, "_slice").orderBy(value)
+    summed = cut.join(coarse.select(*keys, "_slice", before.alias("_base")), [*keys, "_slice"], "inner")
+    return summed.withColumn(to, F.col("_base") + F.sum(term).over(inside)).drop("_slice", "_base")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], width: float | None = None,
                     weight: str | None = None) -> DataFrame:
     """Interpolated quantiles per key, one column per entry of ``probs``, and ``n_rows``.

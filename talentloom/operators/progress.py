@@ -5,10 +5,10 @@ All functions but the step times work on a stream as well as on a table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from talentloom import rules
-from talentloom.operators.ordered import exact_quantiles, next_in_order
+from talentloom.operators.ordered import exact_quantiles, next_in_order, running_sum, value_positions
 
 
 def status_counts(df: DataFrame, by_day: bool = False) -> DataFrame:
@@ -76,6 +76,52 @@ def step_times(durations: DataFrame) -> DataFrame:
     )
 
 
+def waiting_steps(status_events: DataFrame, as_of: str, key: str = "resume_id") -> DataFrame:
+    """(record, status, seconds, finished): whole seconds of every step, ended by the next event or still going on at ``as_of``.
+
+    The last event of a record with a final status is no step.
+    """
+    steps = step_durations(status_events, key)
+    spent = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6)
+    ended = F.col("seconds").isNotNull()
+    return steps.where(ended | ~F.col("status").isin(*rules.TERMINAL_STATUSES)).select(
+        key, "status", F.when(ended, F.floor("seconds")).otherwise(spent).cast("bigint").alias("seconds"), ended.alias("finished"))
+
+
+def step_survival(steps: DataFrame) -> DataFrame:
+    """(status, seconds, ended, at_risk, survival): the share of steps that last longer, by the product-limit estimator.
+
+    Steps still going on count among those at risk as long as they have been watched. Equal waiting times are counted first, and running sums are taken in
+    slices, so a status that holds most steps is in no single task.
+    """
+    counts = steps.groupBy("status", "seconds").agg(F.count_if("finished").alias("ended"), F.count("*").alias("_n"))
+    places = value_positions(counts, ["status"], "seconds", weight="_n").select("status", "seconds", (F.col("total") - F.col("below")).alias("at_risk"))
+    known = counts.join(places, ["status", "seconds"], "inner")
+    left = 1 - F.col("ended") / F.col("at_risk")
+    known = known.withColumn("_term", F.when(left > 0, F.ln(left)).otherwise(F.lit(-50.0)))
+    summed = running_sum(known, ["status"], "seconds", "_term", "_sum")
+    return summed.select("status", "seconds", "ended", "at_risk", F.round(F.exp("_sum"), 6).alias("survival"))
+
+
+#: Shares of steps that times are kept for: one in so many.
+_SHARES = 1000
+
+
+def time_remaining(steps: DataFrame, survival: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(record, status, spent, remaining) of the steps still going on: seconds until half of the steps that lasted as long are over.
+
+    Null where fewer than half of those have ever ended. Per status the survival curve is kept at ``_SHARES`` points.
+    """
+    points = survival.groupBy("status", F.ceil(F.col("survival") * _SHARES).cast("int").alias("_share")).agg(F.min("seconds").alias("_until"))
+    grid = points.select("status").distinct().select("status", F.explode(F.sequence(F.lit(0), F.lit(_SHARES))).alias("_share"))
+    upward = Window.partitionBy("status").orderBy("_share")  # a thousand rows a status
+    curve = grid.join(points, ["status", "_share"], "left").select("status", "_share", F.last("_until", ignorenulls=True).over(upward).alias("_until"))
+    open_ = steps.where(~F.col("finished")).join(survival.select("status", "seconds", "survival"), ["status", "seconds"], "inner")
+    half = F.floor(F.col("survival") * (_SHARES // 2)).cast("int")
+    found = open_.withColumn("_share", half).join(curve, ["status", "_share"], "left")
+    return found.select(key, "status", F.col("seconds").alias("spent"), (F.col("_until") - F.col("seconds")).alias("remaining"))
+
+
 def quota_audit(events: DataFrame, key: str = "user_id", limit: int = rules.REQUESTS_PER_HOUR) -> DataFrame:
     """(key, hour, n): clock hours in which a key made more than ``limit`` requests.
 

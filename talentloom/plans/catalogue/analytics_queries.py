@@ -140,6 +140,32 @@ def _(t):
     return progress.file_status(t.batch_events_v()).drop("since")
 
 
+_SEEN_UNTIL = "2024-02-01 00:00:00"
+_KEPT = "('completed', 'parse_failed', 'ai_failed', 'save_failed', 'queue_failed', 'failed')"
+_WAITING = f"""select event_id, resume_id, status, cast(floor(case when next_ts is not null then round((epoch_us(next_ts) - epoch_us(ts)) / 1000000.0, 3)
+    else (epoch_us(timestamp '{_SEEN_UNTIL}') - epoch_us(ts)) / 1000000.0 end) as bigint) as seconds, next_ts is not null as finished
+    from steps_v where next_ts is not null or status not in {_KEPT}"""
+_SURVIVAL = f"""select status, seconds, ended, at_risk, round(exp(sum(case when ended < at_risk then ln(1 - ended / at_risk) else -50 end) over (partition by status order by seconds)), 6) as survival
+    from (select status, seconds, ended, sum(n) over (partition by status order by seconds rows between current row and unbounded following) as at_risk
+    from (select status, seconds, count(*) filter (where finished) as ended, count(*) as n from waiting group by 1, 2))"""
+
+
+@query("a06_step_survival", f"with waiting as ({_WAITING}) select status, seconds, ended, cast(at_risk as bigint) as at_risk, survival from ({_SURVIVAL})")
+def _(t):
+    return progress.step_survival(progress.waiting_steps(t.status_events_v(), _SEEN_UNTIL))
+
+
+@query("a06_time_remaining", f"""
+    with waiting as ({_WAITING}), curve as ({_SURVIVAL})
+    select w.resume_id, w.status, w.seconds as spent, min(l.seconds) - w.seconds as remaining
+    from waiting w join curve c on c.status = w.status and c.seconds = w.seconds
+    left join curve l on l.status = w.status and ceil(l.survival * 1000) <= floor(c.survival * 500)
+    where not finished group by w.event_id, w.resume_id, w.status, w.seconds""")
+def _(t):
+    steps = progress.waiting_steps(t.status_events_v(), _SEEN_UNTIL)
+    return progress.time_remaining(steps, progress.step_survival(steps))
+
+
 @query("a07_status_counts", "select status, count(*) as n from latest_v group by status")
 def _(t):
     return progress.status_counts(records.latest_status(t.status_events_v()))
