@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from talentloom.functions.dates import timeframe_bounds
@@ -56,7 +54,7 @@ def _(t):
 
 def _stored_sketches(t):
     """The sketches of all days, written once and read again."""
-    path = f"{store.scratch_root(t.spark)}/sketches-{uuid.uuid4().hex}"
+    path = store.scratch_folder(t.spark, "sketches")
     market.skill_sketches(t.skill_dates_v()).write.parquet(path)
     return t.spark.read.parquet(path)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from talentloom import rules, schemas
@@ -278,7 +276,7 @@ def _(t):
     union all select r.id, processing_status, case when processing_status = 'completed' then full_name end, true from stored_resumes_v r where r.id % 7 = 0 and r.id between 7 and 70""")
 def _(t):
     """A stored table after two changes, an overwrite and a delete, each by the buckets of its ids; deleted rows are read from the version before both."""
-    root = f"{store.scratch_root(t.spark)}/store-{uuid.uuid4().hex}"
+    root = store.scratch_folder(t.spark, "store")
     store.create_store(t.stored_resumes_v(), root, buckets=64)
     store.change_store(t.spark, root, _updates(t), lambda rows: records.overwrite_records(rows, _updates(t), NOW))
     gone = t.spark.range(7, 71, 7).toDF("id")

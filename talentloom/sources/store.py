@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -38,10 +38,16 @@ BUCKETS = 256
 _BUCKET = "_bucket"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="talentloom-")
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir`` that goes with the session. In a local session without that setting it is in the warehouse; on a
+    cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/talentloom-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return folder
 
 
 def _bucket_of(key: str, buckets: int):
