@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none, as in tests."""
+    """The folder that all executors share. In a local session that names none, as in tests, the warehouse; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="talentloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or spark.conf.get("spark.sql.warehouse.dir")
 
 
+#: Folders of the steps that ``concluded`` functions under way have stored, by thread.
+_UNDER_WAY = threading.local()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -46,9 +49,24 @@ def stored(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, cleaned)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if getattr(_UNDER_WAY, "steps", None):
+        _UNDER_WAY.steps[-1].append(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def concluded(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of a function that stores steps; the steps go as soon as the result is written, not with the session."""
+    _UNDER_WAY.steps = [*getattr(_UNDER_WAY, "steps", []), []]
+    try:
+        made = make()
+    finally:
+        *_UNDER_WAY.steps, steps = _UNDER_WAY.steps
+    result = stored(made)
+    for place in steps:
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return result
+
+
 def row_key(*columns: str) -> Column:
     """A key of a row by its content: rows of equal key are copies of each other, so repeated or null ids do no harm."""
     return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
@@ -110,6 +128,41 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
+def give_back() -> None:
+    """Hand freed memory of this worker back to the system: workers live on between tasks and operators, and what they keep adds up in an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: What operators keep in a worker from task to task, by operator: how to forget it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Note that an operator keeps something in this worker until a task of another operator runs there."""
+    _KEPT[owner] = forget
+
+
+def forget_others(owner: str) -> None:
+    for other in [o for o in _KEPT if o != owner]:
+        _KEPT.pop(other)()
+
+
+def releasing(run, owner: str = ""):
+    """A function of batches that forgets what other operators keep in its worker, and hands its memory back when a task ends."""
+    def wrapped(batches):
+        forget_others(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating stars: (a, b) edges of long ids to (node, root) rows, root the smallest id reachable.
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from talentloom.llm.common import batches_of, row_key, slices, stored, unused
+from talentloom.llm.common import batches_of, concluded, releasing, row_key, slices, stored, unused
 
 #: Words of neighbouring item words in a window.
 WINDOW = 10
@@ -168,7 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
         spelled = sorted({t for w, _ in wanted for t in w})
         numbers = {t: k for k, t in enumerate(spelled)}
         vocabulary = spark.sparkContext.broadcast(numbers | {"\0words": [t.decode() for t in spelled]})
-        index = stored(keyed.mapInArrow(_index(vocabulary, apart, id_type), (
+        index = stored(keyed.mapInArrow(releasing(_index(vocabulary, apart, id_type)), (
             f"segment long, term string, gaps array<long>, ids array<{kind}>, rows array<long>, sizes array<long>")))
         counts = dict(index.where("term is not null").groupBy("term").agg(F.sum(F.size("gaps")).alias("n")).collect())  # one row per test term
         groups = []
@@ -213,7 +213,8 @@ def hit_digest(found: DataFrame) -> DataFrame:
 def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a hit, all columns."""
     key = unused(docs, "row_key")
-    hit = contamination(docs, benchmark, window, None, id_col, text_col).where(F.size("spans") > 0).select(F.col("row").alias(key)).distinct()
+    hit = concluded(docs.sparkSession, lambda: contamination(docs, benchmark, window, None, id_col, text_col).where(F.size("spans") > 0)
+                    .select(F.col("row").alias(key)).distinct())
     return docs.withColumn(key, row_key(id_col, text_col)).join(hit, key, "left_anti").drop(key)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talentloom.llm.common import WordHashes, components, mixed, row_key, slices, stored, unused
+from talentloom.llm.common import components, concluded, mixed, releasing, row_key, slices, stored, unused, WordHashes
 
 #: Values in a sketch.
 KEEP = 48
@@ -155,19 +155,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     a key of id and text; ``chosen`` is true on the one document of a component that stays (least id, then least key), the same on rows
     repeated whole. Null ids are kept as they are and are smaller than none. Other columns are not read; an empty table gives no rows.
     """
+    return concluded(docs.sparkSession, lambda: _grouped(docs, words, percent, id_col, text_col))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", row_key("id", "text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    sketched = stored(keyed.mapInArrow(_sketches(words), f"id {kind}, row long, n long, key binary, sketch array<long>"))
+    sketched = stored(keyed.mapInArrow(releasing(_sketches(words)), f"id {kind}, row long, n long, key binary, sketch array<long>"))
     classes = sketched.where("n > 0").groupBy("key").agg(F.min("row").alias("rep"))
     reps = stored(sketched.join(classes.select(F.col("rep").alias("row")).distinct(), "row", "left_semi").where("n > 0")
                   .select("row", "n", "sketch").dropDuplicates(["row"]))
 
-    runs = reps.mapInArrow(_runs(percent), "row long, n long, value long")
+    runs = reps.mapInArrow(releasing(_runs(percent)), "row long, n long, value long")
     often = runs.groupBy("value").agg(F.count("*").alias("times")).where("times > 1").select("value")
     lists = stored(runs.join(often, "value"))
 
     sets = stored(keyed.select("text", "row").join(lists.select("row").distinct(), "row", "left_semi").mapInArrow(
-        _full_sets(words), "row long, members array<long>"))
+        releasing(_full_sets(words)), "row long, members array<long>"))
 
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) / 2))
     banded = lists.join(lists.groupBy("row").agg(F.count("*").alias("degree")), "row").withColumn("band", band)
