@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from talentloom.llm.common import mixed, slices
+from talentloom.llm.common import mixed, releasing, slices
 
 #: Most labelled documents of a language that the model is fitted on, and words in the stretches taken of each.
 PER_LANGUAGE, STRETCHES = 1000, (3, 8, 30)
@@ -149,7 +149,7 @@ def train(labelled: DataFrame) -> Model:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
     sample = (known.withColumn("draw", draw).where(F.col("draw") <= F.element_at(share, F.col("lang"))).withColumn("rank", rank)
               .where(F.col("rank") <= PER_LANGUAGE).select("id", "text", "lang"))
-    got = sample.select("text", "lang").mapInArrow(_examples, "ids array<int>, lang string").toArrow()  # bounded by the sample
+    got = sample.select("text", "lang").mapInArrow(releasing(_examples), "ids array<int>, lang string").toArrow()  # bounded by the sample
     languages = sorted(counts)
     ids = got.column("ids").combine_chunks()
     ids = ids if isinstance(ids, pa.ListArray) else ids.chunk(0) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
@@ -163,7 +163,7 @@ def train(labelled: DataFrame) -> Model:
 
 
 #: Words with their scores that a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def _predictions(model, text_name: str, names: list[str]):
@@ -210,7 +210,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     names = [f"c{k}" for k in range(len(docs.columns))]
     schema = ", ".join(f"{n} {t.dataType.simpleString()}" for n, t in zip(names, docs.schema.fields))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets times languages
-    return docs.toDF(*names).mapInArrow(_predictions(shared, names[docs.columns.index(text_col)], names), f"{schema}, lang_pred string, score double, rejected boolean")
+    return docs.toDF(*names).mapInArrow(releasing(_predictions(shared, names[docs.columns.index(text_col)], names)), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(id_column: Column, folds: int = 3, fold: int = 1) -> Column:

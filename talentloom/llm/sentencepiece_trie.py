@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from talentloom.llm.common import slices
+from talentloom.llm.common import keeps, releasing, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -144,15 +144,17 @@ def cutter(vocabulary: Vocabulary) -> re.Pattern:
     return re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
+_OWNER = "sentencepiece"
 _WORKER: dict[int, tuple[Encoder, dict[str, bytes]]] = {}
 
 
 def _memory(vocabulary: Vocabulary) -> tuple[Encoder, dict[str, bytes]]:
-    """Encoder and known words of this worker, kept from task to task while the vocabulary stays."""
+    """Encoder and known words of this worker; the encoder stays from task to task while the vocabulary does, the words of a task go with it."""
     key = hash((vocabulary.kind, tuple(vocabulary.pieces), tuple(vocabulary.scores)))
     if key not in _WORKER:
         _WORKER.clear()
         _WORKER[key] = Encoder(vocabulary), {}
+        keeps(_OWNER, _WORKER.clear)
     return _WORKER[key]
 
 
@@ -185,6 +187,7 @@ def _encoded(shared, text_name: str, names: list[str]):
                     end += 1
                 yield rows(batch.slice(at, end - at), words)
                 at = end
+        known.clear()
     return run
 
 
@@ -193,7 +196,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") ->
     names = [f"c{k}" for k in range(len(docs.columns))]
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return docs.toDF(*names).mapInArrow(_encoded(shared, names[docs.columns.index(text_col)], names), f"{schema}, ids array<int>")
+    return docs.toDF(*names).mapInArrow(releasing(_encoded(shared, names[docs.columns.index(text_col)], names), _OWNER), f"{schema}, ids array<int>")
 
 
 def spell(ids, table: list[bytes]) -> str:
@@ -217,7 +220,7 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The rows with ``decoded`` last: the text of their ``ids``, null for null."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    return rows.mapInArrow(_decoded(shared, rows.columns), f"{schema}, decoded string")
+    return rows.mapInArrow(releasing(_decoded(shared, rows.columns), _OWNER), f"{schema}, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,8 +228,11 @@ def round_trip(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_
 
     Texts that hold the mark itself (U+2581) spell a space in its place.
     """
-    vocabulary = Vocabulary.load(path)
-    rows = decoded(encoded(docs.select(id_col, text_col), vocabulary, text_col), vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    encode, decode = _encoded(shared, "c1", ["c0", "c1"]), _decoded(shared, ["c0", "c1", "ids"])
+    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, text_col)]
+    rows = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1")).mapInArrow(  # both ways in one worker
+        releasing(lambda batches: decode(encode(batches)), _OWNER), f"c0 {kinds[0]}, c1 {kinds[1]}, ids array<int>, decoded string")
     return rows.select(F.col("c0").alias("doc_id"), "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
                        F.col("decoded").eqNullSafe(F.col("c1")).alias("round_trip"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talentloom.llm.common import batches_of, mixed, row_key, slices
+from talentloom.llm.common import batches_of, mixed, releasing, row_key, slices
 
 #: A repeated string has so many bytes.
 LENGTH = 200
@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
     keyed = base.withColumn("row", row_key("id", "text"))
-    seen = keyed.select("text", "row").mapInArrow(anchor_rows(length), "anchor long, place long, row long")
+    seen = keyed.select("text", "row").mapInArrow(releasing(anchor_rows(length)), "anchor long, place long, row long")
     repeated = seen.groupBy("anchor").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi").select("anchor")
     hits = seen.select("anchor", "row").join(repeated, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
 
@@ -354,18 +354,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     first = members.where("row = rep").join(hits, "row").select("row", "anchors")
     texts = keyed.select("id", "text", "row")
     cut = (texts.join(first, "row", "left").select("id", "text", "row", "anchors").mapInArrow(
-        place_rows(length), "anchor long, mark long, row long, start long, count long"))
+        releasing(place_rows(length)), "anchor long, mark long, row long, start long, count long"))
     different = cut.groupBy("anchor", "mark").agg(F.count("*").alias("weight"), F.min("row").alias("row"), F.max("count").alias("count"))
     groups = different.groupBy("anchor").agg(F.count("*").alias("n"), F.max("weight").alias("top"))
     weighed = different.join(groups, "anchor")
     wanted = (weighed.where("n > 1 or weight = 1").groupBy("row").agg(
         F.collect_list(F.struct("anchor", "mark", "weight", (F.col("n") > GROUP).alias("crowded"))).alias("wanted")))
-    snippets = texts.join(wanted, "row", "left").select("id", "text", "row", "wanted").mapInArrow(
-        snippet_rows(length), "anchor long, mark long, weight long, crowded boolean, snippet binary")
+    asked = texts.join(wanted, "row", "left").select("id", "text", "row", "wanted")
+    snippets = asked.mapInArrow(releasing(snippet_rows(length)), "anchor long, mark long, weight long, crowded boolean, snippet binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     indexed = (snippets.where("not crowded").repartition(parts, "anchor").sortWithinPartitions("anchor", "mark").mapInArrow(
-        index_rows(length), "anchor long, mark long, low long, high long"))
-    singles = snippets.where("crowded").mapInArrow(single_rows(length), "anchor long, mark long, low long, gram binary, weight long")
+        releasing(index_rows(length)), "anchor long, mark long, low long, high long"))
+    cut_out, one_by_one = snippet_rows(length), single_rows(length)
+    singles = asked.mapInArrow(releasing(lambda batches: one_by_one(b.filter(b.column("crowded")) for b in cut_out(batches))),  # both in one worker
+                               "anchor long, mark long, low long, gram binary, weight long")
     often = singles.groupBy("gram").agg(F.sum("weight").alias("times")).where("times > 1").select("gram")
     counted = singles.join(often, "gram").select("anchor", "mark", "low", (F.col("low") + 1).alias("high"))
     alone = weighed.where("n = 1 and weight > 1").select("anchor", "mark", F.lit(0).cast("long").alias("low"), F.col("count").alias("high"))
@@ -376,7 +378,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     facts = members.join(marks, "row", "left").where("whole or marks is not null").select("row", "whole", "marks")
     kinds = "".join(f", _{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     return keyed.join(facts, "row", "left").mapInArrow(
-        kept_rows(length, [f"_{c}" for c in carry], letters),
+        releasing(kept_rows(length, [f"_{c}" for c in carry], letters)),
         f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<low:long,high:long>>, kept binary{kinds}")
 
 
