@@ -375,7 +375,6 @@ def structure_resumes(df: DataFrame, as_of: str, text: str = "raw_text") -> Data
         _or_null(F.array_join(ls.lines_in(F.col("lines"), "summary"), " ")).alias("text"), level.alias("careerLevel"),
         best_industry(F.col("_fit")).alias("industryFocus"), F.col("_years").alias("yearsOfExperience"),
     )
-    doc = F.struct(
-        "personalInfo", summary.alias("summary"), "experience", "education", "skills", "certifications"
-    ).cast(schemas.DOC)
+    parts = {"summary": summary} | {k: F.col(k) for k in ("personalInfo", "experience", "education", "skills", "certifications")}
+    doc = F.struct(*[parts[f.name].cast(f.dataType).alias(f.name) for f in schemas.DOC.fields])  # cast by field: a query that asks for some reads those
     return out.withColumn("structured_data", doc).select(*kept, "structured_data", F.col("_fit").alias("industry_fit"), "words")

@@ -170,38 +170,66 @@ _IS_HEADING = np.array([s in HEADINGS for s in STATES])
 
 
 def word_list(text: Column) -> Column:
-    """Words of a text in lower case, without points and apostrophes."""
-    return F.split(F.regexp_replace(F.lower(text), "[.'’]", ""), r"[^\p{L}]+")
+    """Words of a text in lower case, without points and apostrophes.
+
+    What parts words becomes one blank first: a pattern of ``split`` would be compiled anew for every text.
+    """
+    return F.split(F.regexp_replace(F.translate(F.lower(text), ".'’", ""), r"[^\p{L}]+", " "), " ")
 
 
 def has_word(text: Column, names: tuple[str, ...]) -> Column:
     return F.exists(word_list(text), lambda w: w.isin(*names))
 
 
+#: Strings one of which every hit of a pattern holds: other lines are not searched by it.
+NEEDLES = {
+    "place": (",",), "list": (",", ";", "|", "•"), "label": (":",),
+    "parts": ("|", "•", "·", "-", "–", "—", "\t", "@", "at", "   ", "\x0b", "\f", "\r", "\n"),
+    "span": ("-", "–", "—", "to", "until"),
+}
+_ANY_HEADING = rf"(?i)^(?:{'|'.join(x for h in HEADINGS for x in rules.HEADINGS[h.removeprefix('head_')])})\s*:?$"
+_ANY_WORD = tuple(dict.fromkeys(w for names in WORDS.values() for w in names))
+
+
+def _holds_one(line: Column, needles: tuple[str, ...]) -> Column:
+    return functools.reduce(lambda a, b: a | b, [line.contains(x) for x in needles])
+
+
 def line_bits(line: Column) -> Column:
     """The evidence of a trimmed line as one number."""
+    none = F.lit(0).cast("long")
+
     def bit(name: str, holds: Column) -> Column:
-        return F.when(holds, F.lit(1 << _BITS[name]).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.when(holds, F.lit(1 << _BITS[name]).cast("long")).otherwise(none)
 
     def both(a: Column, b: Column) -> Column:
         return a.bitwiseOR(b)
 
+    def found(name: str, pattern: str) -> Column:
+        hit = line.rlike(pattern)
+        return bit(name, _holds_one(line, NEEDLES[name]) & hit if name in NEEDLES else hit)
+
     def of_words(words: Column) -> Column:
-        found = functools.reduce(both, [bit(name, F.exists(words, lambda w: w.isin(*names))) for name, names in WORDS.items()])
+        # one pass leaves the few words that are in any list
+        shown = let(F.filter(words, lambda w: w.isin(*_ANY_WORD)), lambda held: F.when(F.size(held) > 0, functools.reduce(
+            both, [bit(name, F.exists(held, lambda w: w.isin(*names))) for name, names in WORDS.items()])).otherwise(none))
         opens = bit("degree_word", F.get(words, F.lit(0)).isin(*rules.SHORT_DEGREES))
-        return found.bitwiseOR(opens)
+        return shown.bitwiseOR(opens)
 
     def of_length(n: Column) -> Column:
+        ends = _holds_one(line, (".", "!", "?")) & line.rlike("[.!?]$")
         stops = line.rlike(r"\p{L}{2}[.!?]$") & ~line.rlike(r"(?:Inc|Ltd|Corp|Co|LLC|Jr|Sr)\.$")
-        return bit("sentence", (n >= 12) | ((n >= 3) & stops) | ((n >= 5) & line.rlike("[.!?]$"))).bitwiseOR(bit("short", n <= 6))
+        return bit("sentence", (n >= 12) | (ends & (((n >= 3) & stops) | (n >= 5)))).bitwiseOR(bit("short", n <= 6))
 
-    dated = functools.reduce(both, [bit("span", line.rlike(SPAN)), bit("only_dates", line.rlike(ONLY_DATES)), bit("year", line.rlike(r"(?:^|\D)(?:19|20)\d\d(?:\D|$)"))])
+    headings = [f"is_{h}" for h in HEADINGS]
+    titled = functools.reduce(both, [bit(name, line.rlike(PATTERNS[name])) for name in headings])
+    dated = functools.reduce(both, [found("span", SPAN), bit("only_dates", line.rlike(ONLY_DATES)), bit("year", line.rlike(r"(?:^|\D)(?:19|20)\d\d(?:\D|$)"))])
     reach = (line.contains("@") & line.rlike(rules.EMAIL_PATTERN)) | line.contains("http") | line.contains("www.") | line.contains("linkedin.com") | line.contains("github.com") | (
         line.rlike(r"\d\d.*\d\d") & line.rlike(rules.PHONE_PATTERN))
     shown = functools.reduce(both, [
-        *[bit(name, line.rlike(pattern)) for name, pattern in PATTERNS.items()],
+        *[found(name, pattern) for name, pattern in PATTERNS.items() if name not in headings], F.when(line.rlike(_ANY_HEADING), titled).otherwise(none),
         let(word_list(line), of_words), let(F.size(F.split(line, " ")), of_length), bit("contact", reach),
-        F.when(line.rlike(r"(?:19|20)\d\d|^\("), dated).otherwise(F.lit(0).cast("long"))])
+        F.when((line.contains("19") | line.contains("20") | line.startswith("(")) & line.rlike(r"(?:19|20)\d\d|^\("), dated).otherwise(none)])
     return F.when(line == "", F.lit(1).cast("long")).when(line.rlike(RULE), F.lit(2).cast("long")).otherwise(shown)
 
 

@@ -232,3 +232,49 @@ def test_a_text_is_read_alike_in_any_batch():
         for x, y in zip(whole, alone):
             assert x[at : at + len(b)].tolist() == y.tolist()
         at += len(b)
+
+
+def plain_bits(line):
+    """The evidence of a line with every pattern searched in every line."""
+    ls = line_states
+    held = {name: line.rlike(pattern) for name, pattern in ls.PATTERNS.items()}
+    words = F.split(F.regexp_replace(F.lower(line), "[.'’]", ""), r"[^\p{L}]+")
+    held |= {name: F.arrays_overlap(words, F.array(*[F.lit(x) for x in names])) for name, names in ls.WORDS.items()}
+    held["degree_word"] = held["degree_word"] | F.get(words, F.lit(0)).isin(*ls.rules.SHORT_DEGREES)
+    n = F.size(F.split(line, " "))
+    stops = line.rlike(r"\p{L}{2}[.!?]$") & ~line.rlike(r"(?:Inc|Ltd|Corp|Co|LLC|Jr|Sr)\.$")
+    held |= {"sentence": (n >= 12) | ((n >= 3) & stops) | ((n >= 5) & line.rlike("[.!?]$")), "short": n <= 6}
+    dated = line.rlike(r"(?:19|20)\d\d|^\(")
+    held |= {"span": dated & line.rlike(ls.SPAN), "only_dates": dated & line.rlike(ls.ONLY_DATES), "year": dated & line.rlike(r"(?:^|\D)(?:19|20)\d\d(?:\D|$)")}
+    links = line.contains("http") | line.contains("www.") | line.contains("linkedin.com") | line.contains("github.com")
+    held["contact"] = line.rlike(ls.rules.EMAIL_PATTERN) | links | (line.rlike(r"\d\d.*\d\d") & line.rlike(ls.rules.PHONE_PATTERN))
+    bits = sum((F.when(h, F.lit(1 << ls._BITS[name])).otherwise(F.lit(0)).cast("long") for name, h in held.items()), F.lit(0).cast("long"))
+    return F.when(line == "", F.lit(1)).when(line.rlike(ls.RULE), F.lit(2)).otherwise(bits).cast("long")
+
+
+def test_guarded_evidence_is_that_of_all_patterns(spark):
+    r = random.Random(1)
+    atoms = [*" \t\x0b\f\x85 .,;:|•·-–—!?()@+'’*", "  ", "   ", " at ", "at", "to", " until ", "2019", "19", "20", "1987-05", "Jan ", "present", "Senior", "BSc", "B.A.", "ba",
+             "Inc.", "Ltd.", "Experience", "work history", "EDUCATION", "Skills:", "école", "ÉCOLE", "İ", "ß", "certified", "acca", "manager", "x", "Yz", "555 210-4433", "http",
+             "a@b.example.org", "GPA: 3.5", "university of", "---", "B"]
+    lines = ["".join(r.choice(atoms) for _ in range(r.randrange(9))).strip(" \t\x0b\f") for _ in range(4000)]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").repartition(8)
+    got = rows.select("line", F.transform(F.array("line"), line_states.line_bits)[0].alias("got"), plain_bits(F.col("line")).alias("want"))
+    assert [(x.line, x.got, x.want) for x in got.where("got <> want").collect()] == []
+
+
+def test_texts_of_one_row_group_are_dealt_out(spark, tmp_path):
+    from talentloom.plans.views import Tables
+
+    spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(0, 0, "N")], "n_nationkey int, n_regionkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(1, "C", 0, "TRADE", 1.0)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.range(400).selectExpr("id as o_orderkey", "1L as o_custkey", "'O' as o_orderstatus", "10D as o_totalprice", "timestamp '2020-01-01' as o_orderdate", "'1-URGENT' as o_orderpriority")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for texts in (Tables(spark, str(tmp_path)).resume_texts_v(), Tables(spark, str(tmp_path)).resume_layouts_v()):
+            per_task = [x["count"] for x in texts.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(per_task) == 400 and len(per_task) == 8 and max(per_task) < 100
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
