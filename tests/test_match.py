@@ -161,3 +161,22 @@ def test_salary_and_career_blocks(spark, resumes):
     other = out["r2"].ai_enhancements  # an entry-level record: only the widest group has enough rows
     assert other.salaryEstimate.comments == "Based on 14 comparable careers." and other.careerProgression is None
     assert out["r1"].processing_status == "completed" and set(out) == {"r1", "r2"}
+
+
+def test_skills_of_a_pair_meet_as_lists(spark, monkeypatch):
+    """Nothing is multiplied by the skills of a job unless a candidate has very many; both ways, null keys and repeated pairs give the same."""
+    have = [(1, "a"), (1, "a"), (1, "b"), (1, "d"), (2, "c"), (2, None), (None, "a"), *[(3, s) for s in "abcdef"]]
+    needs = [(7, "b", "required"), (7, "a", "preferred"), (7, "x", "required"), (8, "c", "required"), (None, "a", "required")]
+    asked = [(1, 7, "p"), (1, 7, "q"), (1, 7, "q"), (2, 7, "p"), (2, 8, "p"), (3, 7, "p"), (3, 8, "p"), (4, 7, "p"), (None, 7, "p"), (1, None, "p"), (1, 9, "p")]
+    skills = spark.createDataFrame(have, "resume_id int, skill string").repartition(3)
+    jobs = spark.createDataFrame(needs, "job_id int, skill string, need string").repartition(3)
+    pairs = spark.createDataFrame(asked, "resume_id int, job_id int, note string").repartition(3)
+    held, named = ({k: {s for j, s, *_ in rows if j == k and s is not None} for k in {j for j, *_ in rows if j is not None}} for rows in (have, needs))
+    want = sorted(((r, j, n, sorted(held.get(r, set()) & named.get(j, set()))) for r, j, n in asked), key=str)
+    for most, explodes in ((1000, False), (2, True), (0, True)):
+        monkeypatch.setattr(match, "LISTED", most)
+        out = match.attach_skills(pairs, skills, jobs)
+        assert sorted(((x.resume_id, x.job_id, x.note, x.have) for x in out.collect()), key=str) == want, most
+        assert ("Generate explode" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]) == explodes, most
+        hits = {(x.resume_id, x.job_id): (x.required_hit, x.preferred_hit) for x in match.match_skills(skills, jobs, pairs).collect()}
+        assert hits == {(1, 7): (1, 1), (2, 7): (0, 0), (2, 8): (1, 0), (3, 7): (1, 1), (3, 8): (1, 0), (4, 7): (0, 0), (None, 7): (0, 0)}
