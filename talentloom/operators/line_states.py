@@ -6,22 +6,23 @@ degrees, its place in the text. States follow each other more or less readily. T
 programming over the lines, so a line without evidence of its own is read by its neighbours, and a text needs no rules, no usual headings, and no blank
 lines for its entries to be told apart.
 
-Evidence is gathered by column expressions, one number of bits per line; the chain is found by an Arrow function over batches of texts, all texts of a batch one
-line further at a time. Texts stay in the JVM.
+An Arrow function takes batches of texts. Evidence is one number of bits per line, gathered for all lines of a batch at once, one pattern after the other
+(``line_bits`` is the same evidence of one line as a column expression); the chain is found for all texts of a batch one line further at a time.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, ByteType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, ByteType, IntegerType, StringType, StructField, StructType
 
 from talentloom import rules
-from talentloom.functions.text import strip_ws
 from talentloom.functions.values import let
 
 HEADINGS = ("head_summary", "head_work", "head_school", "head_skill", "head_cert", "head_other")
@@ -164,6 +165,7 @@ def _model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _WEIGHTS, _STEPS, _START = _model()
+_STEPS_TO = np.ascontiguousarray(_STEPS.T)
 _HEAD_BIT = np.array([1 << HEADS.index(s) if s in HEADS else 0 for s in STATES])
 _SECTION_BITS = np.array([sum(1 << HEADS.index(h) for h in HEADS if any(h in body and s in body for body in BODIES.values())) for s in STATES])
 _IS_HEADING = np.array([s in HEADINGS for s in STATES])
@@ -233,6 +235,87 @@ def line_bits(line: Column) -> Column:
     return F.when(line == "", F.lit(1).cast("long")).when(line.rlike(RULE), F.lit(2).cast("long")).otherwise(shown)
 
 
+def _re2(pattern: str) -> str:
+    """A pattern of Java for trimmed lines in the syntax of RE2.
+
+    White space is of six kinds, the end of a line may be followed by one line end of Unicode, a point stands for none of these. ``(?!\\d)`` goes: where the
+    evidence has it, what follows is no digit anyway, or a year alone is found as well. Case is left to the caller.
+    """
+    return (pattern.removeprefix("(?i)").replace(r"\s", r"[ \t\n\x0B\f\r]").replace(r"\S", r"[^ \t\n\x0B\f\r]").replace(r"(?!\d)", "").replace(".*", r"[^\x{85}\x{2028}\x{2029}]*")
+            .replace("$", r"[\x{85}\x{2028}\x{2029}]?\z"))
+
+
+def _words_of(names: tuple[str, ...]) -> str:
+    return rf"(?:^|[^\p{{L}}])(?:{'|'.join(names)})(?:[^\p{{L}}]|\z)"
+
+
+def _hits(lines: pa.Array, pattern: str, among: np.ndarray | None = None) -> np.ndarray:
+    """Which lines hold a hit of an RE2 pattern; only those in ``among`` are searched."""
+    if among is None:
+        return pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(lines), bool)
+    places = np.flatnonzero(among)
+    if len(places):
+        out[places] = pc.match_substring_regex(lines.take(pa.array(places)), pattern).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _hold(lines: pa.Array, *needles: str) -> np.ndarray:
+    return _hits(lines, "|".join(re.escape(x) for x in needles))
+
+
+def bits_of(lines: pa.Array) -> np.ndarray:
+    """The evidence of trimmed lines, one number each: ``line_bits`` for all lines of a batch, one pattern after the other."""
+    out = np.ones(len(lines), np.int64)
+    solid = np.flatnonzero(pc.binary_length(lines).to_numpy(zero_copy_only=False) > 0)
+    if not len(solid):
+        return out
+    lines = lines.take(pa.array(solid))
+    ruled = _hits(lines, _re2(RULE), pc.starts_with(lines, "-").to_numpy(zero_copy_only=False) | pc.starts_with(lines, "=").to_numpy(zero_copy_only=False)
+                  | pc.starts_with(lines, "_").to_numpy(zero_copy_only=False))
+    out[solid[ruled]] = 2
+    solid, lines = solid[~ruled], lines.filter(pa.array(~ruled))
+    bits = np.zeros(len(solid), np.int64)
+
+    def add(name: str, holds: np.ndarray) -> None:
+        np.bitwise_or(bits, 1 << _BITS[name], out=bits, where=holds)
+
+    ended = _hits(lines, _re2("[.!?]$"))
+    for name, pattern in PATTERNS.items():
+        if name.startswith("is_"):
+            continue
+        among = _hold(lines, *NEEDLES[name]) if name in NEEDLES else None
+        if name == "list":
+            pattern, among = pattern.replace("(?!.*[.!?]$)", ""), among & ~_hits(lines, _re2("^.*[.!?]$"), ended)
+        add(name, _hits(lines, _re2(pattern), among))
+    small = pc.ascii_lower(lines)
+    titled = _hits(small, _re2(_ANY_HEADING))
+    for heading in HEADINGS:
+        add(f"is_{heading}", _hits(small, _re2(PATTERNS[f"is_{heading}"]), titled))
+
+    # capitals of two kinds that a plain folding of case would take for others
+    low = pc.utf8_lower(pc.replace_substring(lines, "İ", "i\u0307"))
+    for mark in ".'’":
+        low = pc.replace_substring(low, mark, "")
+    held = _hits(low, _words_of(_ANY_WORD))
+    for name, names in WORDS.items():
+        add(name, _hits(low, _words_of(names), held))
+    add("degree_word", _hits(low, rf"^(?:{'|'.join(rules.SHORT_DEGREES)})(?:[^\p{{L}}]|\z)"))
+
+    n = pc.count_substring(lines, " ").to_numpy(zero_copy_only=False) + 1
+    stops = _hits(lines, _re2(r"\p{L}{2}[.!?]$"), ended & (n >= 3)) & ~_hits(lines, _re2(r"(?:Inc|Ltd|Corp|Co|LLC|Jr|Sr)\.$"), ended & (n >= 3))
+    add("sentence", (n >= 12) | stops | (ended & (n >= 5)))
+    add("short", n <= 6)
+    dated = _hits(lines, r"(?:19|20)\d\d|^\(")
+    add("span", _hits(lines, _re2(SPAN), dated & _hold(lines, *NEEDLES["span"])))
+    add("only_dates", _hits(lines, _re2(ONLY_DATES), dated))
+    add("year", _hits(lines, r"(?:^|\D)(?:19|20)\d\d(?:\D|\z)", dated))
+    add("contact", _hits(lines, rules.EMAIL_PATTERN, _hold(lines, "@")) | _hold(lines, "http", "www.", "linkedin.com", "github.com")
+        | _hits(lines, rules.PHONE_PATTERN, _hits(lines, _re2(r"\d\d.*\d\d"))))
+    out[solid] = bits
+    return out
+
+
 # ---- the chain ---------------------------------------------------------------------------------------------------------------------------------------
 
 def _shown(bits: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,10 +350,10 @@ def _chains(evidence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     back = [None]
     for t in range(1, steps):
         n = alive[t]
-        ways = score[:n, :, None] + _STEPS
-        best = ways.argmax(axis=1)
+        ways = score[:n, None, :] + _STEPS_TO
+        best = ways.argmax(axis=2)
         back.append(best.astype(np.int8))
-        score[:n] = np.take_along_axis(ways, best[:, None, :], 1)[:, 0] + evidence[starts[:n] + t]
+        score[:n] = np.take_along_axis(ways, best[:, :, None], 2)[:, :, 0] + evidence[starts[:n] + t]
     now = score.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         n = alive[t]
@@ -299,8 +382,8 @@ def _entries(states: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Lines whose chains are found at once; memory is some hundred bytes a line and state.
-_LINES_AT_ONCE = 100_000
+#: Lines whose chains are found at once; memory is some hundred bytes a line and state, and what one step reads should stay in a core's cache.
+_LINES_AT_ONCE = 10_000
 
 
 def chain_of(bits: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -341,13 +424,16 @@ def chain_of(bits: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return state, entry, heading, piece
 
 
-_KIND = ArrayType(StructType([StructField("state", ByteType()), *[StructField(n, IntegerType()) for n in ("entry", "heading", "piece")]]))
+_LINES = ArrayType(StructType([StructField("line", StringType()), StructField("state", ByteType()), *[StructField(n, IntegerType()) for n in ("entry", "heading", "piece")]]))
 
 
-def _chain(bits: pa.Array) -> pa.Array:
-    lengths = bits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    found = chain_of(bits.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths)
-    fields = pa.StructArray.from_arrays([pa.array(a) for a in found], names=["state", "entry", "heading", "piece"])
+def _read(texts: pa.Array) -> pa.Array:
+    whole = pc.replace_substring(pc.replace_substring(texts, "\r\n", "\n"), "\r", "\n")
+    split = pc.split_pattern(whole, "\n")
+    lengths = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    lines = pc.ascii_trim(split.flatten(), characters=rules.WHITESPACE)
+    found = chain_of(bits_of(lines), lengths)
+    fields = pa.StructArray.from_arrays([lines, *[pa.array(a) for a in found]], names=["line", "state", "entry", "heading", "piece"])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), fields)
 
 
@@ -357,15 +443,10 @@ def read_lines(df: DataFrame, text: str = "raw_text", to: str = "lines") -> Data
     ``state`` is a number into ``STATES`` or ``ASIDE``; ``entry`` grows by one with every entry; ``heading`` is the place of the heading above, -1 if there
     is none; ``piece`` is the line's own place, or that of the bullet it goes on with.
     """
-    whole = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n?", "\n")
-    split = df.withColumn("_split", F.transform(F.split(whole, "\n"), strip_ws))
-    # The draw (always below one) keeps the planner from inlining the bits: an Arrow function over nested lambdas, or inside one, cannot be planned.
-    shown = split.withColumn("_bits", F.when(F.floor(F.rand(0)) == 0, F.transform("_split", line_bits)))
-    known = shown.withColumn("_chain", arrow_udf(_chain, _KIND).asNondeterministic()(F.col("_bits")))
-    zipped = F.transform(F.arrays_zip("_split", "_chain"), lambda z: F.struct(
-        z["_split"].alias("line"), z["_chain"]["state"].alias("state"), z["_chain"]["entry"].alias("entry"),
-        z["_chain"]["heading"].alias("heading"), z["_chain"]["piece"].alias("piece")))
-    return known.withColumn(to, zipped).drop("_split", "_bits", "_chain")
+    # The draw (always below one) keeps the planner from inlining the text: an Arrow function over nested lambdas, or inside one, cannot be planned.
+    whole = F.make_valid_utf8(F.coalesce(F.col(text), F.lit("")))
+    given = df.withColumn("_whole", F.when(F.floor(F.rand(0)) == 0, whole))
+    return given.withColumn(to, arrow_udf(_read, _LINES).asNondeterministic()(F.col("_whole"))).drop("_whole")
 
 
 def in_states(line: Column, *names: str) -> Column:

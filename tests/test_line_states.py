@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,29 @@ def test_texts_of_one_row_group_are_dealt_out(spark, tmp_path):
             assert sum(per_task) == 400 and len(per_task) == 8 and max(per_task) < 100
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_evidence_of_a_batch_is_that_of_each_line(spark):
+    r = random.Random(2)
+    atoms = [*" \t\x0b\f\x85  .,;:|•·-–—!?()@+'’*=_ſK", "  ", "   ", " at ", "at", "to", " until ", "2019", "19", "20", "1987-05", "2001-02-03", "Jan ", "3/", "present", "Senior",
+             "BSc", "B.A.", "ba", "Inc.", "Ltd.", "Experience", "work history", "EDUCATION", "sKills", "Skills:", "skillſ", "école", "ÉCOLE", "İnc", "ß", "certified", "acca",
+             "manager", "x", "Yz", "555 210-4433", "http", "a@b.example.org", "GPA: 3.5", "university of", "---", "===", "B", "😀", "Ünal", "NW1 4AB", "Excel, SQL, x", "a" * 40, "Work. "]
+    lines = ["".join(r.choice(atoms) for _ in range(r.randrange(10))).strip(" \t\x0b\f") for _ in range(8000)]
+    want = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string").repartition(8).select("k", plain_bits(F.col("line")).alias("want")).collect()
+    got = line_states.bits_of(pa.array(lines, pa.string()))
+    assert [(lines[x.k], x.want, int(got[x.k])) for x in want if x.want != got[x.k]] == []
+    assert len(line_states.bits_of(pa.array([], pa.string()))) == 0 and line_states.bits_of(pa.array(["", "---", ""])).tolist() == [1, 2, 1]
+
+
+def test_lines_of_null_blank_and_odd_texts(spark):
+    texts = [None, "", "\r\n", " A \r B\n\x0bC\t\r\n", "x�y"]
+    rows = line_states.read_lines(spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, raw_text string")).collect()
+    assert {x.k: [y.line for y in x.lines] for x in rows} == {0: [""], 1: [""], 2: ["", ""], 3: ["A", "B", "C", ""], 4: ["x�y"]}
+    broken = line_states.read_lines(spark.sql("select cast(unhex('41FF420A43') as string) as raw_text")).select("lines.line").first()[0]
+    assert broken == ["A�B", "C"]
+
+
+def test_texts_cost_no_expression_for_each_line(spark):
+    """The evidence was a tree of some hundred nested column expressions, worked out line by line; it is one function over batches."""
+    rows = line_states.read_lines(spark.createDataFrame([("a",)], "raw_text string"))
+    assert "rlike" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
