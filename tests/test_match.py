@@ -180,3 +180,30 @@ def test_skills_of_a_pair_meet_as_lists(spark, monkeypatch):
         assert ("Generate explode" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]) == explodes, most
         hits = {(x.resume_id, x.job_id): (x.required_hit, x.preferred_hit) for x in match.match_skills(skills, jobs, pairs).collect()}
         assert hits == {(1, 7): (1, 1), (2, 7): (0, 0), (2, 8): (1, 0), (3, 7): (1, 1), (3, 8): (1, 0), (4, 7): (0, 0), (None, 7): (0, 0)}
+
+
+def test_lists_of_jobs_do_not_travel_with_pairs(spark, monkeypatch):
+    """Pairs took the texts of their job's skills to the candidate, and then the job row with its lists; now hashes, and the candidate row to the job."""
+    skills = spark.createDataFrame([(1, "a"), (1, "b"), (1, "cc"), (1, None), (2, "dd"), (None, "a")], "resume_id int, skill string")
+    needs = spark.createDataFrame([(7, "a", "required"), (7, "x", "required"), (7, "cc", "preferred"), (8, "yy", "preferred"), (8, None, "required")], "job_id int, skill string, need string")
+    pairs = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 7), (None, 7), (1, 9), (5, 8)], "resume_id int, job_id int")
+    people = spark.createDataFrame([(1, "p"), (2, "q")], "resume_id int, name string")
+    want = sorted([(1, 7, "p", 2, 1, 1, 1)] * 2 + [(1, 8, "p", 0, 0, 1, 0), (2, 7, "q", 2, 0, 1, 0), (None, 7, None, 2, 0, 1, 0), (5, 8, None, 0, 0, 1, 0)], key=str)
+
+    def hits():
+        joined = match.join_pairs(match.attach_skills(pairs, skills, needs), people, match.job_lists(needs))
+        rows = match.skill_hits(joined).select("resume_id", "job_id", "name", "required_n", "required_hit", "preferred_n", "preferred_hit").collect()
+        return joined, sorted((tuple(x) for x in rows), key=str)
+
+    for most in (1000, 0):
+        monkeypatch.setattr(match, "LISTED", most)
+        joined, got = hits()
+        assert got == want, most
+        top = joined._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+        assert top.startswith(" Inner") and "job_id" in top.split("\n")[0]  # the wide rows of the jobs come last
+        assert match.attach_skills(pairs, skills, needs).where("resume_id = 1 and job_id = 7").first().have == ["a", "cc"]
+        with monkeypatch.context() as m:  # skills that share a hash change no count
+            m.setattr(match.F, "xxhash64", lambda c: F.length(c).cast("long"))
+            assert hits()[1] == want, most
+    plan = match.attach_skills(pairs, skills, needs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan
