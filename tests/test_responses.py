@@ -187,3 +187,15 @@ def test_a_text_is_parsed_once(spark):
 def test_nothing_can_end_the_text_early(spark):
     rows = ingest(spark, "career", '{"comments":"c"},"1"] {}', '{"comments":"c"}]', '{"comments":"c"', '{"comments":"c"},{"comments":"d"}', ' {"comments":"c"} ', '{"comments":"a\\u0022}"}')
     assert [r.valid for r in rows] == [False, False, False, False, True, True]
+
+
+def test_objects_are_looked_up_by_path_only_where_the_form_lacks_them(spark):
+    """Every object and list of an answer was looked up by its path again; now only what could not be read in its form."""
+    finding = {"category": "Age", "finding": "x", "suggestion": "y"}
+    rows = ingest(spark, "bias", {"findings": [finding]}, {"findings": {}}, {"findings": []}, {"findings": [1]}, {"findings": [finding, None]}, {"findings": "x"}, {"findings": [[finding]]})
+    assert [r.valid for r in rows] == [True, False, True, False, False, False, False]
+    rows = ingest(spark, "parse", NAME, {"personalInfo": []}, {"personalInfo": None}, {"personalInfo": {"name": []}}, {"skills": {"technical": {}}}, {"skills": 5}, {"summary": {}})
+    assert [r.valid for r in rows] == [True, False, True, False, False, False, True]
+    df = responses.parse_json(spark.createDataFrame([("{}",)], "response string"), "bias")
+    plan = df.select(responses._well_formed("bias", F.col("answer")))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN isnotnull(lambda" in plan and plan.index("CASE WHEN isnotnull(lambda") < plan.index("$.findings")
