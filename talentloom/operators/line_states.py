@@ -293,7 +293,7 @@ def bits_of(lines: pa.Array) -> np.ndarray:
     for heading in HEADINGS:
         add(f"is_{heading}", _hits(small, _re2(PATTERNS[f"is_{heading}"]), titled))
 
-    # capitals of two kinds that a plain folding of case would take for others
+    # in lower case this capital is two characters, an i and a combining point, which ends the word
     low = pc.utf8_lower(pc.replace_substring(lines, "İ", "i\u0307"))
     for mark in ".'’":
         low = pc.replace_substring(low, mark, "")
