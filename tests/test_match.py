@@ -207,3 +207,55 @@ def test_lists_of_jobs_do_not_travel_with_pairs(spark, monkeypatch):
             assert hits()[1] == want, most
     plan = match.attach_skills(pairs, skills, needs)._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" in plan
+
+
+def test_skill_texts_are_dealt_once(spark, tmp_path):
+    """Lists of a job went to its employer and back, and a job's and a candidate's texts were dealt by skill before they were dealt by key."""
+    from talentloom.plans.catalogue import match_queries
+    from talentloom.plans.views import Tables
+
+    tables = {
+        "region": ([(0, "ASIA")], "r_regionkey long, r_name string"),
+        "nation": ([(0, "CHINA", 0)], "n_nationkey long, n_name string, n_regionkey long"),
+        "supplier": ([(1, "S1", 0, 10.0), (2, "S2", 0, 20.0), (2, "S2", 0, 20.0), (None, "S3", 0, 1.0)], "s_suppkey long, s_name string, s_nationkey long, s_acctbal double"),
+        "customer": ([(1, "C1", "AUTO", 0, 5.0), (2, "C2", None, 0, None)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey long, c_acctbal double"),
+        "part": ([(1, "TIN", "Nut"), (2, "TIN", "Bolt"), (3, "tin", "nut"), (4, None, None)], "p_partkey long, p_type string, p_name string"),
+        "orders": ([(1, 1, "1995-01-01"), (2, 2, "1996-01-01"), (3, None, "1996-01-01")], "o_orderkey long, o_custkey long, o_orderdate string"),
+        "lineitem": ([(1, 1, 1, 30.0, "1995-02-01"), (1, 2, 1, 5.0, "1995-02-01"), (2, 3, 1, 7.0, "1995-02-01"), (2, 2, 2, 40.0, "1996-02-01"),
+                      (3, 1, 2, 40.0, "1996-02-01"), (2, 9, 2, 1.0, "1997-02-01"), (2, 1, None, 1.0, None)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_shipdate string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = Tables(spark, str(tmp_path))
+    first, second = 1000 + 5 * 12 + 2, 2000 + 6 * 12 + 2
+    jobs = sorted((r.job_id, r.required, r.preferred, r.job_state) for r in match_queries.jobs(t).collect())
+    assert jobs == [(first, ["tin nut"], ["tin bolt"], "ASIA"), *[(second, ["tin bolt", "tin nut"], [], "ASIA")] * 2]
+    have = {(r.resume_id, r.job_id): r.have for r in match_queries.asked(t).collect()}
+    assert have == {(1, first): ["tin bolt", "tin nut"], (2, first): ["tin bolt", "tin nut"], (2, second): ["tin bolt", "tin nut"], (None, second): [],
+                    (2, second + 12): [], (2, None): []}
+
+    def dealt(df, column):
+        """The keys by which rows with this column are dealt out."""
+        found = []
+
+        def walk(node):
+            names = [node.output().apply(i).name() for i in range(node.output().size())]
+            if node.nodeName() == "Exchange" and column in names:
+                found.append(node.outputPartitioning().toString().split("#")[0].split("(")[-1])
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+        walk(df._jdf.queryExecution().executedPlan())
+        return found
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(k, v)
+    try:
+        assert dealt(match_queries.jobs(t), "required") == [] and dealt(match_queries.jobs(t), "skill") == ["job_id"]
+        held = match._held_lists(t.resume_skills_v().select("resume_id", "skill"))
+        assert dealt(held, "skill") == ["resume_id"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
