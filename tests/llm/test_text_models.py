@@ -106,6 +106,17 @@ def test_usual_pairs_in_unusual_order_score_lower(spark):
     assert [(got[i]["n_words"], got[i]["n_backed_off"], round(got[i]["log_score"], 6)) for i, _ in rows] == [(n, k, round(s, 6)) for n, k, s in plain]
 
 
+def test_each_round_of_lengths_is_stored_before_the_next(spark, monkeypatch):
+    """Requests of all lengths lay on disk at once."""
+    steps, real = [], lm_score.stored
+    monkeypatch.setattr(lm_score, "stored", lambda df: steps.append(df.columns) or real(df))
+    texts = ["a b c d e", "a b c d f", "x a b c", "", None, "a a a a a a"]
+    got = {x["id"]: x for x in lm_score.backoff_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).collect()}
+    assert ["totals" in c for c in steps] == [True, True, True, False]
+    assert [(got[i]["n_words"], got[i]["n_backed_off"], round(got[i]["log_score"], 6)) for i in range(len(texts))] == [
+        (n, k, round(s, 6)) for n, k, s in backoff(texts, 4)]
+
+
 def random_text(r, n):
     return "".join(r.choice(" aab'st  \n\t.,1é日 re'll▁😀") for _ in range(n))
 
