@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from talentloom.llm.common import mixed, row_key, slices, stored
+from talentloom.llm.common import concluded, mixed, releasing, row_key, slices, stored
 
 #: By kind of subtree: pages of different main text on which a template stands at least, and its share of the unlike pages of the host.
 OUTSIDE, BLOCK, INSIDE = 0, 1, 2  # container outside an article or main, other element there, container inside
@@ -189,7 +189,8 @@ def _subtrees(batches):
             text = read.text()
             content, like, site = xxhash.xxh3_64_intdigest(text) - (1 << 63), likeness(text), xxhash.xxh3_64_intdigest(host) - (1 << 63)
             for digest, kind in [(None, None), *read.hashes]:  # a page without subtrees is a page of its site, too
-                for column, value in zip(out, (row, site, content, like, None if digest is None else of_site(host, digest, kind))):
+                subtree = digest is not None  # the min-hashes are kept with the page alone
+                for column, value in zip(out, (row, site, content, None if subtree else like, of_site(host, digest, kind) if subtree else None)):
                     column.append(value)
                 kinds.append(kind)
         yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.list_(pa.int64()) if k == 3 else pa.int64()) for k, x in enumerate(out)], pa.array(kinds, pa.int32())],
@@ -209,6 +210,23 @@ def _unlike(rows: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key).agg((F.count("*") / F.lit(LIKE)).alias("n"))
 
 
+def _templates(named: DataFrame) -> DataFrame:
+    """Rows (row, templates): the templates that stand on a page, from its key, host and html."""
+    trees = stored(named.select("row", "host", "html").mapInArrow(releasing(_subtrees), "row long, site long, content long, like array<long>, digest long, kind int"))
+    often = stored(trees.where("digest is not null").groupBy("digest", "content").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("pages"))
+                   .where(F.col("pages") >= min(least for least, _ in BARS.values())))
+    held = stored(trees.select("row", "site", "digest", "kind").join(often, "digest"))
+    whole = trees.where("digest is null")
+    unlike = _unlike(held.select("row", "digest").join(whole.select("row", "like").dropDuplicates(["row"]), "row"), "digest").withColumnRenamed("n", "unlike")
+    sites = _unlike(whole, "site").withColumnRenamed("n", "of_site")
+    found = held.select("digest", "site", "kind", "pages").distinct().join(unlike, "digest").join(sites, "site")
+    enough = F.lit(False)
+    for kind, (least, share) in BARS.items():
+        enough = enough | ((F.col("kind") == kind) & (F.col("pages") >= least) & (F.col("unlike") >= share * F.col("of_site")))
+    enough = enough & (F.col("unlike") >= UNLIKE * F.col("pages"))
+    return held.select("row", "digest").join(found.where(enough).select("digest"), "digest").groupBy("row").agg(F.collect_set("digest").alias("templates"))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (page_id, url, text, n_chars), one per page.
 
@@ -219,18 +237,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = read.withColumn("row", row_key("page_id", "url", "html"))
     named = keyed.withColumn("host", host)
-    trees = stored(named.select("row", "host", "html").mapInArrow(_subtrees, "row long, site long, content long, like array<long>, digest long, kind int"))
-    often = stored(trees.where("digest is not null").groupBy("digest", "content").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("pages"))
-                   .where(F.col("pages") >= min(least for least, _ in BARS.values())))
-    held = stored(trees.select("row", "site", "like", "digest", "kind").join(often, "digest"))
-    unlike = _unlike(held, "digest").withColumnRenamed("n", "unlike")
-    sites = _unlike(trees.where("digest is null"), "site").withColumnRenamed("n", "of_site")
-    found = held.select("digest", "site", "kind", "pages").distinct().join(unlike, "digest").join(sites, "site")
-    enough = F.lit(False)
-    for kind, (least, share) in BARS.items():
-        enough = enough | ((F.col("kind") == kind) & (F.col("pages") >= least) & (F.col("unlike") >= share * F.col("of_site")))
-    enough = enough & (F.col("unlike") >= UNLIKE * F.col("pages"))
-    mine = held.select("row", "digest").join(found.where(enough).select("digest"), "digest").groupBy("row").agg(F.collect_set("digest").alias("templates"))
+    # stored alone: its steps and shuffle files go before the pages are dealt out
+    mine = concluded(pages.sparkSession, lambda: _templates(named))
     kind = ", ".join(f"{c} {read.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    found = keyed.join(mine, "row", "left").withColumn("host", host).select("page_id", "url", "host", "html", "templates").mapInArrow(_texts, f"{kind}, text string")
+    found = keyed.join(mine, "row", "left").withColumn("host", host).select("page_id", "url", "host", "html", "templates").mapInArrow(releasing(_texts), f"{kind}, text string")
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -172,3 +172,21 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_steps_of_templates_go_before_pages_are_dealt_out(spark, monkeypatch):
+    """Min-hashes travelled with every subtree, and subtrees lay on disk while the pages were read again."""
+    from pathlib import Path
+
+    from talentloom.llm.common import shared_folder
+
+    steps, real = [], html_extract.stored
+    monkeypatch.setattr(html_extract, "stored", lambda df: steps.append(real(df)) or steps[-1])
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    pages = [(i, "http://a.org/x", f"<body><nav>all of it</nav><div>site one</div><p>{prose(i, 40)}</p></body>") for i in range(9)]
+    before = {x.name for x in folder.glob("talentloom-*")}
+    out = html_extract.main_text(spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string"))
+    assert len({x.name for x in folder.glob("talentloom-*")} - before) == 1
+    assert ["like" in x.columns for x in steps] == [True, False, False]
+    got = {x["page_id"]: x["text"] for x in out.collect()}
+    assert got == {i: " ".join(prose(i, 40).split()) for i, *_ in pages}
