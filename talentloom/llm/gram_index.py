@@ -14,6 +14,8 @@ character before or behind it were gone. So each word reads two lists, which hav
 their side. What stands in a list is checked by its distance.
 
 Long lists are split by a hash of the word, and a word that reads one reads every part.
+
+No side of a join is broadcast: rows of lists are made by a function and an explode, and Spark guesses their size from the words read, far too low.
 """
 
 from __future__ import annotations
@@ -243,7 +245,7 @@ def near_words(words: DataFrame) -> DataFrame:
     listed = rows(False).select("key", F.pmod(F.xxhash64("word"), "parts").alias("part"), F.col("word").alias("other"), F.col("n").alias("other_n"))
     asked = rows(True).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "word", "n")
     later = (F.char_length("other") > F.char_length("word")) | (F.col("word") < F.col("other"))
-    met = asked.join(listed, ["key", "part"]).where(later & (F.levenshtein("word", "other", 1) == 1))
+    met = asked.join(listed.hint("merge"), ["key", "part"]).where(later & (F.levenshtein("word", "other", 1) == 1))
     return met.groupBy("word", "other").agg(F.first("n").alias("n"), F.first("other_n").alias("other_n"))
 
 
@@ -254,7 +256,7 @@ def last_forms(forms: DataFrame) -> DataFrame:
     steps = stored(forms.select("word", F.col("form").alias("root")))
     while True:
         further = steps.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        now = stored(steps.join(further, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
+        now = stored(steps.join(further.hint("merge"), "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
         if now.where("_moved").isEmpty():
             return now.select("word", "root")
         steps = now.select("word", "root")
@@ -272,9 +274,9 @@ def spelling_variants(docs: DataFrame, ratio: int = RATIO, least_count: int = LE
     pairs = stored(near_words(words))
     ways = pairs.select("word", "other", "other_n").union(pairs.select(F.col("other").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     best = ways.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    found = words.join(best, "word", "left").withColumn("best_n", -F.col("best.less"))
+    found = words.join(best.hint("merge"), "word", "left").withColumn("best_n", -F.col("best.less"))
     usual = F.col("best_n") >= ratio * F.col("n")
     found = stored(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(usual, F.col("best.other")).alias("form"),
                                 F.when(usual, F.col("best_n")).alias("form_n")))
     roots = last_forms(found.where("form is not null").select("word", "form"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

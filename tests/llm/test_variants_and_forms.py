@@ -95,6 +95,17 @@ def test_split_lists_and_long_grams_lose_no_pair(spark, monkeypatch):
     assert len(got) == len(want) and {frozenset(p) for p in got} == want
 
 
+def test_no_list_is_broadcast(spark, monkeypatch):
+    plans = []
+    keep = gram_index.stored
+    monkeypatch.setattr(gram_index, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    rows = [(k, " ".join(w for w in ("organisation", "organisatoin", "organisatio", "organisation") for _ in range(6 + k)), None, None, None, 3, "x", "y", 0.5, "z", "k", 9) for k in range(4)]
+    out = gram_index.spelling_variants(frame(spark, rows), ratio=2)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+    assert set(variant_rows(out)) == plain_variants([x[:2] for x in rows], ratio=2)
+
+
 def set_of(words, held={}):  # noqa: B006
     return held.setdefault(id(words), set(words))
 
