@@ -22,6 +22,9 @@ _DATE_SPAN = r"^\(?\s*([^()]+?)\s*(?:[–—]|\s-+\s|\s(?:to|until)\s|(?<=\d{4})
 _ZIP = r"(?:^|\s)([A-Z0-9-]*[0-9][A-Z0-9 -]*)$"
 _HEADER = "header"
 _EDGES = r"^[\s,;|•·–—-]+|[\s,;|•·–—(-]+$"
+#: A span, searched only from characters that one can begin with, and a date at the end of a line.
+_WITHIN = r"(?=[(\s\dADFJMNOSW])" + ls.SPAN
+_LAST = rf"(?=[\dADFJMNOSW])({ls.DATE})\)?$"
 
 
 def with_lines(df: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -53,7 +56,12 @@ def split_sections(df: DataFrame, text: str = "raw_text") -> DataFrame:
 
 
 def _or_null(text: Column) -> Column:
-    return F.when(text != "", text)
+    return let(text, lambda t: F.when(t != "", t))
+
+
+def _has_year(line: Column) -> Column:
+    """Whether a line may hold a date; others are not searched for one."""
+    return line.contains("19") | line.contains("20")
 
 
 def _part(parts: Column, n: int) -> Column:
@@ -70,20 +78,27 @@ def _place(line: Column) -> tuple[Column, Column]:
 
 def _undated(line: Column) -> Column:
     """A line without its span or closing year, and without the separators left at its ends."""
-    bare = F.regexp_replace(F.regexp_replace(line, ls.SPAN, ""), rf"[\s,;|(–—-]+{ls.DATE}\)?$", "")
-    return _or_null(F.regexp_replace(bare, _EDGES, ""))
+    def bare(x: Column) -> Column:
+        return F.when(_has_year(x), F.regexp_replace(F.regexp_replace(x, _WITHIN, ""), rf"[\s,;|(–—-]+{ls.DATE}\)?$", "")).otherwise(x)
+
+    return _or_null(F.regexp_replace(let(line, bare), _EDGES, ""))
+
 
+def _span(dates: Column, line: Column, *names: str) -> Column:
+    """(start, end) texts of a line of dates, or else of a span within a line; a single date is the end. ``names`` asks for one of them alone."""
+    def of(start: Column, end: Column) -> Column:
+        return F.struct(*[c.alias(k) for k, c in (("start", start), ("end", end)) if k in (names or ("start", "end"))])
 
-def _span(dates: Column, line: Column) -> Column:
-    """(start, end) texts of a line of dates, or else of a span within a line; a single date is the end."""
     def read(d: Column) -> Column:
         start = _or_null(F.regexp_extract(d, _DATE_SPAN, 1))
-        end = F.coalesce(_or_null(F.regexp_extract(d, _DATE_SPAN, 2)), _or_null(F.regexp_extract(d, r"^\(?\s*([^()]+?)\s*\)?$", 1)))
-        return F.struct(start.alias("start"), end.alias("end"))
+        return of(start, F.coalesce(_or_null(F.regexp_extract(d, _DATE_SPAN, 2)), _or_null(F.regexp_extract(d, r"^\(?\s*([^()]+?)\s*\)?$", 1))))
 
-    inner = F.struct(_or_null(F.regexp_extract(line, ls.SPAN, 1)).alias("start"),
-                     F.coalesce(_or_null(F.regexp_extract(line, ls.SPAN, 2)), _or_null(F.regexp_extract(line, rf"({ls.DATE})\)?$", 1))).alias("end"))
-    return F.when(dates.isNotNull(), let(dates, read)).otherwise(inner)
+    def inside(x: Column) -> Column:
+        start = _or_null(F.regexp_extract(x, _WITHIN, 1))
+        none = F.lit(None).cast("string")
+        return F.when(_has_year(x), of(start, F.coalesce(_or_null(F.regexp_extract(x, _WITHIN, 2)), _or_null(F.regexp_extract(x, _LAST, 1))))).otherwise(of(none, none))
+
+    return let(dates, lambda d: F.when(d.isNotNull(), read(d)).otherwise(let(line, inside)))
 
 
 def _split_parts(line: Column) -> Column:
@@ -99,10 +114,14 @@ def _named(given: Column) -> Column:
         def read(parts: Column) -> Column:
             first, second = _part(parts, 0), _part(parts, 1)
             turned = ls.has_word(second, rules.TITLE_WORDS) & ~ls.has_word(first, rules.TITLE_WORDS)
-            company = F.when(turned, first).otherwise(second)
             rest = F.array_join(F.filter(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), lambda p: p != ""), ", ")
-            inner, place = _place(company)
-            return F.struct(F.when(turned, second).otherwise(first).alias("title"), inner.alias("company"), F.coalesce(_or_null(rest), place).alias("location"))
+
+            def told(n: Column) -> Column:
+                inner, place = _place(n["company"])
+                return F.struct(n["title"].alias("title"), inner.alias("company"), F.coalesce(_or_null(rest), place).alias("location"))
+
+            ordered = let(turned, lambda t: F.struct(F.when(t, second).otherwise(first).alias("title"), F.when(t, first).otherwise(second).alias("company")))
+            return let(ordered, told)
 
         return F.when(line.isNotNull(), let(_split_parts(line), read))
 
@@ -170,16 +189,19 @@ def extract_experience(df: DataFrame, as_of: str, skills: Column | None = None,
     listed = with_lines(df, text).withColumn("_known", framed)
 
     def gather(lines: Column) -> Column:
-        role, employer = ls.first_in(lines, "role"), ls.first_in(lines, "employer")
+        def heads(h: Column) -> Column:
+            given = F.struct(_undated(h["role"]).alias("role"), _undated(h["employer"]).alias("employer"))
+            return F.struct(given.alias("given"), _span(ls.first_in(lines, "work_dates"), F.concat_ws(" ", h["role"], h["employer"])).alias("span"))
+
+        words = word_frame(F.array_join(F.transform(lines, lambda x: x["line"]), " "))
+        found = let(F.struct(ls.first_in(lines, "role").alias("role"), ls.first_in(lines, "employer").alias("employer")), heads)
         return F.struct(
-            F.struct(_undated(role).alias("role"), _undated(employer).alias("employer")).alias("given"),
-            _span(ls.first_in(lines, "work_dates"), F.concat_ws(" ", role, employer)).alias("span"),
-            ls.lines_in(lines, "duty").alias("plain"), ls.whole_bullets(lines).alias("bullets"),
-            word_frame(F.array_join(F.transform(lines, lambda x: x["line"]), " ")).alias("words"),
+            found.alias("heads"), ls.lines_in(lines, "duty").alias("plain"), ls.whole_bullets(lines).alias("bullets"),
+            F.when(F.size("_known") > 0, words).alias("words"),  # else nothing is looked for in them
         )
 
     def read(p: Column) -> Column:
-        return F.struct(_named(p["given"]).alias("n"), *[p[k].alias(k) for k in ("span", "plain", "bullets", "words")])
+        return F.struct(_named(p["heads"]["given"]).alias("n"), p["heads"]["span"].alias("span"), *[p[k].alias(k) for k in ("plain", "bullets", "words")])
 
     def role(r: Column) -> Column:
         start, end = r["span"]["start"], r["span"]["end"]
@@ -207,12 +229,14 @@ def extract_education(df: DataFrame, text: str = "raw_text") -> DataFrame:
     Entries without degree or institution are left out.
     """
     def gather(lines: Column) -> Column:
-        degree, school = ls.first_in(lines, "degree"), ls.first_in(lines, "school")
-        return F.struct(
-            _undated(degree).alias("degree"), _undated(school).alias("school"),
-            _span(ls.first_in(lines, "school_dates"), F.concat_ws(" ", school, degree))["end"].alias("end"),
-            ls.whole_bullets(lines).alias("notes"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"),
-        )
+        def heads(h: Column) -> Column:
+            return F.struct(
+                _undated(h["degree"]).alias("degree"), _undated(h["school"]).alias("school"),
+                _span(ls.first_in(lines, "school_dates"), F.concat_ws(" ", h["school"], h["degree"]), "end")["end"].alias("end"),
+                ls.whole_bullets(lines).alias("notes"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"),
+            )
+
+        return let(F.struct(ls.first_in(lines, "degree").alias("degree"), ls.first_in(lines, "school").alias("school")), heads)
 
     def named(g: Column) -> Column:
         """(degree, institution, location)."""
@@ -220,15 +244,24 @@ def extract_education(df: DataFrame, text: str = "raw_text") -> DataFrame:
             def read(parts: Column) -> Column:
                 flat = F.flatten(F.transform(parts, lambda p: F.split(p, r"\s*,\s*")))
 
-                def pick(held: Column) -> Column:
-                    schools = F.filter(held, lambda p: ls.has_word(p, rules.SCHOOL_WORDS))
-                    degrees = F.filter(held, lambda p: ls.has_word(p, rules.DEGREE_MARKS))
-                    degree = F.coalesce(_part(degrees, 0), _part(F.filter(held, lambda p: ~ls.has_word(p, rules.SCHOOL_WORDS)), 0))
-                    school = F.coalesce(_part(F.filter(schools, lambda p: p != degree), 0), _part(F.filter(held, lambda p: p != degree), 0))
-                    rest = F.filter(held, lambda p: (p != degree) & (p != school) & (p != ""))
-                    return F.struct(degree.alias("degree"), school.alias("institution"), _or_null(F.array_join(rest, ", ")).alias("location"))
+                def first(held: Column) -> Column:
+                    return _part(held, 0)["part"]
+
+                def pick(told: Column) -> Column:
+                    def beside(degree: Column) -> Column:
+                        def all_three(school: Column) -> Column:
+                            rest = F.filter(told, lambda x: (x["part"] != degree) & (x["part"] != school) & (x["part"] != ""))
+                            place = _or_null(F.array_join(F.transform(rest, lambda x: x["part"]), ", "))
+                            return F.struct(degree.alias("degree"), school.alias("institution"), place.alias("location"))
+
+                        school = F.coalesce(first(F.filter(told, lambda x: x["school"] & (x["part"] != degree))), first(F.filter(told, lambda x: x["part"] != degree)))
+                        return let(school, all_three)
+
+                    return let(F.coalesce(first(F.filter(told, lambda x: x["degree"])), first(F.filter(told, lambda x: ~x["school"]))), beside)
 
-                return let(flat, pick)
+                marked = F.transform(flat, lambda p: F.struct(
+                    p.alias("part"), ls.has_word(p, rules.SCHOOL_WORDS).alias("school"), ls.has_word(p, rules.DEGREE_MARKS).alias("degree")))
+                return let(marked, pick)
 
             return F.when(line.isNotNull(), let(F.split(line, ls.SEPARATOR), read))
 
@@ -317,10 +350,10 @@ def extract_skills(df: DataFrame, text: str = "raw_text") -> DataFrame:
 def extract_certs(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """Add ``certifications``: name / issuer / "(Issued: …)", or all on one line parted by bars, dashes or commas."""
     def gather(lines: Column) -> Column:
-        line = F.regexp_replace(ls.first_in(lines, "cert"), ls.BULLET, "")
         notes = F.filter(ls.lines_in(lines, "cert_note"), lambda x: ~x.startswith("(") & ~ls.has_word(x, rules.ISSUE_WORDS) & ~x.rlike(ls.ONLY_DATES))
-        return F.struct(line.alias("line"), F.split(_undated(line), rf"{ls.SEPARATOR}|\s*,\s*").alias("parts"), F.regexp_replace(_part(notes, 0), ls.BULLET, "").alias("issuer"),
-                        F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"), F.array_join(ls.lines_in(lines, "cert_note"), "\n").alias("notes"))
+        return let(F.regexp_replace(ls.first_in(lines, "cert"), ls.BULLET, ""), lambda line: F.struct(
+            line.alias("line"), F.split(_undated(line), rf"{ls.SEPARATOR}|\s*,\s*").alias("parts"), F.regexp_replace(_part(notes, 0), ls.BULLET, "").alias("issuer"),
+            F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"), F.array_join(ls.lines_in(lines, "cert_note"), "\n").alias("notes")))
 
     def cert(p: Column) -> Column:
         alone = p["issuer"].isNull() & (F.size(p["parts"]) > 1)
@@ -328,7 +361,7 @@ def extract_certs(df: DataFrame, text: str = "raw_text") -> DataFrame:
         return F.struct(
             F.when(alone, _part(p["parts"], 0)).otherwise(F.when(p["issuer"].isNull(), _undated(p["line"])).otherwise(p["line"])).alias("name"),
             F.when(alone, F.array_join(F.slice(p["parts"], 2, F.size(p["parts"])), ", ")).otherwise(p["issuer"]).alias("issuer"),
-            F.coalesce(issued, _or_null(F.regexp_extract(p["line"], rf"({ls.DATE})\)?$", 1)), _or_null(F.regexp_extract(p["notes"], rf"(?m)^\(?({ls.DATE})\)?$", 1))).alias("issueDate"),
+            F.coalesce(issued, _or_null(F.regexp_extract(p["line"], _LAST, 1)), _or_null(F.regexp_extract(p["notes"], rf"(?m)^\(?({ls.DATE})\)?$", 1))).alias("issueDate"),
             _or_null(F.regexp_extract(p["text"], r"Expires:?\s*([^(),\n]+?)\s*(?:[,)\n]|$)", 1)).alias("expiryDate"),
             _or_null(F.regexp_extract(p["text"], r"(?:Credential )?ID:\s*([^(),\s]+)", 1)).alias("credentialId"),
         )

@@ -204,7 +204,8 @@ def _(t):
            case form when 3 then 'Planned the work of nine people.' end,
            case form when 0 then 'Planned the work of nine people, with reports to the board' when 3 then '' else 'Planned the work of nine people' end from layouts_v""")
 def _(t):
-    out = extraction.extract_experience(_layouts(t), AS_OF).select("id", F.posexplode("experience").alias("pos", "e"))
+    # the outer form spares Spark's extra filter, which would read every entry a second time
+    out = extraction.extract_experience(_layouts(t), AS_OF).select("id", F.posexplode_outer("experience").alias("pos", "e")).filter(F.col("pos").isNotNull())
     return out.select("id", "pos", "e.title", "e.company", "e.location", "e.start_date", "e.end_date", F.col("e.current").alias("is_current"), "e.description",
                       F.array_join("e.achievements", "|").alias("achievements"))
 

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from samples import RESUME
 from talentloom import schemas
 from talentloom.operators.extraction import structure_resumes
@@ -91,3 +92,13 @@ def test_prompts_name_what_is_required(kind):
         assert at["required"] == fields and set(fields) <= set(at["properties"])
     if kind == "match":
         assert shape["properties"]["matchingResults"]["properties"]["overallScore"]["type"] == "integer"
+
+
+def filters_reading(spark, name):
+    """The filters of a query that make entries, by its plan."""
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    return re.findall(r"Filter .*size\(transform.*", plan)
+
+
+def test_entries_of_work_are_read_once(spark):
+    assert not filters_reading(spark, "s14_layout_roles")
