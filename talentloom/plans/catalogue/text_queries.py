@@ -218,7 +218,7 @@ def _(t):
     select id, 1, case form when 0 then 'Diploma' else 'Bachelor of Arts' end, case form when 0 then 'Trade' else 'History' end, 'College of ' || region,
            case form when 1 then place end, cast(yr - 8 as varchar), case form when 1 then 3.5 end from layouts_v where form < 2""")
 def _(t):
-    out = extraction.extract_education(_layouts(t)).select("id", F.posexplode("education").alias("pos", "e"))
+    out = extraction.extract_education(_layouts(t)).select("id", F.posexplode_outer("education").alias("pos", "e")).filter(F.col("pos").isNotNull())
     return out.select("id", "pos", "e.degree", "e.field", "e.institution", "e.location", "e.graduation_date", "e.gpa")
 
 

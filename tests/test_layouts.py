@@ -102,3 +102,7 @@ def filters_reading(spark, name):
 
 def test_entries_of_work_are_read_once(spark):
     assert not filters_reading(spark, "s14_layout_roles")
+
+
+def test_entries_of_school_are_read_once(spark):
+    assert not filters_reading(spark, "s15_layout_degrees")
