@@ -64,12 +64,13 @@ def extract_first(text: Column, pattern: str, needle: str | None = None) -> Colu
 
     ``needle`` is a string every hit contains: texts without it are not scanned.
     """
-    hit = F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit(""))
+    hit = let(F.regexp_extract(text, f"({pattern})", 1), lambda h: F.when(h != "", h))
     return hit if needle is None else F.when(text.contains(needle), hit)
 
 
 def email_in(text: Column) -> Column:
-    return extract_first(text, rules.EMAIL_PATTERN, "@")
+    """The first address; the first hit begins where a run of its characters begins, so only those places are tried."""
+    return extract_first(text, r"(?<![A-Za-z0-9._%+-])" + rules.EMAIL_PATTERN, "@")
 
 
 def phone_in(text: Column) -> Column:

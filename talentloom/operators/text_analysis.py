@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talentloom import rules, schemas
@@ -41,12 +43,17 @@ def distinct_words(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), rules.WORD_SPLIT))
 
 
+def _among(words: Column, lists: dict) -> Column:
+    """The few words of a text that stand in any of some lists, in one pass."""
+    return F.filter(words, lambda w: w.isin(*sorted({t for terms in lists.values() for t in terms})))
+
+
 def industry_fit_of(words: Column) -> Column:
     """The same map with the built-in industry terms, from the distinct words of a text."""
     names = sorted(rules.INDUSTRY_TERMS)
-    hits = F.array(*[
-        F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in rules.INDUSTRY_TERMS[n]]))) for n in names
-    ])
+    hits = let(_among(words, rules.INDUSTRY_TERMS), lambda held: F.array(*[
+        F.size(F.array_intersect(held, F.array(*[F.lit(t) for t in rules.INDUSTRY_TERMS[n]]))) for n in names
+    ]))
 
     def scale(hits: Column) -> Column:
         top = F.array_max(hits)
@@ -63,12 +70,17 @@ def best_industry(fit: Column) -> Column:
     return F.get(ranked, F.lit(0))["k"]
 
 
-def detect_language(docs: DataFrame, text: str = "text", stopwords: dict[str, list[str]] = rules.STOP_WORDS) -> DataFrame:
+def detect_language(docs: DataFrame, text: str = "text", stopwords: dict[str, list[str]] = rules.STOP_WORDS, words: Column | None = None) -> DataFrame:
     """Add ``language`` and ``stop_words``: the language with most distinct stop words in the text.
 
-    The first by name wins a tie; null when no stop word occurs.
+    The first by name wins a tie; null when no stop word occurs. ``words`` are the distinct words of the text, when the caller has cut it already.
     """
-    words = F.array_distinct(tokens(F.col(text)))
+    if words is None:
+        cut = tokens(F.col(text))
+    else:  # an underscore is a letter there
+        parted = F.when(F.exists(words, lambda w: w.contains("_")), F.flatten(F.transform(words, lambda w: F.split(w, "_")))).otherwise(words)
+        cut = F.when(F.col(text).isNotNull(), F.filter(parted, lambda w: w != ""))
+    words = F.array_distinct(_among(cut, stopwords))
     langs = sorted(stopwords)
     scored = docs.withColumn("_words", words).withColumn("_n", F.array(*[
         F.size(F.array_intersect("_words", F.array(*[F.lit(w) for w in stopwords[lang]]))) for lang in langs
@@ -81,16 +93,22 @@ def detect_language(docs: DataFrame, text: str = "text", stopwords: dict[str, li
 
 def bias_hits(text: Column, words: Column) -> Column:
     """Struct of the distinct biased words and phrases per category, from a text and its distinct words."""
-    def read(low: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def read(held: Column) -> Column:
+        def stands(phrase: str) -> Column:
+            """Whether a phrase stands in the text: all its words do, and side by side."""
+            return functools.reduce(lambda a, b: a & b, [F.array_contains(held, w) for w in phrase.split(" ")]) & low.rlike(rules.whole_words(phrase))
+
         parts = []
         for category, terms in rules.BIAS_WORDS.items():
             single = F.array(*[F.lit(t) for t in terms if " " not in t])
-            phrases = [F.when(low.rlike(rules.whole_words(t)), t) for t in terms if " " in t]
+            phrases = [F.when(stands(t), t) for t in terms if " " in t]
             found = F.filter(F.array(*phrases), lambda p: p.isNotNull()) if phrases else F.array().cast("array<string>")
-            parts.append(F.concat(F.array_intersect(words, single), found).alias(category))
+            parts.append(F.concat(F.array_intersect(held, single), found).alias(category))
         return F.struct(*parts)
 
-    return let(F.lower(F.coalesce(text, F.lit(""))), read)
+    return let(_among(words, {c: " ".join(terms).split(" ") for c, terms in rules.BIAS_WORDS.items()}), read)
 
 
 def _as_findings(category: str, hits: Column) -> Column:
