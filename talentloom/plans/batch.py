@@ -93,7 +93,7 @@ def enrich_plan(records: DataFrame, as_of: str) -> DataFrame:
     kept = [c for c in records.columns if c not in ("processing_status", "processed_at")]
     has_text = F.col("processing_status") == rules.AI_PROCESSING
     out = structure_resumes(records, as_of)
-    out = detect_language(out, "raw_text")
+    out = detect_language(out, "raw_text", words=F.col("words"))
     out = bias_report(out, as_of, education=F.col("structured_data.education"), language=F.col("language"), words=F.col("words"))
     out = enrich.anonymize(enrich.quality_scores(out))
     empty = {f.name: F.lit(None).cast(f.dataType) for f in schemas.ENHANCEMENTS.fields}
